@@ -95,16 +95,17 @@ _FOLD[65:91] += 32
 B1, B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
-def byte_words(data: np.ndarray, doc_ends: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def byte_words(data: np.ndarray, doc_ends: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of many texts that lie one after another in ``data`` (UTF-8 bytes, text i ending at doc_ends[i]).
 
-    Returns start and end of each word in ``data``, and the number of words of each text. No white-space byte occurs inside a UTF-8 sequence.
+    Returns start and end of each word in ``data``, and the number of words of each text. ``between``: which bytes are not of a word; none of them may occur
+    inside a UTF-8 sequence.
     """
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(doc_ends), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     cut = np.zeros(n + 1, bool)
     cut[doc_ends] = True
     cut[0] = True
@@ -159,3 +160,58 @@ def joined_texts(column) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(body, np.uint8)[at[0] : at[-1]] if body is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return data, at[1:] - at[0]
+
+
+def label_sample(labels: DataFrame, label: str, per_class: int, modulus: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """Training ids for a classifier: of the rows that may be learnt from (crc32(id) mod ``modulus`` is not 0), those of the ``per_class`` smallest id hashes
+    of each class, as ``doc_id, y, share`` (share: the class's part of all such labels). At most 2 * per_class rows, whatever the input's size.
+
+    An id's label is 1 if any of its rows says so; null ids and labels are ignored.
+    """
+    known = (
+        labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("y"))
+        .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (crc_mod("doc_id", modulus) != 0))
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+        .withColumn("h", F.xxhash64("doc_id"))
+    )
+    share = known.agg(F.coalesce(F.avg("y"), F.lit(0.0)).alias("p1"))
+    picked = [known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
+    return picked[0].unionByName(picked[1]).crossJoin(F.broadcast(share)).select("doc_id", "y", F.when(F.col("y") == 1, F.col("p1")).otherwise(1 - F.col("p1")).alias("share"), (F.pmod(F.shiftright("h", 7), F.lit(4)) == 0).alias("check"))
+
+
+def slices(ends: np.ndarray, size: int):
+    """Row ranges (first, last + 1) of about ``size`` bytes each; a longer text is a range of its own."""
+    first, n = 0, len(ends)
+    while first < n:
+        base = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, base + size, side="right")), first + 1)
+        yield first, last
+        first = last
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights (intercept last) of a logistic regression by damped Newton steps."""
+    if not len(x):
+        return np.zeros(x.shape[1] + 1 if x.ndim == 2 else 1)
+    a = np.hstack([x, np.ones((len(x), 1))])
+    b = np.zeros(a.shape[1])
+    w = w / w.sum()
+    ridge = np.full(a.shape[1], l2)
+    ridge[-1] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        z = a @ v
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + (ridge * v * v).sum() / 2)
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -40, 40)))
+        g = a.T @ (w * (p - y)) + ridge * b
+        d = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(ridge), g)
+        t = 1.0
+        while t > 1e-6 and loss(b - t * d) > loss(b):
+            t /= 2
+        b = b - t * d
+        if np.abs(t * d).max() < 1e-9:
+            break
+    return b
