@@ -215,3 +215,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-3,
         if np.abs(t * d).max() < 1e-9:
             break
     return b
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, whose plans nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

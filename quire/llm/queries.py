@@ -10,6 +10,7 @@ from quire.llm.op2_html import op2_html_density
 from quire.llm.op4_toxicity import op4_toxicity_kneser_ney
 from quire.llm.op7_bpe import op7_bpe_tree
 from quire.llm.op8_quality import op8_quality_bytenet
+from quire.llm.op9_substring import op9_substring_dedup
 from quire.llm.op10_wordpiece import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_kneser_ney": op4_toxicity_kneser_ney,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_quality_bytenet": op8_quality_bytenet,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
