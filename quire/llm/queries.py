@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.op2_html import op2_html_density
+from quire.llm.op3_minmax import op3_minmax_dedup
 from quire.llm.op4_toxicity import op4_toxicity_kneser_ney
 from quire.llm.op7_bpe import op7_bpe_tree
 from quire.llm.op8_quality import op8_quality_bytenet
@@ -15,6 +16,7 @@ from quire.llm.op10_wordpiece import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_density": op2_html_density,
+    "op3_minmax_dedup": op3_minmax_dedup,
     "op4_toxicity_kneser_ney": op4_toxicity_kneser_ney,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_quality_bytenet": op8_quality_bytenet,
