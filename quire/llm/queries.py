@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.op1_decontamination import op1_template_decontamination
 from quire.llm.op2_html import op2_html_density
 from quire.llm.op3_minmax import op3_minmax_dedup
 from quire.llm.op4_toxicity import op4_toxicity_kneser_ney
@@ -15,6 +16,7 @@ from quire.llm.op9_substring import op9_substring_dedup
 from quire.llm.op10_wordpiece import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_html_density": op2_html_density,
     "op3_minmax_dedup": op3_minmax_dedup,
     "op4_toxicity_kneser_ney": op4_toxicity_kneser_ney,
