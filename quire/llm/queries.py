@@ -10,6 +10,8 @@ from quire.llm.op1_decontamination import op1_template_decontamination
 from quire.llm.op2_html import op2_html_density
 from quire.llm.op3_minmax import op3_minmax_dedup
 from quire.llm.op4_toxicity import op4_toxicity_kneser_ney
+from quire.llm import op6_topk
+from quire.llm.op6_topk import op6_impact_topk
 from quire.llm.op7_bpe import op7_bpe_tree
 from quire.llm.op8_quality import op8_quality_bytenet
 from quire.llm.op9_substring import op9_substring_dedup
@@ -20,10 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_density": op2_html_density,
     "op3_minmax_dedup": op3_minmax_dedup,
     "op4_toxicity_kneser_ney": op4_toxicity_kneser_ney,
+    "op6_impact_topk": op6_impact_topk,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_quality_bytenet": op8_quality_bytenet,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_impact_topk": op6_topk.ORACLE,
+}
