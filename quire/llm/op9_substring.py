@@ -232,7 +232,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
         release(spark)
     if own:
         index.drop()
-    known = hits.distinct()
+    known = written(hits.distinct(), "known")  # a table of its own, so that Spark can split hot keys of the join
     nominated = written(_prints(rows, window, gram).join(known, "h", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at")), "nominated")
     release(spark)
     # Of exact copies one stands for all, with its windows counted twice.
@@ -241,7 +241,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     texts = written(rows.select("key", "text").join(chosen, "key"), "texts")
     release(spark)
     pairs = _pairs(texts.filter("times = 1").unionByName(texts.filter("times = 2").dropDuplicates(["key"])), window, gram)
-    twice = pairs.groupBy("h", "w").agg(F.sum("times").alias("n")).filter("n > 1").select("h", "w")
+    twice = written(pairs.groupBy("h", "w").agg(F.sum("times").alias("n")).filter("n > 1").select("h", "w"), "twice")
+    release(spark)
     found = pairs.filter("times = 1").select("key", "s", "h", "w").join(twice, ["h", "w"], "left_semi").groupBy("key").agg(F.collect_set("s").alias("starts"))
     found = written(found, "found")
     release(spark)
