@@ -263,3 +263,19 @@ class HashTable:
             go = used & ~same
             left, at = left[go], at[go]
         return out, hit
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key lies, -1 where missing."""
+        at = self._slot(keys)
+        hit = self.used[at] & (self.keys[at] == keys)
+        out = np.where(hit, at, -1)
+        left = np.flatnonzero(~hit & self.used[at])
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            used = self.used[at]
+            same = used & (self.keys[at] == keys[left])
+            out[left[same]] = at[same]
+            go = used & ~same
+            left, at = left[go], at[go]
+        return out

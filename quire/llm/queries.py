@@ -11,6 +11,7 @@ from quire.llm.op2_html import op2_html_density
 from quire.llm.op3_minmax import op3_minmax_dedup
 from quire.llm.op4_toxicity import op4_toxicity_kneser_ney
 from quire.llm import op6_topk
+from quire.llm.op5_attention import op5_attention_scores
 from quire.llm.op6_topk import op6_impact_topk
 from quire.llm.op7_bpe import op7_bpe_tree
 from quire.llm.op8_quality import op8_quality_bytenet
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_density": op2_html_density,
     "op3_minmax_dedup": op3_minmax_dedup,
     "op4_toxicity_kneser_ney": op4_toxicity_kneser_ney,
+    "op5_attention_scores": op5_attention_scores,
     "op6_impact_topk": op6_impact_topk,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_quality_bytenet": op8_quality_bytenet,
@@ -30,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_attention_scores": op5_attention_scores,
     "op6_impact_topk": op6_topk.ORACLE,
 }
