@@ -279,6 +279,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     )
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """``docs``, all rows and columns, with the words of repeated windows cut from ``text`` (what is left joined by one space) and ``n_chars`` set anew where the
+    table has it. A text that loses nothing stays as it is.
+    """
+    summary, found, texts = repeated_windows(docs, window, gram, batches)
+    cut = _cut(texts.join(found, "key"), window, True).select("key", F.col("kept").alias("__kept"))
+    gone = summary.filter(F.col("copy") & (F.col("n_words") >= window)).select("key").distinct().withColumn("__kept", F.lit(""))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.withColumn("key", key).join(cut.unionByName(gone), "key", "left").withColumn("text", F.coalesce("__kept", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated windows: doc_id, n_words, n_removed, kept_sha256."""
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
