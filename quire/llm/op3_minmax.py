@@ -224,7 +224,7 @@ def _open_links(spark: SparkSession, tried: DataFrame, comps: DataFrame, texts:
     groups = components(spark, ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), F.col("root").alias("grp"))
     members = written(at.join(groups, "comp"), "open")
     size = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = size.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("t"), F.sum("n").alias("all")).select("grp", F.col("t.comp").alias("top"), (F.floor((F.col("all") - F.col("t.n") - 1) / BLOCK_U) + 1).alias("nu"), (F.floor((F.col("all") - 1) / BLOCK_M) + 1).alias("nm"))
+    top = written(size.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("t"), F.sum("n").alias("all")).select("grp", F.col("t.comp").alias("top"), (F.floor((F.col("all") - F.col("t.n") - 1) / BLOCK_U) + 1).alias("nu"), (F.floor((F.col("all") - 1) / BLOCK_M) + 1).alias("nm")), "groups")
     m = members.join(top, "grp")
     number = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(n) - 1).cast("long")))
