@@ -1,0 +1 @@
+"""Document analytics on PySpark: blocks, search, comparison, versions, conversations, layout statistics."""

@@ -1,10 +1,575 @@
-"""Registered queries of the document operators and their DuckDB SQL."""
+"""Registered queries of the document operators and the DuckDB SQL that must return the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import text as tx
+from quire.operators import blocks, compare, control, layout, markup, search
+from quire.plans.tables import table
+from quire.sources.fixtures import fixture, values_sql
+from quire.sources.html import with_html_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query; ``sql`` may name inline tables as {name}."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            out = sql
+            from quire.sources.fixtures import TABLES
+
+            for n in TABLES:
+                if "{" + n + "}" in out:
+                    out = out.replace("{" + n + "}", values_sql(n))
+            ORACLE_SQL[f.__name__] = out
+        return f
+
+    return put
+
+
+_SP = r"[\t\n\x{0b}\x{0c}\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Blocks of texts without fences and front matter, which the tables don't have.
+_BLOCKS = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS n FROM documents),
+k AS (SELECT *, CASE WHEN trim(regexp_replace(line, '{_SP}+', ' ', 'g')) = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 'heading' WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])\s') THEN 'list' WHEN regexp_matches(line, '^\s*\|') THEN 'table-cell' ELSE 'text' END AS c FROM l),
+s AS (SELECT *, CASE WHEN c = 'blank' THEN 0 WHEN c <> 'text' THEN 1 WHEN coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY n), 'blank') <> 'text' THEN 1 ELSE 0 END AS new FROM k),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS ordinal FROM s WHERE c <> 'blank'),
+b AS (SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN min(c) <> 'text' THEN min(c) WHEN regexp_matches(arg_min(line, n), '^\s*>') THEN 'quote' ELSE 'paragraph' END AS kind,
+      CASE WHEN min(c) = 'heading' THEN CAST(length(regexp_extract(arg_min(line, n), '^(#+)', 1)) AS INTEGER) END AS level, string_agg(line, chr(10) ORDER BY n) AS text FROM g GROUP BY doc_id, ordinal)
+"""
+
+
+@query(_BLOCKS + rf"""SELECT doc_id, count(*) AS block_count, CAST(sum(length(regexp_replace(text, '{_SP}+', '', 'g'))) AS BIGINT) AS char_count, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'list') AS list_items,
+CAST(max(CASE WHEN kind = 'table-cell' THEN 1 ELSE 0 END) AS BIGINT) AS tables, count(*) FILTER (kind = 'quote') AS quotes, CAST(0 AS BIGINT) AS code_blocks FROM b GROUP BY doc_id""")
+def doc_summary(spark, d):
+    return blocks.summary(blocks.with_blocks(table(spark, d, "documents")))
+
+
+@query(_BLOCKS + "SELECT doc_id, ordinal, 'B' || ordinal || '@v0' AS ref, kind, level, text FROM b")
+def block_list(spark, d):
+    return blocks.with_blocks(table(spark, d, "documents"))
+
+
+@query(_BLOCKS + "SELECT doc_id, ordinal, '[B' || ordinal || '@v0] (' || kind || ') ' || CASE WHEN length(text) > 1500 THEN left(replace(text, chr(10), '⏎'), 1500) || '…' ELSE replace(text, chr(10), '⏎') END AS line FROM b WHERE ordinal <= 40")
+def block_read_page(spark, d):
+    return blocks.read_page(blocks.with_blocks(table(spark, d, "documents")))
+
+
+@query("SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4 AS BIGINT) AS hits FROM documents WHERE contains(lower(text), 'tion')")
+def search_literal_counts(spark, d):
+    return search.hit_counts(table(spark, d, "documents"), "tion")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+[.,]')) AS hits FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+[.,]')")
+def search_regex_hits(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[A-Z][a-z]+[.,]")).cast("long").alias("hits")).filter("hits > 0")
+
+
+@query("SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS hits FROM documents WHERE contains(lower(text), 'the') ORDER BY hits DESC, doc_id LIMIT 30")
+def search_top_k(spark, d):
+    return search.hit_counts(table(spark, d, "documents"), "the").orderBy(F.col("hits").desc(), "doc_id").limit(30)
+
+
+@query("SELECT count(*) AS blocks, CAST(sum((length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4) AS BIGINT) AS hits, lang FROM documents WHERE contains(lower(text), 'tion') GROUP BY lang")
+def search_totals(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("lang", tx.literal_hits(F.col("text"), "tion").alias("hits")).filter("hits > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("blocks"), F.sum("hits").alias("hits"))
+
+
+@query("""SELECT doc_id, CAST(p - 1 AS BIGINT) AS index, CASE WHEN greatest(p - 61, 0) > 0 THEN '…' ELSE '' END || substring(text, greatest(p - 61, 0) + 1, p - 1 - greatest(p - 61, 0)) || '【' || substring(text, p, 4) || '】' || substring(text, p + 4, 60) ||
+CASE WHEN length(text) > p - 1 + 4 + 60 THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, strpos(text, 'tion') AS p FROM documents) WHERE p > 0""")
+def search_snippets(spark, d):
+    return search.snippets(table(spark, d, "documents"), "tion")
+
+
+@query()
+def search_fuzzy(spark, d):
+    return search.fuzzy_matches(fixture(spark, "odd_texts").select(F.col("id").cast("long").alias("doc_id"), "text"), "'s' - x y")
+
+
+@query(rf"SELECT doc_id, length(n) AS n_chars, md5(n) AS digest FROM (SELECT doc_id, regexp_replace(translate(text, '{tx.TYPOGRAPHIC.replace(chr(39), chr(39) * 2)}', '{tx.PLAIN.replace(chr(39), chr(39) * 2)}'), '[ \n\r]+', ' ', 'g') AS n FROM documents)")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.normalized(F.col("text")).alias("n")).select("doc_id", F.length("n").cast("long").alias("n_chars"), F.md5("n").alias("digest"))
+
+
+_WORDS = r"len(regexp_extract_all(text, '[A-Za-z0-9À-ɏͰ-ϿЀ-ӿ]+'))"
+
+
+@query(rf"SELECT doc_id, {_WORDS} AS words, len(regexp_extract_all(text, '[\t\n\x0c\r ]+')) AS spaces FROM documents")
+def token_counts(spark, d):
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return table(spark, d, "documents").select("doc_id", n("[A-Za-z0-9À-ɏͰ-ϿЀ-ӿ]+").alias("words"), n(r"[\t\n\x0c\r ]+").alias("spaces"))
+
+
+@query("SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1")
+def word_counts(spark, d):
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0))).alias("w"))
+    return words.groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+(?:-[A-Za-z]+)*'), lambda x: lower(x)))) AS words FROM documents")
+def vocabulary(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)), F.lower))).cast("long").alias("words"))
+
+
+@query(f"SELECT lower(w) AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{tx.HYPHENATED}')) AS w FROM documents) GROUP BY 1")
+def hyphenated_terms(spark, d):
+    return table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(tx.HYPHENATED), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: First parts of compounds that keep their hyphen.
+KEEP_PREFIX = "multi cross self non pre post co sub semi anti inter intra over under well low high two three four single double full half state deep end real long short large small fine coarse patch pixel slice noise edge data task domain channel spatial frequency image feature level scale window time user open closed top bottom left right first second third zero one dual quasi pseudo".split()
+
+
+@query()
+def soft_hyphen_decisions(spark, d):
+    text = fixture(spark, "hyphen_text").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("all"))
+    seen = text.select(F.array_distinct(F.flatten(F.transform("w", lambda x: F.array(F.lower(x), F.replace(F.lower(x), F.lit("-"), F.lit("")))))).alias("seen"), F.transform("all", F.lower).alias("all"))
+    base = F.rtrim(F.regexp_replace("a", "-$", ""))
+    p = fixture(spark, "hyphens").select("id", "a", "b", F.regexp_extract(base, "([A-Za-z]+)$", 1).alias("ra"), F.regexp_extract("b", "^([A-Za-z]+)", 1).alias("rb"), base.alias("base")).crossJoin(F.broadcast(seen))
+    a, b = F.lower("ra"), F.lower("rb")
+    times = lambda w: F.size(F.filter("all", lambda x: x == w))
+    drop = (
+        F.when((a == "") | (b == ""), False).when(F.col("base").rlike("-[A-Za-z]+$"), False).when(F.col("rb").rlike("^[A-Z]") & ~F.col("rb").rlike("^[A-Z]+$"), False)
+        .when(F.array_contains("seen", F.concat(a, F.lit("-"), b)), False).when(F.array_contains("seen", F.concat(a, b)), True).when(a.isin(KEEP_PREFIX), False)
+        .when((F.length("ra") >= 2) & (F.col("ra") == F.upper("ra")), False).when((F.length(a) >= 3) & (times(a) >= 2) & (times(b) >= 2), False).otherwise((F.length(a) >= 2) & (F.length(b) >= 2))
+    )
+    return p.select("id", drop.alias("soft"))
+
+
+_CLEAN = rf"regexp_replace(%s, '[\x{{00}}-\x{{1f}}\x{{7f}}-\x{{9f}}]|{_SP}', '', 'g')"
+
+
+@query(f"SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split({_CLEAN % 'text'}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2")
+def char_multiset(spark, d):
+    docs = table(spark, d, "documents")
+    each = docs.select("lang", F.explode(F.split(F.regexp_replace("text", f"[\\x00-\\x1f\\x7f-\\x9f]|{tx.SPACE}", ""), "")).alias("ch")).filter("ch <> ''")
+    return each.groupBy("lang", "ch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split({_CLEAN % 'text'}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),
+g AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split({_CLEAN % 'left(text, length(text) // 2)'}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),
+j AS (SELECT a.doc_id, sum(a.n) AS total, sum(greatest(a.n - coalesce(g.n, 0), 0)) AS lost FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.ch = g.ch GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(lost, 0) AS BIGINT) AS lost, round(CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE 1 - lost / total END, 6) AS coverage FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id""")
+def char_coverage(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return compare.coverage(docs, F.col("text"), F.left("text", F.floor(F.length("text") / 2).cast("int")))
+
+
+@query("""WITH a AS (SELECT doc_id, version, part, body FROM {parts})
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.part, n.part) AS part, CASE WHEN o.part IS NULL THEN 'added' WHEN n.part IS NULL THEN 'lost' WHEN o.body = n.body THEN 'identical' ELSE 'modified' END AS status
+FROM (SELECT * FROM a WHERE version = 0) o FULL JOIN (SELECT * FROM a WHERE version = 1) n ON o.doc_id = n.doc_id AND o.part = n.part""")
+def fidelity_parts(spark, d):
+    p = fixture(spark, "parts")
+    return compare.fidelity(p.filter("version = 0"), p.filter("version = 1"), ["doc_id", "part"], "body")
+
+
+@query("SELECT lang, CASE WHEN contains(text, 'tion') THEN 'modified' ELSE 'identical' END AS status, count(*) AS n FROM documents GROUP BY 1, 2")
+def fidelity_by_document(spark, d):
+    docs = table(spark, d, "documents")
+    new = docs.select("doc_id", F.replace("text", F.lit("tion"), F.lit("sion")).alias("text"))
+    return compare.fidelity(docs, new, ["doc_id"], "text").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH v AS (SELECT doc_id, string_split_regex(text, '\r?\n') AS a, string_split_regex(replace(text, 'tion', 'sion'), '\r?\n') AS b FROM documents),
+c AS (SELECT doc_id, len(a) AS n, list_transform(list_zip(a, b), lambda x: x[1] <> x[2]) AS diff FROM v),
+p AS (SELECT doc_id, n, coalesce(list_position(diff, true) - 1, n) AS pre, coalesce(list_position(list_reverse(diff), true) - 1, n) AS post FROM c)
+SELECT doc_id, CAST(pre AS BIGINT) AS prefix, CAST(least(post, n - pre) AS BIGINT) AS suffix, CAST(n - pre - least(post, n - pre) AS BIGINT) AS removed, CAST(n - pre - least(post, n - pre) AS BIGINT) AS added FROM p""")
+def common_prefix_suffix_change(spark, d):
+    return compare.common_affixes(table(spark, d, "documents").select("doc_id", F.col("text").alias("old"), F.replace("text", F.lit("tion"), F.lit("sion")).alias("new")))
+
+
+@query(r"""SELECT line, count(DISTINCT doc_id) AS holders, count(*) AS n FROM (SELECT doc_id, regexp_replace(trim(unnest(string_split_regex(text, '\r?\n'))), '[0-9]+', '#', 'g') AS line FROM documents) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2""")
+def repeated_lines(spark, d):
+    return layout.repeated_lines(table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\r?\n")).alias("line")))
+
+
+_TRI = "SELECT {id} AS id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT {id}, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z]+') AS w FROM {tab}))"
+
+
+@query("WITH d AS (" + _TRI.replace("{id}", "doc_id").replace("{tab}", "documents") + "), b AS (" + _TRI.replace("{id}", "item_id").replace("{tab}", "benchmark") + ") SELECT d.id AS doc_id, b.id AS item_id, count(DISTINCT d.t) AS shared FROM d JOIN b ON d.t = b.t GROUP BY 1, 2")
+def trigram_overlap(spark, d):
+    def tri(df, i):
+        w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+        t = df.select(i, w.alias("w")).filter(F.size("w") > 2).select(i, F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2]))")).alias("t"))
+        return t.distinct()
+
+    return tri(table(spark, d, "documents"), "doc_id").join(tri(table(spark, d, "benchmark"), "item_id"), "t").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _turns(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).filter("before IS NOT NULL")
+
+
+@query()
+def word_similarity(spark, d):
+    return compare.with_similarity(_turns(spark, d), "before", "text").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def carry_over_edits(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lines = lambda c: docs.select("doc_id", F.posexplode(F.split(c, "\r?\n")).alias("ordinal", "text"))
+    return compare.aligned(lines(F.col("text")), lines(F.replace("text", F.lit("tion"), F.lit("sion")))).select("doc_id", "old_ordinal", "new_ordinal", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def min_hunks(spark, d):
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("old"), F.replace("text", F.lit("the"), F.lit("a")).alias("new"))
+    return compare.with_hunks(docs)
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'tion', ''))) / 4 AS BIGINT) AS places, CASE WHEN NOT contains(text, 'tion') THEN 'not_found' WHEN (length(text) - length(replace(text, 'tion', ''))) / 4 > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM documents")
+def replace_status(spark, d):
+    return search.replace_status(table(spark, d, "documents"), "tion", "sion")
+
+
+@query("SELECT doc_id, 1 AS version, md5(replace(text, 'tion', 'sion')) AS digest FROM documents WHERE contains(text, 'tion')")
+def replace_all_versions(spark, d):
+    return search.replaced(table(spark, d, "documents"), "tion", "sion").select("doc_id", "version", F.md5("text").alias("digest"))
+
+
+@query("SELECT user_id, count(*) AS v, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type FROM events GROUP BY 1")
+def version_latest(spark, d):
+    return control.latest(table(spark, d, "events"), "user_id", "event_type", F.struct("ts", "event_id"))
+
+
+@query("SELECT user_id, CAST(row_number() OVER w AS INTEGER) AS v, event_id, lag(event_id) OVER w AS undo_to FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def version_undo(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return control.versions(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "v", "event_id", F.lag("event_id").over(w).alias("undo_to"))
+
+
+_REVIEW = "SELECT doc_id, string_agg(text, '' ORDER BY ordinal) FILTER (kind = 'keep' OR (kind = 'ins') = %s) AS text FROM {revisions} GROUP BY doc_id"
+
+
+@query(_REVIEW % "true")
+def review_accept(spark, d):
+    return control.reviewed(fixture(spark, "revisions"), True)
+
+
+@query(_REVIEW % "false")
+def review_reject(spark, d):
+    return control.reviewed(fixture(spark, "revisions"), False)
+
+
+@query("SELECT doc_id, rev_id, count(*) AS n FROM {revisions} WHERE rev_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_revisions(spark, d):
+    return fixture(spark, "revisions").filter("rev_id IS NOT NULL").groupBy("doc_id", "rev_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query()
+def html_blocks(spark, d):
+    return with_html_blocks(table(spark, d, "pages"))
+
+
+@query()
+def html_outline(spark, d):
+    return with_html_blocks(table(spark, d, "pages")).filter("level IS NOT NULL").select("page_id", "ordinal", "level", "text")
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)<p\b')) AS paragraphs, len(regexp_extract_all(html, '(?i)<h[1-6]\b')) AS headings, len(regexp_extract_all(html, '(?i)<table\b')) AS tables, len(regexp_extract_all(html, '(?i)<img\b')) AS images FROM pages")
+def html_tag_counts(spark, d):
+    n = lambda t: F.regexp_count("html", F.lit(rf"(?i)<{t}\b")).cast("long")
+    return table(spark, d, "pages").select("page_id", n("p").alias("paragraphs"), n("h[1-6]").alias("headings"), n("table").alias("tables"), n("img").alias("images"))
+
+
+@query(r"SELECT doc_id, ordinal, repeat(' ', greatest(2 * (level - 1), 0)) || text AS line, regexp_replace(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM {headings}")
+def toc_slugs(spark, d):
+    return blocks.outline(fixture(spark, "headings"))
+
+
+@query("SELECT conv_id, CAST(ceil(sum(length(coalesce(text, ''))) / 2.5) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+def conversation_tokens(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(tx.estimated_tokens(F.sum(F.length(F.coalesce("text", F.lit(""))))).alias("tokens"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session, role = 'tool' ORDER BY idx DESC) AS k FROM {tool_results}), f AS (SELECT *, role = 'tool' AND k > 6 AND length(content) >= 1500 AS folded FROM r)
+SELECT session, idx, role, folded, CASE WHEN folded THEN '[旧的工具输出已折叠以节省上下文（原 ' || length(content) || ' 字，开头：' || left(string_split(content, chr(10))[1], 120) || '）。如需其中内容，请重新调用相应工具读取。]' ELSE content END AS content FROM f""")
+def conversation_fold(spark, d):
+    return control.folded_results(fixture(spark, "tool_results"))
+
+
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '【用户】' WHEN 'assistant' THEN '【助手】' ELSE '【系统】' END || trim(text), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
+def conversation_transcript(spark, d):
+    name = F.when(F.col("role") == "user", "【用户】").when(F.col("role") == "assistant", "【助手】").otherwise("【系统】")
+    line = F.struct("turn", F.concat(name, F.trim("text")).alias("s"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["s"]), "\n").alias("transcript"))
+
+
+@query()
+def message_pairing(spark, d):
+    return control.paired_messages(fixture(spark, "messages"))
+
+
+def _usage(spark, d):
+    n = F.floor(F.abs("value")).cast("long")
+    return table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", "x-pro").otherwise("x-flash").alias("model"), n.alias("prompt"), F.floor(n / 3).alias("cached"), F.floor(n / 2).alias("completion"))
+
+
+_COST = """WITH u AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS pro, CAST(floor(abs(value)) AS BIGINT) AS n FROM events),
+c AS (SELECT *, isodow(ts) <= 5 AND ((hour(ts) >= 1 AND hour(ts) < 4) OR (hour(ts) >= 6 AND hour(ts) < 10)) AS peak, n // 3 AS cached, n // 2 AS completion FROM u),
+k AS (SELECT *, (cached * CASE WHEN pro = 1 THEN 0.022 ELSE 0.003 END + greatest(n - cached, 0) * CASE WHEN pro = 1 THEN 0.66 ELSE 0.15 END + completion * CASE WHEN pro = 1 THEN 1.98 ELSE 0.6 END) / 1e6 * CASE WHEN peak THEN 2 ELSE 1 END AS cost FROM c) """
+
+
+@query(_COST + "SELECT user_id, peak, count(*) AS requests, CAST(sum(n) AS BIGINT) AS prompt, CAST(sum(cached) AS BIGINT) AS cached, round(sum(cost), 9) AS cost FROM k GROUP BY 1, 2")
+def usage_cost_peak(spark, d):
+    return control.usage_costs(_usage(spark, d)).groupBy("user_id", "peak").agg(F.count(F.lit(1)).alias("requests"), F.sum("prompt").alias("prompt"), F.sum("cached").alias("cached"), F.round(F.sum("cost"), 9).alias("cost"))
+
+
+@query(_COST + "SELECT user_id, event_id, round(sum(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS total FROM k")
+def running_cost(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return control.usage_costs(_usage(spark, d)).select("user_id", "event_id", F.round(F.sum("cost").over(w), 9).alias("total"))
+
+
+@query()
+def permission_decisions(spark, d):
+    c, r = fixture(spark, "calls"), fixture(spark, "rules")
+    out = None
+    for mode in ("default", "plan", "acceptEdits", "bypassPermissions"):
+        x = control.decisions(c, r, mode)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("SELECT key, arg_max(value, prio) AS value, arg_max(layer, prio) AS layer FROM {settings} GROUP BY key")
+def settings_layers(spark, d):
+    return control.layered(fixture(spark, "settings"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY prio, pos) AS INTEGER) AS ordinal, layer, rule FROM {setting_rules}")
+def settings_rules(spark, d):
+    return fixture(spark, "setting_rules").select(F.row_number().over(Window.orderBy("prio", "pos")).alias("ordinal"), "layer", "rule")
+
+
+@query("WITH c AS (SELECT * FROM {capabilities}), t AS (SELECT * FROM {tools}) SELECT format, tool, agent_ok AND tool <> 'agent' AS sub_agent FROM t JOIN c ON t.needs = c.capability UNION ALL SELECT f.format, tool, agent_ok AND tool <> 'agent' FROM t, (SELECT DISTINCT format FROM c) f WHERE needs IS NULL")
+def tool_pool_by_format(spark, d):
+    return control.tool_pools(fixture(spark, "tools"), fixture(spark, "capabilities"))
+
+
+@query("WITH s AS (SELECT * FROM {styles}), p AS (SELECT * FROM {paras}), u AS (SELECT coalesce(style, (SELECT style_id FROM s WHERE is_default AND type = 'paragraph')) AS style_id FROM p UNION ALL SELECT run_style FROM p WHERE run_style IS NOT NULL) SELECT s.style_id, s.name, count(u.style_id) AS in_use FROM s LEFT JOIN u ON u.style_id = s.style_id GROUP BY 1, 2")
+def style_usage(spark, d):
+    return control.style_usage(fixture(spark, "styles"), fixture(spark, "paras"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT * FROM {styles}), up AS (SELECT style_id, based_on AS at, outline_lvl AS lvl, name, 0 AS hop FROM s UNION ALL SELECT u.style_id, p.based_on, p.outline_lvl, p.name, u.hop + 1 FROM up u JOIN s p ON p.style_id = u.at AND u.hop < 12),
+lv AS (SELECT style_id, arg_min(lvl + 1, hop) AS l FROM up WHERE lvl < 9 GROUP BY 1),
+nm AS (SELECT style_id, arg_min(CAST(regexp_extract(lower(name), '^(?:heading |标题 ?|h)([1-9])', 1) AS INTEGER), hop) AS l FROM up WHERE regexp_matches(lower(name), '^(heading |标题 ?|h)[1-9]') GROUP BY 1)
+SELECT s.style_id, coalesce(lv.l, nm.l) AS level FROM s LEFT JOIN lv ON lv.style_id = s.style_id LEFT JOIN nm ON nm.style_id = s.style_id""")
+def style_heading_level(spark, d):
+    return control.heading_levels(spark, fixture(spark, "styles"))
+
+
+@query("SELECT c.doc_id, c.comment_id, c.author, c.text, a.ref FROM (SELECT * FROM {comments}) c LEFT JOIN (SELECT doc_id, comment_id, arg_min(ref, ordinal) AS ref FROM {anchors} GROUP BY 1, 2) a ON a.doc_id = c.doc_id AND a.comment_id = c.comment_id")
+def comment_anchors(spark, d):
+    return control.first_anchor(fixture(spark, "comments"), fixture(spark, "anchors"))
+
+
+@query("WITH p AS (SELECT * FROM {paras}) SELECT p.doc_id, p.ordinal, coalesce((SELECT max(q.ordinal) FROM p q WHERE q.doc_id = p.doc_id AND q.part = p.part AND coalesce(q.style, '') = coalesce(p.style, '') AND q.text <> '' AND q.ordinal < p.ordinal), (SELECT min(q.ordinal) FROM p q WHERE q.doc_id = p.doc_id AND q.part = p.part AND coalesce(q.style, '') = coalesce(p.style, '') AND q.text <> '' AND q.ordinal > p.ordinal)) AS template FROM p")
+def style_templates(spark, d):
+    return control.style_templates(fixture(spark, "paras"))
+
+
+@query("""WITH b AS (SELECT l_returnflag AS k, l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL), n AS (SELECT k, floor(v * 2 + 0.5) / 2 AS bin, count(*) AS n, max(v) AS hi FROM b GROUP BY 1, 2),
+s AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY bin RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) AS score, sum(n) OVER (PARTITION BY k) AS total FROM n)
+SELECT k AS l_returnflag, coalesce(max(bin) FILTER (score >= greatest(3, ceil(total * 0.15))), max(hi)) AS edge FROM s GROUP BY 1""")
+def dominant_edge(spark, d):
+    return layout.dominant_edge(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice")
+
+
+@query("""WITH b AS (SELECT doc_id AS k, x1 AS v FROM {spans}), n AS (SELECT k, floor(v * 2 + 0.5) / 2 AS bin, count(*) AS n, max(v) AS hi FROM b GROUP BY 1, 2),
+s AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY bin RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) AS score, sum(n) OVER (PARTITION BY k) AS total FROM n)
+SELECT k AS doc_id, coalesce(max(bin) FILTER (score >= greatest(3, ceil(total * 0.15))), max(hi)) AS edge FROM s GROUP BY 1""")
+def page_right_edge(spark, d):
+    return layout.dominant_edge(fixture(spark, "spans"), "doc_id", "x1")
+
+
+@query("SELECT l_linestatus, list_sort(list(l_extendedprice))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1")
+def upper_median(spark, d):
+    return layout.upper_median(table(spark, d, "lineitem"), "l_linestatus", "l_extendedprice")
+
+
+@query("SELECT l_returnflag, mode, weight FROM (SELECT l_returnflag, l_quantity AS mode, CAST(count(*) AS BIGINT) AS weight, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, min(l_orderkey * 10 + l_linenumber)) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
+def weighted_mode(spark, d):
+    return layout.weighted_mode(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", F.lit(1), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
+@query("WITH r AS (SELECT DISTINCT conv_id AS doc_id, CAST(turn AS BIGINT) AS page FROM conversations WHERE role <> 'assistant'), g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS run FROM r), e AS (SELECT doc_id, min(page) AS a, max(page) AS b FROM g GROUP BY doc_id, run) SELECT doc_id, string_agg(CASE WHEN a = b THEN '' || a ELSE a || '–' || b END, '、' ORDER BY a) AS ranges FROM e GROUP BY 1")
+def page_ranges(spark, d):
+    return layout.page_ranges(table(spark, d, "conversations").filter("role <> 'assistant'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page")))
+
+
+@query(r"""WITH f AS (SELECT doc_id, total, unnest(string_split(regexp_replace(translate(spec, '０１２３４５６７８９－，～、', '0123456789-,-,'), '\s', '', 'g'), ',')) AS p FROM {page_specs}),
+r AS (SELECT doc_id, greatest(CASE WHEN p LIKE '-%' THEN 1 ELSE TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS INTEGER) END, 1) AS lo, least(CASE WHEN p LIKE '%-' THEN total ELSE TRY_CAST(regexp_extract(p, '(\d+)$', 1) AS INTEGER) END, total) AS hi FROM f WHERE regexp_matches(p, '^(\d+|\d+-\d*|-\d+)$'))
+SELECT DISTINCT doc_id, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS page FROM r WHERE lo <= hi""")
+def parse_page_ranges(spark, d):
+    return layout.parsed_ranges(fixture(spark, "page_specs"))
+
+
+@query("""WITH i AS (SELECT *, max(x1) OVER (PARTITION BY line ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {intervals}), n AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY x0, x1) AS run FROM i)
+SELECT line, min(x0) AS x0, max(x1) AS x1 FROM n GROUP BY line, run""")
+def merge_intervals(spark, d):
+    return layout.merged_intervals(fixture(spark, "intervals"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY axis ORDER BY v) > 2 THEN 1 ELSE 0 END AS gap FROM {positions}), r AS (SELECT *, sum(gap) OVER (PARTITION BY axis ORDER BY v) AS run FROM g) SELECT axis, round(avg(v), 6) AS centre, count(*) AS n FROM r GROUP BY axis, run""")
+def cluster_centroids(spark, d):
+    return layout.centroids(fixture(spark, "positions"))
+
+
+@query("SELECT s.doc_id, s.page, s.elem, c.cell FROM (SELECT *, (x0 + x1) / 2 AS cx, (top + bottom) / 2 AS cy FROM {spans}) s LEFT JOIN (SELECT * FROM {cells}) c ON s.doc_id = c.doc_id AND s.page = c.page AND cx >= c.x0 AND cx < c.x1 AND cy >= c.y0 AND cy < c.y1")
+def cell_assignment(spark, d):
+    return layout.cell_texts(fixture(spark, "spans"), fixture(spark, "cells"))
+
+
+@query("""WITH h AS (SELECT doc_id, page, x0 AS a, x1 AS b, y0 AS y FROM {segments} WHERE horizontal), g AS (SELECT c.doc_id, c.page, c.cell, sum(coalesce(CASE WHEN abs(h.y - c.y0) <= 2 THEN greatest(least(c.x1, h.b) - greatest(c.x0, h.a), 0.0) ELSE 0.0 END, 0.0)) AS len, max(c.x1 - c.x0) AS w FROM (SELECT * FROM {cells}) c LEFT JOIN h ON h.doc_id = c.doc_id AND h.page = c.page GROUP BY 1, 2, 3)
+SELECT doc_id, page, cell, round(least(len / w, 1.0), 6) AS share, least(len / w, 1.0) >= 0.6 AS border FROM g""")
+def edge_coverage(spark, d):
+    return layout.edge_coverage(fixture(spark, "cells"), fixture(spark, "segments"))
+
+
+@query("""WITH s AS (SELECT * FROM {spans}), x AS (SELECT doc_id, page, unnest(range(180, 421)) AS x FROM (SELECT DISTINCT doc_id, page FROM s)), k AS (SELECT x.doc_id, x.page, x.x, least(count(*) FILTER (s.x1 <= x.x), count(*) FILTER (s.x0 >= x.x)) - count(*) FILTER (s.x0 < x.x AND s.x1 > x.x) AS score FROM x JOIN s ON s.doc_id = x.doc_id AND s.page = x.page GROUP BY 1, 2, 3)
+SELECT doc_id, page, CAST(x AS INTEGER) AS x, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, x) AS r FROM k) WHERE r = 1""")
+def gutter_score(spark, d):
+    return layout.gutters(fixture(spark, "spans"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT * FROM {segments}), e AS (SELECT h.doc_id, h.page, h.seg AS a, v.seg AS b FROM s h JOIN s v ON h.horizontal AND NOT v.horizontal AND h.doc_id = v.doc_id AND h.page = v.page AND v.x0 >= h.x0 - 2.5 AND v.x0 <= h.x1 + 2.5 AND h.y0 >= v.y0 - 2.5 AND h.y0 <= v.y1 + 2.5),
+l AS (SELECT * FROM e UNION ALL SELECT doc_id, page, b, a FROM e), r AS (SELECT doc_id, page, seg, seg AS root FROM s UNION SELECT r.doc_id, r.page, l.b, r.root FROM r JOIN l ON l.doc_id = r.doc_id AND l.page = r.page AND l.a = r.seg)
+SELECT doc_id, page, seg, min(root) AS root FROM r GROUP BY 1, 2, 3""")
+def table_components(spark, d):
+    return layout.segment_components(spark, fixture(spark, "segments"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT * FROM {edges}), n AS (SELECT graph, src AS node FROM e UNION SELECT graph, dst FROM e), w AS (SELECT graph, node, 0 AS level FROM n UNION ALL SELECT w.graph, e.dst, w.level + 1 FROM w JOIN e ON e.graph = w.graph AND e.src = w.node AND w.level < 20)
+SELECT graph, node, max(level) AS level FROM w GROUP BY 1, 2""")
+def diagram_levels(spark, d):
+    return layout.diagram_levels(spark, fixture(spark, "edges"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, page, regexp_replace(text, '[0-9]+', '#', 'g') AS norm, regexp_extract_all(text, '[0-9]+') AS a FROM {spans}), n AS (SELECT doc_id, page, norm, unnest(range(0, len(a))) AS pos, unnest(a) AS n FROM s),
+b AS (SELECT doc_id, norm, pos, CAST(n AS INTEGER) - page AS shift, count(DISTINCT page) AS pages, count(DISTINCT n) AS numbers FROM n GROUP BY 1, 2, 3, 4)
+SELECT doc_id, norm, CAST(pos AS INTEGER) AS pos, shift, pages FROM b WHERE pages >= greatest(2, ceil((SELECT count(DISTINCT page) FROM s s2 WHERE s2.doc_id = b.doc_id) * 0.8)) AND numbers >= 2""")
+def line_counters(spark, d):
+    return layout.page_counters(fixture(spark, "spans"))
+
+
+@query("""WITH d AS (SELECT *, lead(top) OVER (PARTITION BY doc_id, page, size, floor(x0) ORDER BY top) - top AS d FROM {spans}), b AS (SELECT doc_id, size, floor(d * 2 + 0.5) / 2 AS bin, count(*) AS n FROM d WHERE d > 0 GROUP BY 1, 2, 3)
+SELECT doc_id, size, arg_max(bin, {'n': n, 'b': -bin}) AS pitch, CAST(sum(n) AS BIGINT) AS pairs FROM b GROUP BY 1, 2""")
+def line_pitch(spark, d):
+    return layout.line_pitch(fixture(spark, "spans"))
+
+
+@query("SELECT doc_id, page, fill, color FROM {fills} WHERE x1 - x0 >= 0.85 * width AND bottom - top >= 0.85 * height AND (x1 - x0) * (bottom - top) >= 0.7 * width * height")
+def page_backgrounds(spark, d):
+    return layout.page_backgrounds(fixture(spark, "fills"))
+
+
+@query()
+def text_highlights(spark, d):
+    return layout.highlights(fixture(spark, "spans"), fixture(spark, "fills"))
+
+
+@query("SELECT doc_id, ordinal AS was, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN moved THEN (SELECT max(ordinal) FROM {moves} WHERE anchor) ELSE ordinal END, moved, ordinal) AS INTEGER) AS ordinal, text FROM {moves}".replace("FROM {moves} WHERE anchor", "FROM (SELECT ordinal, anchor FROM {moves}) WHERE anchor"))
+def move_blocks(spark, d):
+    return blocks.moved(fixture(spark, "moves"))
+
+
+@query("SELECT turn, CAST(batch AS BIGINT) AS batch, count(*) AS calls, bool_and(safe) AS parallel FROM (SELECT *, sum(new) OVER (PARTITION BY turn ORDER BY pos) AS batch FROM (SELECT *, CASE WHEN safe AND coalesce(lag(safe) OVER (PARTITION BY turn ORDER BY pos), false) THEN 0 ELSE 1 END AS new FROM {batch_calls})) GROUP BY 1, 2")
+def tool_batches(spark, d):
+    return control.call_batches(fixture(spark, "batch_calls"))
+
+
+@query("SELECT session, count(*) FILTER (status = 'done') AS done, count(*) AS total FROM {todos} GROUP BY 1")
+def todo_progress(spark, d):
+    return fixture(spark, "todos").groupBy("session").agg(F.count_if(F.col("status") == "done").alias("done"), F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT name, arg_min(source, prio * 100 + pos) AS source FROM {names} GROUP BY 1")
+def first_name_wins(spark, d):
+    return control.first_wins(fixture(spark, "names"))
+
+
+@query(r"SELECT file_id, name, CASE WHEN regexp_matches(lower(name), '\.(docx|dotx|docm)$') THEN 'docx' WHEN regexp_matches(lower(name), '\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(name), '\.(html|htm|xhtml)$') THEN 'html' WHEN regexp_matches(lower(name), '\.(md|markdown|txt)$') THEN 'markdown' ELSE 'unsupported' END AS format FROM {files}")
+def detect_format(spark, d):
+    return control.detected_formats(fixture(spark, "files"))
+
+
+@query(r"""SELECT file_id, CASE WHEN k = 0 THEN c ELSE regexp_replace(c, '\.[^.]+$', '') || '-' || k || regexp_extract(c, '(\.[^.]+)$', 1) END AS stored FROM (SELECT file_id, c, row_number() OVER (PARTITION BY c ORDER BY file_id) - 1 AS k FROM (SELECT file_id, regexp_replace(name, '[\\/:*?"<>|]', '_', 'g') AS c FROM {files}))""")
+def stored_names(spark, d):
+    return control.stored_names(fixture(spark, "files"))
+
+
+@query(r"SELECT doc_id, part, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY regexp_replace(part, '[0-9]+.*$', ''), CAST(coalesce(nullif(regexp_extract(part, '([0-9]+)', 1), ''), '0') AS INTEGER), part) AS INTEGER) AS ordinal FROM {parts} WHERE version = 0")
+def natural_part_order(spark, d):
+    w = Window.partitionBy("doc_id").orderBy(F.regexp_replace("part", "[0-9]+.*$", ""), F.coalesce(F.regexp_extract("part", "([0-9]+)", 1).try_cast("int"), F.lit(0)), "part")
+    return fixture(spark, "parts").filter("version = 0").select("doc_id", "part", F.row_number().over(w).alias("ordinal"))
+
+
+@query(r"SELECT id, regexp_matches(text, '^(?i:fig(ure)?)\.?\s*\d') AS figure, regexp_matches(text, '^(?:TABLE|Table)\s+([IVX]+|\d+)') AS tabular, regexp_matches(text, '^[图表]\s*\d') AS chinese FROM {captions}")
+def caption_kinds(spark, d):
+    t = F.col("text")
+    return fixture(spark, "captions").select("id", t.rlike(r"^(?i:fig(ure)?)\.?\s*\d").alias("figure"), t.rlike(r"^(?:TABLE|Table)\s+([IVX]+|\d+)").alias("tabular"), t.rlike(r"^[图表]\s*\d").alias("chinese"))
+
+
+@query(r"SELECT id, replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), chr(173), '') AS expanded, regexp_matches(text, '^(?:\S ){3,}\S$') AS spaced, trim(regexp_replace(text, '(?s)<system-reminder>.*?</system-reminder>', '', 'g')) AS shown FROM {odd_texts}")
+def text_cleanups(spark, d):
+    t = F.col("text")
+    return fixture(spark, "odd_texts").select("id", tx.ligatures_expanded(t).alias("expanded"), t.rlike(r"^(?:\S ){3,}\S$").alias("spaced"), F.trim(F.regexp_replace(t, "(?s)<system-reminder>.*?</system-reminder>", "")).alias("shown"))
+
+
+@query("SELECT id, round(w + (length(text) - w) * 0.55, 2) AS width FROM (SELECT id, text, len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-｠]')) AS w FROM {odd_texts})")
+def display_widths(spark, d):
+    return fixture(spark, "odd_texts").select("id", tx.display_width(F.col("text")).alias("width"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 30000 THEN left(text, 30000) || '…' ELSE text END AS shown FROM (SELECT doc_id, text FROM documents)".replace("AS shown", "AS t").replace("SELECT doc_id, CASE", "SELECT doc_id, md5(CASE").replace("ELSE text END AS t", "ELSE text END) AS digest"))
+def result_truncation(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(F.when(F.length(t) > 30000, F.concat(F.left(t, F.lit(30000)), F.lit("…"))).otherwise(t)).alias("digest"))
+
+
+_SEG = "WITH r AS (SELECT c_mktsegment, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) "
+
+
+def _segments(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select("c_mktsegment", F.year("o_orderdate").alias("y"), "o_totalprice")
+
+
+@query(_SEG + "SELECT c_mktsegment, '| y | v |' || chr(10) || '| --- | --- |' || string_agg(chr(10) || '| ' || y || ' | ' || n || ' |', '' ORDER BY y) AS markdown FROM (SELECT c_mktsegment, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1")
+def table_markdown(spark, d):
+    n = _segments(spark, d).groupBy("c_mktsegment", "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = n.select("c_mktsegment", F.col("y").alias("pos"), F.array(F.col("y").cast("string"), F.col("n").cast("string")).alias("cells"))
+    head = n.select("c_mktsegment").distinct().select("c_mktsegment", F.lit(0).alias("pos"), F.array(F.lit("y"), F.lit("v")).alias("cells"))
+    return markup.markdown_rows(rows.unionByName(head), "c_mktsegment", "cells")
+
+
+@query("SELECT o_orderpriority, " + ", ".join(f"coalesce(round(sum(o_totalprice) FILTER (o_orderstatus = '{s}'), 2), 0.0) AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY 1")
+def chart_matrix(spark, d):
+    return markup.chart_matrix(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice", list("FOP"))
+
+
+@query("SELECT l_linestatus, CAST(i AS INTEGER) AS tick, round(lo + (hi - lo) * i / 4, 4) AS at FROM (SELECT l_linestatus, least(min(l_extendedprice), 0.0) AS lo, greatest(max(l_extendedprice), 0.0) AS hi, unnest(range(0, 5)) AS i FROM lineitem GROUP BY 1)")
+def chart_ticks(spark, d):
+    return markup.chart_ticks(table(spark, d, "lineitem"), "l_linestatus", "l_extendedprice")
+
+
+@query(r"""WITH g AS (SELECT page, text, size, bold FROM {spans} WHERE size > 10 OR bold), k AS (SELECT size, bold, count(*) AS n FROM g GROUP BY 1, 2) SELECT size, bold, n, CAST(least(3, dense_rank() OVER (ORDER BY size DESC, bold DESC)) AS INTEGER) AS level FROM k""")
+def heading_signatures(spark, d):
+    k = fixture(spark, "spans").filter("size > 10 OR bold").groupBy("size", "bold").agg(F.count(F.lit(1)).alias("n"))
+    return k.select("size", "bold", "n", F.least(F.lit(3), F.dense_rank().over(Window.orderBy(F.col("size").desc(), F.col("bold").desc()))).alias("level"))
+
+
+del query
