@@ -529,7 +529,7 @@ def text_cleanups(spark, d):
     return fixture(spark, "odd_texts").select("id", tx.ligatures_expanded(t).alias("expanded"), t.rlike(r"^(?:\S ){3,}\S$").alias("spaced"), F.trim(F.regexp_replace(t, "(?s)<system-reminder>.*?</system-reminder>", "")).alias("shown"))
 
 
-@query("SELECT id, round(w + (length(text) - w) * 0.55, 2) AS width FROM (SELECT id, text, len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-｠]')) AS w FROM {odd_texts})")
+@query("SELECT id, round(w + (length(text) - w) * CAST(0.55 AS DOUBLE), 2) AS width FROM (SELECT id, text, len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-｠]')) AS w FROM {odd_texts})")
 def display_widths(spark, d):
     return fixture(spark, "odd_texts").select("id", tx.display_width(F.col("text")).alias("width"))
 
