@@ -32,6 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_attention_scores": op5_attention_scores,
     "op6_impact_topk": op6_topk.ORACLE,
 }
