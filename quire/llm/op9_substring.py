@@ -221,7 +221,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", row_key())
     base = written(_summary(rows), "summary")
-    same = base.groupBy("sha").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "key")).alias("one")).filter("c > 1")
+    same = written(base.groupBy("sha").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "key")).alias("one")).filter("c > 1"), "same")
     summary = written(base.join(same, "sha", "left").select("doc_id", "key", "n_words", "sha", F.col("c").isNotNull().alias("copy"), (F.col("one.key") == F.col("key")).alias("stands")), "copies")
     own = index is None
     index = index or FingerprintIndex(spark)
