@@ -238,3 +238,18 @@ def _open_links(spark: SparkSession, tried: DataFrame, comps: DataFrame, texts:
 def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies: doc_id, n_shingles, component_id, kept."""
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+q AS (SELECT doc_id, n, p, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT DISTINCT doc_id, g FROM q WHERE p <= n - 3 UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id > b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM e JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT r.node, m.b FROM r JOIN m ON m.a = r.c),
+c AS (SELECT node, min(c) AS c FROM r GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""

@@ -296,3 +296,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated windows: doc_id, n_words, n_removed, kept_sha256."""
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+h AS (SELECT doc_id, p, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM k),
+g AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS c FROM h WHERE p <= n - 34) WHERE c > 1),
+f AS (SELECT k.doc_id, k.p, k.word, max(g.p) OVER (PARTITION BY k.doc_id ORDER BY k.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""

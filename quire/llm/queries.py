@@ -10,7 +10,7 @@ from quire.llm.op1_decontamination import op1_template_decontamination
 from quire.llm.op2_html import op2_html_density
 from quire.llm.op3_minmax import op3_minmax_dedup
 from quire.llm.op4_toxicity import op4_toxicity_kneser_ney
-from quire.llm import op6_topk
+from quire.llm import op3_minmax, op6_topk, op9_substring
 from quire.llm.op5_attention import op5_attention_scores
 from quire.llm.op6_topk import op6_impact_topk
 from quire.llm.op7_bpe import op7_bpe_tree
@@ -32,5 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minmax_dedup": op3_minmax.ORACLE,
     "op6_impact_topk": op6_topk.ORACLE,
+    "op9_substring_dedup": op9_substring.ORACLE,
 }
