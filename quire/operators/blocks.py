@@ -106,3 +106,37 @@ def moved(blocks: DataFrame) -> DataFrame:
     place = F.when(F.col("moved"), anchor).otherwise(F.col("ordinal"))
     keyed = blocks.select("doc_id", "ordinal", "text", place.alias("place"), F.col("moved").cast("int").alias("late"))
     return keyed.select("doc_id", F.col("ordinal").alias("was"), F.row_number().over(w.orderBy("place", "late", "ordinal")).alias("ordinal"), "text")
+
+
+def inserted(blocks: DataFrame, new: DataFrame) -> DataFrame:
+    """Blocks with new ones after the ordinals that they name (0: at the start), numbered anew."""
+    both = blocks.select("doc_id", F.col("ordinal").alias("at"), F.lit(0).alias("pos"), "text").unionByName(new.select("doc_id", F.col("after").alias("at"), "pos", "text"))
+    return both.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "pos")).alias("ordinal"), "text")
+
+
+def deleted(blocks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Blocks without those named, numbered anew; a document's only block is protected and stays."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    marked = blocks.withColumn("n", n).join(gone.withColumn("gone", F.lit(True)), ["doc_id", "ordinal"], "left")
+    kept = marked.filter(F.col("gone").isNull() | (F.col("n") == 1))
+    status = F.when(F.col("gone").isNotNull(), "protected").otherwise("ok")
+    return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")).alias("ordinal"), "text", status.alias("status"))
+
+
+def changed_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """modified, added and removed blocks of two versions (doc_id, ordinal, text), by a shortest edit script over whole blocks of one document at a time."""
+    from quire.operators.compare import _script
+
+    both = old.select("doc_id", F.lit(0).alias("side"), "ordinal", "text").unionByName(new.select("doc_id", F.lit(1).alias("side"), "ordinal", "text"))
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("side").to_pylist(), t.column("ordinal").to_pylist(), t.column("text").to_pylist(), strict=True))
+        a, b = [r[2] or "" for r in rows if r[0] == 0], [r[2] or "" for r in rows if r[0] == 1]
+        out = []
+        for p, q, r, s in _script(a, b):
+            k = min(q - p, s - r)
+            out += [("modified", p + i + 1, r + i + 1) for i in range(k)] + [("removed", i + 1, None) for i in range(p + k, q)] + [("added", None, i + 1) for i in range(r + k, s)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table({"doc_id": pa.array([t.column("doc_id")[0].as_py()] * len(out), pa.int64()), "change": pa.array(cols[0], pa.string()), "old_block": pa.array(cols[1], pa.int32()), "new_block": pa.array(cols[2], pa.int32())})
+
+    return both.groupBy("doc_id").applyInArrow(run, "doc_id long, change string, old_block int, new_block int")

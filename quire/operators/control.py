@@ -153,3 +153,15 @@ def stored_names(files: DataFrame) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("clean").orderBy("file_id")) - 1
     named = files.select("file_id", clean.alias("clean")).withColumn("k", again)
     return named.select("file_id", F.when(F.col("k") == 0, F.col("clean")).otherwise(F.concat(F.regexp_replace("clean", r"\.[^.]+$", ""), F.lit("-"), F.col("k"), F.regexp_extract("clean", r"(\.[^.]+)$", 1))).alias("stored"))
+
+
+def retries(attempts: DataFrame, most: int = 5) -> DataFrame:
+    """What follows each failed request: its kind, whether it is tried again, and the delay in seconds before jitter."""
+    kind = F.when(F.col("aborted"), "aborted").when(F.col("status").between(200, 299), "ok").when(F.col("status") == 401, "auth").when(F.col("status") == 402, "balance").when(F.col("status") == 429, "rate_limit").when(F.col("status") >= 500, "server").when(F.col("status") == 0, "network").otherwise("invalid")
+    again = kind.isin("rate_limit", "server", "network") & (F.col("attempt") < most)
+    return attempts.select("id", kind.alias("kind"), again.alias("again"), F.when(again, F.least(F.lit(30.0), F.pow(F.lit(2.0), F.col("attempt") - 1))).alias("delay"))
+
+
+def hook_matches(hooks: DataFrame) -> DataFrame:
+    """Whether a hook's pattern, anchored at both ends, means a tool; none and * mean all."""
+    return hooks.select("id", F.coalesce((F.col("matcher") == "*") | F.expr("tool RLIKE concat('^(?:', nullif(matcher, '*'), ')$')"), F.lit(True)).alias("match"))

@@ -171,3 +171,71 @@ def highlights(spans: DataFrame, fills: DataFrame) -> DataFrame:
     met = spans.join(f, ["doc_id", "page"]).filter((mid >= F.col("t")) & (mid <= F.col("u")) & ((F.col("u") - F.col("t")) / F.col("size")).between(0.6, 2.6))
     over = met.groupBy("doc_id", "page", "elem", "color").agg(F.sum(F.greatest(F.least("x1", "b") - F.greatest("x0", "a"), F.lit(0.0))).alias("over"), F.max(F.col("x1") - F.col("x0")).alias("w"))
     return over.filter("over >= 0.5 * w").groupBy("doc_id", "page", "elem").agg(F.max_by("color", F.struct("over", "color")).alias("color"))
+
+
+def page_offset(spans: DataFrame) -> DataFrame:
+    """The difference between printed and actual page number on which most pages agree, at least two and half of them; of equal ones the least."""
+    nums = spans.select("doc_id", "page", F.explode(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).alias("n"))
+    by = nums.groupBy("doc_id", (F.col("n").cast("int") - F.col("page")).alias("shift")).agg(F.countDistinct("page").alias("pages"))
+    best = by.groupBy("doc_id").agg(F.max_by("shift", F.struct(F.col("pages"), -F.col("shift"))).alias("shift"), F.max("pages").alias("pages"))
+    total = spans.groupBy("doc_id").agg(F.countDistinct("page").alias("total"))
+    return best.join(total, "doc_id").filter((F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("total") / 2)))).select("doc_id", "shift", "pages")
+
+
+def header_signatures(spans: DataFrame, top: float = 80.0) -> DataFrame:
+    """The most repeated line above ``top`` of odd and of even pages, digits made alike; of equal ones the first."""
+    head = spans.filter(F.col("top") <= top).select("doc_id", (F.col("page") % 2).alias("odd"), F.regexp_replace("text", "[0-9]+", "#").alias("line"))
+    by = head.groupBy("doc_id", "odd", "line").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("doc_id", "odd").agg(F.min_by("line", F.struct(-F.col("n"), F.col("line"))).alias("line"), F.max("n").alias("n"))
+
+
+def zones(spans: DataFrame, gutter: float = 306.0) -> DataFrame:
+    """Runs of lines that cross the gutter and of lines beside it, from the top of each page down."""
+    w = Window.partitionBy("doc_id", "page").orderBy("top", "x0")
+    full = (F.col("x0") < gutter) & (F.col("x1") > gutter)
+    new = F.when(full == F.lag(full).over(w), 0).otherwise(1)
+    run = spans.select("doc_id", "page", "top", "x0", "bottom", full.alias("full"), new.alias("new")).withColumn("zone", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("doc_id", "page", "zone").agg(F.first("full").alias("full"), F.count(F.lit(1)).alias("lines"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+
+
+def local_right_edges(spans: DataFrame, around: int = 4, tol: float = 1.5, least: int = 3) -> DataFrame:
+    """For each line the right edge of its neighbourhood of the same left edge, where enough neighbours agree with it; else NULL."""
+    w = Window.partitionBy("doc_id", "page", F.floor("x0")).orderBy("top").rowsBetween(-around, around)
+    edges = F.collect_list("x1").over(w)
+    near = spans.select("doc_id", "page", "elem", edges.alias("e")).withColumn("m", F.array_max("e"))
+    agree = F.size(F.filter("e", lambda x: x >= F.col("m") - tol))
+    return near.select("doc_id", "page", "elem", F.when(agree >= least, F.col("m")).alias("edge"))
+
+
+def estimated_pages(blocks: DataFrame, per_page: int = 3000) -> DataFrame:
+    """The page that each block begins on, from the characters before it."""
+    w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("doc_id", "ordinal", (F.floor(F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)) / per_page) + 1).cast("int").alias("page"))
+
+
+def char_spacing(spans: DataFrame, least: float = 0.03) -> DataFrame:
+    """The upper median of a character's width by font, in steps of 0.05, for fonts with two spans or more and a median of note."""
+    w = spans.select("font", F.round((F.col("x1") - F.col("x0")) / F.length("text"), 6).alias("w"))
+    n = w.groupBy("font").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return upper_median(w, "font", "w").join(n, "font").filter(F.abs("median") >= least).select("font", F.round(F.round(F.col("median") / 0.05) * 0.05, 2).alias("spacing"), "n")
+
+
+def font_parts(fonts: DataFrame) -> DataFrame:
+    """Family, bold and italic of font names: subset prefixes and style suffixes are taken off."""
+    base = F.regexp_replace("font", r"^[A-Z]{6}\+", "")
+    return fonts.select("id", F.regexp_replace(base, r"(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$", "").alias("family"), base.rlike("Bold").alias("bold"), base.rlike("Italic|Oblique").alias("italic"))
+
+
+def blank_pages(spans: DataFrame, top: float = 60.0, bottom: float = 780.0, most: float = 0.15) -> DataFrame:
+    """The blank part below the last body line of each page, and whether it is too much."""
+    low = spans.filter(F.col("bottom") <= 740).groupBy("doc_id", "page").agg(F.max("bottom").alias("low"))
+    share = (bottom - F.col("low")) / (bottom - top)
+    return low.select("doc_id", "page", F.round(share, 6).alias("blank"), (share > most).alias("too_blank"))
+
+
+def fill_cells(cells: DataFrame, fills: DataFrame) -> DataFrame:
+    """Each cell with the last fill that holds its centre, NULL for none."""
+    f = fills.select("doc_id", "page", "fill", F.col("x0").alias("a"), F.col("x1").alias("b"), "top", "bottom", "color")
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    met = cells.join(f, ["doc_id", "page"]).filter((cx >= F.col("a")) & (cx <= F.col("b")) & (cy >= F.col("top")) & (cy <= F.col("bottom")))
+    return cells.select("doc_id", "page", "cell").join(met.groupBy("doc_id", "page", "cell").agg(F.max_by("color", "fill").alias("color")), ["doc_id", "page", "cell"], "left")

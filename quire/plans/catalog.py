@@ -572,4 +572,84 @@ def heading_signatures(spark, d):
     return k.select("size", "bold", "n", F.least(F.lit(3), F.dense_rank().over(Window.orderBy(F.col("size").desc(), F.col("bold").desc()))).alias("level"))
 
 
+@query(r"""WITH s AS (SELECT * FROM {spans}), n AS (SELECT doc_id, page, CAST(unnest(regexp_extract_all(text, '[0-9]+')) AS INTEGER) - page AS shift FROM s), b AS (SELECT doc_id, shift, count(DISTINCT page) AS pages FROM n GROUP BY 1, 2), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM s GROUP BY 1)
+SELECT doc_id, shift, pages FROM (SELECT b.*, total, row_number() OVER (PARTITION BY b.doc_id ORDER BY pages DESC, shift) AS r FROM b JOIN t ON t.doc_id = b.doc_id) WHERE r = 1 AND pages >= greatest(2, ceil(total / 2))""")
+def page_number_offset(spark, d):
+    return layout.page_offset(fixture(spark, "spans"))
+
+
+@query("SELECT doc_id, odd, line, n FROM (SELECT doc_id, page % 2 AS odd, regexp_replace(text, '[0-9]+', '#', 'g') AS line, count(*) AS n, row_number() OVER (PARTITION BY doc_id, page % 2 ORDER BY count(*) DESC, regexp_replace(text, '[0-9]+', '#', 'g')) AS r FROM {spans} WHERE top <= 80 GROUP BY 1, 2, 3) WHERE r = 1")
+def header_signatures(spark, d):
+    return layout.header_signatures(fixture(spark, "spans"))
+
+
+@query("""WITH f AS (SELECT *, x0 < 306 AND x1 > 306 AS full_ FROM {spans}), n AS (SELECT *, CASE WHEN full_ = lag(full_) OVER (PARTITION BY doc_id, page ORDER BY top, x0) THEN 0 ELSE 1 END AS new FROM f), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY top, x0) AS zone FROM n)
+SELECT doc_id, page, CAST(zone AS BIGINT) AS zone, bool_or(full_) AS "full", count(*) AS lines, min(top) AS top, max(bottom) AS bottom FROM z GROUP BY 1, 2, 3""")
+def column_zones(spark, d):
+    return layout.zones(fixture(spark, "spans"))
+
+
+@query("SELECT doc_id, page, elem, CASE WHEN len(list_filter(e, lambda x: x >= m - 1.5)) >= 3 THEN m END AS edge FROM (SELECT *, list_max(e) AS m FROM (SELECT doc_id, page, elem, list(x1) OVER (PARTITION BY doc_id, page, floor(x0) ORDER BY top ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS e FROM {spans}))")
+def local_right_edges(spark, d):
+    return layout.local_right_edges(fixture(spark, "spans"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS ordinal, CAST(floor(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 3000) + 1 AS INTEGER) AS page FROM l")
+def estimated_pages(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return layout.estimated_pages(lines.select("doc_id", (F.col("n") + 1).alias("ordinal"), "text"))
+
+
+@query("WITH w AS (SELECT font, round((x1 - x0) / length(text), 6) AS w FROM {spans}), m AS (SELECT font, count(*) AS n, list_sort(list(w))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS m FROM w GROUP BY 1) SELECT font, round(round(m / CAST(0.05 AS DOUBLE)) * CAST(0.05 AS DOUBLE), 2) AS spacing, n FROM m WHERE n >= 2 AND abs(m) >= 0.03")
+def char_spacing(spark, d):
+    return layout.char_spacing(fixture(spark, "spans"))
+
+
+@query(r"SELECT id, regexp_replace(b, '(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$', '') AS family, contains(b, 'Bold') AS bold, contains(b, 'Italic') OR contains(b, 'Oblique') AS italic FROM (SELECT id, regexp_replace(font, '^[A-Z]{6}\+', '') AS b FROM {fonts})")
+def font_parts(spark, d):
+    return layout.font_parts(fixture(spark, "fonts"))
+
+
+@query("SELECT doc_id, page, round((780 - max(bottom)) / 720.0, 6) AS blank, (780 - max(bottom)) / 720.0 > 0.15 AS too_blank FROM {spans} WHERE bottom <= 740 GROUP BY 1, 2")
+def blank_pages(spark, d):
+    return layout.blank_pages(fixture(spark, "spans"))
+
+
+@query("SELECT c.doc_id, c.page, c.cell, arg_max(f.color, f.fill) AS color FROM (SELECT * FROM {cells}) c LEFT JOIN (SELECT * FROM {fills}) f ON f.doc_id = c.doc_id AND f.page = c.page AND (c.x0 + c.x1) / 2 BETWEEN f.x0 AND f.x1 AND (c.y0 + c.y1) / 2 BETWEEN f.top AND f.bottom GROUP BY 1, 2, 3")
+def cell_shading(spark, d):
+    return layout.fill_cells(fixture(spark, "cells"), fixture(spark, "fills"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, pos) AS INTEGER) AS ordinal, text FROM (SELECT doc_id, ordinal AS place, 0 AS pos, text FROM {blocks} UNION ALL SELECT doc_id, after, pos, text FROM {inserts})")
+def insert_blocks(spark, d):
+    return blocks.inserted(fixture(spark, "blocks"), fixture(spark, "inserts"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS INTEGER) AS ordinal, text, CASE WHEN gone THEN 'protected' ELSE 'ok' END AS status FROM (SELECT b.*, g.doc_id IS NOT NULL AS gone, count(*) OVER (PARTITION BY b.doc_id) AS n FROM (SELECT * FROM {blocks}) b LEFT JOIN (SELECT * FROM {deletes}) g ON g.doc_id = b.doc_id AND g.ordinal = b.ordinal) WHERE NOT gone OR n = 1")
+def delete_blocks(spark, d):
+    return blocks.deleted(fixture(spark, "blocks"), fixture(spark, "deletes"))
+
+
+@query()
+def changed_blocks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lines = lambda c: docs.select("doc_id", F.posexplode(F.split(c, "\r?\n")).alias("ordinal", "text"))
+    return blocks.changed_blocks(lines(F.col("text")), lines(F.replace("text", F.lit("tion"), F.lit("sion"))))
+
+
+@query("SELECT id, kind, again, CASE WHEN again THEN least(30.0, pow(2.0, attempt - 1)) END AS delay FROM (SELECT *, kind IN ('rate_limit', 'server', 'network') AND attempt < 5 AS again FROM (SELECT *, CASE WHEN aborted THEN 'aborted' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 401 THEN 'auth' WHEN status = 402 THEN 'balance' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' WHEN status = 0 THEN 'network' ELSE 'invalid' END AS kind FROM {attempts}))")
+def retry_plan(spark, d):
+    return control.retries(fixture(spark, "attempts"))
+
+
+@query("SELECT id, coalesce(matcher = '*' OR regexp_full_match(tool, nullif(matcher, '*')), true) AS match FROM {hooks}")
+def hook_matches(spark, d):
+    return control.hook_matches(fixture(spark, "hooks"))
+
+
+@query("SELECT lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (contains(text, chr(10))) AS multiline FROM documents GROUP BY 1")
+def corpus_counts(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"), F.count_if(F.contains("text", F.lit("\n"))).alias("multiline"))
+
+
 del query

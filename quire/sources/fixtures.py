@@ -39,6 +39,12 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "odd_texts": ("id int, text string", [(1, "ﬁne ﬂow ﬀ ﬃ"), (2, "so­ft"), (3, "S P A C E D"), (4, "not spaced"), (5, "a <system-reminder>x\ny</system-reminder> b"), (6, "中文 and latin"), (7, "“q” ‘s’ — x y"), (8, "multi\r\n\nline  text")]),
     "hyphens": ("id int, a string, b string", [(1, "the sharp-", "ness of"), (2, "noise-", "dominated"), (3, "image-to-", "image"), (4, "Swin-", "Transformer"), (5, "CT-", "mamba"), (6, "atten-", "tion"), (7, "1-", "two"), (8, "x-", "y"), (9, "red-", "green")]),
     "hyphen_text": ("id int, text string", [(1, "sharpness matters; attention too. red green red green well-known")]),
+    "inserts": ("doc_id long, after int, pos int, text string", [(1, 2, 1, "new one"), (1, 2, 2, "new two"), (1, 0, 1, "first"), (2, 1, 1, "end")]),
+    "deletes": ("doc_id long, ordinal int", [(1, 4), (2, 1)]),
+    "blocks": ("doc_id long, ordinal int, kind string, text string", [(1, 1, "heading", "# A"), (1, 2, "paragraph", "p"), (1, 3, "list", "- x"), (1, 4, "list", "- y"), (2, 1, "paragraph", "only")]),
+    "fonts": ("id int, font string", [(1, "ABCDEF+TimesNewRomanPS-BoldMT"), (2, "Arial,Italic"), (3, "QWERTY+CMR10"), (4, "Helvetica-BoldOblique"), (5, "SimSun"), (6, "abcdef+Lower")]),
+    "attempts": ("id int, status int, attempt int, aborted boolean", [(1, 429, 1, False), (2, 500, 3, False), (3, 401, 1, False), (4, 503, 5, False), (5, 200, 1, False), (6, 0, 2, True), (7, 402, 1, False), (8, 0, 1, False), (9, 502, 6, False)]),
+    "hooks": ("id int, matcher string, tool string", [(1, "doc_.*", "doc_read"), (2, "doc", "doc_read"), (3, "*", "todo"), (4, None, "todo"), (5, "a|todo", "todo")]),
     "moves": ("doc_id long, ordinal int, text string, moved boolean, anchor boolean", [(1, 1, "a", False, False), (1, 2, "b", True, False), (1, 3, "c", False, False), (1, 4, "d", True, False), (1, 5, "e", False, True), (1, 6, "f", False, False)]),
 }
 
