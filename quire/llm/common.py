@@ -175,9 +175,9 @@ def label_sample(labels: DataFrame, label: str, per_class: int, modulus: int = 5
         .agg(F.max("y").alias("y"))
         .withColumn("h", F.xxhash64("doc_id"))
     )
-    share = known.agg(F.coalesce(F.avg("y"), F.lit(0.0)).alias("p1"))
+    p1 = float(known.agg(F.avg("y")).first()[0] or 0.0)
     picked = [known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    return picked[0].unionByName(picked[1]).crossJoin(F.broadcast(share)).select("doc_id", "y", F.when(F.col("y") == 1, F.col("p1")).otherwise(1 - F.col("p1")).alias("share"), (F.pmod(F.shiftright("h", 7), F.lit(4)) == 0).alias("check"))
+    return picked[0].unionByName(picked[1]).select("doc_id", "y", F.when(F.col("y") == 1, F.lit(p1)).otherwise(F.lit(1 - p1)).alias("share"), (F.pmod(F.shiftright("h", 7), F.lit(4)) == 0).alias("check"))
 
 
 def slices(ends: np.ndarray, size: int):

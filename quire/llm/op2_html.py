@@ -50,9 +50,9 @@ WALLS = frozenset("table td th caption body html".split())
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer foot masthead topbar toolbar pagination pager "
     "comment comments commentlist disqus reply replies respond discussion reactions cookie cookies consent gdpr notice notification alert popup modal overlay lightbox newsletter subscribe subscription signup login register "
-    "share sharing social follow related recommended recommendations trending widget widgets search searchbox form feedback skip copyright legal".split()
+    "share sharing social follow related recommended recommendations trending search searchbox form feedback skip copyright legal".split()
 )
-HEAD_WORDS = frozenset("header head top".split())
+HEAD_WORDS = frozenset("header head".split())
 GOOD_WORDS = frozenset("article content main story entry post body text".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")

@@ -32,7 +32,7 @@ from quire.llm.common import byte_words, gram_hashes, joined_texts, partitions,
 WINDOW, GRAM = 35, 12
 FAN_IN = 3
 BATCHES = 2
-_BYTES = 1 << 21
+_BYTES = 1 << 19
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
