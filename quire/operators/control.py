@@ -89,7 +89,7 @@ def tool_pools(tools: DataFrame, capabilities: DataFrame) -> DataFrame:
     """Tools that each format can use, and whether a sub-agent may."""
     formats = capabilities.select("format").distinct()
     can = tools.join(F.broadcast(capabilities), F.col("needs") == F.col("capability")).select("format", "tool", "agent_ok")
-    always = tools.filter("needs IS NULL").crossJoin(F.broadcast(formats)).select("format", "tool", "agent_ok")
+    always = tools.filter("needs IS NULL").join(F.broadcast(formats)).select("format", "tool", "agent_ok")  # a fixed dimension of four formats
     return can.unionByName(always).select("format", "tool", (F.col("agent_ok") & (F.col("tool") != "agent")).alias("sub_agent"))
 
 
