@@ -243,9 +243,12 @@ def _choose(t: _Tree) -> list[bool]:
     """The nodes of the article: the subtree of the greatest density sum, and others above the threshold of its path."""
     density, total = densities(t)
     n = len(t.tag)
+    linked = list(t.links)  # links in each subtree
+    for i in range(n - 1, 0, -1):
+        linked[t.parent[i]] += linked[i]
     own = list(total)
-    for node, text, linked in t.text:  # a node's own text counts as a child of its own
-        if not linked and not t.bad[node] and t.tag[node] not in ("html", "#root"):
+    for node, text, in_link in t.text:  # a node's own text counts as a child of its own
+        if not in_link and not t.bad[node] and t.tag[node] not in ("html", "#root"):
             own[node] += len(text.strip())
     best = max(range(n), key=lambda i: -1.0 if t.bad[i] else own[i])
     path, i = [], best
@@ -263,7 +266,7 @@ def _choose(t: _Tree) -> list[bool]:
         if t.bad[i]:
             continue
         if inside[p]:
-            inside[i] = True
+            inside[i] = linked[i] < 2 or density[i] > 0  # a block of links only is a menu
         elif density[i] >= max(floor, 1e-9) and own[i] >= 0.3 * own[best] and not any(i == x for x in path):
             inside[i] = True
     return inside
