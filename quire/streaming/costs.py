@@ -10,5 +10,6 @@ from quire.operators.control import usage_costs
 
 def cost_totals(requests: DataFrame, late: str = "1 hour") -> DataFrame:
     """Totals by user and day of a stream (or table) of requests: user_id, ts, model, prompt, cached, completion. Output mode update or append."""
+    requests = requests.withColumn("ts", F.col("ts").cast("timestamp"))
     priced = usage_costs(requests.withWatermark("ts", late) if requests.isStreaming else requests)
     return priced.groupBy(F.window("ts", "1 day").alias("day"), "user_id").agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum("cost"), 9).alias("cost")).select("user_id", F.col("day.start").alias("day"), "requests", "cost")

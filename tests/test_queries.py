@@ -44,7 +44,7 @@ def rows(spark, name):
 
 def test_message_pairing(spark):
     got = sorted(rows(spark, "message_pairing"))
-    assert [(s, p, r, i) for s, p, r, _, i in got] == [(1, 1, "user", None), (1, 2, "assistant", None), (1, 3, "tool", "b"), (1, 4, "tool", "a"), (1, 5, "user", None), (2, 1, "user", None), (2, 2, "assistant", None), (2, 3, "tool", "c"), (2, 4, "assistant", None), (3, 1, "assistant", None)]
+    assert [(s, p, r, i) for s, p, r, _, i in got] == [(1, 1, "user", None), (1, 2, "assistant", None), (1, 3, "tool", "b"), (1, 4, "tool", "a"), (1, 5, "user", None), (2, 1, "user", None), (2, 2, "assistant", None), (2, 3, "tool", "c"), (2, 4, "assistant", None), (3, 1, "assistant", None), (3, 2, "tool", "x")]
     assert got[3][3].startswith("（该工具调用被中断")
 
 
