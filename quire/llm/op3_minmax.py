@@ -6,8 +6,8 @@ another. Two documents of similarity 0.8 share none of the BANDS bands with prob
 
 Documents with the same set are one node (pre-aggregated by a 128-bit sum over the set). Each band bucket proposes links from its members to one member, another
 one in each band, never all pairs; links are confirmed on full sets, and connected components follow by alternating large-star and small-star rounds. A
-proposed pair that neither is a link nor lies within one component leaves its two components' remaining pairs open; components so connected form a
-group, and in it the members outside its largest component are compared with all members, block against block on full sets: only links leave a block, and a block
+proposed pair that neither is a link nor lies within one component leaves the node's pairs with the centre's component open: the nodes so left are compared with
+all members of that component and with each other, block against block on full sets; only links leave a block, and a block
 holds at most BLOCK_U + BLOCK_M documents. So every pair of bucket mates is in one component or has been compared, however large a bucket is.
 
 Defined results: a null text counts as empty; texts without words have no shingles, are linked with nothing and stand alone; texts of fewer words than a
@@ -146,19 +146,17 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
-        key = F.xxhash64("a", "b")
-        total = lambda d: tuple(d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(key, F.lit(1 << 40))), F.lit(0))).first())
-        done = total(new) == total(now)
         now = new
-        if done:
-            break
+        ends = now.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
+            break  # only stars are left
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _compare(t: pa.Table, k: int, similar: tuple[int, int]) -> pa.Table:
-    """The links of one block: rows of side 0 against rows of either side that belong to another component."""
+    """The links of one block, as pairs of components: rows of side 0 against rows of either side that belong to another component."""
     side, node, comp = (t.column(c).to_numpy() for c in ("side", "node", "comp"))
     order = np.lexsort((node, side))
     side, node, comp = side[order], node[order], comp[order]
@@ -174,8 +172,9 @@ def _compare(t: pa.Table, k: int, similar: tuple[int, int]) -> pa.Table:
         flag[own] = 0
         union = size + size[i] - inter
         hit = (similar[1] * inter >= similar[0] * union) & (comp != comp[i])
-        a += [node[i]] * int(hit.sum())
-        b += node[hit].tolist()
+        other = np.unique(comp[hit])
+        a += [comp[i]] * len(other)
+        b += other.tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -191,7 +190,7 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] =
     member = of_set.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "h"))
     order = F.struct(F.xxhash64("node", "band").alias("o"), "node")
     centre = member.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("m")).filter("c > 1").select("band", "h", F.col("m.node").alias("m"))
-    pairs = member.join(centre, ["band", "h"]).filter("node != m").select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
+    pairs = member.join(centre, ["band", "h"]).filter("node != m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     release(spark)
     involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "tk"), "node")
@@ -204,9 +203,10 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] =
     good = F.lit(similar[1]) * F.col("inter") >= F.lit(similar[0]) * F.col("union")
     edges = seen.filter(good).select("a", "b")
     comps = components(spark, edges)
-    more = _open_links(spark, seen.filter(~good).select("a", "b"), comps, texts, k, similar)
-    if not more.isEmpty():
-        comps = components(spark, edges.unionByName(more))
+    more = _open_links(seen.filter(~good).select("a", "b"), comps, texts, k, similar)
+    if not more.isEmpty():  # the links' components become one
+        merged = components(spark, more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        comps = comps.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(merged.join(comps.select("node"), F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
     named = sk.join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left").join(comps, "node", "left")
     return named.select(
         "doc_id",
@@ -215,23 +215,24 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] =
     ).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _open_links(spark: SparkSession, tried: DataFrame, comps: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
-    """Links between components that an unlinked proposed pair connects, found by comparing blocks of their members."""
-    comp = lambda c: F.coalesce(c, F.col("node"))
-    at = texts.select("node").join(comps, "node", "left").select("node", comp(F.col("root")).alias("comp"))
-    at = written(at, "members")
-    ends = tried.join(at.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(at.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b").filter("x != y")
-    groups = components(spark, ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), F.col("root").alias("grp"))
-    members = written(at.join(groups, "comp"), "open")
-    size = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = written(size.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("t"), F.sum("n").alias("all")).select("grp", F.col("t.comp").alias("top"), (F.floor((F.col("all") - F.col("t.n") - 1) / BLOCK_U) + 1).alias("nu"), (F.floor((F.col("all") - 1) / BLOCK_M) + 1).alias("nm")), "groups")
-    m = members.join(top, "grp")
+def _open_links(tried: DataFrame, comps: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """Links between roots (a, b) that tried pairs without one (a node, its bucket's centre) leave possible.
+
+    A bucket's members are in its centre's component or appear here with the centre. So for each centre's component, the nodes tried in vain with one of its
+    members are compared with all its members and with each other.
+    """
+    at = written(texts.select("node").join(comps, "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "members")
+    ends = tried.join(at.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(at.select(F.col("node").alias("b"), F.col("comp").alias("grp")), "b").filter("x != grp")
+    outside = written(ends.select("grp", F.col("a").alias("node"), F.col("x").alias("comp")).distinct(), "outside")
+    sizes = outside.groupBy("grp").agg(F.count(F.lit(1)).alias("u")).join(at.groupBy(F.col("comp").alias("grp")).agg(F.count(F.lit(1)).alias("m")), "grp")
+    blocks = written(sizes.select("grp", (F.floor((F.col("u") - 1) / BLOCK_U) + 1).alias("nu"), (F.floor((F.col("u") + F.col("m") - 1) / BLOCK_M) + 1).alias("nm")), "groups")
     number = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(n) - 1).cast("long")))
-    u = m.filter("comp != top").select("grp", number("nu", 1).alias("bu"), upto("nm").alias("bm"), F.lit(0).alias("side"), "node", "comp")
-    v = m.select("grp", number("nm", 2).alias("bm"), upto("nu").alias("bu"), F.lit(1).alias("side"), "node", "comp")
-    blocks = u.unionByName(v).join(texts, "node")
-    links = blocks.groupBy("grp", "bu", "bm").applyInArrow(lambda t: _compare(t, k, similar), "a long, b long")
+    everyone = outside.unionByName(at.select(F.col("comp").alias("grp"), "node", "comp"))
+    u = outside.join(blocks, "grp").select("grp", number("nu", 1).alias("bu"), upto("nm").alias("bm"), F.lit(0).alias("side"), "node", "comp")
+    v = everyone.join(blocks, "grp").select("grp", number("nm", 2).alias("bm"), upto("nu").alias("bu"), F.lit(1).alias("side"), "node", "comp")
+    met = u.unionByName(v).join(texts, "node")
+    links = met.groupBy("grp", "bu", "bm").applyInArrow(lambda t: _compare(t, k, similar), "a long, b long")
     return written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
