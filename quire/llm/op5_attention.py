@@ -5,8 +5,8 @@ leading space, then one end. The model is a softmax over a tree of LEVELS levels
 gathered over all training documents, plus what one head of causal self-attention over the window adds. The tree's order comes from a recursive spectral
 split of the transition counts, so tokens of one language and role share a branch.
 
-Attention is trained in numpy where the data lies: in each of ROUNDS rounds every task takes windows of each of its training documents, a new share of the corpus
-each round, runs Adam from the common parameters, and the tasks' parameters are averaged, weighted by tokens. So counts and training follow the input.
+Attention is trained in numpy where the data lies: in each of ROUNDS rounds every task takes windows of each of its training documents, a new share of them
+each round so that the rounds together meet every window once (a text's last one, with its end, is padded), runs Adam from the common parameters, and the tasks' parameters are averaged, weighted by tokens. So counts and training follow the input.
 
 Scoring covers each text by windows of WINDOW ids that overlap by WINDOW - STRIDE; a window scores the ids that the one before did not, so each is scored once,
 with masked attention over batches of windows.
@@ -35,7 +35,7 @@ BRANCH, LEVELS = 13, 3
 VOCAB, WIDTH, WINDOW, STRIDE = BRANCH**LEVELS, 16, 24, 20
 END = 256
 COMMON = 1 << 18
-ROUNDS, TRAIN_EVERY, BATCH, RATE, SEED = 3, 60, 32, 6e-3, 11
+ROUNDS, BATCH, RATE, SEED = 3, 32, 6e-3, 11
 #: Words that a worker remembers the ids of.
 MEMORY = 1_500_000
 _BLOCK = 512
@@ -210,14 +210,16 @@ class Attention:
             z.ravel()[c] -= 1
         return out, z
 
-    def gradient(self, ids: np.ndarray, target: np.ndarray, prior) -> tuple[float, dict[str, np.ndarray]]:
+    def gradient(self, ids: np.ndarray, target: np.ndarray, prior, inside: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log probability and its loss's gradient over the places ``inside``; the others only pad windows."""
         p, (m, n), d = self.p, ids.shape, self.width
         h, x, q, k, v, s, total = self.hidden(ids)
         s = s / total
-        flat = h.reshape(-1, 3 * d)
-        lp, gz = self.log_probs(flat, ids.ravel(), target.ravel(), prior, True)
+        flat = h[inside]
+        lp, gz = self.log_probs(flat, ids[inside], target[inside], prior, True)
         g = {"w": flat.T @ gz}
-        gh = (gz @ p["w"].T).reshape(m, n, 3 * d)
+        gh = np.zeros_like(h)
+        gh[inside] = gz @ p["w"].T
         gx, go = gh[..., :d].copy(), gh[..., 2 * d :]
         gx[:, :-1] += gh[:, 1:, d : 2 * d]
         gs = go @ v.transpose(0, 2, 1)
@@ -337,9 +339,18 @@ def transitions(tokens: DataFrame, vocab: int = VOCAB) -> np.ndarray:
     return out.reshape(vocab, vocab)
 
 
-def train(tokens: DataFrame, place: np.ndarray, prior, rounds: int = ROUNDS, every: int = TRAIN_EVERY, seed: int = SEED) -> Attention:
-    """The attention's parameters after averaging rounds over all training texts; of each text one window in ``every``, other ones each round,
-    beginning at a place that the text's key chooses, so that of short texts too one in ``every`` windows is met."""
+def training_windows(ids: np.ndarray, end: int, first: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's consecutive windows, each ``every``-th from the one numbered ``first``: ids before, target ids, and which places lie inside the text."""
+    n = -(-len(ids) // WINDOW)
+    t = np.full(n * WINDOW + 1, end, np.int64)
+    t[1 : len(ids) + 1] = ids
+    inside = np.arange(n * WINDOW) < len(ids)
+    return tuple(x.reshape(n, WINDOW)[first::every] for x in (t[:-1], t[1:], inside))
+
+
+def train(tokens: DataFrame, place: np.ndarray, prior, rounds: int = ROUNDS, seed: int = SEED) -> Attention:
+    """The attention's parameters after averaging rounds over all training texts; each round meets one window in ``rounds`` of each text, other ones each
+    round, beginning at a place that the text's key chooses, so that every window is met once."""
     net, spark = Attention(seed=seed), tokens.sparkSession
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((net.pack(), place, prior, r))
@@ -348,26 +359,26 @@ def train(tokens: DataFrame, place: np.ndarray, prior, rounds: int = ROUNDS, eve
             packed, place, prior, r = shared.value
             net = Attention(seed=seed)
             net.unpack(np.frombuffer(packed, np.float32))
-            adam, seen, held = Adam(net, RATE / (r + 1)), 0, []
+            adam, seen, held, waiting = Adam(net, RATE / (r + 1)), 0, [], 0
 
-            def learn(group):
-                ids = np.stack(group)
-                adam.step(net.gradient(ids[:, :-1], ids[:, 1:], prior)[1])
+            def learn(before, target, inside):
+                adam.step(net.gradient(before, target, prior, inside)[1])
+                return int(inside.sum())
 
             end = place[END]
             for b in batches:
                 for key, ids in zip(b.column(0).to_pylist(), _ids(b.column(1)), strict=True):
-                    t = np.concatenate([[end], place[ids]])
-                    n = (len(t) - 1) // WINDOW
-                    pick = range((key + r * 7919) % every, n, every)
-                    held += [t[i * WINDOW : i * WINDOW + WINDOW + 1] for i in pick]
-                    while len(held) >= BATCH:
-                        learn(held[:BATCH])
-                        seen += BATCH
-                        del held[:BATCH]
-            if held:
-                learn(held)
-                seen += len(held)
+                    part = training_windows(place[ids], end, (r - key) % rounds, rounds)
+                    held.append(part)
+                    waiting += len(part[0])
+                    if waiting >= BATCH:
+                        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                        for i in range(0, waiting - BATCH + 1, BATCH):
+                            seen += learn(*(x[i : i + BATCH] for x in whole))
+                        held = [tuple(x[waiting - waiting % BATCH :] for x in whole)]
+                        waiting %= BATCH
+            if waiting:
+                seen += learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([net.pack()], pa.binary())], names=["weight", "params"])
 

@@ -283,6 +283,27 @@ def test_op5_scores_each_id_once_and_sums_to_one():
         assert abs(op5.score_texts(net, prior, place, [ids])[0] - want) < 1e-3 * max(1, abs(want))
 
 
+def test_op5_trains_on_every_window_once():
+    r = np.random.default_rng(3)
+    texts = [np.append(r.integers(0, 256, n), op5.END).astype(np.uint16) for n in (0, 1, 22, 23, 24, 70, 700)]
+    seen = []
+    for r_ in range(op5.ROUNDS):
+        for i, t in enumerate(texts):
+            before, target, inside = op5.training_windows(t.astype(np.int64), op5.END, (r_ - (i * 31 - 5)) % op5.ROUNDS, op5.ROUNDS)
+            seen += zip(before[inside].tolist(), target[inside].tolist())
+    want = sorted((a, b) for t in texts for a, b in zip([op5.END, *t[:-1].tolist()], t.tolist()))
+    assert sorted(seen) == want
+
+
+def test_op5_padding_has_no_gradient():
+    r = np.random.default_rng(5)
+    net, prior = op5.Attention(), op5.priors(r.integers(0, 3, (op5.VOCAB, op5.VOCAB)))
+    before, target, inside = op5.training_windows(r.integers(0, op5.VOCAB, 10), op5.END, 0, 1)
+    lp, g = net.gradient(before, target, prior, inside)
+    lp10, g10 = net.gradient(before[:, :10], target[:, :10], prior, inside[:, :10])
+    assert abs(lp - lp10) < 1e-5 and all(np.allclose(g[k], g10[k], atol=1e-6) for k in g)
+
+
 def test_op5_subwords():
     sub = op5.Subwords(op5.pieces())
     texts = ["The cat", "", "é漢 x  y", "the the THE"]
