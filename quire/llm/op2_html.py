@@ -2,8 +2,10 @@
 
 A page becomes a tree of its block-level nodes (inline mark-up folds into the block that holds it, so bold or linked words do not split a paragraph).
 Each node gets a composite density: its characters per tag, adjusted for the share of its characters and tags that belong to links, against the page's
-own ratio. A node's density sum is that of its children's densities. The subtree with the greatest sum is the article; the least density on its path to the
-body is the threshold above which subtrees elsewhere with a comparable sum count as further parts of it.
+own ratio. A node's density sum is that of its children's densities, its own text counting as a child of the same unit. The subtree with the greatest sum
+lies in the article. If an <article>, <main> or the like holds it, the outermost of these is the article, with others of them elsewhere and every subtree
+whose density reaches the least one on the path. Otherwise the article is the lowest node on the path to the body that holds all blocks whose text is not
+mostly links; its lists, tables, headings and short sections stay, however their densities compare.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments leave the tree before densities are computed, by element or
 by the words of class, id and role; if that leaves no text, the names are disregarded.
@@ -204,8 +206,8 @@ def _blocks(t: _Tree, inside: list[bool]) -> str:
     return "\n\n".join(x for x in (" ".join(html.unescape(b).split()) for b in out) if x)
 
 
-def densities(t: _Tree) -> tuple[list[float], list[float]]:
-    """Composite density and density sum of every node."""
+def densities(t: _Tree) -> tuple[list[float], list[float], list[bool]]:
+    """Composite density and density sum of every node, and whether most of the text that it holds itself lies outside links."""
     n = len(t.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text, linked in t.text:
@@ -214,6 +216,8 @@ def densities(t: _Tree) -> tuple[list[float], list[float]]:
             chars[node] += c
             if linked:
                 link_chars[node] += c
+    direct = [c - lc for c, lc in zip(chars, link_chars, strict=True)]
+    plain_text = [2 * d > c for d, c in zip(direct, chars, strict=True)]
     for i in range(n - 1, 0, -1):
         if t.bad[i]:
             continue
@@ -236,29 +240,33 @@ def densities(t: _Tree) -> tuple[list[float], list[float]]:
             density[i] = c / k * math.log(max(c / lc * (k / lt), 1.0) + 1e-9) / base if c / lc * (k / lt) > 1 else 0.0
         if i and not t.bad[i]:
             total[t.parent[i]] += density[i]
-    return density, total
+        if direct[i] and t.tag[i] not in ("html", "#root"):  # a node's own text counts as a child of its own
+            total[i] += direct[i] * math.log(direct[i]) / math.log(share * direct[i] + math.e)
+    return density, total, plain_text
 
 
 def _choose(t: _Tree) -> list[bool]:
-    """The nodes of the article: the subtree of the greatest density sum, and others above the threshold of its path."""
-    density, total = densities(t)
+    """The nodes of the article: of the subtree that holds it whole, those that aren't menus."""
+    density, total, plain = densities(t)
     n = len(t.tag)
     linked = list(t.links)  # links in each subtree
+    parts = [int(p) for p in plain]  # blocks of text in each subtree
     for i in range(n - 1, 0, -1):
         linked[t.parent[i]] += linked[i]
-    own = list(total)
-    for node, text, in_link in t.text:  # a node's own text counts as a child of its own
-        if not in_link and not t.bad[node] and t.tag[node] not in ("html", "#root"):
-            own[node] += len(text.strip())
-    best = max(range(n), key=lambda i: -1.0 if t.bad[i] else own[i])
+        parts[t.parent[i]] += parts[i]
+    best = max(range(n), key=lambda i: -1.0 if t.bad[i] else total[i])
     path, i = [], best
     while i > 0 and t.tag[i] not in ("body", "html"):
         path.append(i)
         i = t.parent[i]
     floor = min((density[i] for i in path), default=0.0)
-    top = next((i for i in reversed(path) if t.good[i]), best)
-    if t.tag[best] in ("p", "li", "td", "tr") and top == best:  # a single paragraph: what holds it and its neighbours
-        top = t.parent[best] or best
+    top = next((i for i in reversed(path) if t.good[i]), -1)
+    marked = top >= 0
+    if not marked:
+        top = best
+        while top > 0 and parts[top] < parts[0]:
+            top = t.parent[top]
+    on, above = set(path), {t.parent[i] for i in path}
     inside = [False] * n
     inside[top] = True
     for i in range(1, n):
@@ -266,8 +274,9 @@ def _choose(t: _Tree) -> list[bool]:
         if t.bad[i]:
             continue
         if inside[p]:
-            inside[i] = linked[i] < 2 or density[i] > 0  # a block of links only is a menu
-        elif density[i] >= max(floor, 1e-9) and own[i] >= 0.3 * own[best] and not any(i == x for x in path):
+            beside = not marked and p in above and i not in on  # not in the densest subtree: there a list of links is a menu
+            inside[i] = linked[i] < 2 or (parts[i] > 0 if beside else density[i] > 0)  # a block of links only is a menu
+        elif marked and i not in on and (density[i] >= max(floor, 1e-9) or t.good[i] and density[i] > 0):
             inside[i] = True
     return inside
 

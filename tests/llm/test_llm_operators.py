@@ -76,6 +76,22 @@ def test_op2_pages(spark):
     assert rows == {(1, "u", len("\n\n".join(got))), (2, None, 0)}
 
 
+def test_op2_keeps_the_whole_article_without_landmarks():
+    words = "words of a paragraph that goes on "
+    long, short = (words * 9).strip(), (words * 3).strip()
+    three, items = [f"{i} {long}" for i in range(3)], [f"{i} {short}" for i in range(20)]
+    tags = lambda tag, texts: "".join(f"<{tag}>{x}</{tag}>" for x in texts)
+    menu = "<ul><li><a href=/a>First</a></li><li><a href=/b>Second</a></li></ul><div class=sidebar><p>" + long + "</p></div>"
+    page = lambda inner: f"<body>{menu}{inner}<footer>end</footer></body>"
+    assert op2.extract(page(f"<div>{tags('p', three)}<ul>{tags('li', items)}</ul></div>")).split("\n\n") == three + items
+    assert op2.extract(page(f"<h1>Title</h1><div>{tags('p', three)}</div>")).split("\n\n") == ["Title", *three]
+    sections = "".join(f"<section><h2>Part {i}</h2>{tags('p', x)}</section>" for i, x in enumerate((three, ["Short."], three * 4)))
+    assert op2.extract(page(f"<div>{sections}</div>")).split("\n\n") == ["Part 0", *three, "Part 1", "Short.", "Part 2", *three * 4]
+    table = "<table><tr><th>A</th><th>B</th></tr>" + "".join(f"<tr><td>{i}</td><td>{short}</td></tr>" for i in range(30)) + "</table>"
+    assert op2.extract(page(f"<div>{tags('p', three)}{table}<p>Last.</p></div>")).split("\n\n") == [*three, "A B", *(f"{i} {short}" for i in range(30)), "Last."]
+    assert op2.extract(page(f"<article>{tags('p', three)}</article><article><p>Short.</p></article>")).split("\n\n") == [*three, "Short."]
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------------------------
 
 
