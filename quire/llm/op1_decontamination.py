@@ -4,12 +4,16 @@ A text becomes a template: runs of ASCII letters, digits and characters beyond A
 of them counting as one) and units (after a number) become typed slots, everything else is literal and lower-cased. Windows of ``WINDOW`` template tokens of
 the benchmark items are hash-joined with those of the documents; an item shorter than a window is one window of its own length. Matching windows on one
 diagonal are checked token by token for literals, and for slots by consistency: one item value stands for one document value throughout. What the
-consistent diagonals cover of an item decides: a re-parameterised question covers it as well as a verbatim one.
+consistent diagonals cover of an item decides: a re-parameterised question covers it as well as a verbatim one. An item's first word, literal at the start of a
+sentence, may be a name inside one, so items have their windows both ways.
+
+Beside the template stands an exact path: windows of the plain tokens, whatever slots they would be, or the whole item if it is shorter. Either path leaks
+with COVERAGE of the item's tokens or with RUN consecutive ones.
 
 The benchmark side is broadcast only if its texts hold BROADCAST_CHARS characters at most; beyond that the same windows are joined by a shuffle.
 
 Defined results: one row for each document and item it leaks (doc_id, item_id); null and empty texts and items leak nothing; an item that is a slot pattern
-only (fewer than LITERALS literal tokens in every window) matches nothing; repeated rows give one row; other columns are ignored.
+only (fewer than LITERALS literal tokens in every window) matches exact copies only; repeated rows give one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +32,13 @@ WINDOW = 8
 LITERALS = 4
 #: Of an item's tokens, the part that a document must cover.
 COVERAGE = 0.5
+#: Consecutive tokens of an item that are a leak, however long the item.
+RUN = 13
 BROADCAST_CHARS = 16_000_000
 _BYTES = 1 << 21
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: How a window was made: a template, one whose item's first word is no start of a sentence, or plain tokens.
+TEMPLATE, INSIDE, EXACT = 0, 1, 2
 _BETWEEN = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 _STOP = np.isin(np.arange(256), list(b".!?:;\n"))
 _MARK = np.array([0, 0x6E756D, 0x6E616D65, 0x756E6974], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -48,9 +56,11 @@ _UNIT_HASHES = _unit_hashes()
 
 
 class Template:
-    """Template tokens of many texts: kind, canonical hash, literal hash, first and last byte, and where each text's tokens begin."""
+    """Template tokens of many texts: kind, canonical hash, literal hash, first and last byte, and where each text's tokens begin; and the same of plain tokens.
+    ``begins``: a text begins a sentence.
+    """
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, begins: bool = True):
         start, stop, count = byte_words(data, ends, _BETWEEN)
         n = len(start)
         owner = np.repeat(np.arange(len(ends)), count)
@@ -62,7 +72,7 @@ class Template:
         upper = (lead >= 65) & (lead < 91) | (lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
         stops = np.concatenate([[0], np.cumsum(_STOP[data])])
         previous = np.concatenate([[0], stop[:-1]])[:n]
-        fresh = new | (stops[start] > stops[np.minimum(previous, start)])
+        fresh = np.where(new, begins, stops[start] > stops[np.minimum(previous, start)])
         after_number = np.zeros(n, bool)
         after_number[1:] = number[:-1]
         unit = after_number & ~new & ~number
@@ -80,6 +90,20 @@ class Template:
         self.count = np.bincount(owner[keep], minlength=len(ends)) if n else np.zeros(len(ends), np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.owner = owner[keep] if n else owner
+        self.words, self.word_owner, self.word_count = raw, owner, count
+        self.word_first = np.cumsum(count) - count
+
+    def exact_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First plain token and hash of each window of plain tokens inside one text."""
+        g = gram_hashes(self.words, size)
+        s = np.flatnonzero(self.word_owner[: len(g)] == self.word_owner[size - 1 :]) if len(g) else np.zeros(0, np.int64)
+        return s, g[s]
+
+    def places(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first token in it and hash of each window: of template tokens, or of plain ones where ``size`` is negative."""
+        s, g = self.windows(size) if size > 0 else self.exact_windows(-size)
+        owner, first = (self.owner, self.first) if size > 0 else (self.word_owner, self.word_first)
+        return owner[s], s - first[owner[s]], g
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First token and hash of each window inside one text."""
@@ -88,31 +112,68 @@ class Template:
         return s, g[s]
 
 
-def item_windows(ids: list, texts: list[str], window: int = WINDOW, literals: int = LITERALS) -> list[tuple[int, int, int, int]]:
-    """(window length, hash, item number, first token) of every window that says something."""
-    t = Template(*joined_texts(pa.array(texts, pa.string())))
+def item_templates(texts: list[str]) -> tuple[np.ndarray, tuple[Template, Template]]:
+    """The items' bytes and their templates, with the first word at the start of a sentence and inside one."""
+    data, ends = joined_texts(pa.array(texts, pa.string()))
+    return data, (Template(data, ends), Template(data, ends, begins=False))
+
+
+def item_windows(ids: list, texts: list[str], window: int = WINDOW, literals: int = LITERALS) -> list[tuple[int, int, int, int, int]]:
+    """(window length, negative for plain tokens; hash, item number, first token, how it was made) of every window that says something."""
     out = []
-    lit = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
-    for size in sorted({int(min(c, window)) for c in t.count if c}):
-        s, g = t.windows(size)
-        ok = (np.minimum(t.count[t.owner[s]], window) == size) & (lit[s + size] - lit[s] >= min(literals, size))
-        s, g = s[ok], g[ok]
-        out += [(size, int(h), int(t.owner[i]), int(i - t.first[t.owner[i]])) for i, h in zip(s, g, strict=True)]
+    for mode, t in enumerate(item_templates(texts)[1]):
+        lit = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
+        for size in sorted({int(min(c, window)) for c in t.count if c}):
+            s, g = t.windows(size)
+            ok = (np.minimum(t.count[t.owner[s]], window) == size) & (lit[s + size] - lit[s] >= min(literals, size))
+            out += [(size, int(h), int(t.owner[i]), int(i - t.first[t.owner[i]]), mode) for i, h in zip(s[ok], g[ok], strict=True)]
+    for size in sorted({int(min(c, window)) for c in t.word_count if c}):
+        s, g = t.exact_windows(size)
+        ok = np.minimum(t.word_count[t.word_owner[s]], window) == size
+        out += [(-size, int(h), int(t.word_owner[i]), int(i - t.word_first[t.word_owner[i]]), EXACT) for i, h in zip(s[ok], g[ok], strict=True)]
     return out
 
 
+def longest_run(places: list[int]) -> int:
+    """The most consecutive numbers in an ascending list."""
+    if not places:
+        return 0
+    cuts = np.flatnonzero(np.diff(places) != 1)
+    return int(np.diff(np.concatenate([[-1], cuts, [len(places) - 1]])).max())
+
+
 class Judge:
     """Decides what one document leaks of one item, given matching windows."""
 
-    def __init__(self, coverage: float = COVERAGE):
-        self.coverage = coverage
+    def __init__(self, coverage: float = COVERAGE, run: int = RUN):
+        self.coverage, self.run = coverage, run
+
+    def __call__(self, doc: Template, text: int, data: np.ndarray, items: tuple[Template, Template], number: int, item_data: np.ndarray, hits: list[tuple[int, int, int, int]]) -> tuple[int, float, str] | None:
+        """hits: (first token in the document, in the item, length, how made). Returns tokens covered, their part of the item, and verbatim or reparameterised."""
+        said = [self.template(doc, text, data, items[m], number, item_data, [h for h in hits if h[3] == m]) for m in (TEMPLATE, INSIDE)]
+        said = [x for x in said if x]
+        return max(said, key=lambda x: (x[2], x[1])) if said else self.exact(doc, text, items[0], number, [h for h in hits if h[3] == EXACT])
+
+    def exact(self, doc: Template, text: int, item: Template, number: int, hits: list) -> tuple[int, float, str] | None:
+        d0, i0, n = doc.word_first[text], item.word_first[number], int(item.word_count[number])
+        covered, by, most = np.zeros(n, bool), defaultdict(set), 0
+        for a, b, size, _ in hits:
+            by[a - b].update(range(b, b + abs(size)))
+        for diagonal, tokens in by.items():
+            found = [k for k in sorted(tokens) if item.words[i0 + k] == doc.words[d0 + k + diagonal]]
+            covered[found] = True
+            most = max(most, longest_run(found))
+        return self.verdict(covered, most, True)
 
-    def __call__(self, doc: Template, text: int, data: np.ndarray, item: Template, number: int, item_data: np.ndarray, hits: list[tuple[int, int, int]]) -> tuple[int, float, str] | None:
-        """hits: (first token in the document, in the item, length). Returns tokens covered, their part of the item, and verbatim or reparameterised."""
+    def verdict(self, covered: np.ndarray, most: int, same: bool) -> tuple[int, float, str] | None:
+        part = covered.mean() if len(covered) else 0.0
+        return (int(covered.sum()), float(part), "verbatim" if same else "reparameterised") if covered.any() and (part >= self.coverage or most >= self.run) else None
+
+    def template(self, doc: Template, text: int, data: np.ndarray, item: Template, number: int, item_data: np.ndarray, hits: list) -> tuple[int, float, str] | None:
         d0, i0, n = doc.first[text], item.first[number], int(item.count[number])
-        covered, values, back, same = np.zeros(n, bool), {}, {}, True
+        covered, values, back, same, most = np.zeros(n, bool), {}, {}, True, 0
         by = defaultdict(set)
-        for a, b, size in hits:
+        for a, b, size, _ in hits:
             by[a - b].update(range(b, b + size))
         for diagonal, tokens in sorted(by.items(), key=lambda x: -len(x[1])):
             found, bound = [], {}
@@ -131,8 +192,8 @@ class Judge:
                 found.append(k)
             values |= bound
             covered[found] = True
-        part = covered.mean() if n else 0.0
-        return (int(covered.sum()), float(part), "verbatim" if same else "reparameterised") if part >= self.coverage else None
+            most = max(most, longest_run(found))
+        return self.verdict(covered, most, same)
 
 
 _OUT = "doc_id long, item_id long, n_tokens long, coverage double, kind string"
@@ -163,14 +224,14 @@ def _by_broadcast(rows: DataFrame, items: DataFrame, window: int, literals: int,
         h = np.unique(np.array([w[1] for w in wins if w[0] == size], np.uint64))
         tables[size] = HashTable(h, np.arange(len(h), dtype=np.float32) if len(h) < 1 << 24 else np.zeros(len(h), np.float32))
     at = defaultdict(list)
-    for size, h, i, k in wins:
-        at[size, h].append((i, k))
+    for size, h, i, k, mode in wins:
+        at[size, h].append((i, k, mode))
     shared = rows.sparkSession.sparkContext.broadcast((ids, texts, tables, dict(at)))
 
     def run(batches):
         ids, texts, tables, at = shared.value
-        item_data, item_ends = joined_texts(pa.array(texts, pa.string()))
-        item, judge = Template(item_data, item_ends), Judge(coverage)
+        item_data, forms = item_templates(texts)
+        judge = Judge(coverage)
         for b in batches:
             data, ends = joined_texts(b.column(1))
             doc_ids = b.column(0).to_pylist()
@@ -181,14 +242,13 @@ def _by_broadcast(rows: DataFrame, items: DataFrame, window: int, literals: int,
                 t = Template(part, ends[a:z] - base)
                 hits = defaultdict(list)
                 for size, tab in tables.items():
-                    s, g = t.windows(size)
+                    o, s, g = t.places(size)
                     _, hit = tab.get(g)
-                    for i, h in zip(s[hit].tolist(), g[hit].tolist(), strict=True):
-                        o = int(t.owner[i])
-                        for number, k in at[size, h]:
-                            hits[o, number].append((i - int(t.first[o]), k, size))
+                    for x, i, h in zip(o[hit].tolist(), s[hit].tolist(), g[hit].tolist(), strict=True):
+                        for number, k, mode in at[size, h]:
+                            hits[x, number].append((i, k, size, mode))
                 for (o, number), h in hits.items():
-                    if said := judge(t, o, part, item, number, item_data, h):
+                    if said := judge(t, o, part, forms, number, item_data, h):
                         found.append((doc_ids[a + o], ids[number], *said))
             yield _leaks(found)
 
@@ -203,7 +263,7 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, window: int, literals: int, c
         for b in batches:
             ids, keys, texts = (c.to_pylist() for c in b.columns)
             w = item_windows(ids, texts, window, literals)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x[2]] for x in w], pa.int64()), pa.array([keys[x[2]] for x in w], pa.int64()), pa.array([x[0] for x in w], pa.int32()), pa.array(np.array([x[1] for x in w], np.uint64).view(np.int64)), pa.array([x[3] for x in w], pa.int32())], names=["item_id", "ik", "size", "h", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x[2]] for x in w], pa.int64()), pa.array([keys[x[2]] for x in w], pa.int64()), pa.array([x[0] for x in w], pa.int32()), pa.array(np.array([x[1] for x in w], np.uint64).view(np.int64)), pa.array([x[3] for x in w], pa.int32()), pa.array([x[4] for x in w], pa.int32())], names=["item_id", "ik", "size", "h", "k", "mode"])
 
     def of_docs(batches):
         for b in batches:
@@ -212,15 +272,14 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, window: int, literals: int, c
             for a, z in slices(ends, _BYTES):
                 base = ends[a - 1] if a else 0
                 t = Template(data[base : ends[z - 1]], ends[a:z] - base)
-                for size in range(1, window + 1):
-                    s, g = t.windows(size)
-                    o = t.owner[s]
+                for size in (*range(1, window + 1), *range(-window, 0)):
+                    o, s, g = t.places(size)
                     take = pa.array(o + a)
-                    yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(np.full(len(s), size, np.int32)), pa.array(g.view(np.int64)), pa.array((s - t.first[o]).astype(np.int32))], names=["doc_id", "tk", "size", "h", "at"])
+                    yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(np.full(len(s), size, np.int32)), pa.array(g.view(np.int64)), pa.array(s.astype(np.int32))], names=["doc_id", "tk", "size", "h", "at"])
 
-    iw = items.select("item_id", "ik", "item").mapInArrow(of_items, "item_id long, ik long, size int, h long, k int").distinct()
+    iw = items.select("item_id", "ik", "item").mapInArrow(of_items, "item_id long, ik long, size int, h long, k int, mode int").distinct()
     dw = rows.select("doc_id", "tk", "text").mapInArrow(of_docs, "doc_id long, tk long, size int, h long, at int").distinct()
-    met = dw.join(iw, ["size", "h"]).groupBy("doc_id", "tk", "item_id", "ik").agg(F.collect_list(F.struct("at", "k", "size")).alias("hits"))
+    met = dw.join(iw, ["size", "h"]).groupBy("doc_id", "tk", "item_id", "ik").agg(F.collect_list(F.struct("at", "k", "size", "mode")).alias("hits"))
     both = met.join(rows.select(F.col("doc_id").alias("d2"), "tk", "text").distinct(), (F.col("d2").eqNullSafe(F.col("doc_id"))) & (met.tk == rows.tk)).join(items.select(F.col("item_id"), "ik", "item"), ["item_id", "ik"])
 
     def run(batches):
@@ -228,8 +287,8 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, window: int, literals: int, c
         for b in batches:
             found = []
             for d, i, text, item, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = joined_texts(pa.array([text])), joined_texts(pa.array([item]))
-                if said := judge(Template(*x), 0, x[0], Template(*y), 0, y[0], [(h["at"], h["k"], h["size"]) for h in hits]):
+                x, (item_data, forms) = joined_texts(pa.array([text])), item_templates([item])
+                if said := judge(Template(*x), 0, x[0], forms, 0, item_data, [(h["at"], h["k"], h["size"], h["mode"]) for h in hits]):
                     found.append((d, i, *said))
             yield _leaks(found)
 

@@ -57,6 +57,15 @@ def test_op1_verbatim_and_reparameterised(spark):
     assert op1.find_leaks(docs.limit(0), bench).count() == 0 and op1.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_op1_exact_copies_names_and_long_runs(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
+    bench = spark.createDataFrame([(1, "What is 12 * 7?"), (2, "What is the capital of France?"), (3, long)], "item_id long, text string")
+    docs = make(spark, ["They asked: What is 12 * 7? Nobody knew", "then she asked, What is the capital of France? of him", "then she asked, What is the capital of Spain? of him", "so " + " ".join(long.split()[20:45]) + " it ended", "so " + " ".join(long.split()[20:30]) + " it ended", "What is 13 * 7?"])
+    for chars in (10**9, 0):
+        got = {(r.doc_id, r.item_id, r.kind) for r in op1.find_leaks(docs, bench, broadcast_chars=chars).collect()}
+        assert got == {(0, 1, "verbatim"), (1, 2, "verbatim"), (2, 2, "reparameterised"), (3, 3, "verbatim")}
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------------------------
 
 
