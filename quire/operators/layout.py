@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,36 +105,76 @@ def touching(segments: DataFrame, tol: float = 2.5) -> DataFrame:
     return h.join(v, meet).select(F.col("h.doc_id"), F.col("h.page"), F.col("h.seg").alias("a"), F.col("v.seg").alias("b"))
 
 
-def segment_components(spark: SparkSession, segments: DataFrame, most: int = 16) -> DataFrame:
-    """The least segment that each segment's page connects it with; pages hold few segments, so reachability is a recursion bounded by the page."""
-    edges = touching(segments)
-    return spark.sql(
-        """WITH RECURSIVE link AS (SELECT doc_id, page, a, b FROM {e} UNION ALL SELECT doc_id, page, b, a FROM {e}),
-        reach(doc_id, page, seg, root, hops) AS (
-          SELECT doc_id, page, seg, seg, 0 FROM {s}
-          UNION ALL
-          SELECT r.doc_id, r.page, l.b, r.root, r.hops + 1 FROM reach r JOIN link l ON l.doc_id = r.doc_id AND l.page = r.page AND l.a = r.seg AND r.hops < """
-        + str(most // 2)
-        + """)
-        SELECT doc_id, page, seg, min(root) AS root FROM reach GROUP BY doc_id, page, seg""",
-        e=edges,
-        s=segments.select("doc_id", "page", "seg"),
-    )
-
-
-def diagram_levels(spark: SparkSession, edges: DataFrame, most: int = 20) -> DataFrame:
-    """Longest path from a source to each node of acyclic graphs."""
-    return spark.sql(
-        """WITH RECURSIVE node AS (SELECT graph, src AS n FROM {e} UNION SELECT graph, dst FROM {e}),
-        walk(graph, n, level) AS (
-          SELECT graph, n, 0 FROM node
-          UNION ALL
-          SELECT w.graph, e.dst, w.level + 1 FROM walk w JOIN {e} e ON e.graph = w.graph AND e.src = w.n AND w.level < """
-        + str(most)
-        + """)
-        SELECT graph, n AS node, max(level) AS level FROM walk GROUP BY graph, n""",
-        e=edges,
-    )
+def segment_components(spark: SparkSession, segments: DataFrame) -> DataFrame:
+    """The least segment that each segment's page connects it with, however long the way; the segments of one page are one group."""
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    links = touching(segments).unionByName(segments.select("doc_id", "page", F.col("seg").alias("a"), F.col("seg").alias("b")))
+
+    def run(t: pa.Table) -> pa.Table:
+        root: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+            x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(x, y)] = min(x, y)
+        segs = sorted(root)
+        first = t.slice(0, 1)
+        return pa.table({"doc_id": first.column("doc_id").combine_chunks().take([0] * len(segs)), "page": first.column("page").combine_chunks().take([0] * len(segs)), "seg": pa.array(segs, t.schema.field("a").type), "root": pa.array([find(s) for s in segs], t.schema.field("a").type)})
+
+    return links.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("doc_id", "page").applyInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, seg {kinds['seg']}, root {kinds['seg']}")
+
+
+def longest_paths(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """The longest path from a source to each node; edges that close a cycle (met in the given order, depth first) are ignored."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    state, done, kept = dict.fromkeys(after, 0), [], []
+    for start in after:
+        if state[start]:
+            continue
+        state[start] = 1
+        stack = [(start, iter(after[start]))]
+        while stack:
+            n, rest = stack[-1]
+            for m in rest:
+                if state[m] == 1:
+                    continue  # a back edge
+                kept.append((n, m))
+                if not state[m]:
+                    state[m] = 1
+                    stack.append((m, iter(after[m])))
+                    break
+            else:
+                state[n] = 2
+                done.append(n)
+                stack.pop()
+    onward: dict = {}
+    for a, b in kept:
+        onward.setdefault(a, []).append(b)
+    level = dict.fromkeys(after, 0)
+    for n in reversed(done):  # sources first
+        for m in onward.get(n, ()):
+            level[m] = max(level[m], level[n] + 1)
+    return level
+
+
+def diagram_levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Longest path from a source to each node of each graph, back edges ignored; a diagram is one group."""
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        level = longest_paths(list(zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True)))
+        return pa.table({"graph": t.column("graph").combine_chunks().take([0] * len(level)), "node": pa.array(level, t.schema.field("src").type), "level": pa.array(level.values(), pa.int32())})
+
+    return edges.groupBy("graph").applyInArrow(run, f"graph {kinds['graph']}, node {kinds['src']}, level int")
 
 
 def repeated_lines(lines: DataFrame, holder: str = "doc_id", least: int = 2) -> DataFrame:

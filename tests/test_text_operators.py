@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.operators import compare
+from quire.operators import compare, layout
 from quire.operators.blocks import markdown_blocks
 from quire.operators.search import find_all
 from quire.sources.documents import docx_blocks
@@ -71,3 +71,16 @@ def test_html_and_docx_blocks():
     assert docx_blocks(buf.getvalue()) == [(1, "正文", "H1", "Hi"), (2, "表格1 第1行第1列", None, "c")]
     with pytest.raises(zipfile.BadZipFile):
         docx_blocks(b"no")
+
+
+def test_components_and_levels_follow_long_paths(spark):
+    steps = []  # a staircase of 26 segments, 25 touches long
+    for i in range(13):
+        steps += [(1, 1, 2 * i, 10.0 * i, 10.0 * i, 10.0 * i + 10, 10.0 * i, True), (1, 1, 2 * i + 1, 10.0 * i + 10, 10.0 * i, 10.0 * i + 10, 10.0 * i + 10, False)]
+    far = [(1, 1, 90, 900.0, 900.0, 910.0, 900.0, True), (1, 2, 5, 0.0, 0.0, 9.0, 0.0, True)]
+    df = spark.createDataFrame(steps + far, "doc_id long, page int, seg int, x0 double, y0 double, x1 double, y1 double, horizontal boolean")
+    got = {(r.page, r.seg): r.root for r in layout.segment_components(spark, df).collect()}
+    assert got == {**{(1, s): 0 for s in range(26)}, (1, 90): 90, (2, 5): 5}
+    edges = [(g, i, f"n{i}", f"n{i + 1}") for g, n in ((1, 10), (2, 25)) for i in range(n)] + [(2, 99, "n25", "n3"), (3, 0, "a", "b"), (3, 1, "b", "a"), (3, 2, "b", "c"), (3, 3, "a", "c")]
+    levels = {(r.graph, r.node): r.level for r in layout.diagram_levels(spark, spark.createDataFrame(edges, "graph int, pos int, src string, dst string")).collect()}
+    assert levels == {**{(g, f"n{i}"): i for g, n in ((1, 10), (2, 25)) for i in range(n + 1)}, (3, "a"): 0, (3, "b"): 1, (3, "c"): 2}
