@@ -213,6 +213,56 @@ def test_op4_finds_toxic_texts(spark):
     assert {r.score for r in none.collect()} == {0.0}
 
 
+def test_op4_is_two_kneser_ney_models(spark):
+    """Probabilities sum to one, and evidence equals a plain dictionary version with the same symbols, discounts and backoff."""
+    r = random.Random(14)
+    vocab = "alpha beta gamma delta rarely rarest stemming stemmed stemmer".split()
+    texts = [(i % 2, " ".join(r.choice(vocab + (["nasty", "vile"] if i % 2 else [])) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(1, "onlyonce nasty"), (0, "")]
+    model = op4.count_models(spark.createDataFrame(texts, "y int, text string").repartition(3), chance=1e-3)
+    k = model.symbols.size
+    for c in (0, 1):
+        for v in range(k + 1):
+            assert abs(model.probability(v * k + np.arange(k), c).sum() - 1) < 1e-9
+    words = [t.split() for _, t in texts]
+    df = collections.Counter((w, y) for (y, _), ws in zip(texts, words) for w in set(ws))
+    total = [sum(n for (_, y), n in df.items() if y == c) for c in (0, 1)]
+    cut = op4.least_count(total[1] / sum(total), sum(total), 1e-3)
+    both = lambda w: df[w, 0] + df[w, 1]
+    stems = collections.Counter()
+    for w in {w for w, _ in df}:
+        if both(w) < cut:
+            stems[w[:5]] += both(w)
+    name = lambda w: w if both(w) >= cut else w[:5] + "*" if stems[w[:5]] >= cut else "?"
+    names = {w for w, _ in df if both(w) >= cut} | {x + "*" for x, n in stems.items() if n >= cut} | {"?"}
+    pairs_of = lambda ws: {(a, b) for a, b in zip(["^", *map(name, ws)], map(name, ws))}
+    pairs = [collections.Counter(p for (y, _), ws in zip(texts, words) if y == c for p in pairs_of(ws)) for c in (0, 1)]
+    single = [collections.Counter(x for (y, _), ws in zip(texts, words) if y == c for x in set(map(name, ws))) for c in (0, 1)]
+    shared = collections.Counter(b for _, b in set(pairs[0]) | set(pairs[1]))
+    d = lambda counts: op4.discount(sum(n == 1 for n in counts), sum(n == 2 for n in counts))
+
+    def mixed(counts, dis, n, below):
+        p = {x: max(counts[x] - dis, 0) / n for x in names}
+        return {x: p[x] + (1 - sum(p.values())) * below[x] for x in names}
+
+    base = mixed(shared, d(shared.values()), sum(shared.values()), dict.fromkeys(names, 1 / len(names)))
+    dw = [d([n for (_, y), n in df.items() if y == c]) for c in (0, 1)]
+    one = [mixed(single[c], dw[c], sum(single[c].values()), base) for c in (0, 1)]
+    cut2 = op4.least_count(total[1] / sum(total), sum(map(lambda p: sum(p.values()), pairs)), 1e-3)
+    assert k == len(names) and cut == cut2 > 2
+
+    def prob(a, b, c):
+        dis, n = d(pairs[c].values()), max(sum(m for (x, _), m in pairs[c].items() if x == a), 1)
+        kept = {y: max(pairs[c][a, y] - dis, 0) / n for y in names if pairs[0][a, y] + pairs[1][a, y] >= cut2}
+        return kept.get(b, 0) + (1 - sum(kept.values())) * one[c][b]
+
+    new = ["alpha nasty beta", "unseen words", "", "vile vile vile stemmed stemming nasty", "onlyonce"]
+    got = model.evidence(*joined_texts(pa.array(new)))
+    for t, e in zip(new, got):
+        lr = [np.log(prob(a, b, 1) / prob(a, b, 0)) for a, b in pairs_of(t.split())]
+        want = (np.mean(lr), len(lr), sum(max(x - np.median(lr) - op4.STANDS, 0) for x in lr)) if lr else (0, 0, 0)
+        assert np.allclose(e, want)
+
+
 def test_op8_finds_junk(spark):
     r = random.Random(3)
     texts, labels = [], []
