@@ -478,6 +478,47 @@ def test_op9_index_is_incremental(spark):
     index.drop()
 
 
+def test_op9_sessions_share_an_index(spark):
+    """A passage once in an earlier session and once in a later one goes from the later one; a reopened, compacted index says what brute force says of all."""
+    r = random.Random(21)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    shared, twice = words(40), words(36)
+    sessions = [
+        [words(80), words(9) + " " + shared + " " + words(7), twice + " " + words(50)],
+        [words(5) + " " + shared, words(60), None, "", words(3) + " " + twice + " " + words(44) + " " + twice],
+        [shared + " " + words(2), words(30)],
+    ]
+    sessions[2].append(sessions[0][0])
+    path, seen, sizes = None, [], []
+    for texts in sessions:
+        index = op9.FingerprintIndex(spark, buckets=2) if path is None else op9.FingerprintIndex.open(spark, path)
+        path = index.path
+        ids = list(range(len(seen), len(seen) + len(texts)))
+        seen += texts
+        want = {i: w[:3] for i, w in enumerate(brute_windows(seen, 35))}
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in op9.dedup_substrings(make(spark, texts, ids), batches=2, index=index).collect()}
+        assert got == {i: want[i] for i in ids}
+        sizes.append(len(index.runs))
+    assert sizes == [2, 2, 2] and max(level for level, _ in index.runs) == 1  # six runs, of which three and then two more were compacted
+    again = op9.FingerprintIndex.open(spark, path)
+    assert again.runs == index.runs and len(again.sessions) == 3
+    index.drop()
+
+
+def test_op9_compacts_in_the_query(spark, monkeypatch):
+    merged = []
+    compact = op9.FingerprintIndex.compact
+
+    def counted(self):
+        before = len(self.runs)
+        compact(self)
+        merged.append(before - len(self.runs))
+
+    monkeypatch.setattr(op9.FingerprintIndex, "compact", counted)
+    assert op9.dedup_substrings(make(spark, ["a b c " * 40, "x y z", "q " * 60])).count() == 3
+    assert merged == [0, 0, 2, 0]
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------------------------
 
 
