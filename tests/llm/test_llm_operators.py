@@ -66,6 +66,26 @@ def test_op1_exact_copies_names_and_long_runs(spark):
         assert got == {(0, 1, "verbatim"), (1, 2, "verbatim"), (2, 2, "reparameterised"), (3, 3, "verbatim")}
 
 
+def test_op1_slots_decide(spark):
+    """Sentence-initial names are slots; values that don't hold throughout void their windows."""
+    short, item = "Alice has 3 apples and buys 5 pears", "Bob drives from Paris to Rome at 40 km per hour and then from Paris to Oslo in 7 hours with Paris asleep"
+    bench = spark.createDataFrame([(1, short), (2, item)], "item_id long, text string")
+    texts = [
+        "Robert has 7 apples and buys 9 pears",
+        "It rained. Robert has 7 apples and buys 7 pears. So what",
+        item.replace("Paris", "Bonn").replace("40", "50"),
+        "Carl drives from Bonn to Kiel at 50 km an hour and then from Ulm to Mainz in 9 hours with Essen asleep",
+        item.replace("to Oslo", "to Rome"),
+        "The cat has many apples and buys a few pears",
+    ]
+    for chars in (10**9, 0):
+        got = {(r.doc_id, r.item_id): (r.kind, r.coverage) for r in op1.find_leaks(make(spark, texts), bench, broadcast_chars=chars).collect()}
+        assert {k: v[0] for k, v in got.items()} == {(0, 1): "reparameterised", (1, 1): "reparameterised", (2, 2): "reparameterised", (4, 2): "verbatim"}
+        assert got[0, 1][1] == got[2, 2][1] == 1.0 and got[4, 2][1] < 1
+    consistent = texts[3].replace("Ulm", "Bonn").replace("Essen", "Bonn")
+    assert [(r.doc_id, r.kind) for r in op1.find_leaks(make(spark, [texts[3], consistent]), bench).collect()] == [(1, "reparameterised")]
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------------------------
 
 
