@@ -7,12 +7,13 @@ split of the transition counts, so tokens of one language and role share a branc
 
 Attention is trained in numpy where the data lies: in each of ROUNDS rounds every task takes windows of each of its training documents, a new share of them
 each round so that the rounds together meet every window once (a text's last one, with its end, is padded), runs Adam from the common parameters, and the tasks' parameters are averaged, weighted by tokens. So counts and training follow the input.
+Each task meets its rows in the order they lie in, so the parameters, and in their last digits the scores, depend on how the input is partitioned.
 
 Scoring covers each text by windows of WINDOW ids that overlap by WINDOW - STRIDE; a window scores the ids that the one before did not, so each is scored once,
 with masked attention over batches of windows.
 
-The base score needs the training count of every word of every document. Counts are pre-aggregated in each batch. The COMMON most frequent words' counts are
-broadcast (a constant bound); only rarer words, of which no single one is hot, are joined with their counts by a shuffle.
+The base score needs the training count of every word of every document. Counts are pre-aggregated in each batch. The counts of the most frequent words, COMMON of them at
+most, are broadcast (a histogram of counts gives the least count); only rarer words, of which no single one is hot, are joined with their counts by a shuffle.
 
 Defined results: a null text counts as empty; an empty text is one end token; without training documents all counts are 0 and the model is near uniform; repeated
 rows give repeated results; a null doc_id counts as the empty text for the split; other columns are ignored.
@@ -29,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import _FOLD, HashTable, byte_words, crc_mod, joined_texts, lower_ascii, release, slices, table, word_hashes, written
-from quire.llm.op9_substring import row_key
+from quire.llm.op9_substring import ROW, row_key
 
 BRANCH, LEVELS = 13, 3
 VOCAB, WIDTH, WINDOW, STRIDE = BRANCH**LEVELS, 16, 24, 20
 END = 256
 COMMON = 1 << 18
-ROUNDS, BATCH, RATE, SEED = 3, 32, 6e-3, 11
+ROUNDS, BATCH, RATE, SEED = 3, 96, 8e-3, 11
 #: Words that a worker remembers the ids of.
-MEMORY = 1_500_000
+MEMORY = 600_000
 _BLOCK = 512
 LOG10 = float(np.log(10.0))
 
@@ -299,7 +300,7 @@ _SUBWORDS: dict[int, Subwords] = {}
 
 
 def tokenised(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """key, train and the ids of every row (key, train, text), as 16-bit numbers."""
+    """id, key, train and the ids of every row (id, key, train, text), as 16-bit numbers."""
     shared, name = rows.sparkSession.sparkContext.broadcast(vocabulary), hash(tuple(vocabulary))
 
     def run(batches):
@@ -309,15 +310,15 @@ def tokenised(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 c = b.slice(i, 2048)
-                data, ends = joined_texts(c.column(2))
+                data, ends = joined_texts(c.column(3))
                 for a, z in slices(ends, 1 << 22):
                     base = ends[a - 1] if a else 0
                     flat, lengths = sub.texts(data[base : ends[z - 1]], ends[a:z] - base)
                     offsets = np.concatenate([[0], 2 * np.cumsum(lengths)])
                     ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([c.column(0).slice(a, z - a), c.column(1).slice(a, z - a), ids], names=["key", "train", "ids"])
+                    yield pa.RecordBatch.from_arrays([*(c.column(k).slice(a, z - a) for k in range(3)), ids], names=[*ROW, "train", "ids"])
 
-    return rows.select("key", "train", "text").mapInArrow(run, "key long, train boolean, ids binary")
+    return rows.select(*ROW, "train", "text").mapInArrow(run, "id long, key long, train boolean, ids binary")
 
 
 def transitions(tokens: DataFrame, vocab: int = VOCAB) -> np.ndarray:
@@ -415,14 +416,21 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
-    """For each row (doc_id, key, train, text): n_tokens, n_known, base_score, times (rows that share id and text); and the number of training tokens."""
+    """For each row (doc_id, id, key, train, text): n_tokens, n_known, base_score, times (rows that share id and text); and the number of training tokens."""
     spark = rows.sparkSession
     counts = written(_word_counts(rows), "counts")
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = rows.filter("train").count()
     n, v = int(words + ends), int(kinds) + (ends > 0)
     floor = n + 0.1 * (v + 1)
-    top = counts.orderBy(F.col("c").desc(), "h").limit(common).toArrow()
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, have = 0, 0  # counts from this step on belong to ``common`` words at most
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        have += r["count"]
+        if have > common:
+            least = r["step"] + 1
+            break
+    top = counts.filter(step >= least).toArrow()
     known = HashTable(top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.float32))
     exact = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)) if n >= 1 << 24 else {}
     big = {h: c for h, c in exact.items() if c >= 1 << 24}  # beyond float32's whole numbers
@@ -442,7 +450,7 @@ def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
     def frequent(batches):
         values, end = shared.value[1:]
         for b in batches:
-            data, stops = joined_texts(b.column(2))
+            data, stops = joined_texts(b.column(3))
             n, m, s = (np.zeros(b.num_rows) for _ in range(3))
             for a, z in slices(stops, 1 << 21):
                 base = stops[a - 1] if a else 0
@@ -452,31 +460,31 @@ def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
                 n[a:z] = count
                 m += np.bincount(owner[hit], minlength=b.num_rows)
                 s += np.bincount(owner[hit], values[slot[hit]], b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((n + 1).astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(s + end)], names=["doc_id", "key", "n_tokens", "m", "s"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((n + 1).astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(s + end)], names=["doc_id", *ROW, "n_tokens", "m", "s"])
 
     def rare(batches):
         for b in batches:
-            data, stops = joined_texts(b.column(1))
-            key = b.column(0).to_numpy(zero_copy_only=False)
+            data, stops = joined_texts(b.column(2))
+            name, key = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for a, z in slices(stops, 1 << 21):
                 base = stops[a - 1] if a else 0
                 h, slot, count = lookup(data[base : stops[z - 1]], stops[a:z] - base)
                 miss = slot < 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key[a:z], count)[miss]), pa.array(h[miss].view(np.int64))], names=["key", "h"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x[a:z], count)[miss]) for x in (name, key)), pa.array(h[miss].view(np.int64))], names=[*ROW, "h"])
 
-    main = rows.select("doc_id", "key", "text").mapInArrow(frequent, "doc_id long, key long, n_tokens long, m long, s double")
-    main = main.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("n_tokens").alias("n_tokens"), F.first("m").alias("m"), F.first("s").alias("s"))
-    less = counts.filter(F.col("c") <= int(top.column(1).to_numpy().min())) if top.num_rows == common else counts.filter("c < 0")  # all that the table may lack
-    low = rows.select("key", "text").mapInArrow(rare, "key long, h long").join(less, "h", "left").groupBy("key").agg(F.count("c").alias("rm"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(floor)))).alias("rs"))
+    main = rows.select("doc_id", *ROW, "text").mapInArrow(frequent, "doc_id long, id long, key long, n_tokens long, m long, s double")
+    main = main.groupBy(*ROW).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("n_tokens").alias("n_tokens"), F.first("m").alias("m"), F.first("s").alias("s"))
+    less = counts.filter(step < least)  # all that the table lacks
+    low = rows.select(*ROW, "text").mapInArrow(rare, "id long, key long, h long").join(less, "h", "left").groupBy(*ROW).agg(F.count("c").alias("rm"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(floor)))).alias("rs"))
     seen = 1 if ends else 0
-    out = main.join(low, "key", "left").select("doc_id", "key", "times", "n_tokens", (F.col("m") + seen + F.coalesce(F.col("rm") / F.col("times"), F.lit(0))).cast("long").alias("n_known"), (F.col("s") + F.coalesce(F.col("rs") / F.col("times"), F.lit(0.0))).alias("base_score"))
+    out = main.join(low, ROW, "left").select("doc_id", *ROW, "times", "n_tokens", (F.col("m") + seen + F.coalesce(F.col("rm") / F.col("times"), F.lit(0))).cast("long").alias("n_known"), (F.col("s") + F.coalesce(F.col("rs") / F.col("times"), F.lit(0.0))).alias("base_score"))
     return out, n
 
 
 def score_documents(docs: DataFrame, vocabulary: list[str], modulus: int = 10) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", row_key()).withColumn("train", crc_mod("doc_id", modulus) != 0)
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("key", row_key()).withColumn("train", crc_mod("doc_id", modulus) != 0)
     spark = docs.sparkSession
     base, n = base_scores(rows)
     base = written(base, "base")
@@ -495,10 +503,10 @@ def score_documents(docs: DataFrame, vocabulary: list[str], modulus: int = 10) -
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 c = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(score_texts(net, prior, place, _ids(c.column(1))) / LOG10)], names=["key", "score"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(score_texts(net, prior, place, _ids(c.column(2))) / LOG10)], names=[*ROW, "score"])
 
-    scored = tokens.select("key", "ids").mapInArrow(run, "key long, score double").groupBy("key").agg(F.first("score").alias("score"))
-    each = base.join(scored, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    scored = tokens.select(*ROW, "ids").mapInArrow(run, "id long, key long, score double").groupBy(*ROW).agg(F.first("score").alias("score"))
+    each = base.join(scored, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return each.select("doc_id", (crc_mod("doc_id", modulus) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -348,7 +348,7 @@ def test_op5_base_and_model(spark):
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
     for common in (op5.COMMON, 5):
-        base, total = op5.base_scores(docs.selectExpr("doc_id", "coalesce(text, '') text").withColumn("key", op5.row_key()).withColumn("train", op5.crc_mod("doc_id", 10) != 0), common)
+        base, total = op5.base_scores(docs.selectExpr("doc_id", "coalesce(doc_id, 0) id", "coalesce(text, '') text").withColumn("key", op5.row_key()).withColumn("train", op5.crc_mod("doc_id", 10) != 0), common)
         assert total == n
         got = {(x.doc_id, round(x.base_score, 6)): (x.n_tokens, x.n_known, x.times) for x in base.collect()}
         for i, t in rows:
