@@ -2,7 +2,7 @@
 
 A document is the set of its distinct ``SHINGLE``-word shingles. Of every permutation (an affine map of mixed 64-bit shingle hashes) both the least and the
 greatest value are kept, so a signature of 2 * PERMS values costs PERMS hash evaluations; four permutations' least values make one band and their greatest
-another. Two documents of similarity 0.8 share none of the BANDS bands with probability (1 - 0.8**4)**BANDS, about 2e-7.
+another. Two documents of similarity 0.8 share none of the BANDS bands with probability (1 - 0.8**4)**BANDS, about 4e-7.
 
 Documents with the same set are one node (pre-aggregated by a 128-bit sum over the set). Each band bucket proposes links from its members to one member, another
 one in each band, never all pairs; links are confirmed on full sets, and connected components follow by alternating large-star and small-star rounds. A
@@ -11,8 +11,9 @@ all members of that component and with each other, block against block on full s
 holds at most BLOCK_U + BLOCK_M documents. So every pair of bucket mates is in one component or has been compared, however large a bucket is.
 
 Defined results: a null text counts as empty; texts without words have no shingles, are linked with nothing and stand alone; texts of fewer words than a
-shingle are one shingle; repeated rows give repeated results, and rows that share a doc_id stand for themselves; a null doc_id is linked with nothing and
-kept, its component null; other columns are ignored.
+shingle are one shingle; repeated rows give repeated results; a null doc_id is linked with nothing and
+kept, its component null; rows of one doc_id with different texts are sets of their own, and a component's id is the least doc_id of all its rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -184,17 +185,17 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     sk = written(sketches(rows, k), "sketches")
     some = sk.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = some.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "tk")).alias("one"))
-    nodes = written(nodes.select("k1", "k2", "n", F.col("one.doc_id").alias("node"), F.col("one.tk").alias("tk")), "nodes")
-    of_set = some.join(nodes.select(F.col("node").alias("doc_id"), "tk", "k1", "k2"), ["doc_id", "tk", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
-    member = of_set.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "h"))
+    sets = some.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "tk")).alias("one")).select("k1", "k2", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.tk").alias("tk"))
+    nodes = written(_numbered(written(sets, "sets")), "nodes")
+    of_set = some.join(nodes.select("doc_id", "tk", "k1", "k2", "node"), ["doc_id", "tk", "k1", "k2"]).dropDuplicates(["node"])
+    member = of_set.select("node", F.posexplode("bands").alias("band", "h"))
     order = F.struct(F.xxhash64("node", "band").alias("o"), "node")
     centre = member.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("m")).filter("c > 1").select("band", "h", F.col("m.node").alias("m"))
     pairs = member.join(centre, ["band", "h"]).filter("node != m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     release(spark)
-    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "tk"), "node")
-    texts = rows.join(involved.select(F.col("node").alias("doc_id"), "tk"), ["doc_id", "tk"]).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
+    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id", "tk"), "node")
+    texts = rows.join(involved, ["doc_id", "tk"]).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "texts")
     release(spark)
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -207,14 +208,24 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] =
     if not more.isEmpty():  # the links' components become one
         merged = components(spark, more).select(F.col("node").alias("root"), F.col("root").alias("top"))
         comps = comps.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(merged.join(comps.select("node"), F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
-    named = sk.join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left").join(comps, "node", "left")
+    least = comps.join(nodes.select("node", F.col("doc_id").alias("d")), "node").groupBy("root").agg(F.min("d").alias("top"))
+    comps = comps.join(least, "root").select("node", "top")
+    named = sk.join(nodes.select("k1", "k2", "n", "node", F.col("doc_id").alias("own")), ["k1", "k2", "n"], "left").join(comps, "node", "left")
     return named.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node"))).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "own"))).otherwise(F.col("doc_id")).alias("component_id"),
     ).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _numbered(sets: DataFrame) -> DataFrame:
+    """``sets`` with a number for each, ``node``: the least doc_id that holds it, or, where that id holds another set too, a hash far below."""
+    firsts = sets.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n")).alias("f"))
+    far = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("doc_id", "k1", "k2", "n"), F.lit(1 << 61))
+    node = F.when(F.col("f") == F.struct("k1", "k2", "n"), F.col("doc_id")).otherwise(far)
+    return sets.join(firsts, "doc_id").select("k1", "k2", "n", "doc_id", "tk", node.alias("node"))
+
+
 def _open_links(tried: DataFrame, comps: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
     """Links between roots (a, b) that tried pairs without one (a node, its bucket's centre) leave possible.
 
