@@ -4,8 +4,9 @@ Learned byte embeddings, filters of ``WIDTH`` bytes every ``STRIDE`` bytes over
 every filter: its greatest value anywhere (over all chunks) and, of the same responses, the mean of the chunks' greatest values, so that one odd passage and
 a text that is odd throughout can be told apart. A logistic unit combines them into one probability.
 
-The network is fitted with Adam on at most ``per_class`` texts of each class (see common.label_sample), weighted by the classes' shares; of a training text
-longer than TRAIN_BYTES, chunks spread evenly over the whole of it are used in fitting. Scoring reads every byte of every text and is a map over rows.
+The network is fitted with Adam on at most ``per_class`` texts of each class (see common.label_sample) of LONGEST bytes at most, weighted by the classes' shares, in one
+task; an epoch takes every so-many-th chunk of a training text longer than TRAIN_BYTES, other ones each epoch, so that the epochs together meet all of
+them. Scoring reads every byte of every text, however long, and is a map over rows.
 
 Defined results: a null text counts as empty; an empty text is one chunk of padding; without labels of both classes every score is the share of label 1 (0.5
 without labels); repeated rows give repeated results; other columns are ignored.
@@ -22,8 +23,8 @@ from quire.llm.common import crc_mod, joined_texts, label_sample, table
 
 PER_CLASS = 1500
 CHUNK, STRIDE, WIDTH, EMBED, FILTERS = 512, 4, 8, 6, 24
-#: Bytes of a text's chunks that one training step uses at most.
-TRAIN_BYTES = 8192
+#: Bytes of a text's chunks that one training step uses, or more where the epochs could not meet all chunks otherwise; and of a training text.
+TRAIN_BYTES, LONGEST = 8192, 1 << 18
 EPOCHS, BATCH, RATE, SEED = 6, 32, 4e-3, 7
 _BYTES = 1 << 18
 
@@ -34,6 +35,12 @@ def chunk_starts(n: int) -> np.ndarray:
     return np.arange(0, max(n - (WIDTH - STRIDE), 1), step)
 
 
+def training_chunks(starts: np.ndarray, epoch: int, epochs: int = EPOCHS) -> np.ndarray:
+    """Those of a text's chunks that one epoch uses; all of them over the epochs."""
+    parts = min(-(-len(starts) // max(TRAIN_BYTES // CHUNK, 1)), epochs)
+    return starts[epoch % parts :: parts]
+
+
 def chunk_matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One row of CHUNK bytes for each chunk, zeros after its text's end."""
     at = starts[:, None] + np.arange(CHUNK)
@@ -102,17 +109,14 @@ class ByteNet:
     def fit(self, texts: list[bytes], y: np.ndarray, w: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
         r, m, s, t = np.random.default_rng(seed), {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         w = w / w.mean()
-        most = max(TRAIN_BYTES // CHUNK, 1)
         steps = epochs * -(-len(texts) // BATCH)
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = r.permutation(len(texts))
             for i in range(0, len(order), BATCH):
                 ix, rows, first = order[i : i + BATCH], [], []
                 for k in ix:
                     data = np.frombuffer(texts[k], np.uint8)
-                    st = chunk_starts(len(data))
-                    if len(st) > most:
-                        st = st[(np.arange(most) * len(st) + r.integers(len(st))) // most % len(st)]
+                    st = training_chunks(chunk_starts(len(data)), epoch, epochs)
                     first.append(sum(map(len, rows)))
                     rows.append(chunk_matrix(data, st, np.full(len(st), len(data))))
                 g = self.step(np.concatenate(rows), np.array(first), y[ix], w[ix])
@@ -128,7 +132,7 @@ class ByteNet:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> ByteNet | float:
     """The network; or the share of label 1, where one class has no labels. The sample's texts are fitted in one task, of bounded rows."""
     sample = label_sample(labels, label, per_class)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").filter(F.octet_length("text") <= LONGEST)
 
     def train(batches):
         texts, y, w = [], [], []
