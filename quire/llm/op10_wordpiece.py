@@ -4,7 +4,8 @@ The vocabulary is a trie with two roots, one for pieces that begin a word and on
 failure link; the pieces that this pops are not built, their number is precomputed per link. Every character costs one step plus the links followed, each of
 which drops at least one character of what was matched, so the work is linear in the text.
 
-The words of a batch that a worker does not remember run through the automaton side by side, as numpy arrays.
+The words of a batch that a worker does not remember run through the automaton side by side, as numpy arrays; words of more than LONG characters run alone, and are not
+remembered.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``; a word that the vocabulary cannot spell counts as one unknown token; null and empty texts have no
 tokens; repeated rows give repeated results; other columns are ignored.
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import WORD, table
 
-#: Words that a worker remembers; beyond it, the memory starts anew.
+#: Words that a worker remembers, of up to LONG characters; beyond it, the memory starts anew.
 MEMORY = 400_000
+LONG = 256
 _BITS = 21  # of a code point
 
 
@@ -70,6 +72,28 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.next[at], -1)
 
+    def count(self, word: str) -> int:
+        """Tokens of one word; -1 where the vocabulary cannot spell it."""
+        if not hasattr(self, "plain"):
+            self.plain = dict(zip(self.keys.tolist(), self.next.tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+        edges, fail, pops = self.plain
+        step, state, total = edges.get, 0, 0
+        for c in word:
+            c = ord(c)
+            while (nxt := step(state << _BITS | c)) is None:
+                total += pops[state]
+                state = fail[state]
+                if state < 0:
+                    return -1
+            state = nxt
+        while state > 1:
+            total += pops[state]
+            state = fail[state]
+        return -1 if state < 0 else total
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "plain"}
+
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each word; -1 where the vocabulary cannot spell it."""
         n = len(words)
@@ -140,12 +164,15 @@ def count_tokens(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
         known = _WORDS.setdefault(key, {})
         for b in batches:
             words = [WORD.findall(t) if t else [] for t in b.column(1).to_pylist()]
-            new = list(set().union(*words).difference(known))
+            every = set().union(*words)
+            long = {w: auto.value.count(w) for w in every if len(w) > LONG}
+            every.difference_update(long)
+            new = list(every.difference(known))
             if len(known) + len(new) > memory:
                 known.clear()
-                new = list(set().union(*words))
+                new = list(every)
             known.update(zip(new, auto.value.counts(new).tolist(), strict=True))
-            got = known.__getitem__
+            got = known.__getitem__ if not long else lambda w: long[w] if len(w) > LONG else known[w]
             found = [list(map(got, w)) for w in words]
             unknown = [f.count(-1) for f in found]
             yield pa.RecordBatch.from_arrays(
