@@ -32,11 +32,14 @@ def crc_mod(col: str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a new local one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all runs on this machine, as in tests, a new local one is set; on a
+    cluster, executors would lose what they write to a local folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

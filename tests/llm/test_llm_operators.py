@@ -166,6 +166,17 @@ def test_op3_links(spark):
     assert op3.link_documents(make(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_op3_one_id_with_different_texts(spark):
+    r = random.Random(15)
+    a, b = prose(r, 50), prose(r, 50)
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (5, prose(r, 50)), (5, b), (7, a), (1, b), (9, " ".join(prose(r, 1) + str(i) for i in range(30_000)))]
+    got = op3.link_documents(make(spark, [t for _, t in rows], [d for d, _ in rows])).collect()
+    want = {1: {1}, 2: {1}, 3: {1}, 5: {1, 5}, 7: {1}, 9: {9}}
+    assert {d: {x.component_id for x in got if x.doc_id == d} for d in want} == want and len(got) == len(rows)
+    assert all(x.kept == (x.doc_id == x.component_id) for x in got)
+
+
 def test_op3_large_group_and_blocks(spark, monkeypatch):
     r = random.Random(9)
     base, rows = [prose(r, 1) + str(i) for i in range(40)], []
@@ -322,6 +333,23 @@ def test_op8_gradient_and_cover():
     for n in (0, 1, 511, 512, 513, 5000):
         st = op8.chunk_starts(n)
         assert st[0] == 0 and st[-1] + op8.CHUNK >= n and (np.diff(st) <= op8.CHUNK - 4).all()
+    for n in (1, 16, 17, 95, 500):
+        assert set(np.concatenate([op8.training_chunks(np.arange(n), e) for e in range(op8.EPOCHS)])) == set(range(n))
+
+
+def test_op8_scores_as_a_plain_version():
+    """The probability from all bytes, chunk by chunk, response by response."""
+    net, r = op8.ByteNet(), np.random.default_rng(2)
+    texts = ["", "abc", "some words of a text, " * 60, "".join(map(chr, r.integers(32, 300, 1500)))]
+    got = net.probability(*joined_texts(pa.array(texts)))
+    for t, p in zip(texts, got):
+        data, best = t.encode(), []
+        for s in op8.chunk_starts(len(data)):
+            chunk = data[s : s + op8.CHUNK].ljust(op8.CHUNK, b"\0")
+            z = [np.concatenate([net.p["e"][c] for c in chunk[i : i + op8.WIDTH]]) @ net.p["w"] + net.p["b"] for i in range(0, op8.CHUNK - op8.WIDTH + 1, op8.STRIDE)]
+            best.append(np.maximum(np.max(z, axis=0), 0))
+        h = np.concatenate([np.max(best, axis=0), np.mean(best, axis=0)])
+        assert abs(1 / (1 + np.exp(-(h @ net.p["v"] + net.p["c"][0]))) - p) < 1e-4
 
 
 def test_learned_scores_ignore_order_and_repeats(spark):
@@ -556,12 +584,15 @@ def test_op10_counts(spark):
         return n
 
     r = random.Random(12)
-    texts = [prose(r, 30), None, "", "☃☃ snow", "unbelievable tokenization of\tZusammenhänge", "x" * 5000, "\x1cfoo bar"]
+    texts = [prose(r, 30), None, "", "☃☃ snow", "unbelievable tokenization of\tZusammenhänge", "x" * 5000, "\x1cfoo bar", "x" * 200 + " " + "token" * 2000 + " y", "ab☃" * 300 + " ab"]
     got = {x.doc_id: (x.n_words, x.n_tokens, x.n_unknown) for x in op10.count_tokens(make(spark, texts), pieces).collect()}
     for i, t in enumerate(texts):
         c = [brute(w) for w in WORD.findall(t or "")]
         assert got[i] == (len(c), sum(1 if x is None else x for x in c), c.count(None))
     assert op10.count_tokens(make(spark, texts).limit(0), pieces).count() == 0
+    auto, some = op10.Automaton(*op10.split_vocabulary(pieces)), [w for t in texts for w in WORD.findall(t or "")]
+    assert [auto.count(w) for w in some] == auto.counts(some).tolist()
+    assert auto.count("e" * 3_000_000) > 0  # linear in the word, not a step of an array each character
 
 
 # --- pipeline ------------------------------------------------------------------------------------------------------------------------
