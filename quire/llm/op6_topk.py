@@ -6,14 +6,19 @@ down, adding impacts to accumulators. With R the sum of the dimensions' next imp
 the k-th greatest minus E minus R cannot be among the k best. Processing stops when that leaves few possible members, or at the end; all of them are then
 rescored exactly, so the early stop never changes a result.
 
-Queries meet shards in blocks (QUERY_BLOCK queries, SHARD vectors), and each block pair returns k rows a query, which a window merges. Nothing is collected.
+A shard's vectors lie before all queries in its task's rows: its index is built once, and the queries stream through it batch by batch. So every vector is shuffled
+once and every query once a shard; a task holds SHARD vectors. Each shard returns k rows a query, which a window merges. Nothing is collected.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part; missing components of a shorter vector are
-0; rows that share a query's id are its own and no candidates; other repeated rows are candidates each; ties go to the smaller id; other columns are ignored.
+0; rows that share a query's id are its own and no candidates; query rows of one id with different vectors are queries of their own, each with its ranks, equal ones are one;
+other repeated rows are candidates each; ties go to the smaller id; other columns are ignored. Scores are ranked exactly whatever their size; a component beyond 2**52 counts as that,
+and a score beyond 64 bits is shown as the nearest 64-bit number.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +27,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import partitions, table
 
 LEVELS = 16
-SHARD, QUERY_BLOCK = 8192, 2048
+#: Vectors of a shard.
+SHARD = 1 << 15
+#: The greatest component.
+LIMIT = 1 << 52
 #: Possible members at which processing may stop, as a multiple of k, and the segments between looks.
 FEW, LOOK = 8, 96
 
@@ -107,47 +115,69 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def _search(t: pa.Table, k: int) -> pa.Table:
-    """The k best of one shard for each query of one block."""
-    t = t.sort_by([("side", "ascending"), ("vec_id", "ascending")]).combine_chunks()
-    side, ids, column = t.column("side").to_numpy(), t.column("vec_id").to_numpy(), t.column("v").combine_chunks()
-    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    n = int((side == 0).sum())
-    width = int(np.diff(column.offsets.to_numpy()).max(initial=0))
-    x = _matrix(column, max(width, 1))
-    queries, vectors, qid, vid = x[:n], x[n:], ids[:n], ids[n:]
-    out = ([], [], [])
-    if n and len(vectors):
-        if float(np.abs(queries).max()) * float(np.abs(vectors).max()) * max(width, 1) >= 2**60:
-            raise ValueError("components too large for 64-bit scores")
-        index = ShardIndex(vectors)
-        for q, i in zip(queries, qid, strict=True):
-            v, s = index.best(q, k, vid, i)
-            out[0].append(np.full(len(v), i))
-            out[1].append(v)
-            out[2].append(s)
-    cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-    return pa.Table.from_arrays(cols, names=["query_id", "vec_id", "score"])
-
-
-def top_k(vectors: DataFrame, modulus: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _scan(k: int, width: int, wide: bool):
+    """Streams rows (shard, side, q, vec_id, v), a shard's vectors (side 0) before its queries: the k best of the shard for each query. ``wide``: scores may not fit 64 bits."""
+    score_type = pa.decimal128(38, 0) if wide else pa.int64()
+
+    def run(batches):
+        shard, held, index, ids = None, [], None, None
+        for b in batches:
+            of, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(of) | np.diff(side)) + 1
+            for a, z in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                if a == z:
+                    continue
+                if of[a] != shard:
+                    shard, held, index, ids = of[a], [], None, None
+                part = b.slice(a, z - a)
+                if side[a] == 0:
+                    held.append(part)
+                    continue
+                if index is None:
+                    whole = pa.Table.from_batches(held).combine_chunks() if held else None
+                    ids = whole.column("vec_id").to_numpy() if held else np.zeros(0, np.int64)
+                    x = _matrix(whole.column("v").chunk(0), width) if held else np.zeros((0, width), np.int64)
+                    held = []
+                    index = (x.astype(object) if wide else ShardIndex(x)) if len(x) else None
+                    if index is None:
+                        continue
+                out = ([], [], [], [])
+                for q, key, i in zip(_matrix(part.column(4), width), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if wide:
+                        score = index @ q.astype(object)
+                        order = sorted(np.flatnonzero(ids != i).tolist(), key=lambda r: (-score[r], ids[r]))[:k]
+                        v, score = ids[order], [score[r] for r in order]
+                    else:
+                        v, score = index.best(q, k, ids, i)
+                    for c, x in zip(out, ([i] * len(v), [key] * len(v), v, score), strict=True):
+                        c.extend(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array([Decimal(int(x)) for x in out[3]] if wide else out[3], score_type)], names=["query_id", "q", "vec_id", "score"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, modulus: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: queries are the rows whose id is divisible by ``modulus``, candidates all others."""
     spark = vectors.sparkSession
     v = F.col(vector_col)
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     )
-    ints = whole.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
-    n, nq = ints.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("vec_id") % modulus == 0).cast("long")), F.lit(0))).first()
-    shards = max(-(-n // SHARD), min(partitions(spark), -(-n // 512)), 1)
-    blocks = max(-(-nq // QUERY_BLOCK), 1)
-    deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    queries = ints.filter(F.col("vec_id") % modulus == 0).distinct().select(deal(blocks, 1).alias("block"), every(shards).alias("shard"), F.lit(0).alias("side"), "vec_id", "v")
-    data = ints.select(every(blocks).alias("block"), deal(shards, 2).alias("shard"), F.lit(1).alias("side"), "vec_id", "v")
-    found = queries.unionByName(data.select("block", "shard", "side", "vec_id", "v")).groupBy("block", "shard").applyInArrow(lambda t: _search(t, k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    bounded = lambda x: F.greatest(F.least(F.floor(x * F.lit(float(scale))), F.lit(LIMIT)), F.lit(-LIMIT))
+    ints = whole.select("vec_id", F.transform("v", bounded).alias("v"))
+    most = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0))
+    n, width, greatest = ints.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(most), F.lit(0))).first()
+    wide = int(greatest) ** 2 * max(width, 1) >= 2**60
+    shards = max(-(-n // (shard or SHARD)), min(partitions(spark), -(-n // 512)), 1)
+    data = ints.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("q"), "vec_id", "v")
+    queries = ints.filter(F.col("vec_id") % modulus == 0).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), F.xxhash64("v").alias("q"), "vec_id", "v")
+    met = queries.unionByName(data).repartition("shard").sortWithinPartitions("shard", "side", "vec_id")
+    found = met.mapInArrow(_scan(k, max(width, 1), wide), f"query_id long, q long, vec_id long, score {'decimal(38, 0)' if wide else 'long'}")
+    w = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ends = [F.lit(x).cast("decimal(38, 0)") for x in (str(2**63 - 1), str(-(2**63)))]
+    shown = F.greatest(F.least("score", ends[0]), ends[1]).cast("long").alias("score") if wide else F.col("score")
+    return best.select("query_id", "rank", "vec_id", shown)
 
 
 def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

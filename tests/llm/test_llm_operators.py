@@ -441,7 +441,6 @@ def test_op5_subwords():
 @pytest.mark.parametrize("few", [1, 8])
 def test_op6_exact(spark, monkeypatch, few):
     monkeypatch.setattr(op6, "SHARD", 130)
-    monkeypatch.setattr(op6, "QUERY_BLOCK", 3)
     monkeypatch.setattr(op6, "FEW", few)
     r = np.random.default_rng(6)
     x = r.normal(0, 0.2, (700, 8))
@@ -457,6 +456,18 @@ def test_op6_exact(spark, monkeypatch, few):
     assert op6.top_k(df.limit(0)).count() == 0
 
 
+def test_op6_large_components_and_two_vectors_of_one_id(spark):
+    rows = [(0, [1e9, 2e9]), (0, [1.0, -1.0]), (0, [1.0, -1.0]), (1, [3e9, 1e9]), (2, [2e9, 2e9]), (3, [1e300, -1.0]), (4, [0.5, 0.25]), (5, [2e9, 2e9]), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    clip = lambda x: max(min(int(np.floor(1024 * x)), 1 << 52), -(1 << 52))
+    ints = [(i, [clip(x) for x in v] + [0] * (2 - len(v))) for i, v in rows]
+    want = []
+    for q in {tuple(v) for i, v in ints if i == 0}:
+        best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in ints if i != 0)
+        want += [(0, k, i, max(min(-s, 2**63 - 1), -(2**63))) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, op6.top_k(df).collect())) == sorted(want)
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------------------------
 
 
