@@ -50,10 +50,13 @@ IMPLIED = {
 }
 WALLS = frozenset("table td th caption body html".split())
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer foot masthead topbar toolbar pagination pager "
-    "comment comments commentlist disqus reply replies respond discussion reactions cookie cookies consent gdpr notice notification alert popup modal overlay lightbox newsletter subscribe subscription signup login register "
-    "share sharing social follow related recommended recommendations trending search searchbox form feedback skip copyright legal".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer foot masthead topbar toolbar pagination pager "
+    "comments commentlist disqus respond discussion reactions cookie cookies consent gdpr notification overlay lightbox newsletter subscribe subscription signup login register "
+    "sharing social recommended recommendations trending searchbox feedback copyright".split()
 )
+#: Words that mean boilerplate only in a name of such words, boilerplate words and PLAIN_WORDS: share-buttons, but not share-price.
+OPEN_WORDS = frozenset("share follow related search form skip legal rail alert notice promo banner top head header popup modal reply replies comment response".split())
+PLAIN_WORDS = frozenset("a an and the us me to of in on by bar box button buttons link links icon icons list item items row rows group section area block widget panel pane wrap wrapper container inner outer left right bottom main site page global post posts article articles story stories text title heading field fields input content module component desktop mobile sticky fixed primary secondary mini small large more this".split())
 HEAD_WORDS = frozenset("header head".split())
 GOOD_WORDS = frozenset("article content main story entry post body text".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -72,7 +75,7 @@ def _named(attrs: str) -> int:
                 words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
                 if not words or words[0] in ("with", "has", "no", "without"):
                     continue
-                if BAD_WORDS.intersection(words) or key == "role" and words[0] in ("complementary", "contentinfo", "dialog", "alertdialog"):
+                if BAD_WORDS.intersection(words) or OPEN_WORDS.intersection(words) and all(w in OPEN_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words) or key == "role" and words[0] in ("complementary", "contentinfo", "dialog", "alertdialog"):
                     return 2
                 if HEAD_WORDS.intersection(words) and not GOOD_WORDS.intersection(words):
                     return 2
@@ -254,6 +257,9 @@ def _choose(t: _Tree) -> list[bool]:
     for i in range(n - 1, 0, -1):
         linked[t.parent[i]] += linked[i]
         parts[t.parent[i]] += parts[i]
+    said = [False] * n  # has words of its own outside links
+    for node, text, link in t.text:
+        said[node] |= not link and any(c.isalpha() for c in text)
     best = max(range(n), key=lambda i: -1.0 if t.bad[i] else total[i])
     path, i = [], best
     while i > 0 and t.tag[i] not in ("body", "html"):
@@ -275,7 +281,7 @@ def _choose(t: _Tree) -> list[bool]:
             continue
         if inside[p]:
             beside = not marked and p in above and i not in on  # not in the densest subtree: there a list of links is a menu
-            inside[i] = linked[i] < 2 or (parts[i] > 0 if beside else density[i] > 0)  # a block of links only is a menu
+            inside[i] = linked[i] < 2 or (parts[i] > 0 if beside else density[i] > 0) or t.tag[i] == "p" and said[i]  # a block of links only is a menu
         elif marked and i not in on and (density[i] >= max(floor, 1e-9) or t.good[i] and density[i] > 0):
             inside[i] = True
     return inside

@@ -121,6 +121,17 @@ def test_op2_keeps_the_whole_article_without_landmarks():
     assert op2.extract(page(f"<article>{tags('p', three)}</article><article><p>Short.</p></article>")).split("\n\n") == [*three, "Short."]
 
 
+def test_op2_names_and_links_inside_an_article():
+    para = "Some words of the article that go on for a while, as paragraphs do, and on."
+    names = "share-price form-factor legal-news follow-up related-work search-history skip-lists rail-transport top-story notice-period".split()
+    kept = "".join(f'<div class="{x}"><p>{i} {para}</p></div>' for i, x in enumerate(names))
+    gone = "".join(f'<div class="{x}"><p>{para}</p></div>' for x in "share-buttons related-posts search-box follow-us comments menu site-header sidebar-left legal ad-slot".split())
+    two = '<p><a href="/a">One link</a> and <a href="/b">another</a>.</p>'
+    got = op2.extract(f"<body><article><h1>T</h1>{kept}{gone}{two}<p><a href=/>Prev</a> | <a href=/>Next</a></p></article></body>").split("\n\n")
+    assert got == ["T", *(f"{i} {para}" for i in range(len(names))), "One link and another."]
+    assert op2.extract("<p>" + "word " * 400_000 + "</p>").count("word") == 400_000
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------------------------
 
 
