@@ -55,8 +55,8 @@ BAD_WORDS = frozenset(
     "sharing social recommended recommendations trending searchbox feedback copyright".split()
 )
 #: Words that mean boilerplate only in a name of such words, boilerplate words and PLAIN_WORDS: share-buttons, but not share-price.
-OPEN_WORDS = frozenset("share follow related search form skip legal rail alert notice promo banner top head header popup modal reply replies comment response".split())
-PLAIN_WORDS = frozenset("a an and the us me to of in on by bar box button buttons link links icon icons list item items row rows group section area block widget panel pane wrap wrapper container inner outer left right bottom main site page global post posts article articles story stories text title heading field fields input content module component desktop mobile sticky fixed primary secondary mini small large more this".split())
+OPEN_WORDS = frozenset("share follow related search form skip legal rail alert notice promo banner popup modal reply replies comment response".split())
+PLAIN_WORDS = frozenset("a an and the us me to of in on by bar box button buttons link links top icon icons list item items row rows group section area block widget panel pane wrap wrapper container inner outer left right bottom main site page global post posts article articles story stories text title heading field fields input content module component desktop mobile sticky fixed primary secondary mini small large more this".split())
 HEAD_WORDS = frozenset("header head".split())
 GOOD_WORDS = frozenset("article content main story entry post body text".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
