@@ -281,7 +281,7 @@ def _choose(t: _Tree) -> list[bool]:
             continue
         if inside[p]:
             beside = not marked and p in above and i not in on  # not in the densest subtree: there a list of links is a menu
-            inside[i] = linked[i] < 2 or (parts[i] > 0 if beside else density[i] > 0) or t.tag[i] == "p" and said[i]  # a block of links only is a menu
+            inside[i] = linked[i] < 2 or (said[i] if t.tag[i] == "p" else parts[i] > 0 if beside else density[i] > 0)  # a block of links only is a menu
         elif marked and i not in on and (density[i] >= max(floor, 1e-9) or t.good[i] and density[i] > 0):
             inside[i] = True
     return inside
