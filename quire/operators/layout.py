@@ -43,14 +43,13 @@ def page_ranges(pages: DataFrame) -> DataFrame:
 
 
 def parsed_ranges(specs: DataFrame) -> DataFrame:
-    """The pages that a specification names: "1-20", "1-5,8", "30-", "-3", full-width digits; none for what is malformed or out of range."""
-    flat = F.regexp_replace(F.translate("spec", "０１２３４５６７８９－，～、", "0123456789-,-,"), r"\s", "")
-    part = F.explode(F.split(flat, ","))
-    p = specs.select("doc_id", "total", part.alias("part")).filter(F.col("part").rlike(r"^(\d+|\d+-\d*|-\d+)$"))
-    a, b = F.regexp_extract("part", r"^(\d+)", 1), F.regexp_extract("part", r"(\d+)$", 1)
-    lo = F.when(a == "", F.lit(1)).otherwise(a.try_cast("int"))
-    hi = F.when(F.col("part").endswith("-"), F.col("total")).otherwise(b.try_cast("int"))
-    r = p.select("doc_id", F.greatest(lo, F.lit(1)).alias("lo"), F.least(hi, F.col("total")).alias("hi")).filter("lo <= hi")
+    """The pages that a specification names: "1-20", "1-5,8", "30-", "-3", 第3至5页, 前4, full-width digits and signs; none where a part is malformed or all are out of range."""
+    flat = F.regexp_replace(F.translate("spec", "０１２３４５６７８９–—－~～至到，、;；", "0123456789" + "-" * 7 + "," * 4), "[第页頁\\s]", "")
+    parts = F.filter(F.split(F.regexp_replace(flat, r"前(\d+)", "1-$1"), ","), lambda x: x != "")
+    p = specs.select("doc_id", "total", parts.alias("parts")).filter(F.forall("parts", lambda x: x.rlike(r"^(\d+|\d+-\d*|-\d+)$"))).select("doc_id", "total", F.explode("parts").alias("part"))
+    a, b = F.regexp_extract("part", r"^(\d+)", 1).try_cast("int"), F.regexp_extract("part", r"(\d+)$", 1).try_cast("int")
+    lo, hi = F.coalesce(a, F.lit(1)), F.when(F.col("part").endswith("-"), F.col("total")).otherwise(b)
+    r = p.select("doc_id", F.greatest(F.least(lo, hi), F.lit(1)).alias("lo"), F.least(F.greatest(lo, hi), F.col("total")).alias("hi")).filter("lo <= hi")
     return r.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("page")).distinct()
 
 
@@ -79,23 +78,45 @@ def cell_texts(spans: DataFrame, cells: DataFrame) -> DataFrame:
     return s.alias("s").join(c, inside, "left").select("s.doc_id", "s.page", "elem", "cell")
 
 
+def merged_rules(segments: DataFrame, tol: float = 1.5) -> DataFrame:
+    """Segments of one direction that lie on one line (within half a point) and overlap or nearly meet, as one: horizontal, at (their place), a, b (from, to)."""
+    level = F.when(F.col("horizontal"), F.col("y0")).otherwise(F.col("x0"))
+    ends = F.when(F.col("horizontal"), F.struct(F.col("x0").alias("a"), F.col("x1").alias("b"))).otherwise(F.struct(F.col("y0").alias("a"), F.col("y1").alias("b")))
+    s = segments.select("doc_id", "page", "horizontal", (F.round(level * 2) / 2).alias("at"), F.least(ends["a"], ends["b"]).alias("a"), F.greatest(ends["a"], ends["b"]).alias("b"))
+    w = Window.partitionBy("doc_id", "page", "horizontal", "at").orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = s.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach + tol), 1).otherwise(0)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "page", "horizontal", "at", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+
+
 def edge_coverage(cells: DataFrame, segments: DataFrame, tol: float = 2.0, part: float = 0.6) -> DataFrame:
-    """How much of each cell's top edge horizontal segments within ``tol`` cover, and whether that makes a border."""
-    h = segments.filter("horizontal").select("doc_id", "page", F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("y0").alias("y"))
-    over = F.greatest(F.least("x1", "b") - F.greatest("x0", "a"), F.lit(0.0))
-    near = F.when(F.abs(F.col("y") - F.col("y0")) <= tol, over).otherwise(0.0)
-    got = cells.join(h, ["doc_id", "page"], "left").groupBy("doc_id", "page", "cell").agg(F.sum(F.coalesce(near, F.lit(0.0))).alias("len"), F.max(F.col("x1") - F.col("x0")).alias("width"))
+    """How much of each cell's four edges merged segments within ``tol`` cover, and whether that makes a border."""
+    edge = lambda side, horizontal, at, a, b: F.struct(F.lit(side).alias("edge"), F.lit(horizontal).alias("horizontal"), F.col(at).alias("level"), F.col(a).alias("lo"), F.col(b).alias("hi"))
+    sides = F.explode(F.array(edge("top", True, "y0", "x0", "x1"), edge("bottom", True, "y1", "x0", "x1"), edge("left", False, "x0", "y0", "y1"), edge("right", False, "x1", "y0", "y1")))
+    e = cells.select("doc_id", "page", "cell", sides.alias("e")).select("doc_id", "page", "cell", "e.*")
+    over = F.greatest(F.least("hi", "b") - F.greatest("lo", "a"), F.lit(0.0))
+    near = F.when(F.abs(F.col("at") - F.col("level")) <= tol, over).otherwise(0.0)
+    got = e.join(merged_rules(segments), ["doc_id", "page", "horizontal"], "left").groupBy("doc_id", "page", "cell", "edge").agg(F.sum(F.coalesce(near, F.lit(0.0))).alias("len"), F.max(F.col("hi") - F.col("lo")).alias("width"))
     share = F.least(F.col("len") / F.col("width"), F.lit(1.0))
-    return got.select("doc_id", "page", "cell", F.round(share, 6).alias("share"), (share >= part).alias("border"))
+    return got.select("doc_id", "page", "cell", "edge", F.round(share, 6).alias("share"), (share >= part).alias("border"))
+
 
+def gutters(spans: DataFrame) -> DataFrame:
+    """The best place for a column gutter on each page: of the whole points in the middle 40 % of its text's width, the leftmost with the greatest min(left, right) - crossing.
 
-def gutters(spans: DataFrame, width: int = 600) -> DataFrame:
-    """The best place for a column gutter on each page: of the places in the middle 40 %, the leftmost with the greatest min(left, right) - crossing."""
+    Left, right and crossing lines come from running counts of where lines end and begin, so a page's lines and places are each met once.
+    """
     lines = spans.select("doc_id", "page", "x0", "x1")
-    xs = lines.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(F.sequence(F.lit(width * 3 // 10), F.lit(width * 7 // 10))).alias("x"))
-    n = lambda c: F.sum(c.cast("long"))
-    scored = xs.join(lines, ["doc_id", "page"]).groupBy("doc_id", "page", "x").agg((F.least(n(F.col("x1") <= F.col("x")), n(F.col("x0") >= F.col("x"))) - n((F.col("x0") < F.col("x")) & (F.col("x1") > F.col("x")))).alias("score"))
-    return scored.groupBy("doc_id", "page").agg(F.max_by("x", F.struct(F.col("score"), -F.col("x"))).alias("x"), F.max("score").alias("score"))
+    page = lines.groupBy("doc_id", "page").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"), F.count(F.lit(1)).alias("n"))
+    xs = page.select("doc_id", "page", F.explode(F.sequence(F.ceil(F.col("lo") + 0.3 * (F.col("hi") - F.col("lo"))), F.floor(F.col("lo") + 0.7 * (F.col("hi") - F.col("lo"))))).alias("x"), "n", F.lit(0).alias("ended"), F.lit(0).alias("begun"))
+    xs = xs.filter("x IS NOT NULL")
+    no = F.lit(None).cast("long").alias("n")
+    events = lines.select("doc_id", "page", F.ceil("x1").alias("x"), no, F.lit(1).alias("ended"), F.lit(0).alias("begun")).unionByName(lines.select("doc_id", "page", (F.floor("x0") + 1).alias("x"), no, F.lit(0).alias("ended"), F.lit(1).alias("begun")))
+    upto = Window.partitionBy("doc_id", "page").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    counted = xs.unionByName(events).withColumn("left", F.sum("ended").over(upto)).withColumn("begun", F.sum("begun").over(upto)).filter("n IS NOT NULL")
+    right = F.col("n") - F.col("begun")
+    scored = counted.select("doc_id", "page", "x", (F.least(F.col("left"), right) - (F.col("n") - F.col("left") - right)).alias("score"))
+    return scored.groupBy("doc_id", "page").agg(F.max_by("x", F.struct(F.col("score"), -F.col("x"))).cast("int").alias("x"), F.max("score").alias("score"))
 
 
 def touching(segments: DataFrame, tol: float = 2.5) -> DataFrame:
@@ -186,7 +207,7 @@ def repeated_lines(lines: DataFrame, holder: str = "doc_id", least: int = 2) ->
 def page_counters(spans: DataFrame, least: float = 0.8) -> DataFrame:
     """Numbers in lines that follow the page: text with digits made alike, position of the number, its offset to the page, pages that agree."""
     nums = spans.select("doc_id", "page", F.regexp_replace("text", "[0-9]+", "#").alias("norm"), F.posexplode(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).alias("pos", "n"))
-    by = nums.groupBy("doc_id", "norm", "pos", (F.col("n").cast("int") - F.col("page")).alias("shift")).agg(F.countDistinct("page").alias("pages"), F.countDistinct("n").alias("numbers"))
+    by = nums.groupBy("doc_id", "norm", "pos", (F.col("n").try_cast("long") - F.col("page")).alias("shift")).agg(F.countDistinct("page").alias("pages"), F.countDistinct("n").alias("numbers"))
     total = spans.groupBy("doc_id").agg(F.countDistinct("page").alias("total"))
     return by.join(total, "doc_id").filter((F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("total") * least))) & (F.col("numbers") >= 2)).select("doc_id", "norm", "pos", "shift", "pages")
 
@@ -217,7 +238,7 @@ def highlights(spans: DataFrame, fills: DataFrame) -> DataFrame:
 def page_offset(spans: DataFrame) -> DataFrame:
     """The difference between printed and actual page number on which most pages agree, at least two and half of them; of equal ones the least."""
     nums = spans.select("doc_id", "page", F.explode(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).alias("n"))
-    by = nums.groupBy("doc_id", (F.col("n").cast("int") - F.col("page")).alias("shift")).agg(F.countDistinct("page").alias("pages"))
+    by = nums.groupBy("doc_id", (F.col("n").try_cast("long") - F.col("page")).alias("shift")).agg(F.countDistinct("page").alias("pages"))
     best = by.groupBy("doc_id").agg(F.max_by("shift", F.struct(F.col("pages"), -F.col("shift"))).alias("shift"), F.max("pages").alias("pages"))
     total = spans.groupBy("doc_id").agg(F.countDistinct("page").alias("total"))
     return best.join(total, "doc_id").filter((F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("total") / 2)))).select("doc_id", "shift", "pages")
@@ -230,12 +251,12 @@ def header_signatures(spans: DataFrame, top: float = 80.0) -> DataFrame:
     return by.groupBy("doc_id", "odd").agg(F.min_by("line", F.struct(-F.col("n"), F.col("line"))).alias("line"), F.max("n").alias("n"))
 
 
-def zones(spans: DataFrame, gutter: float = 306.0) -> DataFrame:
-    """Runs of lines that cross the gutter and of lines beside it, from the top of each page down."""
+def zones(spans: DataFrame, gutter: DataFrame) -> DataFrame:
+    """Runs of lines that cross their page's gutter (doc_id, page, x; none: one column) and of lines beside it, from the top of each page down."""
     w = Window.partitionBy("doc_id", "page").orderBy("top", "x0")
-    full = (F.col("x0") < gutter) & (F.col("x1") > gutter)
-    new = F.when(full == F.lag(full).over(w), 0).otherwise(1)
-    run = spans.select("doc_id", "page", "top", "x0", "bottom", full.alias("full"), new.alias("new")).withColumn("zone", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    full = F.coalesce((F.col("x0") < F.col("x")) & (F.col("x1") > F.col("x")), F.lit(True))
+    s = spans.join(gutter.select("doc_id", "page", "x"), ["doc_id", "page"], "left").select("doc_id", "page", "top", "x0", "bottom", full.alias("full"))
+    run = s.withColumn("new", F.when(F.col("full") == F.lag("full").over(w), 0).otherwise(1)).withColumn("zone", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy("doc_id", "page", "zone").agg(F.first("full").alias("full"), F.count(F.lit(1)).alias("lines"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
 
 
@@ -280,3 +301,13 @@ def fill_cells(cells: DataFrame, fills: DataFrame) -> DataFrame:
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     met = cells.join(f, ["doc_id", "page"]).filter((cx >= F.col("a")) & (cx <= F.col("b")) & (cy >= F.col("top")) & (cy <= F.col("bottom")))
     return cells.select("doc_id", "page", "cell").join(met.groupBy("doc_id", "page", "cell").agg(F.max_by("color", "fill").alias("color")), ["doc_id", "page", "cell"], "left")
+
+
+def heading_levels(spans: DataFrame, body: float = 10.0) -> DataFrame:
+    """Levels 1 to 3 of each document's heading styles (size, weight, font): larger first, then bold; a style as frequent as body text (over max(3, 15 %)) is none."""
+    style = ["doc_id", "size", "bold", "font"]
+    s = spans.groupBy(*style).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("size") > body) | F.col("bold")).alias("c"))
+    total = F.sum("n").over(Window.partitionBy("doc_id"))
+    valid = s.withColumn("total", total).filter((F.col("c") > 0) & (F.col("n") <= F.greatest(F.lit(3.0), F.col("total") * 0.15)))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("size").desc(), F.col("bold").desc(), "font"))
+    return valid.select(*style, "n", F.least(F.lit(3), rank).alias("level"))

@@ -10,31 +10,42 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import blocks, compare, control, layout, markup, search
 from quire.plans.tables import table
-from quire.sources.fixtures import fixture, values_sql
+from quire.sources.derived import TABLES as DERIVED, Corpus, derived
+from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
 from quire.sources.html import with_html_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query; ``sql`` may name inline tables as {name}."""
+def rows(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """An operator's input: inline rows, or the table derived from the driver's tables."""
+    return derived(spark, str(d), name) if isinstance(d, Corpus) and name in DERIVED else fixture(spark, name)
+
+
+def query(sql: str | None = None, corpus: bool = True):
+    """Register a query; ``sql`` may name input tables as {name}. With ``corpus`` a query over such tables is registered a second time as <name>_corpus, over inputs derived
+    from the driver's tables."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            out = sql
-            from quire.sources.fixtures import TABLES
-
-            for n in TABLES:
-                if "{" + n + "}" in out:
-                    out = out.replace("{" + n + "}", values_sql(n))
-            ORACLE_SQL[f.__name__] = out
+            named = [n for n in INLINE if "{" + n + "}" in sql]
+            ORACLE_SQL[f.__name__] = _filled(sql, {n: values_sql(n) for n in named})
+            if corpus and any(n in DERIVED for n in named):
+                QUERIES[f.__name__ + "_corpus"] = lambda spark, d: f(spark, Corpus(d))
+                ORACLE_SQL[f.__name__ + "_corpus"] = _filled(sql, {n: DERIVED[n][1] if n in DERIVED else values_sql(n) for n in named})
         return f
 
     return put
 
 
+def _filled(sql: str, tables: dict[str, str]) -> str:
+    for n, t in tables.items():
+        sql = sql.replace("{" + n + "}", t)
+    return sql
+
+
 _SP = r"[\t\n\x{0b}\x{0c}\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 #: Blocks of texts without fences and front matter, which the tables don't have.
 _BLOCKS = rf"""
@@ -92,7 +103,7 @@ def search_snippets(spark, d):
 
 @query()
 def search_fuzzy(spark, d):
-    return search.fuzzy_matches(fixture(spark, "odd_texts").select(F.col("id").cast("long").alias("doc_id"), "text"), "'s' - x y")
+    return search.fuzzy_matches(rows(spark, d, "odd_texts").select(F.col("id").cast("long").alias("doc_id"), "text"), "'s' - x y")
 
 
 @query(rf"SELECT doc_id, length(n) AS n_chars, md5(n) AS digest FROM (SELECT doc_id, regexp_replace(translate(text, '{tx.TYPOGRAPHIC.replace(chr(39), chr(39) * 2)}', '{tx.PLAIN.replace(chr(39), chr(39) * 2)}'), '[ \n\r]+', ' ', 'g') AS n FROM documents)")
@@ -131,10 +142,10 @@ KEEP_PREFIX = "multi cross self non pre post co sub semi anti inter intra over u
 
 @query()
 def soft_hyphen_decisions(spark, d):
-    text = fixture(spark, "hyphen_text").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("all"))
+    text = rows(spark, d, "hyphen_text").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("all"))
     seen = text.select(F.array_distinct(F.flatten(F.transform("w", lambda x: F.array(F.lower(x), F.replace(F.lower(x), F.lit("-"), F.lit("")))))).alias("seen"), F.transform("all", F.lower).alias("all"))
     base = F.rtrim(F.regexp_replace("a", "-$", ""))
-    p = fixture(spark, "hyphens").select("id", "a", "b", F.regexp_extract(base, "([A-Za-z]+)$", 1).alias("ra"), F.regexp_extract("b", "^([A-Za-z]+)", 1).alias("rb"), base.alias("base")).crossJoin(F.broadcast(seen))
+    p = rows(spark, d, "hyphens").select("id", "a", "b", F.regexp_extract(base, "([A-Za-z]+)$", 1).alias("ra"), F.regexp_extract("b", "^([A-Za-z]+)", 1).alias("rb"), base.alias("base")).crossJoin(F.broadcast(seen))
     a, b = F.lower("ra"), F.lower("rb")
     times = lambda w: F.size(F.filter("all", lambda x: x == w))
     drop = (
@@ -168,7 +179,7 @@ def char_coverage(spark, d):
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.part, n.part) AS part, CASE WHEN o.part IS NULL THEN 'added' WHEN n.part IS NULL THEN 'lost' WHEN o.body = n.body THEN 'identical' ELSE 'modified' END AS status
 FROM (SELECT * FROM a WHERE version = 0) o FULL JOIN (SELECT * FROM a WHERE version = 1) n ON o.doc_id = n.doc_id AND o.part = n.part""")
 def fidelity_parts(spark, d):
-    p = fixture(spark, "parts")
+    p = rows(spark, d, "parts")
     return compare.fidelity(p.filter("version = 0"), p.filter("version = 1"), ["doc_id", "part"], "body")
 
 
@@ -255,17 +266,17 @@ _REVIEW = "SELECT doc_id, string_agg(text, '' ORDER BY ordinal) FILTER (kind = '
 
 @query(_REVIEW % "true")
 def review_accept(spark, d):
-    return control.reviewed(fixture(spark, "revisions"), True)
+    return control.reviewed(rows(spark, d, "revisions"), True)
 
 
 @query(_REVIEW % "false")
 def review_reject(spark, d):
-    return control.reviewed(fixture(spark, "revisions"), False)
+    return control.reviewed(rows(spark, d, "revisions"), False)
 
 
 @query("SELECT doc_id, rev_id, count(*) AS n FROM {revisions} WHERE rev_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_revisions(spark, d):
-    return fixture(spark, "revisions").filter("rev_id IS NOT NULL").groupBy("doc_id", "rev_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows(spark, d, "revisions").filter("rev_id IS NOT NULL").groupBy("doc_id", "rev_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 @query()
@@ -286,7 +297,7 @@ def html_tag_counts(spark, d):
 
 @query(r"SELECT doc_id, ordinal, repeat(' ', greatest(2 * (level - 1), 0)) || text AS line, regexp_replace(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM {headings}")
 def toc_slugs(spark, d):
-    return blocks.outline(fixture(spark, "headings"))
+    return blocks.outline(rows(spark, d, "headings"))
 
 
 @query("SELECT conv_id, CAST(ceil(sum(length(coalesce(text, ''))) / 2.5) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
@@ -297,7 +308,7 @@ def conversation_tokens(spark, d):
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session, role = 'tool' ORDER BY idx DESC) AS k FROM {tool_results}), f AS (SELECT *, role = 'tool' AND k > 6 AND length(content) >= 1500 AS folded FROM r)
 SELECT session, idx, role, folded, CASE WHEN folded THEN '[旧的工具输出已折叠以节省上下文（原 ' || length(content) || ' 字，开头：' || left(string_split(content, chr(10))[1], 120) || '）。如需其中内容，请重新调用相应工具读取。]' ELSE content END AS content FROM f""")
 def conversation_fold(spark, d):
-    return control.folded_results(fixture(spark, "tool_results"))
+    return control.folded_results(rows(spark, d, "tool_results"))
 
 
 @query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '【用户】' WHEN 'assistant' THEN '【助手】' ELSE '【系统】' END || trim(text), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
@@ -309,7 +320,7 @@ def conversation_transcript(spark, d):
 
 @query()
 def message_pairing(spark, d):
-    return control.paired_messages(fixture(spark, "messages"))
+    return control.paired_messages(rows(spark, d, "messages"))
 
 
 def _usage(spark, d):
@@ -335,7 +346,7 @@ def running_cost(spark, d):
 
 @query()
 def permission_decisions(spark, d):
-    c, r = fixture(spark, "calls"), fixture(spark, "rules")
+    c, r = rows(spark, d, "calls"), rows(spark, d, "rules")
     out = None
     for mode in ("default", "plan", "acceptEdits", "bypassPermissions"):
         x = control.decisions(c, r, mode)
@@ -345,22 +356,22 @@ def permission_decisions(spark, d):
 
 @query("SELECT key, arg_max(value, prio) AS value, arg_max(layer, prio) AS layer FROM {settings} GROUP BY key")
 def settings_layers(spark, d):
-    return control.layered(fixture(spark, "settings"))
+    return control.layered(rows(spark, d, "settings"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY prio, pos) AS INTEGER) AS ordinal, layer, rule FROM {setting_rules}")
 def settings_rules(spark, d):
-    return fixture(spark, "setting_rules").select(F.row_number().over(Window.orderBy("prio", "pos")).alias("ordinal"), "layer", "rule")
+    return rows(spark, d, "setting_rules").select(F.row_number().over(Window.orderBy("prio", "pos")).alias("ordinal"), "layer", "rule")
 
 
 @query("WITH c AS (SELECT * FROM {capabilities}), t AS (SELECT * FROM {tools}) SELECT format, tool, agent_ok AND tool <> 'agent' AS sub_agent FROM t JOIN c ON t.needs = c.capability UNION ALL SELECT f.format, tool, agent_ok AND tool <> 'agent' FROM t, (SELECT DISTINCT format FROM c) f WHERE needs IS NULL")
 def tool_pool_by_format(spark, d):
-    return control.tool_pools(fixture(spark, "tools"), fixture(spark, "capabilities"))
+    return control.tool_pools(rows(spark, d, "tools"), rows(spark, d, "capabilities"))
 
 
 @query("WITH s AS (SELECT * FROM {styles}), p AS (SELECT * FROM {paras}), u AS (SELECT coalesce(style, (SELECT style_id FROM s WHERE is_default AND type = 'paragraph')) AS style_id FROM p UNION ALL SELECT run_style FROM p WHERE run_style IS NOT NULL) SELECT s.style_id, s.name, count(u.style_id) AS in_use FROM s LEFT JOIN u ON u.style_id = s.style_id GROUP BY 1, 2")
 def style_usage(spark, d):
-    return control.style_usage(fixture(spark, "styles"), fixture(spark, "paras"))
+    return control.style_usage(rows(spark, d, "styles"), rows(spark, d, "paras"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT * FROM {styles}), up AS (SELECT style_id, based_on AS at, outline_lvl AS lvl, name, 0 AS hop FROM s UNION ALL SELECT u.style_id, p.based_on, p.outline_lvl, p.name, u.hop + 1 FROM up u JOIN s p ON p.style_id = u.at AND u.hop < 12),
@@ -368,17 +379,17 @@ lv AS (SELECT style_id, arg_min(lvl + 1, hop) AS l FROM up WHERE lvl < 9 GROUP B
 nm AS (SELECT style_id, arg_min(CAST(regexp_extract(lower(name), '^(?:heading |标题 ?|h)([1-9])', 1) AS INTEGER), hop) AS l FROM up WHERE regexp_matches(lower(name), '^(heading |标题 ?|h)[1-9]') GROUP BY 1)
 SELECT s.style_id, coalesce(lv.l, nm.l) AS level FROM s LEFT JOIN lv ON lv.style_id = s.style_id LEFT JOIN nm ON nm.style_id = s.style_id""")
 def style_heading_level(spark, d):
-    return control.heading_levels(spark, fixture(spark, "styles"))
+    return control.heading_levels(spark, rows(spark, d, "styles"))
 
 
 @query("SELECT c.doc_id, c.comment_id, c.author, c.text, a.ref FROM (SELECT * FROM {comments}) c LEFT JOIN (SELECT doc_id, comment_id, arg_min(ref, ordinal) AS ref FROM {anchors} GROUP BY 1, 2) a ON a.doc_id = c.doc_id AND a.comment_id = c.comment_id")
 def comment_anchors(spark, d):
-    return control.first_anchor(fixture(spark, "comments"), fixture(spark, "anchors"))
+    return control.first_anchor(rows(spark, d, "comments"), rows(spark, d, "anchors"))
 
 
 @query("WITH p AS (SELECT * FROM {paras}) SELECT p.doc_id, p.ordinal, coalesce((SELECT max(q.ordinal) FROM p q WHERE q.doc_id = p.doc_id AND q.part = p.part AND coalesce(q.style, '') = coalesce(p.style, '') AND q.text <> '' AND q.ordinal < p.ordinal), (SELECT min(q.ordinal) FROM p q WHERE q.doc_id = p.doc_id AND q.part = p.part AND coalesce(q.style, '') = coalesce(p.style, '') AND q.text <> '' AND q.ordinal > p.ordinal)) AS template FROM p")
 def style_templates(spark, d):
-    return control.style_templates(fixture(spark, "paras"))
+    return control.style_templates(rows(spark, d, "paras"))
 
 
 @query("""WITH b AS (SELECT l_returnflag AS k, l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL), n AS (SELECT k, floor(v * 2 + 0.5) / 2 AS bin, count(*) AS n, max(v) AS hi FROM b GROUP BY 1, 2),
@@ -392,7 +403,7 @@ def dominant_edge(spark, d):
 s AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY bin RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) AS score, sum(n) OVER (PARTITION BY k) AS total FROM n)
 SELECT k AS doc_id, coalesce(max(bin) FILTER (score >= greatest(3, ceil(total * 0.15))), max(hi)) AS edge FROM s GROUP BY 1""")
 def page_right_edge(spark, d):
-    return layout.dominant_edge(fixture(spark, "spans"), "doc_id", "x1")
+    return layout.dominant_edge(rows(spark, d, "spans"), "doc_id", "x1")
 
 
 @query("SELECT l_linestatus, list_sort(list(l_extendedprice))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1")
@@ -410,128 +421,139 @@ def page_ranges(spark, d):
     return layout.page_ranges(table(spark, d, "conversations").filter("role <> 'assistant'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page")))
 
 
-@query(r"""WITH f AS (SELECT doc_id, total, unnest(string_split(regexp_replace(translate(spec, '０１２３４５６７８９－，～、', '0123456789-,-,'), '\s', '', 'g'), ',')) AS p FROM {page_specs}),
-r AS (SELECT doc_id, greatest(CASE WHEN p LIKE '-%' THEN 1 ELSE TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS INTEGER) END, 1) AS lo, least(CASE WHEN p LIKE '%-' THEN total ELSE TRY_CAST(regexp_extract(p, '(\d+)$', 1) AS INTEGER) END, total) AS hi FROM f WHERE regexp_matches(p, '^(\d+|\d+-\d*|-\d+)$'))
-SELECT DISTINCT doc_id, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS page FROM r WHERE lo <= hi""")
+@query(r"""WITH f AS (SELECT doc_id, total, list_filter(string_split(regexp_replace(regexp_replace(translate(spec, '０１２３４５６７８９–—－~～至到，、;；', '0123456789-------,,,,'), '[第页頁\s]', '', 'g'), '前(\d+)', '1-\1', 'g'), ','), lambda x: x <> '') AS ps FROM {page_specs}),
+v AS (SELECT doc_id, total, unnest(ps) AS p FROM f WHERE len(list_filter(ps, lambda x: NOT regexp_matches(x, '^(\d+|\d+-\d*|-\d+)$'))) = 0),
+r AS (SELECT doc_id, total, coalesce(TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS INTEGER), 1) AS a, CASE WHEN p LIKE '%-' THEN total ELSE TRY_CAST(regexp_extract(p, '(\d+)$', 1) AS INTEGER) END AS b FROM v)
+SELECT DISTINCT doc_id, CAST(unnest(range(greatest(least(a, b), 1), least(greatest(a, b), total) + 1)) AS INTEGER) AS page FROM r""")
 def parse_page_ranges(spark, d):
-    return layout.parsed_ranges(fixture(spark, "page_specs"))
+    return layout.parsed_ranges(rows(spark, d, "page_specs"))
 
 
 @query("""WITH i AS (SELECT *, max(x1) OVER (PARTITION BY line ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {intervals}), n AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY x0, x1) AS run FROM i)
 SELECT line, min(x0) AS x0, max(x1) AS x1 FROM n GROUP BY line, run""")
 def merge_intervals(spark, d):
-    return layout.merged_intervals(fixture(spark, "intervals"))
+    return layout.merged_intervals(rows(spark, d, "intervals"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY axis ORDER BY v) > 2 THEN 1 ELSE 0 END AS gap FROM {positions}), r AS (SELECT *, sum(gap) OVER (PARTITION BY axis ORDER BY v) AS run FROM g) SELECT axis, round(avg(v), 6) AS centre, count(*) AS n FROM r GROUP BY axis, run""")
 def cluster_centroids(spark, d):
-    return layout.centroids(fixture(spark, "positions"))
+    return layout.centroids(rows(spark, d, "positions"))
 
 
 @query("SELECT s.doc_id, s.page, s.elem, c.cell FROM (SELECT *, (x0 + x1) / 2 AS cx, (top + bottom) / 2 AS cy FROM {spans}) s LEFT JOIN (SELECT * FROM {cells}) c ON s.doc_id = c.doc_id AND s.page = c.page AND cx >= c.x0 AND cx < c.x1 AND cy >= c.y0 AND cy < c.y1")
 def cell_assignment(spark, d):
-    return layout.cell_texts(fixture(spark, "spans"), fixture(spark, "cells"))
+    return layout.cell_texts(rows(spark, d, "spans"), rows(spark, d, "cells"))
 
 
-@query("""WITH h AS (SELECT doc_id, page, x0 AS a, x1 AS b, y0 AS y FROM {segments} WHERE horizontal), g AS (SELECT c.doc_id, c.page, c.cell, sum(coalesce(CASE WHEN abs(h.y - c.y0) <= 2 THEN greatest(least(c.x1, h.b) - greatest(c.x0, h.a), 0.0) ELSE 0.0 END, 0.0)) AS len, max(c.x1 - c.x0) AS w FROM (SELECT * FROM {cells}) c LEFT JOIN h ON h.doc_id = c.doc_id AND h.page = c.page GROUP BY 1, 2, 3)
-SELECT doc_id, page, cell, round(least(len / w, 1.0), 6) AS share, least(len / w, 1.0) >= 0.6 AS border FROM g""")
+_RULES = """m AS (SELECT doc_id, page, horizontal, round((CASE WHEN horizontal THEN y0 ELSE x0 END) * 2) / 2 AS pl, CASE WHEN horizontal THEN least(x0, x1) ELSE least(y0, y1) END AS a, CASE WHEN horizontal THEN greatest(x0, x1) ELSE greatest(y0, y1) END AS b FROM {segments}),
+mr AS (SELECT *, max(b) OVER (PARTITION BY doc_id, page, horizontal, pl ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m), mn AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, horizontal, pl ORDER BY a, b) AS run FROM mr),
+rules AS (SELECT doc_id, page, horizontal, pl, min(a) AS a, max(b) AS b FROM mn GROUP BY doc_id, page, horizontal, pl, run)"""
+
+
+@query("WITH " + _RULES + """, c AS (SELECT * FROM {cells}), e AS (SELECT doc_id, page, cell, 'top' AS edge, true AS horizontal, y0 AS level, x0 AS lo, x1 AS hi FROM c UNION ALL SELECT doc_id, page, cell, 'bottom', true, y1, x0, x1 FROM c UNION ALL SELECT doc_id, page, cell, 'left', false, x0, y0, y1 FROM c UNION ALL SELECT doc_id, page, cell, 'right', false, x1, y0, y1 FROM c),
+g AS (SELECT e.doc_id, e.page, cell, edge, sum(coalesce(CASE WHEN abs(pl - level) <= 2 THEN greatest(least(hi, b) - greatest(lo, a), 0.0) ELSE 0.0 END, 0.0)) AS len, max(hi - lo) AS w FROM e LEFT JOIN rules r ON r.doc_id = e.doc_id AND r.page = e.page AND r.horizontal = e.horizontal GROUP BY 1, 2, 3, 4)
+SELECT doc_id, page, cell, edge, round(least(len / w, 1.0), 6) AS share, least(len / w, 1.0) >= 0.6 AS border FROM g""")
 def edge_coverage(spark, d):
-    return layout.edge_coverage(fixture(spark, "cells"), fixture(spark, "segments"))
+    return layout.edge_coverage(rows(spark, d, "cells"), rows(spark, d, "segments"))
+
+
+_GUTTER = """s AS (SELECT * FROM {spans}), pg AS (SELECT doc_id, page, min(x0) AS lo, max(x1) AS hi FROM s GROUP BY 1, 2), gx AS (SELECT doc_id, page, unnest(range(CAST(ceil(lo + 0.3 * (hi - lo)) AS INTEGER), CAST(floor(lo + 0.7 * (hi - lo)) AS INTEGER) + 1)) AS x FROM pg),
+gk AS (SELECT gx.doc_id, gx.page, gx.x, least(count(*) FILTER (s.x1 <= gx.x), count(*) FILTER (s.x0 >= gx.x)) - count(*) FILTER (s.x0 < gx.x AND s.x1 > gx.x) AS score FROM gx JOIN s ON s.doc_id = gx.doc_id AND s.page = gx.page GROUP BY 1, 2, 3),
+gutter AS (SELECT doc_id, page, CAST(x AS INTEGER) AS x, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, x) AS r FROM gk) WHERE r = 1)"""
 
 
-@query("""WITH s AS (SELECT * FROM {spans}), x AS (SELECT doc_id, page, unnest(range(180, 421)) AS x FROM (SELECT DISTINCT doc_id, page FROM s)), k AS (SELECT x.doc_id, x.page, x.x, least(count(*) FILTER (s.x1 <= x.x), count(*) FILTER (s.x0 >= x.x)) - count(*) FILTER (s.x0 < x.x AND s.x1 > x.x) AS score FROM x JOIN s ON s.doc_id = x.doc_id AND s.page = x.page GROUP BY 1, 2, 3)
-SELECT doc_id, page, CAST(x AS INTEGER) AS x, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, x) AS r FROM k) WHERE r = 1""")
+@query("WITH " + _GUTTER + " SELECT * FROM gutter")
 def gutter_score(spark, d):
-    return layout.gutters(fixture(spark, "spans"))
+    return layout.gutters(rows(spark, d, "spans"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT * FROM {segments}), e AS (SELECT h.doc_id, h.page, h.seg AS a, v.seg AS b FROM s h JOIN s v ON h.horizontal AND NOT v.horizontal AND h.doc_id = v.doc_id AND h.page = v.page AND v.x0 >= h.x0 - 2.5 AND v.x0 <= h.x1 + 2.5 AND h.y0 >= v.y0 - 2.5 AND h.y0 <= v.y1 + 2.5),
 l AS (SELECT * FROM e UNION ALL SELECT doc_id, page, b, a FROM e), r AS (SELECT doc_id, page, seg, seg AS root FROM s UNION SELECT r.doc_id, r.page, l.b, r.root FROM r JOIN l ON l.doc_id = r.doc_id AND l.page = r.page AND l.a = r.seg)
 SELECT doc_id, page, seg, min(root) AS root FROM r GROUP BY 1, 2, 3""")
 def table_components(spark, d):
-    return layout.segment_components(spark, fixture(spark, "segments"))
+    return layout.segment_components(spark, rows(spark, d, "segments"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT * FROM {edges}), n AS (SELECT graph, src AS node FROM e UNION SELECT graph, dst FROM e), w AS (SELECT graph, node, 0 AS level FROM n UNION ALL SELECT w.graph, e.dst, w.level + 1 FROM w JOIN e ON e.graph = w.graph AND e.src = w.node AND w.level < 20)
+@query("""WITH RECURSIVE e AS (SELECT * FROM {edges}), n AS (SELECT graph, src AS node FROM e UNION SELECT graph, dst FROM e), w AS (SELECT graph, node, 0 AS level FROM n UNION SELECT w.graph, e.dst, w.level + 1 FROM w JOIN e ON e.graph = w.graph AND e.src = w.node)
 SELECT graph, node, max(level) AS level FROM w GROUP BY 1, 2""")
 def diagram_levels(spark, d):
-    return layout.diagram_levels(spark, fixture(spark, "edges"))
+    return layout.diagram_levels(spark, rows(spark, d, "edges"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, page, regexp_replace(text, '[0-9]+', '#', 'g') AS norm, regexp_extract_all(text, '[0-9]+') AS a FROM {spans}), n AS (SELECT doc_id, page, norm, unnest(range(0, len(a))) AS pos, unnest(a) AS n FROM s),
-b AS (SELECT doc_id, norm, pos, CAST(n AS INTEGER) - page AS shift, count(DISTINCT page) AS pages, count(DISTINCT n) AS numbers FROM n GROUP BY 1, 2, 3, 4)
-SELECT doc_id, norm, CAST(pos AS INTEGER) AS pos, shift, pages FROM b WHERE pages >= greatest(2, ceil((SELECT count(DISTINCT page) FROM s s2 WHERE s2.doc_id = b.doc_id) * 0.8)) AND numbers >= 2""")
+b AS (SELECT doc_id, norm, pos, TRY_CAST(n AS BIGINT) - page AS shift, count(DISTINCT page) AS pages, count(DISTINCT n) AS numbers FROM n GROUP BY 1, 2, 3, 4), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM s GROUP BY 1)
+SELECT b.doc_id, norm, CAST(pos AS INTEGER) AS pos, shift, pages FROM b JOIN t ON t.doc_id = b.doc_id WHERE pages >= greatest(2, ceil(total * 0.8)) AND numbers >= 2""")
 def line_counters(spark, d):
-    return layout.page_counters(fixture(spark, "spans"))
+    return layout.page_counters(rows(spark, d, "spans"))
 
 
 @query("""WITH d AS (SELECT *, lead(top) OVER (PARTITION BY doc_id, page, size, floor(x0) ORDER BY top) - top AS d FROM {spans}), b AS (SELECT doc_id, size, floor(d * 2 + 0.5) / 2 AS bin, count(*) AS n FROM d WHERE d > 0 GROUP BY 1, 2, 3)
 SELECT doc_id, size, arg_max(bin, {'n': n, 'b': -bin}) AS pitch, CAST(sum(n) AS BIGINT) AS pairs FROM b GROUP BY 1, 2""")
 def line_pitch(spark, d):
-    return layout.line_pitch(fixture(spark, "spans"))
+    return layout.line_pitch(rows(spark, d, "spans"))
 
 
 @query("SELECT doc_id, page, fill, color FROM {fills} WHERE x1 - x0 >= 0.85 * width AND bottom - top >= 0.85 * height AND (x1 - x0) * (bottom - top) >= 0.7 * width * height")
 def page_backgrounds(spark, d):
-    return layout.page_backgrounds(fixture(spark, "fills"))
+    return layout.page_backgrounds(rows(spark, d, "fills"))
 
 
 @query()
 def text_highlights(spark, d):
-    return layout.highlights(fixture(spark, "spans"), fixture(spark, "fills"))
+    return layout.highlights(rows(spark, d, "spans"), rows(spark, d, "fills"))
 
 
 @query("SELECT doc_id, ordinal AS was, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN moved THEN (SELECT max(ordinal) FROM {moves} WHERE anchor) ELSE ordinal END, moved, ordinal) AS INTEGER) AS ordinal, text FROM {moves}".replace("FROM {moves} WHERE anchor", "FROM (SELECT ordinal, anchor FROM {moves}) WHERE anchor"))
 def move_blocks(spark, d):
-    return blocks.moved(fixture(spark, "moves"))
+    return blocks.moved(rows(spark, d, "moves"))
 
 
 @query("SELECT turn, CAST(batch AS BIGINT) AS batch, count(*) AS calls, bool_and(safe) AS parallel FROM (SELECT *, sum(new) OVER (PARTITION BY turn ORDER BY pos) AS batch FROM (SELECT *, CASE WHEN safe AND coalesce(lag(safe) OVER (PARTITION BY turn ORDER BY pos), false) THEN 0 ELSE 1 END AS new FROM {batch_calls})) GROUP BY 1, 2")
 def tool_batches(spark, d):
-    return control.call_batches(fixture(spark, "batch_calls"))
+    return control.call_batches(rows(spark, d, "batch_calls"))
 
 
 @query("SELECT session, count(*) FILTER (status = 'done') AS done, count(*) AS total FROM {todos} GROUP BY 1")
 def todo_progress(spark, d):
-    return fixture(spark, "todos").groupBy("session").agg(F.count_if(F.col("status") == "done").alias("done"), F.count(F.lit(1)).alias("total"))
+    return rows(spark, d, "todos").groupBy("session").agg(F.count_if(F.col("status") == "done").alias("done"), F.count(F.lit(1)).alias("total"))
 
 
 @query("SELECT name, arg_min(source, prio * 100 + pos) AS source FROM {names} GROUP BY 1")
 def first_name_wins(spark, d):
-    return control.first_wins(fixture(spark, "names"))
+    return control.first_wins(rows(spark, d, "names"))
 
 
 @query(r"SELECT file_id, name, CASE WHEN regexp_matches(lower(name), '\.(docx|dotx|docm)$') THEN 'docx' WHEN regexp_matches(lower(name), '\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(name), '\.(html|htm|xhtml)$') THEN 'html' WHEN regexp_matches(lower(name), '\.(md|markdown|txt)$') THEN 'markdown' ELSE 'unsupported' END AS format FROM {files}")
 def detect_format(spark, d):
-    return control.detected_formats(fixture(spark, "files"))
+    return control.detected_formats(rows(spark, d, "files"))
 
 
 @query(r"""SELECT file_id, CASE WHEN k = 0 THEN c ELSE regexp_replace(c, '\.[^.]+$', '') || '-' || k || regexp_extract(c, '(\.[^.]+)$', 1) END AS stored FROM (SELECT file_id, c, row_number() OVER (PARTITION BY c ORDER BY file_id) - 1 AS k FROM (SELECT file_id, regexp_replace(name, '[\\/:*?"<>|]', '_', 'g') AS c FROM {files}))""")
 def stored_names(spark, d):
-    return control.stored_names(fixture(spark, "files"))
+    return control.stored_names(rows(spark, d, "files"))
 
 
 @query(r"SELECT doc_id, part, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY regexp_replace(part, '[0-9]+.*$', ''), CAST(coalesce(nullif(regexp_extract(part, '([0-9]+)', 1), ''), '0') AS INTEGER), part) AS INTEGER) AS ordinal FROM {parts} WHERE version = 0")
 def natural_part_order(spark, d):
     w = Window.partitionBy("doc_id").orderBy(F.regexp_replace("part", "[0-9]+.*$", ""), F.coalesce(F.regexp_extract("part", "([0-9]+)", 1).try_cast("int"), F.lit(0)), "part")
-    return fixture(spark, "parts").filter("version = 0").select("doc_id", "part", F.row_number().over(w).alias("ordinal"))
+    return rows(spark, d, "parts").filter("version = 0").select("doc_id", "part", F.row_number().over(w).alias("ordinal"))
 
 
 @query(r"SELECT id, regexp_matches(text, '^(?i:fig(ure)?)\.?\s*\d') AS figure, regexp_matches(text, '^(?:TABLE|Table)\s+([IVX]+|\d+)') AS tabular, regexp_matches(text, '^[图表]\s*\d') AS chinese FROM {captions}")
 def caption_kinds(spark, d):
     t = F.col("text")
-    return fixture(spark, "captions").select("id", t.rlike(r"^(?i:fig(ure)?)\.?\s*\d").alias("figure"), t.rlike(r"^(?:TABLE|Table)\s+([IVX]+|\d+)").alias("tabular"), t.rlike(r"^[图表]\s*\d").alias("chinese"))
+    return rows(spark, d, "captions").select("id", t.rlike(r"^(?i:fig(ure)?)\.?\s*\d").alias("figure"), t.rlike(r"^(?:TABLE|Table)\s+([IVX]+|\d+)").alias("tabular"), t.rlike(r"^[图表]\s*\d").alias("chinese"))
 
 
 @query(r"SELECT id, replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), chr(173), '') AS expanded, regexp_matches(text, '^(?:\S ){3,}\S$') AS spaced, trim(regexp_replace(text, '(?s)<system-reminder>.*?</system-reminder>', '', 'g')) AS shown FROM {odd_texts}")
 def text_cleanups(spark, d):
     t = F.col("text")
-    return fixture(spark, "odd_texts").select("id", tx.ligatures_expanded(t).alias("expanded"), t.rlike(r"^(?:\S ){3,}\S$").alias("spaced"), F.trim(F.regexp_replace(t, "(?s)<system-reminder>.*?</system-reminder>", "")).alias("shown"))
+    return rows(spark, d, "odd_texts").select("id", tx.ligatures_expanded(t).alias("expanded"), t.rlike(r"^(?:\S ){3,}\S$").alias("spaced"), F.trim(F.regexp_replace(t, "(?s)<system-reminder>.*?</system-reminder>", "")).alias("shown"))
 
 
 @query("SELECT id, round(w + (length(text) - w) * CAST(0.55 AS DOUBLE), 2) AS width FROM (SELECT id, text, len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-｠]')) AS w FROM {odd_texts})")
 def display_widths(spark, d):
-    return fixture(spark, "odd_texts").select("id", tx.display_width(F.col("text")).alias("width"))
+    return rows(spark, d, "odd_texts").select("id", tx.display_width(F.col("text")).alias("width"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 30000 THEN left(text, 30000) || '…' ELSE text END AS shown FROM (SELECT doc_id, text FROM documents)".replace("AS shown", "AS t").replace("SELECT doc_id, CASE", "SELECT doc_id, md5(CASE").replace("ELSE text END AS t", "ELSE text END) AS digest"))
@@ -566,32 +588,33 @@ def chart_ticks(spark, d):
     return markup.chart_ticks(table(spark, d, "lineitem"), "l_linestatus", "l_extendedprice")
 
 
-@query(r"""WITH g AS (SELECT page, text, size, bold FROM {spans} WHERE size > 10 OR bold), k AS (SELECT size, bold, count(*) AS n FROM g GROUP BY 1, 2) SELECT size, bold, n, CAST(least(3, dense_rank() OVER (ORDER BY size DESC, bold DESC)) AS INTEGER) AS level FROM k""")
+@query(r"""WITH s AS (SELECT doc_id, size, bold, font, count(*) AS n, count(*) FILTER (size > 10 OR bold) AS c FROM {spans} GROUP BY 1, 2, 3, 4), t AS (SELECT doc_id, sum(n) AS total FROM s GROUP BY 1),
+v AS (SELECT s.* FROM s JOIN t ON t.doc_id = s.doc_id WHERE c > 0 AND n <= greatest(3, total * 0.15)) SELECT doc_id, size, bold, font, n, CAST(least(3, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, bold DESC, font)) AS INTEGER) AS level FROM v""")
 def heading_signatures(spark, d):
-    k = fixture(spark, "spans").filter("size > 10 OR bold").groupBy("size", "bold").agg(F.count(F.lit(1)).alias("n"))
-    return k.select("size", "bold", "n", F.least(F.lit(3), F.dense_rank().over(Window.orderBy(F.col("size").desc(), F.col("bold").desc()))).alias("level"))
+    return layout.heading_levels(rows(spark, d, "spans"))
 
 
-@query(r"""WITH s AS (SELECT * FROM {spans}), n AS (SELECT doc_id, page, CAST(unnest(regexp_extract_all(text, '[0-9]+')) AS INTEGER) - page AS shift FROM s), b AS (SELECT doc_id, shift, count(DISTINCT page) AS pages FROM n GROUP BY 1, 2), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM s GROUP BY 1)
+@query(r"""WITH s AS (SELECT * FROM {spans}), n AS (SELECT doc_id, page, TRY_CAST(unnest(regexp_extract_all(text, '[0-9]+')) AS BIGINT) - page AS shift FROM s), b AS (SELECT doc_id, shift, count(DISTINCT page) AS pages FROM n GROUP BY 1, 2), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM s GROUP BY 1)
 SELECT doc_id, shift, pages FROM (SELECT b.*, total, row_number() OVER (PARTITION BY b.doc_id ORDER BY pages DESC, shift) AS r FROM b JOIN t ON t.doc_id = b.doc_id) WHERE r = 1 AND pages >= greatest(2, ceil(total / 2))""")
 def page_number_offset(spark, d):
-    return layout.page_offset(fixture(spark, "spans"))
+    return layout.page_offset(rows(spark, d, "spans"))
 
 
 @query("SELECT doc_id, odd, line, n FROM (SELECT doc_id, page % 2 AS odd, regexp_replace(text, '[0-9]+', '#', 'g') AS line, count(*) AS n, row_number() OVER (PARTITION BY doc_id, page % 2 ORDER BY count(*) DESC, regexp_replace(text, '[0-9]+', '#', 'g')) AS r FROM {spans} WHERE top <= 80 GROUP BY 1, 2, 3) WHERE r = 1")
 def header_signatures(spark, d):
-    return layout.header_signatures(fixture(spark, "spans"))
+    return layout.header_signatures(rows(spark, d, "spans"))
 
 
-@query("""WITH f AS (SELECT *, x0 < 306 AND x1 > 306 AS full_ FROM {spans}), n AS (SELECT *, CASE WHEN full_ = lag(full_) OVER (PARTITION BY doc_id, page ORDER BY top, x0) THEN 0 ELSE 1 END AS new FROM f), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY top, x0) AS zone FROM n)
+@query("WITH " + _GUTTER + """, f AS (SELECT s.*, coalesce(s.x0 < g.x AND s.x1 > g.x, true) AS full_ FROM s LEFT JOIN gutter g ON g.doc_id = s.doc_id AND g.page = s.page AND g.score > 0), n AS (SELECT *, CASE WHEN full_ = lag(full_) OVER (PARTITION BY doc_id, page ORDER BY top, x0) THEN 0 ELSE 1 END AS new FROM f), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY top, x0) AS zone FROM n)
 SELECT doc_id, page, CAST(zone AS BIGINT) AS zone, bool_or(full_) AS "full", count(*) AS lines, min(top) AS top, max(bottom) AS bottom FROM z GROUP BY 1, 2, 3""")
 def column_zones(spark, d):
-    return layout.zones(fixture(spark, "spans"))
+    spans = rows(spark, d, "spans")
+    return layout.zones(spans, layout.gutters(spans).filter("score > 0"))
 
 
 @query("SELECT doc_id, page, elem, CASE WHEN len(list_filter(e, lambda x: x >= m - 1.5)) >= 3 THEN m END AS edge FROM (SELECT *, list_max(e) AS m FROM (SELECT doc_id, page, elem, list(x1) OVER (PARTITION BY doc_id, page, floor(x0) ORDER BY top ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS e FROM {spans}))")
 def local_right_edges(spark, d):
-    return layout.local_right_edges(fixture(spark, "spans"))
+    return layout.local_right_edges(rows(spark, d, "spans"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS ordinal, CAST(floor(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 3000) + 1 AS INTEGER) AS page FROM l")
@@ -602,32 +625,32 @@ def estimated_pages(spark, d):
 
 @query("WITH w AS (SELECT font, round((x1 - x0) / length(text), 6) AS w FROM {spans}), m AS (SELECT font, count(*) AS n, list_sort(list(w))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS m FROM w GROUP BY 1) SELECT font, round(round(m / CAST(0.05 AS DOUBLE)) * CAST(0.05 AS DOUBLE), 2) AS spacing, n FROM m WHERE n >= 2 AND abs(m) >= 0.03")
 def char_spacing(spark, d):
-    return layout.char_spacing(fixture(spark, "spans"))
+    return layout.char_spacing(rows(spark, d, "spans"))
 
 
 @query(r"SELECT id, regexp_replace(b, '(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$', '') AS family, contains(b, 'Bold') AS bold, contains(b, 'Italic') OR contains(b, 'Oblique') AS italic FROM (SELECT id, regexp_replace(font, '^[A-Z]{6}\+', '') AS b FROM {fonts})")
 def font_parts(spark, d):
-    return layout.font_parts(fixture(spark, "fonts"))
+    return layout.font_parts(rows(spark, d, "fonts"))
 
 
 @query("SELECT doc_id, page, round((780 - max(bottom)) / 720.0, 6) AS blank, (780 - max(bottom)) / 720.0 > 0.15 AS too_blank FROM {spans} WHERE bottom <= 740 GROUP BY 1, 2")
 def blank_pages(spark, d):
-    return layout.blank_pages(fixture(spark, "spans"))
+    return layout.blank_pages(rows(spark, d, "spans"))
 
 
 @query("SELECT c.doc_id, c.page, c.cell, arg_max(f.color, f.fill) AS color FROM (SELECT * FROM {cells}) c LEFT JOIN (SELECT * FROM {fills}) f ON f.doc_id = c.doc_id AND f.page = c.page AND (c.x0 + c.x1) / 2 BETWEEN f.x0 AND f.x1 AND (c.y0 + c.y1) / 2 BETWEEN f.top AND f.bottom GROUP BY 1, 2, 3")
 def cell_shading(spark, d):
-    return layout.fill_cells(fixture(spark, "cells"), fixture(spark, "fills"))
+    return layout.fill_cells(rows(spark, d, "cells"), rows(spark, d, "fills"))
 
 
 @query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, pos) AS INTEGER) AS ordinal, text FROM (SELECT doc_id, ordinal AS place, 0 AS pos, text FROM {blocks} UNION ALL SELECT doc_id, after, pos, text FROM {inserts})")
 def insert_blocks(spark, d):
-    return blocks.inserted(fixture(spark, "blocks"), fixture(spark, "inserts"))
+    return blocks.inserted(rows(spark, d, "blocks"), rows(spark, d, "inserts"))
 
 
 @query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS INTEGER) AS ordinal, text, CASE WHEN gone THEN 'protected' ELSE 'ok' END AS status FROM (SELECT b.*, g.doc_id IS NOT NULL AS gone, count(*) OVER (PARTITION BY b.doc_id) AS n FROM (SELECT * FROM {blocks}) b LEFT JOIN (SELECT * FROM {deletes}) g ON g.doc_id = b.doc_id AND g.ordinal = b.ordinal) WHERE NOT gone OR n = 1")
 def delete_blocks(spark, d):
-    return blocks.deleted(fixture(spark, "blocks"), fixture(spark, "deletes"))
+    return blocks.deleted(rows(spark, d, "blocks"), rows(spark, d, "deletes"))
 
 
 @query()
@@ -639,12 +662,12 @@ def changed_blocks(spark, d):
 
 @query("SELECT id, kind, again, CASE WHEN again THEN least(30.0, pow(2.0, attempt - 1)) END AS delay FROM (SELECT *, kind IN ('rate_limit', 'server', 'network') AND attempt < 5 AS again FROM (SELECT *, CASE WHEN aborted THEN 'aborted' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 401 THEN 'auth' WHEN status = 402 THEN 'balance' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' WHEN status = 0 THEN 'network' ELSE 'invalid' END AS kind FROM {attempts}))")
 def retry_plan(spark, d):
-    return control.retries(fixture(spark, "attempts"))
+    return control.retries(rows(spark, d, "attempts"))
 
 
 @query("SELECT id, coalesce(matcher = '*' OR regexp_full_match(tool, nullif(matcher, '*')), true) AS match FROM {hooks}")
 def hook_matches(spark, d):
-    return control.hook_matches(fixture(spark, "hooks"))
+    return control.hook_matches(rows(spark, d, "hooks"))
 
 
 @query("SELECT lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (contains(text, chr(10))) AS multiline FROM documents GROUP BY 1")
