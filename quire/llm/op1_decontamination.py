@@ -39,7 +39,7 @@ COVERAGE = 0.5
 #: Consecutive tokens of an item that are a leak, however long the item.
 RUN = 13
 BROADCAST_CHARS = 16_000_000
-_BYTES = 1 << 21
+_BYTES = 1 << 18
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: How a window was made: a template, one whose item's first word is no start of a sentence, one with names at the start of sentences, or plain tokens.
 TEMPLATE, INSIDE, NAMES, EXACT = 0, 1, 2, 3
