@@ -57,5 +57,28 @@ def display_width(c: Column) -> Column:
     return F.round(wide + (F.length(c) - wide) * 0.55, 2)
 
 
+#: Private code points of symbol fonts and what they show.
+SYMBOLS = {"\uf0b7": "•", "\uf0e0": "→", "\uf0a3": "≤", "\uf0b3": "≥", "\uf0b1": "±", "\uf0b4": "×", "\uf0b9": "≠", "\uf0bb": "≈"}
+
+
+def symbols_shown(c: Column) -> Column:
+    """Private code points of symbol fonts as the characters that they show."""
+    return F.translate(c, "".join(SYMBOLS), "".join(SYMBOLS.values()))
+
+
+def letters_joined(c: Column) -> Column:
+    """Letter-spaced text as words: single letters between single spaces are joined, wider gaps part words; other text stays."""
+    spaced = c.rlike(r"^(?:\S {1,3}){3,}\S$")
+    return F.when(spaced, F.replace(F.regexp_replace(F.regexp_replace(c, r" {2,}", "\x01"), " ", ""), F.lit("\x01"), F.lit(" "))).otherwise(c)
+
+
+def token_kinds(c: Column) -> dict[str, Column]:
+    """Numbers of placeholders, CJK characters, runs of letters and digits, runs of white space, and other characters."""
+    n = lambda p, x: F.regexp_count(x, F.lit(p)).cast("long")
+    rest = F.regexp_replace(c, "⟨[^⟩]*⟩", "")
+    wide, word, space = "[㐀-鿿豈-﫿぀-ヿ가-힯]", "[A-Za-z0-9À-ɏͰ-ϿЀ-ӿ]+", r"[\t\n\x0c\r ]+"
+    return {"placeholders": n("⟨[^⟩]*⟩", c), "wide": n(wide, rest), "words": n(word, rest), "spaces": n(space, rest), "others": F.length(F.regexp_replace(rest, f"{wide}|{word}|{space}", "")).cast("long")}
+
+
 def estimated_tokens(chars: Column) -> Column:
     return F.ceil(chars / 2.5).cast("long")

@@ -91,12 +91,31 @@ def read_page(blocks: DataFrame, offset: int = 0, limit: int = 40, most: int = 2
     return page.select(id_col, "ordinal", rendered(F.col("ref"), F.col("kind"), F.col("text")).alias("line"))
 
 
+def read_part(blocks: DataFrame, part: str, start: int = 1, limit: int = 40, most: int = 200, prefix: bool = False) -> DataFrame:
+    """Blocks (doc_id, ordinal, ref, location, text) of one part: whose location contains it, or begins with it where ``prefix``; ``limit`` of them from the ``start``-th, with what is left:
+    position, number of all, and the offset to read on from (NULL at the end)."""
+    pool = blocks.filter(F.col("location").startswith(part) if prefix else F.contains("location", F.lit(part)))
+    w = Window.partitionBy("doc_id")
+    n = pool.withColumn("pos", F.row_number().over(w.orderBy("ordinal"))).withColumn("total", F.count(F.lit(1)).over(w))
+    last = start + min(limit, most) - 1
+    page = n.filter(F.col("pos").between(start, last))
+    return page.select("doc_id", "pos", rendered(F.col("ref"), F.col("location"), F.col("text")).alias("line"), "total", F.when(F.col("total") > last, F.lit(last + 1)).alias("read_on"))
+
+
+def detailed(blocks: DataFrame, full: bool = False) -> DataFrame:
+    """Blocks (ref, location, style, level, flags, text) as lines: [ref] (location · style · level · flags) text."""
+    about = F.concat_ws(" · ", "location", "style", F.when(F.col("level") > 0, F.concat(F.lit("标题"), "level")), F.array_join("flags", "、"))
+    text = F.when(F.col("text") == "", F.lit("（空段落）")).otherwise(F.replace("text", F.lit("\n"), F.lit("⏎")) if full else clipped(F.col("text"), 1500))
+    return blocks.select("doc_id", "ordinal", F.concat(F.lit("["), "ref", F.lit("] ("), about, F.lit(") "), text).alias("line"))
+
+
 def outline(headings: DataFrame) -> DataFrame:
     """Headings indented by level, with their link targets."""
     from quire.functions.text import slug
 
     indent = F.repeat(F.lit(" "), F.greatest(2 * (F.col("level") - 1), F.lit(0)))
-    return headings.select("doc_id", "ordinal", F.concat(indent, F.col("text")).alias("line"), slug(F.col("text")).alias("slug"))
+    text = F.regexp_replace("text", "⟨分栏符⟩|⟨分页符⟩", "")
+    return headings.select("doc_id", "ordinal", F.concat(indent, text).alias("line"), slug(text).alias("slug"))
 
 
 def moved(blocks: DataFrame) -> DataFrame:
@@ -121,22 +140,3 @@ def deleted(blocks: DataFrame, gone: DataFrame) -> DataFrame:
     kept = marked.filter(F.col("gone").isNull() | (F.col("n") == 1))
     status = F.when(F.col("gone").isNotNull(), "protected").otherwise("ok")
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")).alias("ordinal"), "text", status.alias("status"))
-
-
-def changed_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """modified, added and removed blocks of two versions (doc_id, ordinal, text), by a shortest edit script over whole blocks of one document at a time."""
-    from quire.operators.compare import _script
-
-    both = old.select("doc_id", F.lit(0).alias("side"), "ordinal", "text").unionByName(new.select("doc_id", F.lit(1).alias("side"), "ordinal", "text"))
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("side").to_pylist(), t.column("ordinal").to_pylist(), t.column("text").to_pylist(), strict=True))
-        a, b = [r[2] or "" for r in rows if r[0] == 0], [r[2] or "" for r in rows if r[0] == 1]
-        out = []
-        for p, q, r, s in _script(a, b):
-            k = min(q - p, s - r)
-            out += [("modified", p + i + 1, r + i + 1) for i in range(k)] + [("removed", i + 1, None) for i in range(p + k, q)] + [("added", None, i + 1) for i in range(r + k, s)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.table({"doc_id": pa.array([t.column("doc_id")[0].as_py()] * len(out), pa.int64()), "change": pa.array(cols[0], pa.string()), "old_block": pa.array(cols[1], pa.int32()), "new_block": pa.array(cols[2], pa.int32())})
-
-    return both.groupBy("doc_id").applyInArrow(run, "doc_id long, change string, old_block int, new_block int")

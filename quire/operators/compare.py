@@ -16,19 +16,23 @@ _WORD = re.compile(r"[^\W_]+")
 _FOLD = str.maketrans(TYPOGRAPHIC, PLAIN)
 
 
-def characters(docs: DataFrame, text: Column) -> DataFrame:
-    """doc_id, ch, n, at: the characters of a text that are neither controls nor white space, with counts and first places."""
-    cleaned = F.regexp_replace(text, f"[\\x00-\\x1f\\x7f-\\x9f]|{SPACE}", "")
-    each = docs.select("doc_id", F.posexplode(F.split(cleaned, "")).alias("at", "ch")).filter("ch <> ''")
-    return each.groupBy("doc_id", "ch").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+def _cleaned(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[\\x00-\\x1f\\x7f-\\x9f]|{SPACE}", "")
 
 
-def coverage(docs: DataFrame, source: Column, result: Column) -> DataFrame:
-    """How many of the source's characters the result has, as a multiset; 1 where the source has none."""
-    have = characters(docs, result).select("doc_id", "ch", F.col("n").alias("got"))
-    lost = characters(docs, source).join(have, ["doc_id", "ch"], "left").withColumn("lost", F.greatest(F.col("n") - F.coalesce("got", F.lit(0)), F.lit(0)))
-    agg = lost.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum("lost").alias("lost"))
-    return docs.select("doc_id").join(agg, "doc_id", "left").select("doc_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("lost", F.lit(0)).alias("lost"), F.round(F.when(F.coalesce("total", F.lit(0)) == 0, F.lit(1.0)).otherwise(1 - F.col("lost") / F.col("total")), 6).alias("coverage"))
+def coverage(docs: DataFrame, source: Column, result: Column, missing: int = 30) -> DataFrame:
+    """How many of the source's characters the result has, as a multiset; 1 where the source has none; and the first ``missing`` characters that are lacking, in the source's order.
+
+    Both texts stand in one row, so a character's counts come from how much shorter a text is without it: nothing is shuffled.
+    """
+    d = docs.select("doc_id", _cleaned(source).alias("a"), _cleaned(result).alias("b"))
+    chars = F.array_distinct(F.split("a", ""))
+    n = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
+    lost = F.filter(F.transform(F.filter(chars, lambda x: x != ""), lambda x: F.struct(x.alias("ch"), F.greatest(n("a", x) - n("b", x), F.lit(0)).alias("n"))), lambda x: x["n"] > 0)
+    e = d.select("doc_id", F.length("a").cast("long").alias("total"), lost.alias("lost"))
+    gone = F.aggregate("lost", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    share = F.round(F.when(F.col("total") == 0, F.lit(1.0)).otherwise(1 - gone / F.col("total")), 6)
+    return e.select("doc_id", "total", gone.alias("lost"), share.alias("coverage"), F.array_join(F.transform(F.slice("lost", 1, missing), lambda x: x["ch"]), "").alias("missing"))
 
 
 def fidelity(old: DataFrame, new: DataFrame, keys: list[str], body: str) -> DataFrame:
@@ -103,47 +107,218 @@ def align(old: list[str], new: list[str], least: float, window: int = 25, sure:
     return out
 
 
-def aligned(old: DataFrame, new: DataFrame, least: float = 0.4) -> DataFrame:
-    """Pairs of blocks (doc_id, ordinal, text) of two versions of a document; a document's blocks meet in one task, one document at a time."""
-    both = old.select("doc_id", F.lit(0).alias("side"), "ordinal", "text").unionByName(new.select("doc_id", F.lit(1).alias("side"), "ordinal", "text"))
+def _mapped(rows: DataFrame, f, columns: str) -> DataFrame:
+    """doc_id and the columns that ``f`` makes of each row's other columns: a map over rows."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    names = [c.split() for c in columns.split(", ")]
+    types = [pa.int64(), *(kinds[k] for _, k in names)]
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("side").to_pylist(), t.column("ordinal").to_pylist(), t.column("text").to_pylist(), strict=True))
-        a, b = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
-        got = align([r[2] or "" for r in a], [r[2] or "" for r in b], least)
-        doc = t.column("doc_id")[0].as_py()
-        return pa.table({"doc_id": pa.array([doc] * len(got), pa.int64()), "old_ordinal": pa.array([a[i][1] for i, _, _ in got], pa.int32()), "new_ordinal": pa.array([b[j][1] for _, j, _ in got], pa.int32()), "similarity": pa.array([s for *_, s in got], pa.float64())})
+    def run(batches):
+        for b in batches:
+            out = [(i, *x) for i, *v in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in f(*v)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", *(n for n, _ in names)])
 
-    return both.groupBy("doc_id").applyInArrow(run, "doc_id long, old_ordinal int, new_ordinal int, similarity double")
+    return rows.select(F.col("doc_id").cast("long"), *(c for c in rows.columns if c != "doc_id")).mapInArrow(run, f"doc_id long, {columns}")
 
 
-def _script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
-    """Changed stretches (a from, a to, b from, b to) of a shortest edit script, greedily by furthest-reaching diagonals."""
-    n, m = len(a), len(b)
-    reach, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
+def aligned(rows: DataFrame, least: float = 0.4) -> DataFrame:
+    """Pairs of blocks of two versions (doc_id, old, new: arrays of texts) that belong together, in order."""
+
+    def pairs(old, new):
+        return [(i + 1, j + 1, s) for i, j, s in align([x or "" for x in old or []], [x or "" for x in new or []], least)]
+
+    return _mapped(rows.select("doc_id", "old", "new"), pairs, "old_ordinal int, new_ordinal int, similarity double")
+
+
+def plain(text: str) -> str:
+    """Without placeholders, white space collapsed."""
+    return " ".join(re.sub("⟨[^⟩]*⟩", "", text).split())
+
+
+#: Fixed value: what numbers a paragraph: a figure, a table, a section, an item.
+_LABEL = re.compile(r"\s*((fig(ure)?\.?|table)\s*[\dIVXLC]+|[A-Z]\.|\d+\)|[IVXLC]+\.)", re.I)
+
+
+def label(text: str) -> str | None:
+    """The number that a paragraph begins with."""
+    m = _LABEL.match(text)
+    return re.sub(r"\s+", " ", m[0]).upper() if m else None
+
+
+def notation(token: str) -> bool:
+    """Whether a token is mathematical notation rather than a word."""
+    return len(token) <= 2 or any(c.isdigit() for c in token) or re.fullmatch("[a-z]{1,2}(th|st|nd|rd)", token) is not None
+
+
+def carry(base: list[str] | None, edited: list[str], fresh: list[str]) -> list[tuple[int, str, str]]:
+    """What becomes of each change between ``base`` and ``edited`` on the texts of a new conversion: (place in fresh, decision, new text).
+
+    Only texts that belong together count. Decisions: same (no change in words), notation (mathematical signs only), other_label (another figure or section), part (already
+    in the new text), weak (a short text too little alike), object (a placeholder in the way), unlike (without a base: too different), apply.
+    """
+    body = lambda texts: [t for t in texts if len(plain(t)) >= 2]
+    edited, target = body(edited), [(k, t) for k, t in enumerate(fresh, 1) if len(plain(t)) >= 2]
+    if base is None:
+        changes = [(t, t) for t in edited]
+    else:
+        base = body(base)
+        changes = [(base[i], edited[j]) for i, j, _ in align(base, edited, 0.4) if plain(base[i]) != plain(edited[j])]
+    out = []
+    for i, j, alike in align([b for b, _ in changes], [t for _, t in target], 0.55 if base is None else 0.6):
+        want, (place, have) = changes[i][1], target[j]
+        a, b = core(have).split(), core(want).split()
+        if plain(want) == plain(have) or a == b:
+            said = "same"
+        elif all(notation(t) for p, q, r, s in _script(a, b) for t in (*a[p:q], *b[r:s])):
+            said = "notation"
+        elif label(want) and label(have) and label(want) != label(have):
+            said = "other_label"
+        elif core(want) in core(have):
+            said = "part"
+        elif len(have) < 150 and alike < 0.85:
+            said = "weak"
+        elif "⟨" in have or "⟨" in want:
+            said = "object"
+        elif base is None and alike < 0.7 and abs(len(want) - len(have)) > 0.5 * len(have):
+            said = "unlike"
+        else:
+            said = "apply"
+        out.append((place, said, want if said == "apply" else have))
+    return out
+
+
+def carried(rows: DataFrame) -> DataFrame:
+    """Decisions of carrying edits over, of each row (doc_id, base or NULL, edited, fresh: arrays of texts): place in fresh, decision, text."""
+    clean = lambda x: [t or "" for t in x or []]
+    return _mapped(rows.select("doc_id", "base", "edited", "fresh"), lambda b, e, f: carry(None if b is None else clean(b), clean(e), clean(f)), "place int, decision string, text string")
+
+
+def matched_words(doc: list[str], page: list[str], ahead: int = 80, far: int = 1500) -> list[int]:
+    """For each word of the page the place of the document's word that it is, -1 for none: equal words go on together; else the next known run of three words sets both anew."""
+    at: dict[tuple, list[int]] = {}
+    for i in range(len(doc) - 2):
+        at.setdefault(tuple(doc[i : i + 3]), []).append(i)
+    out, i, j = [-1] * len(page), 0, 0
+    while i < len(page) and j < len(doc):
+        if page[i] == doc[j]:
+            out[i] = j
+            i, j = i + 1, j + 1
+            continue
+        for k in range(i, min(i + ahead, len(page) - 2)):
+            hit = next((x for x in at.get(tuple(page[k : k + 3]), ()) if j <= x < j + far), None)
+            if hit is not None:
+                i, j = k, hit
                 break
         else:
+            i += 1
+    return out
+
+
+def word_map(rows: DataFrame) -> DataFrame:
+    """Of each row (doc_id, doc, page: arrays of words) the words of the page with their place in the document (from 0; -1: none)."""
+    return _mapped(rows.select("doc_id", "doc", "page"), lambda a, b: list(enumerate(matched_words(a or [], b or []))), "pos int, at int")
+
+
+def source_offsets(decoded: str, raw: str) -> list[int] | None:
+    """Where each character of a decoded text (and its end) stands in the mark-up it comes from; None if they don't belong together. A reference ends within 32 characters."""
+    out, i, j = [], 0, 0
+    while j < len(decoded):
+        if i >= len(raw):
+            return None
+        end = raw.find(";", i) if raw[i] == "&" else -1
+        if 0 <= end - i <= 32:
+            out.append(i)
+            i = end + 1
+        elif raw[i] == decoded[j]:
+            out.append(i)
+            i += 1
+        elif raw[i] == "\r" and decoded[j] == "\n":
+            i += 1
+            continue
+        else:
+            return None
+        j += 1
+    return [*out, i]
+
+
+def inline_diff(old: str, new: str, around: int = 40) -> list[tuple[str, str]]:
+    """What a preview shows: (same, added, removed or skipped; text), by characters where over a fifth are CJK, else by words; the middle of long unchanged parts is skipped."""
+    wide = sum("\u3000" <= c <= "\u9fff" or "\uff00" <= c <= "\uffef" for c in old + new)
+    cut = list if wide > 0.2 * (len(old) + len(new)) else lambda t: re.findall(r"\w+|\s+|[^\w\s]", t)
+    a, b = cut(old), cut(new)
+    parts, at = [], 0
+    for p, q, r, s in [*_script(a, b), (len(a), len(a), len(b), len(b))]:
+        parts += [(k, "".join(t)) for k, t in (("same", a[at:p]), ("removed", a[p:q]), ("added", b[r:s])) if t]
+        at = q
+    out = []
+    for i, (kind, text) in enumerate(parts):
+        if kind != "same" or len(text) <= 2 * around + 10:
+            out.append((kind, text))
+            continue
+        head, tail = text[:around] if i else "", text[-around:] if i + 1 < len(parts) else ""
+        out += [x for x in (("same", head), ("skipped", text[len(head) : len(text) - len(tail)]), ("same", tail)) if x[1]]
+    return out
+
+
+def with_inline_diff(pairs: DataFrame) -> DataFrame:
+    """The parts of a preview of each row (doc_id, old, new)."""
+    return _mapped(pairs.select("doc_id", "old", "new"), lambda o, n: [(k, *x) for k, x in enumerate(inline_diff(o or "", n or ""), 1)], "part int, kind string, text string")
+
+
+def _middle(a: list, b: list) -> tuple[int, int, int, int]:
+    """The stretch of equal elements in the middle of a shortest edit script of two differing sequences: from (x, y) to (u, v). Two frontiers, one from each end, meet there."""
+    n, m = len(a), len(b)
+    size = n + m + 3
+    ahead, back = [0] * size, [0] * size  # furthest x on each diagonal, negative ones at the end
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(-d, d + 1, 2):
+            if k > n or -k > m:
+                continue
+            x = ahead[k + 1] if k == -d or k != d and ahead[k - 1] < ahead[k + 1] else ahead[k - 1] + 1
+            x = min(x, n, m + k)
+            u = x
+            while u < n and u - k < m and a[u] == b[u - k]:
+                u += 1
+            ahead[k] = u
+            other = n - m - k
+            if (n - m) % 2 and -d < other < d and u + back[other] >= n:
+                return x, x - k, u, u - k
+        for k in range(-d, d + 1, 2):
+            if k > n or -k > m:
+                continue
+            x = back[k + 1] if k == -d or k != d and back[k - 1] < back[k + 1] else back[k - 1] + 1
+            x = min(x, n, m + k)
+            u = x
+            while u < n and u - k < m and a[n - 1 - u] == b[m - 1 - u + k]:
+                u += 1
+            back[k] = u
+            other = n - m - k
+            if (n - m) % 2 == 0 and -d <= other <= d and u + ahead[other] >= n:
+                return n - u, m - u + k, n - x, m - x + k
+    raise AssertionError("the frontiers always meet")
+
+
+def _script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """Changed stretches (a from, a to, b from, b to) of a shortest edit script, in memory linear in the texts: halves about the middle stretch are scripts of their own."""
+    edits, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        p, q, r, s = todo.pop()
+        while p < q and r < s and a[p] == b[r]:
+            p, r = p + 1, r + 1
+        while p < q and r < s and a[q - 1] == b[s - 1]:
+            q, s = q - 1, s - 1
+        if p == q or r == s:
+            if p < q or r < s:
+                edits.append((p, q, r, s))
+            continue
+        x, y, u, v = _middle(a[p:q], b[r:s])
+        if (x, y, u, v) in ((0, 0, 0, 0), (q - p, s - r, q - p, s - r)):
+            edits.append((p, q, r, s))  # nothing in common
             continue
-        break
-    edits, x, y = [], n, m
-    for d in range(len(trail) - 1, 0, -1):
-        v, k = trail[d], x - y
-        down = k == -d or k != d and v[k - 1] < v[k + 1]
-        px = v[k + 1] if down else v[k - 1]
-        py = px - (k + 1 if down else k - 1)
-        sx, sy = (px, py + 1) if down else (px + 1, py)
-        edits.append((px, sx, py, sy))
-        x, y = px, py
+        todo += [(p, p + x, r, r + y), (p + u, q, r + v, s)]
     out: list[list[int]] = []
-    for e in reversed(edits):
+    for e in sorted(edits):
         if out and out[-1][1] == e[0] and out[-1][3] == e[2]:
             out[-1][1], out[-1][3] = e[1], e[3]
         else:
@@ -180,11 +355,17 @@ def hunks(old: str, new: str, many: int = 8, most: float = 0.6) -> list[tuple[in
 
 def with_hunks(pairs: DataFrame) -> DataFrame:
     """One row a hunk of each row (doc_id, old, new)."""
+    return _mapped(pairs.select("doc_id", "old", "new"), lambda o, n: [(k, *h) for k, h in enumerate(hunks(o or "", n or ""), 1)], "hunk int, start long, end long, text string")
 
-    def run(batches):
-        for b in batches:
-            out = [(i, k, *h) for i, o, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, h in enumerate(hunks(o or "", n or ""), 1)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "hunk", "start", "end", "text"])
 
-    return pairs.select(F.col("doc_id").cast("long"), "old", "new").mapInArrow(run, "doc_id long, hunk int, start long, end long, text string")
+def changed_blocks(rows: DataFrame) -> DataFrame:
+    """modified, added and removed blocks of two versions (doc_id, old, new: arrays of texts), by a shortest edit script over whole blocks."""
+
+    def changes(old, new):
+        out = []
+        for p, q, r, s in _script([x or "" for x in old or []], [x or "" for x in new or []]):
+            k = min(q - p, s - r)
+            out += [("modified", p + i + 1, r + i + 1) for i in range(k)] + [("removed", i + 1, None) for i in range(p + k, q)] + [("added", None, i + 1) for i in range(r + k, s)]
+        return out
+
+    return _mapped(rows.select("doc_id", "old", "new"), changes, "change string, old_block int, new_block int")

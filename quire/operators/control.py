@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Dollars per million tokens by model (cache hit, cache miss, output), doubled in peak hours.
+#: The formats; below, dollars per million tokens by model (cache hit, cache miss, output), doubled in peak hours.
+FORMATS = ("docx", "markdown", "html", "pdf")
+#: The built-in commands.
+COMMANDS = "help mode track author undo history rewind verify export convert think cost context compact clear todos skills agents memory remember doctor review".split()
+MODES = "default acceptEdits plan bypassPermissions".split()
 PRICES = {"flash": (0.003, 0.15, 0.6), "pro": (0.022, 0.66, 1.98)}
 
 
@@ -86,30 +90,36 @@ def first_wins(names: DataFrame) -> DataFrame:
 
 
 def tool_pools(tools: DataFrame, capabilities: DataFrame) -> DataFrame:
-    """Tools that each format can use, and whether a sub-agent may."""
-    formats = capabilities.select("format").distinct()
-    can = tools.join(F.broadcast(capabilities), F.col("needs") == F.col("capability")).select("format", "tool", "agent_ok")
-    always = tools.filter("needs IS NULL").join(F.broadcast(formats)).select("format", "tool", "agent_ok")  # a fixed dimension of four formats
+    """Tools that each format can use, and whether a sub-agent may; both tables are fixed dimensions of some dozens of rows."""
+    can = tools.join(capabilities, F.col("needs") == F.col("capability")).select("format", "tool", "agent_ok")
+    always = tools.filter("needs IS NULL").select(F.explode(F.array(*map(F.lit, FORMATS))).alias("format"), "tool", "agent_ok")
     return can.unionByName(always).select("format", "tool", (F.col("agent_ok") & (F.col("tool") != "agent")).alias("sub_agent"))
 
 
 def style_usage(styles: DataFrame, paras: DataFrame) -> DataFrame:
-    """How many paragraphs and runs use each style; a paragraph without one uses the default."""
-    default = styles.filter("is_default AND type = 'paragraph'").select(F.col("style_id").alias("d"))
-    used = paras.crossJoin(F.broadcast(default)).select(F.explode(F.array(F.coalesce("style", "d"), "run_style")).alias("style_id")).filter("style_id IS NOT NULL")
-    n = used.groupBy("style_id").agg(F.count(F.lit(1)).alias("n"))
-    return styles.join(n, "style_id", "left").select("style_id", "name", F.coalesce("n", F.lit(0)).alias("in_use"))
+    """How many paragraphs and runs use each style, most used first; a paragraph without one uses the default. Uses are counted before styles come in."""
+    each = paras.select(F.explode(F.array(F.coalesce("style", F.lit("")), "run_style")).alias("style_id")).filter("style_id IS NOT NULL").groupBy("style_id").agg(F.count(F.lit(1)).alias("n"))
+    default = styles.filter("is_default AND type = 'paragraph'").select(F.lit("").alias("style_id"), F.col("style_id").alias("d"))
+    n = each.join(default, "style_id", "left").groupBy(F.when(F.col("style_id") == "", F.col("d")).otherwise(F.col("style_id")).alias("style_id")).agg(F.sum("n").alias("n"))
+    return styles.join(n, "style_id", "left").select("style_id", "name", "type", F.coalesce("n", F.lit(0)).alias("in_use")).orderBy(F.col("in_use").desc(), "name")
 
 
-def heading_levels(spark: SparkSession, styles: DataFrame, most: int = 12) -> DataFrame:
-    """The heading level of each style: the first outline level below 9 or heading-like name up the chain of parents; cycles end at ``most`` steps."""
+def style_lists(usage: DataFrame, most: int = 40) -> DataFrame:
+    """By type of style: the used ones with their counts, the number of unused ones and the first ``most`` of their names."""
+    line = F.when(F.col("in_use") > 0, F.struct((-F.col("in_use")).alias("o"), "name", F.concat(F.col("name"), F.lit(" ｜ "), F.col("style_id"), F.lit(" ｜ "), F.col("in_use")).alias("s")))
+    g = usage.groupBy("type").agg(F.array_sort(F.collect_list(line)).alias("u"), F.count_if(F.col("in_use") == 0).alias("unused"), F.array_sort(F.collect_list(F.when(F.col("in_use") == 0, F.col("name")))).alias("names"))
+    shown = F.concat(F.array_join(F.slice("names", 1, most), "、"), F.when(F.col("unused") > most, F.lit("…")).otherwise(F.lit("")))
+    return g.select("type", F.array_join(F.transform("u", lambda x: x["s"]), "\n").alias("used"), "unused", shown.alias("unused_names"))
+
+
+def heading_levels(spark: SparkSession, styles: DataFrame) -> DataFrame:
+    """The heading level of each style: the first outline level below 9 or heading-like name up the chain of parents, which ends where a style comes again."""
     return spark.sql(
-        r"""WITH RECURSIVE up(style_id, at, lvl, name, hop) AS (
-          SELECT style_id, based_on, outline_lvl, name, 0 FROM {s}
+        r"""WITH RECURSIVE up(style_id, at, lvl, name, hop, seen) AS (
+          SELECT style_id, based_on, outline_lvl, name, 0, array(style_id) FROM {s}
           UNION ALL
-          SELECT u.style_id, p.based_on, p.outline_lvl, p.name, u.hop + 1 FROM up u JOIN {s} p ON p.style_id = u.at AND u.hop < """
-        + str(most)
-        + r"""), lv AS (SELECT style_id, min_by(lvl + 1, hop) AS l FROM up WHERE lvl < 9 GROUP BY style_id),
+          SELECT u.style_id, p.based_on, p.outline_lvl, p.name, u.hop + 1, array_append(u.seen, p.style_id) FROM up u JOIN {s} p ON p.style_id = u.at AND NOT array_contains(u.seen, p.style_id)),
+        lv AS (SELECT style_id, min_by(lvl + 1, hop) AS l FROM up WHERE lvl < 9 GROUP BY style_id),
         nm AS (SELECT style_id, min_by(CAST(coalesce(nullif(regexp_extract(lower(name), '^(?:heading |标题 ?)([1-9])', 1), ''), nullif(regexp_extract(lower(name), '^h([1-9])', 1), '')) AS INT), hop) AS l FROM up
                WHERE lower(name) RLIKE '^(heading |标题 ?)[1-9]|^h[1-9]' GROUP BY style_id)
         SELECT s.style_id, coalesce(lv.l, nm.l) AS level FROM {s} s LEFT JOIN lv ON lv.style_id = s.style_id LEFT JOIN nm ON nm.style_id = s.style_id""",
@@ -123,9 +133,9 @@ def first_anchor(comments: DataFrame, anchors: DataFrame) -> DataFrame:
     return comments.join(a, ["doc_id", "comment_id"], "left").select("doc_id", "comment_id", "author", "text", "ref")
 
 
-def style_templates(paras: DataFrame) -> DataFrame:
-    """For each paragraph the nearest earlier non-empty one of the same style and part, else the first later one."""
-    w = Window.partitionBy("doc_id", "part", F.coalesce("style", F.lit(""))).orderBy("ordinal")
+def style_templates(paras: DataFrame, container: str | None = None) -> DataFrame:
+    """For each paragraph the last earlier non-empty one of the same style, part and, if given, container, else the first later one."""
+    w = Window.partitionBy("doc_id", "part", F.coalesce("style", F.lit("")), *([container] if container else [])).orderBy("ordinal")
     full = F.when(F.col("text") != "", F.col("ordinal"))
     before = F.last(full, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(full, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
@@ -165,3 +175,42 @@ def retries(attempts: DataFrame, most: int = 5) -> DataFrame:
 def hook_matches(hooks: DataFrame) -> DataFrame:
     """Whether a hook's pattern, anchored at both ends, means a tool; none and * mean all."""
     return hooks.select("id", F.coalesce((F.col("matcher") == "*") | F.expr("tool RLIKE concat('^(?:', nullif(matcher, '*'), ')$')"), F.lit(True)).alias("match"))
+
+
+def listed_sessions(raw: DataFrame) -> DataFrame:
+    """Sessions from their records (id, record: JSON with updatedAt), newest first; records that can't be read are dropped."""
+    at = F.from_json("record", "updatedAt DOUBLE", {"mode": "PERMISSIVE"})["updatedAt"]
+    return raw.select("id", at.alias("updated_at")).filter("updated_at IS NOT NULL").orderBy(F.col("updated_at").desc(), "id")
+
+
+def commands(lines: DataFrame, skills: DataFrame) -> DataFrame:
+    """What each line (id, text) that begins with a slash calls: its name, the rest, and where the name is from (built in, a skill by name, unknown); an unknown mode is invalid."""
+    name, rest = F.regexp_extract("text", r"^/(\S+)", 1), F.trim(F.regexp_extract("text", r"(?s)^/\S+\s+(.*)$", 1))
+    c = lines.filter(F.startswith("text", F.lit("/"))).select("id", name.alias("name"), rest.alias("args")).join(skills.select("name", "source").distinct(), "name", "left")
+    source = F.when(F.col("name").isin(COMMANDS), "builtin").otherwise(F.coalesce("source", F.lit("unknown")))
+    status = F.when(source == "unknown", "not_found").when((F.col("name") == "mode") & (F.col("args") != "") & ~F.col("args").isin(MODES), "invalid").otherwise("ok")
+    return c.select("id", "name", "args", source.alias("source"), status.alias("status"))
+
+
+def compactions(sizes: DataFrame, budget: int = 160_000, micro: float = 0.5, auto: float = 0.75) -> DataFrame:
+    """What a conversation of ``before`` tokens, of which folding saves ``saved``, needs within a budget: folding beyond half of it, then a summary if still beyond three quarters."""
+    folds = (F.col("before") > budget * micro) & (F.col("saved") > 0)
+    after = F.when(folds, F.col("before") - F.col("saved")).otherwise(F.col("before"))
+    return sizes.select("id", after.alias("after"), F.when(after > budget * auto, F.when(folds, "micro+auto").otherwise("auto")).when(folds, "micro").otherwise("none").alias("kind"))
+
+
+def message_tokens(messages: DataFrame) -> DataFrame:
+    """Estimated tokens of each session: characters of contents, and of an assistant's reasoning, call names and arguments, by 2.5."""
+    own = F.length(F.coalesce("content", F.lit(""))) + F.when(F.col("role") == "assistant", F.length(F.concat_ws("", "reasoning", "calls"))).otherwise(0)
+    return messages.groupBy("session").agg(F.ceil(F.sum(own) / 2.5).cast("long").alias("tokens"))
+
+
+def transcript(messages: DataFrame) -> DataFrame:
+    """What is shown of a history (session, idx, role, content, tool_call_id, tool): users' texts without reminders, assistants' texts, results with their tool and whether they went well."""
+    shown = F.when(F.col("role") == "user", F.trim(F.regexp_replace("content", r"(?s)<system-reminder>.*?</system-reminder>\s*", ""))).otherwise(F.col("content"))
+    w = Window.partitionBy("session", "call").orderBy("idx")
+    call = F.coalesce("tool_call_id", "call_id")
+    m = messages.withColumn("call", call).withColumn("named", F.last("tool", ignorenulls=True).over(w))
+    title = F.when(F.col("role") == "tool", F.coalesce("named", F.lit("工具")))
+    out = m.select("session", "idx", F.col("role").alias("kind"), shown.alias("text"), title.alias("title"), F.when(F.col("role") == "tool", ~F.startswith("content", F.lit("错误："))).alias("ok"))
+    return out.filter("kind = 'tool' OR trim(coalesce(text, '')) <> ''")

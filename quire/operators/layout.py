@@ -275,17 +275,25 @@ def estimated_pages(blocks: DataFrame, per_page: int = 3000) -> DataFrame:
     return blocks.select("doc_id", "ordinal", (F.floor(F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)) / per_page) + 1).cast("int").alias("page"))
 
 
-def char_spacing(spans: DataFrame, least: float = 0.03) -> DataFrame:
-    """The upper median of a character's width by font, in steps of 0.05, for fonts with two spans or more and a median of note."""
-    w = spans.select("font", F.round((F.col("x1") - F.col("x0")) / F.length("text"), 6).alias("w"))
-    n = w.groupBy("font").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return upper_median(w, "font", "w").join(n, "font").filter(F.abs("median") >= least).select("font", F.round(F.round(F.col("median") / 0.05) * 0.05, 2).alias("spacing"), "n")
+def char_spacing(samples: DataFrame, key: str, extra: str, least: float = 0.03) -> DataFrame:
+    """The spacing of each font (column ``key``) from measured extra widths a character: their upper median in steps of 0.05, which may be negative, for fonts with two samples or more
+    and a median of note."""
+    n = samples.filter(F.col(extra).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return upper_median(samples, key, extra).join(n, key).filter(F.abs("median") >= least).select(key, F.round(F.floor(F.col("median") * 20 + 0.5) / 20, 2).alias("spacing"), "n")
+
+
+#: How families begin, and what they are replaced by.
+FAMILIES = {"times|tmsrm|nimbusrom|ptmr|tirom": "Times New Roman", "helvetica|helv|arial|phvr|formata|frutiger|univers|myriad|futura": "Arial", "minion|giovanni|utopia|charter|caslon|sabon": "Times New Roman", "courier|mono|lucidatypewriter|inconsolata|menlo": "Courier New"}
 
 
 def font_parts(fonts: DataFrame) -> DataFrame:
-    """Family, bold and italic of font names: subset prefixes and style suffixes are taken off."""
+    """Family, bold and italic of font names: subset prefixes and style suffixes are taken off, and known families are named by a common one."""
     base = F.regexp_replace("font", r"^[A-Z]{6}\+", "")
-    return fonts.select("id", F.regexp_replace(base, r"(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$", "").alias("family"), base.rlike("Bold").alias("bold"), base.rlike("Italic|Oblique").alias("italic"))
+    family = F.regexp_replace(base, r"(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$", "")
+    common = family
+    for begin, name in FAMILIES.items():
+        common = F.when(F.regexp_replace(F.lower(family), r"[\s_]", "").rlike(f"^({begin})"), name).otherwise(common)
+    return fonts.select("id", family.alias("family"), common.alias("common"), base.rlike("Bold").alias("bold"), base.rlike("Italic|Oblique").alias("italic"))
 
 
 def blank_pages(spans: DataFrame, top: float = 60.0, bottom: float = 780.0, most: float = 0.15) -> DataFrame:

@@ -59,15 +59,21 @@ def fuzzy_matches(docs: DataFrame, needle: str, case_sensitive: bool = False) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, end long, fuzzy boolean")
 
 
-def snippets(docs: DataFrame, needle: str, around: int = 60) -> DataFrame:
-    """The first match of each document with its surroundings."""
-    at = F.instr("text", needle)
-    before = F.greatest(at - 1 - around, F.lit(0))
+def snippets(docs: DataFrame, needle: str, most: int = 30, around: int = 60, cap: int = 200) -> DataFrame:
+    """The first ``most`` matches of each document (at most ``cap``), case aside, with their surroundings, line breaks shown as marks, and the number of all matches."""
+    import re
+
     n = len(needle)
-    return docs.filter(at > 0).select(
-        "doc_id", (at - 1).cast("long").alias("index"),
-        F.concat(F.when(before > 0, F.lit("…")).otherwise(F.lit("")), F.substring("text", before + 1, at - 1 - before), F.lit("【"), F.substring("text", at, F.lit(n)), F.lit("】"), F.substring("text", at + n, F.lit(around)), F.when(F.length("text") > at - 1 + n + around, F.lit("…")).otherwise(F.lit(""))).alias("snippet"),
+    parts = F.split(F.lower("text"), re.escape(needle.lower()), -1)
+    begin = lambda i: (F.aggregate(F.slice("parts", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * n).cast("int")
+    d = docs.select("doc_id", "text", parts.alias("parts")).filter(F.size("parts") > 1)
+    each = d.select("doc_id", "text", (F.size("parts") - 1).alias("total"), F.posexplode(F.transform(F.slice("parts", F.lit(1), F.least(F.size("parts") - 1, F.lit(min(most, cap)))), lambda _, i: begin(i))).alias("hit", "at"))
+    before = F.greatest(F.col("at") - around, F.lit(0))
+    cut = F.concat(
+        F.when(before > 0, F.lit("…")).otherwise(F.lit("")), F.substring("text", before + 1, F.col("at") - before), F.lit("【"), F.substring("text", F.col("at") + 1, F.lit(n)), F.lit("】"),
+        F.substring("text", F.col("at") + n + 1, F.lit(around)), F.when(F.length("text") > F.col("at") + n + around, F.lit("…")).otherwise(F.lit("")),
     )
+    return each.select("doc_id", (F.col("hit") + 1).alias("hit"), F.col("at").cast("long").alias("index"), F.replace(cut, F.lit("\n"), F.lit("⏎")).alias("snippet"), "total")
 
 
 def replace_status(docs: DataFrame, old: str, new: str, every: bool = False) -> DataFrame:
@@ -78,6 +84,27 @@ def replace_status(docs: DataFrame, old: str, new: str, every: bool = False) ->
     return docs.select("doc_id", hits.alias("places"), status.alias("status"))
 
 
+def replaced_tolerant(docs: DataFrame, old: str, new: str, every: bool = False) -> DataFrame:
+    """Status, places and the new text of each document (doc_id, text), by exact matches or, where there is none, by typography-tolerant ones; replaced from the right."""
+
+    def one(text: str) -> tuple[str, int, str]:
+        if not old or old == new:
+            return "invalid", 0, text
+        found = find_all(text, old)
+        if not found or len(found) > 1 and not every:
+            return ("ambiguous" if found else "not_found"), len(found), text
+        for a, z, _ in reversed(found):
+            text = text[:a] + new + text[z:]
+        return "ok", len(found), text
+
+    def run(batches):
+        for b in batches:
+            out = [one(t or "") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string())))], names=["doc_id", "status", "places", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, status string, places long, text string")
+
+
 def replaced(docs: DataFrame, old: str, new: str, version: int = 1) -> DataFrame:
     """The new version of every document that has the text; the others keep their version and make no row."""
     return docs.filter(F.contains("text", F.lit(old))).select("doc_id", F.lit(version).alias("version"), F.replace(F.col("text"), F.lit(old), F.lit(new)).alias("text"))

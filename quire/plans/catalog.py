@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import blocks, compare, control, layout, markup, search
+from quire.operators import blocks, compare, control, edits, layout, markup, pages, search
 from quire.plans.tables import table
 from quire.sources.derived import TABLES as DERIVED, Corpus, derived
 from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
+from quire.sources import documents as sources
 from quire.sources.html import with_html_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,8 +96,9 @@ def search_totals(spark, d):
     return docs.select("lang", tx.literal_hits(F.col("text"), "tion").alias("hits")).filter("hits > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("blocks"), F.sum("hits").alias("hits"))
 
 
-@query("""SELECT doc_id, CAST(p - 1 AS BIGINT) AS index, CASE WHEN greatest(p - 61, 0) > 0 THEN '…' ELSE '' END || substring(text, greatest(p - 61, 0) + 1, p - 1 - greatest(p - 61, 0)) || '【' || substring(text, p, 4) || '】' || substring(text, p + 4, 60) ||
-CASE WHEN length(text) > p - 1 + 4 + 60 THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, strpos(text, 'tion') AS p FROM documents) WHERE p > 0""")
+@query("""WITH p AS (SELECT doc_id, text, string_split(lower(text), 'tion') AS ps FROM documents WHERE contains(lower(text), 'tion')), h AS (SELECT doc_id, text, ps, unnest(range(1, least(len(ps) - 1, 30) + 1)) AS hit FROM p),
+a AS (SELECT doc_id, text, hit, len(ps) - 1 AS total, CAST(list_sum(list_transform(ps[1:hit], lambda x: length(x))) + (hit - 1) * 4 AS BIGINT) AS p FROM h)
+SELECT doc_id, CAST(hit AS INTEGER) AS hit, p AS index, replace(CASE WHEN p > 60 THEN '…' ELSE '' END || substring(text, greatest(p - 60, 0) + 1, p - greatest(p - 60, 0)) || '【' || substring(text, p + 1, 4) || '】' || substring(text, p + 5, 60) || CASE WHEN length(text) > p + 64 THEN '…' ELSE '' END, chr(10), '⏎') AS snippet, CAST(total AS INTEGER) AS total FROM a""")
 def search_snippets(spark, d):
     return search.snippets(table(spark, d, "documents"), "tion")
 
@@ -111,13 +113,13 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.normalized(F.col("text")).alias("n")).select("doc_id", F.length("n").cast("long").alias("n_chars"), F.md5("n").alias("digest"))
 
 
-_WORDS = r"len(regexp_extract_all(text, '[A-Za-z0-9À-ɏͰ-ϿЀ-ӿ]+'))"
+_REST = "regexp_replace(text, '⟨[^⟩]*⟩', '', 'g')"
+_KINDS = {"wide": "[㐀-鿿豈-﫿぀-ヿ가-힯]", "words": "[A-Za-z0-9À-ɏͰ-ϿЀ-ӿ]+", "spaces": r"[\t\n\x0c\r ]+"}
 
 
-@query(rf"SELECT doc_id, {_WORDS} AS words, len(regexp_extract_all(text, '[\t\n\x0c\r ]+')) AS spaces FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, '⟨[^⟩]*⟩')) AS placeholders, " + ", ".join(f"len(regexp_extract_all({_REST}, '{p}')) AS {k}" for k, p in _KINDS.items()) + f", length(regexp_replace({_REST}, '{'|'.join(_KINDS.values())}', '', 'g')) AS others FROM documents")
 def token_counts(spark, d):
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return table(spark, d, "documents").select("doc_id", n("[A-Za-z0-9À-ɏͰ-ϿЀ-ӿ]+").alias("words"), n(r"[\t\n\x0c\r ]+").alias("spaces"))
+    return table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in tx.token_kinds(F.col("text")).items()))
 
 
 @query("SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1")
@@ -142,10 +144,11 @@ KEEP_PREFIX = "multi cross self non pre post co sub semi anti inter intra over u
 
 @query()
 def soft_hyphen_decisions(spark, d):
-    text = rows(spark, d, "hyphen_text").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("all"))
-    seen = text.select(F.array_distinct(F.flatten(F.transform("w", lambda x: F.array(F.lower(x), F.replace(F.lower(x), F.lit("-"), F.lit("")))))).alias("seen"), F.transform("all", F.lower).alias("all"))
+    """Each document's hyphens are judged by its own words."""
+    text = rows(spark, d, "hyphen_text").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("all"))
+    seen = text.select("doc_id", F.array_distinct(F.flatten(F.transform("w", lambda x: F.array(F.lower(x), F.replace(F.lower(x), F.lit("-"), F.lit("")))))).alias("seen"), F.transform("all", F.lower).alias("all"))
     base = F.rtrim(F.regexp_replace("a", "-$", ""))
-    p = rows(spark, d, "hyphens").select("id", "a", "b", F.regexp_extract(base, "([A-Za-z]+)$", 1).alias("ra"), F.regexp_extract("b", "^([A-Za-z]+)", 1).alias("rb"), base.alias("base")).crossJoin(F.broadcast(seen))
+    p = rows(spark, d, "hyphens").select("doc_id", "id", "a", "b", F.regexp_extract(base, "([A-Za-z]+)$", 1).alias("ra"), F.regexp_extract("b", "^([A-Za-z]+)", 1).alias("rb"), base.alias("base")).join(seen, "doc_id")
     a, b = F.lower("ra"), F.lower("rb")
     times = lambda w: F.size(F.filter("all", lambda x: x == w))
     drop = (
@@ -166,10 +169,10 @@ def char_multiset(spark, d):
     return each.groupBy("lang", "ch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split({_CLEAN % 'text'}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),
-g AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split({_CLEAN % 'left(text, length(text) // 2)'}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),
-j AS (SELECT a.doc_id, sum(a.n) AS total, sum(greatest(a.n - coalesce(g.n, 0), 0)) AS lost FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.ch = g.ch GROUP BY 1)
-SELECT d.doc_id, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(lost, 0) AS BIGINT) AS lost, round(CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE 1 - lost / total END, 6) AS coverage FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id""")
+@query(f"""WITH d AS (SELECT doc_id, {_CLEAN % "coalesce(text, '')"} AS a, {_CLEAN % "left(coalesce(text, ''), length(text) // 2)"} AS b FROM documents),
+c AS (SELECT doc_id, a, b, length(a) AS total, list_filter(string_split(a, ''), lambda x: x <> '') AS cs FROM d), u AS (SELECT doc_id, total, a, b, unnest(list_distinct(cs)) AS ch FROM c), l AS (SELECT doc_id, ch, strpos(a, ch) AS p, greatest(length(b) - length(replace(b, ch, '')), 0) AS got, length(a) - length(replace(a, ch, '')) AS n FROM u),
+g AS (SELECT doc_id, sum(greatest(n - got, 0)) AS lost, string_agg(ch, '' ORDER BY p) FILTER (n > got) AS miss FROM l GROUP BY 1)
+SELECT c.doc_id, CAST(total AS BIGINT) AS total, CAST(coalesce(lost, 0) AS BIGINT) AS lost, round(CASE WHEN total = 0 THEN 1.0 ELSE 1 - coalesce(lost, 0) / total END, 6) AS coverage, left(coalesce(miss, ''), 30) AS missing FROM c LEFT JOIN g ON g.doc_id = c.doc_id""")
 def char_coverage(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return compare.coverage(docs, F.col("text"), F.left("text", F.floor(F.length("text") / 2).cast("int")))
@@ -208,12 +211,15 @@ _TRI = "SELECT {id} AS id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM
 
 @query("WITH d AS (" + _TRI.replace("{id}", "doc_id").replace("{tab}", "documents") + "), b AS (" + _TRI.replace("{id}", "item_id").replace("{tab}", "benchmark") + ") SELECT d.id AS doc_id, b.id AS item_id, count(DISTINCT d.t) AS shared FROM d JOIN b ON d.t = b.t GROUP BY 1, 2")
 def trigram_overlap(spark, d):
+    """A text's trigrams are made distinct in its row; only those that an item has are shuffled."""
+
     def tri(df, i):
         w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-        t = df.select(i, w.alias("w")).filter(F.size("w") > 2).select(i, F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2]))")).alias("t"))
-        return t.distinct()
+        each = F.expr("array_distinct(transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])))")
+        return df.select(i, w.alias("w")).filter(F.size("w") > 2).select(i, F.explode(each).alias("t"))
 
-    return tri(table(spark, d, "documents"), "doc_id").join(tri(table(spark, d, "benchmark"), "item_id"), "t").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    items = tri(table(spark, d, "benchmark"), "item_id").distinct()
+    return tri(table(spark, d, "documents"), "doc_id").join(items, "t").groupBy("doc_id", "item_id").agg(F.countDistinct("t").alias("shared"))
 
 
 def _turns(spark, d):
@@ -227,11 +233,35 @@ def word_similarity(spark, d):
     return compare.with_similarity(_turns(spark, d), "before", "text").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
 
 
+def _both(spark, d, *more):
+    """Every document's lines before and after a change of words."""
+    cut = lambda c: F.split(c, "\r?\n")
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", cut(text).alias("old"), cut(F.replace(text, F.lit("tion"), F.lit("sion"))).alias("new"), *more)
+
+
 @query()
 def carry_over_edits(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    lines = lambda c: docs.select("doc_id", F.posexplode(F.split(c, "\r?\n")).alias("ordinal", "text"))
-    return compare.aligned(lines(F.col("text")), lines(F.replace("text", F.lit("tion"), F.lit("sion")))).select("doc_id", "old_ordinal", "new_ordinal", F.round("similarity", 6).alias("similarity"))
+    return compare.aligned(_both(spark, d)).select("doc_id", "old_ordinal", "new_ordinal", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def carry_over_rules(spark, d):
+    fresh = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit(" the "), F.lit(" a ")), "\r?\n")
+    return compare.carried(_both(spark, d, fresh.alias("fresh")).select("doc_id", F.col("old").alias("base"), F.col("new").alias("edited"), "fresh")).select("doc_id", "place", "decision", F.md5("text").alias("digest"))
+
+
+@query()
+def inline_diffs(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("old"), F.replace("text", F.lit("the"), F.lit("a")).alias("new"))
+    return compare.with_inline_diff(b)
+
+
+@query()
+def word_map(spark, d):
+    w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
+    docs = table(spark, d, "documents").select("doc_id", w.alias("doc"))
+    return compare.word_map(docs.select("doc_id", "doc", F.filter("doc", lambda x, i: i % 50 != 7).alias("page")))
 
 
 @query()
@@ -369,12 +399,17 @@ def tool_pool_by_format(spark, d):
     return control.tool_pools(rows(spark, d, "tools"), rows(spark, d, "capabilities"))
 
 
-@query("WITH s AS (SELECT * FROM {styles}), p AS (SELECT * FROM {paras}), u AS (SELECT coalesce(style, (SELECT style_id FROM s WHERE is_default AND type = 'paragraph')) AS style_id FROM p UNION ALL SELECT run_style FROM p WHERE run_style IS NOT NULL) SELECT s.style_id, s.name, count(u.style_id) AS in_use FROM s LEFT JOIN u ON u.style_id = s.style_id GROUP BY 1, 2")
+@query("WITH s AS (SELECT * FROM {styles}), p AS (SELECT * FROM {paras}), u AS (SELECT coalesce(style, (SELECT style_id FROM s WHERE is_default AND type = 'paragraph')) AS style_id FROM p UNION ALL SELECT run_style FROM p WHERE run_style IS NOT NULL) SELECT s.style_id, s.name, s.type, count(u.style_id) AS in_use FROM s LEFT JOIN u ON u.style_id = s.style_id GROUP BY 1, 2, 3")
 def style_usage(spark, d):
     return control.style_usage(rows(spark, d, "styles"), rows(spark, d, "paras"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT * FROM {styles}), up AS (SELECT style_id, based_on AS at, outline_lvl AS lvl, name, 0 AS hop FROM s UNION ALL SELECT u.style_id, p.based_on, p.outline_lvl, p.name, u.hop + 1 FROM up u JOIN s p ON p.style_id = u.at AND u.hop < 12),
+@query("WITH s AS (SELECT * FROM {styles}), p AS (SELECT * FROM {paras}), u AS (SELECT coalesce(style, (SELECT style_id FROM s WHERE is_default AND type = 'paragraph')) AS style_id FROM p UNION ALL SELECT run_style FROM p WHERE run_style IS NOT NULL), g AS (SELECT s.style_id, s.name, s.type, count(u.style_id) AS n FROM s LEFT JOIN u ON u.style_id = s.style_id GROUP BY 1, 2, 3) SELECT type, coalesce(string_agg(name || ' ｜ ' || style_id || ' ｜ ' || n, chr(10) ORDER BY n DESC, name) FILTER (n > 0), '') AS used, count(*) FILTER (n = 0) AS unused, coalesce(string_agg(name, '、' ORDER BY name) FILTER (n = 0), '') AS unused_names FROM g GROUP BY 1")
+def style_lists(spark, d):
+    return control.style_lists(control.style_usage(rows(spark, d, "styles"), rows(spark, d, "paras")))
+
+
+@query("""WITH RECURSIVE s AS (SELECT * FROM {styles}), up AS (SELECT style_id, based_on AS at, outline_lvl AS lvl, name, 0 AS hop, [style_id] AS seen FROM s UNION ALL SELECT u.style_id, p.based_on, p.outline_lvl, p.name, u.hop + 1, list_append(u.seen, p.style_id) FROM up u JOIN s p ON p.style_id = u.at AND NOT list_contains(u.seen, p.style_id)),
 lv AS (SELECT style_id, arg_min(lvl + 1, hop) AS l FROM up WHERE lvl < 9 GROUP BY 1),
 nm AS (SELECT style_id, arg_min(CAST(regexp_extract(lower(name), '^(?:heading |标题 ?|h)([1-9])', 1) AS INTEGER), hop) AS l FROM up WHERE regexp_matches(lower(name), '^(heading |标题 ?|h)[1-9]') GROUP BY 1)
 SELECT s.style_id, coalesce(lv.l, nm.l) AS level FROM s LEFT JOIN lv ON lv.style_id = s.style_id LEFT JOIN nm ON nm.style_id = s.style_id""")
@@ -487,10 +522,11 @@ def line_counters(spark, d):
     return layout.page_counters(rows(spark, d, "spans"))
 
 
-@query("""WITH d AS (SELECT *, lead(top) OVER (PARTITION BY doc_id, page, size, floor(x0) ORDER BY top) - top AS d FROM {spans}), b AS (SELECT doc_id, size, floor(d * 2 + 0.5) / 2 AS bin, count(*) AS n FROM d WHERE d > 0 GROUP BY 1, 2, 3)
-SELECT doc_id, size, arg_max(bin, {'n': n, 'b': -bin}) AS pitch, CAST(sum(n) AS BIGINT) AS pairs FROM b GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT doc_id, size, lead(top) OVER (PARTITION BY doc_id, page, size, floor(x0) ORDER BY top) - top AS d FROM {spans}), f AS (SELECT * FROM d WHERE d > 0 AND d >= 0.9 * size AND d <= 3.5 * size), b AS (SELECT doc_id, size, floor(d * 2 + 0.5) / 2 AS bin, count(*) AS n FROM f GROUP BY 1, 2, 3),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, size ORDER BY bin RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) AS near, sum(n) OVER (PARTITION BY doc_id, size) AS pairs FROM b), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, size ORDER BY near DESC, bin) AS r FROM s) WHERE r = 1 AND pairs >= 8 AND near >= 0.4 * pairs)
+SELECT doc_id, size, list_sort(list(d))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS pitch, CAST(max(pairs) AS BIGINT) AS pairs FROM f JOIN t USING (doc_id, size) WHERE abs(d - bin) <= 0.75 GROUP BY 1, 2""")
 def line_pitch(spark, d):
-    return layout.line_pitch(rows(spark, d, "spans"))
+    return pages.pitches(rows(spark, d, "spans"))
 
 
 @query("SELECT doc_id, page, fill, color FROM {fills} WHERE x1 - x0 >= 0.85 * width AND bottom - top >= 0.85 * height AND (x1 - x0) * (bottom - top) >= 0.7 * width * height")
@@ -623,12 +659,16 @@ def estimated_pages(spark, d):
     return layout.estimated_pages(lines.select("doc_id", (F.col("n") + 1).alias("ordinal"), "text"))
 
 
-@query("WITH w AS (SELECT font, round((x1 - x0) / length(text), 6) AS w FROM {spans}), m AS (SELECT font, count(*) AS n, list_sort(list(w))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS m FROM w GROUP BY 1) SELECT font, round(round(m / CAST(0.05 AS DOUBLE)) * CAST(0.05 AS DOUBLE), 2) AS spacing, n FROM m WHERE n >= 2 AND abs(m) >= 0.03")
+@query("WITH m AS (SELECT l_returnflag, count(*) AS n, list_sort(list(l_tax - l_discount))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS m FROM lineitem WHERE l_tax - l_discount IS NOT NULL GROUP BY 1) SELECT l_returnflag, round(floor(m * 20 + 0.5) / 20, 2) AS spacing, n FROM m WHERE n >= 2 AND abs(m) >= 0.03")
 def char_spacing(spark, d):
-    return layout.char_spacing(rows(spark, d, "spans"))
+    return layout.char_spacing(table(spark, d, "lineitem").select("l_returnflag", (F.col("l_tax") - F.col("l_discount")).alias("extra")), "l_returnflag", "extra")
+
 
+_FAMILY = r"regexp_replace(b, '(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$', '')"
+_COMMON = "CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(lower(family), '[\\s_]', '', 'g'), '^({k})') THEN '{v}'" for k, v in reversed(layout.FAMILIES.items())) + " ELSE family END"
 
-@query(r"SELECT id, regexp_replace(b, '(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$', '') AS family, contains(b, 'Bold') AS bold, contains(b, 'Italic') OR contains(b, 'Oblique') AS italic FROM (SELECT id, regexp_replace(font, '^[A-Z]{6}\+', '') AS b FROM {fonts})")
+
+@query("SELECT id, family, " + _COMMON + " AS common, bold, italic FROM (SELECT id, " + _FAMILY + r" AS family, contains(b, 'Bold') AS bold, contains(b, 'Italic') OR contains(b, 'Oblique') AS italic FROM (SELECT id, regexp_replace(font, '^[A-Z]{6}\+', '') AS b FROM {fonts}))")
 def font_parts(spark, d):
     return layout.font_parts(rows(spark, d, "fonts"))
 
@@ -655,9 +695,7 @@ def delete_blocks(spark, d):
 
 @query()
 def changed_blocks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    lines = lambda c: docs.select("doc_id", F.posexplode(F.split(c, "\r?\n")).alias("ordinal", "text"))
-    return blocks.changed_blocks(lines(F.col("text")), lines(F.replace("text", F.lit("tion"), F.lit("sion"))))
+    return compare.changed_blocks(_both(spark, d))
 
 
 @query("SELECT id, kind, again, CASE WHEN again THEN least(30.0, pow(2.0, attempt - 1)) END AS delay FROM (SELECT *, kind IN ('rate_limit', 'server', 'network') AND attempt < 5 AS again FROM (SELECT *, CASE WHEN aborted THEN 'aborted' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 401 THEN 'auth' WHEN status = 402 THEN 'balance' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' WHEN status = 0 THEN 'network' ELSE 'invalid' END AS kind FROM {attempts}))")
@@ -675,4 +713,397 @@ def corpus_counts(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"), F.count_if(F.contains("text", F.lit("\n"))).alias("multiline"))
 
 
+@query("SELECT id, regexp_matches(w, '" + pages.BULLET + "') AS bullet, regexp_matches(w, '" + pages.CLAUSE + "') AS clause, regexp_matches(text, '" + pages.HEADING_NUMBER + "') AS numbered FROM (SELECT id, text, string_split_regex(trim(text), '\\s+')[1] AS w FROM {odd_texts})")
+def label_kinds(spark, d):
+    return pages.label_kinds(rows(spark, d, "odd_texts"))
+
+
+@query("SELECT doc_id, page, mark, arg_min(elem, {'o': off, 'e': elem}) AS host, CASE WHEN arg_min(u < bottom, {'o': off, 'e': elem}) THEN 'superscript' ELSE 'subscript' END AS script FROM (SELECT h.*, m.elem AS mark, m.bottom AS u, abs(h.bottom - m.bottom) AS off FROM (SELECT * FROM {scripts}) h JOIN (SELECT * FROM {scripts}) m ON m.doc_id = h.doc_id AND m.page = h.page AND m.size <= 0.85 * h.size AND length(regexp_replace(m.text, '\\s', '', 'g')) BETWEEN 1 AND 30 AND m.x0 >= h.x0 - 2 AND m.x1 <= h.x1 + 2.5 * h.size AND abs(h.bottom - m.bottom) <= 0.75 * h.size) GROUP BY 1, 2, 3")
+def attached_marks(spark, d):
+    return pages.attached_marks(rows(spark, d, "scripts"))
+
+
+@query("SELECT id, CASE WHEN x0 - 0.5 <= cx AND x1 + 0.5 >= cx THEN left(text, k + 1) || translate(trim(accent), '" + pages.ACCENTS + "', '" + pages.COMBINING + "') || substring(text, k + 2) ELSE text END AS text FROM (SELECT *, CAST(least(length(text) - 1, greatest(0, floor((cx - x0) / greatest(0.1, x1 - x0) * length(text)))) AS INTEGER) AS k FROM {accents})")
+def folded_accents(spark, d):
+    return pages.folded_accents(rows(spark, d, "accents"))
+
+
+@query()
+def line_assembly(spark, d):
+    s = rows(spark, Corpus(d), "spans")
+    return pages.line_table(s, pages.assembled_lines(s))
+
+
+@query()
+def column_gutters(spark, d):
+    s = rows(spark, Corpus(d), "spans")
+    return pages.column_gutters(s, pages.assembled_lines(s))
+
+
+@query()
+def gutter_consensus(spark, d):
+    s = rows(spark, Corpus(d), "spans")
+    g = pages.column_gutters(s, pages.assembled_lines(s))
+    x = F.coalesce("x", F.lit(306.0))
+    each = s.join(g.select("doc_id", "page", "x"), ["doc_id", "page"], "left").groupBy("doc_id", "page").agg(F.count_if((F.col("x0") < x) & (F.col("x1") > x)).alias("crossing"), F.count(F.lit(1)).alias("lines"))
+    return pages.gutter_consensus(g, each)
+
+
+def _side_lines(spark, d):
+    return rows(spark, Corpus(d), "spans").filter("font = 'Serif'").withColumn("side", F.when(F.col("x0") < 300, 0).otherwise(1))
+
+
+@query()
+def page_paragraphs(spark, d):
+    return pages.paragraphs(_side_lines(spark, d))
+
+
+@query()
+def paragraph_shapes(spark, d):
+    lines = _side_lines(spark, d)
+    return pages.paragraph_shapes(lines, pages.paragraphs(lines), F.when(F.col("side") == 0, 72.0).otherwise(320.0), F.when(F.col("side") == 0, 300.0).otherwise(548.0))
+
+
+@query(r"""WITH l AS (SELECT doc_id, n, trim(text) AS t, trim(lag(text) OVER (PARTITION BY doc_id ORDER BY n)) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+k AS (SELECT *, CASE WHEN t <> '' AND b <> '' AND NOT regexp_matches(string_split_regex(t, '\s')[1], '{BULLET}') AND NOT regexp_matches(string_split_regex(t, '\s')[1], '{CLAUSE}') AND NOT regexp_matches(t, '{CAPTION}') AND (NOT regexp_matches(b, '[.!?。！？:：]["''”’)\]]?$') OR regexp_matches(t, '^[a-z]')) THEN 0 ELSE 1 END AS new FROM l), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM k)
+SELECT doc_id, CAST(min(n) AS INTEGER) AS first, CAST(max(n) AS INTEGER) AS last, count(*) AS pieces FROM r GROUP BY doc_id, run""".replace("{BULLET}", pages.BULLET).replace("{CLAUSE}", pages.CLAUSE).replace("{CAPTION}", pages.CAPTION))
+def merged_paragraphs(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).select("doc_id", (F.col("ordinal") + 1).alias("ordinal"), F.trim("text").alias("text"))
+    shaped = lines.select("*", F.lit(10.0).alias("size"), F.lit("left").alias("align"), F.lit(0.0).alias("first_line"), F.lit(True).alias("last_full"), F.lit(False).alias("heading"))
+    return pages.merged_paragraphs(shaped).select("doc_id", "first", "last", (F.col("last") - F.col("first") + 1).cast("long").alias("pieces"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT * FROM {segments}), e AS (SELECT h.doc_id, h.page, h.seg AS a, v.seg AS b FROM s h JOIN s v ON h.horizontal AND NOT v.horizontal AND h.doc_id = v.doc_id AND h.page = v.page AND v.x0 >= h.x0 - 2.5 AND v.x0 <= h.x1 + 2.5 AND h.y0 >= v.y0 - 2.5 AND h.y0 <= v.y1 + 2.5),
+l AS (SELECT * FROM e UNION ALL SELECT doc_id, page, b, a FROM e), r AS (SELECT doc_id, page, seg, seg AS root FROM s UNION SELECT r.doc_id, r.page, l.b, r.root FROM r JOIN l ON l.doc_id = r.doc_id AND l.page = r.page AND l.a = r.seg), c AS (SELECT doc_id, page, seg, min(root) AS tab FROM r GROUP BY 1, 2, 3),
+v AS (SELECT c.*, horizontal, CASE WHEN horizontal THEN y0 ELSE x0 END AS v FROM c JOIN s USING (doc_id, page, seg)), g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY doc_id, page, tab, horizontal ORDER BY v) > 2 THEN 1 ELSE 0 END AS gap FROM v), u AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, tab, horizontal ORDER BY v ROWS UNBOUNDED PRECEDING) AS run FROM g),
+k AS (SELECT doc_id, page, tab, horizontal, run, avg(v) AS v, count(*) AS k FROM u GROUP BY 1, 2, 3, 4, 5), t AS (SELECT doc_id, page, tab, min(v) FILTER (NOT horizontal) AS x0, max(v) FILTER (NOT horizontal) AS x1, min(v) FILTER (horizontal) AS y0, max(v) FILTER (horizontal) AS y1, count(*) FILTER (horizontal) AS ys, count(*) FILTER (NOT horizontal) AS xs, sum(k) FILTER (horizontal) AS hs, sum(k) FILTER (NOT horizontal) AS vs FROM k GROUP BY 1, 2, 3)
+SELECT doc_id, page, tab, x0, x1, y0, y1, CAST(ys - 1 AS INTEGER) AS n_rows, CAST(xs - 1 AS INTEGER) AS n_cols FROM t WHERE hs >= 2 AND vs >= 2 AND xs >= 2 AND ys >= 2 AND x1 - x0 >= 20 AND y1 - y0 >= 8""")
+def ruled_tables(spark, d):
+    s = rows(spark, d, "segments")
+    return pages.ruled_tables(layout.segment_components(spark, s), s)
+
+
+def _grid(spark, d):
+    w = Window.partitionBy("doc_id", "page")
+    return rows(spark, d, "cells").withColumn("r", F.dense_rank().over(w.orderBy("y0"))).withColumn("c", F.dense_rank().over(w.orderBy("x0")))
+
+
+@query("WITH " + _RULES + """, c AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y0) AS r, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY x0) AS c FROM {cells}), e AS (SELECT doc_id, page, cell, 'top' AS edge, true AS horizontal, y0 AS level, x0 AS lo, x1 AS hi FROM c UNION ALL SELECT doc_id, page, cell, 'left', false, x0, y0, y1 FROM c),
+q AS (SELECT e.doc_id, e.page, cell, edge, least(sum(coalesce(CASE WHEN abs(pl - level) <= 2 THEN greatest(least(hi, b) - greatest(lo, a), 0.0) ELSE 0.0 END, 0.0)) / max(hi - lo), 1.0) >= 0.6 AS border FROM e LEFT JOIN rules r ON r.doc_id = e.doc_id AND r.page = e.page AND r.horizontal = e.horizontal GROUP BY 1, 2, 3, 4),
+h AS (SELECT doc_id, page, cell, bool_or(edge = 'left' AND border) AS lft, bool_or(edge = 'top' AND border) AS tp FROM q GROUP BY 1, 2, 3), o AS (SELECT c.*, tp, CASE WHEN lft OR row_number() OVER (PARTITION BY c.doc_id, c.page, c.r ORDER BY c.c) = 1 THEN 1 ELSE 0 END AS new FROM c JOIN h ON h.doc_id = c.doc_id AND h.page = c.page AND h.cell = c.cell),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, r ORDER BY c ROWS UNBOUNDED PRECEDING) AS g FROM o), w AS (SELECT doc_id, page, r, min(c) AS c0, max(c) AS c1, bool_or(tp) AS tp FROM g GROUP BY doc_id, page, r, g), y AS (SELECT *, CASE WHEN NOT tp AND coalesce(lag(r) OVER (PARTITION BY doc_id, page, c0, c1 ORDER BY r) = r - 1, false) THEN 0 ELSE 1 END AS new FROM w),
+z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, c0, c1 ORDER BY r ROWS UNBOUNDED PRECEDING) AS run FROM y) SELECT doc_id, page, CAST(min(r) AS INTEGER) AS r, CAST(c0 AS INTEGER) AS c, CAST(count(*) AS INTEGER) AS row_span, CAST(c1 - c0 + 1 AS INTEGER) AS col_span FROM z GROUP BY doc_id, page, c0, c1, run""")
+def cell_grid(spark, d):
+    g = _grid(spark, d)
+    return pages.cell_grid(g, layout.edge_coverage(g, rows(spark, d, "segments")))
+
+
+@query("WITH " + _RULES + """, s AS (SELECT *, doc_id AS d FROM {spans}), m2 AS (SELECT s.*, r.pl, r.a, r.b, CASE WHEN r.pl >= bottom - 0.5 AND r.pl <= bottom + 0.3 * size THEN 'underline' WHEN r.pl < bottom - 0.15 * size AND r.pl > bottom - 0.45 * size THEN 'strike' END AS kind FROM s JOIN rules r ON r.horizontal AND r.doc_id = s.doc_id AND r.page = s.page WHERE least(r.b, s.x1) - greatest(r.a, s.x0) >= 0.5 * (s.x1 - s.x0)),
+k AS (SELECT *, greatest(min(x0) OVER w - a, b - max(x1) OVER w) AS out_, max(size) OVER w AS most FROM m2 WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page, pl, a, b)) SELECT DISTINCT doc_id, page, elem, kind FROM k WHERE out_ <= greatest(2.0, 0.6 * most)""")
+def text_decorations(spark, d):
+    return pages.decorations(rows(spark, d, "spans"), rows(spark, d, "segments"))
+
+
+_EQ = r"""WITH l AS (SELECT *, 72.0 AS rx0, 540.0 AS rx1, len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: regexp_full_match(w, '[a-z]{4,}'))) AS words FROM {spans}), f AS (SELECT *, x0 - rx0 > 0.06 * (rx1 - rx0) AS ind, regexp_matches(text, '{NUM}') AS num, regexp_matches(text, '{REL}') AS rel FROM l),
+g AS (SELECT *, rel AND words = 0 AND (ind OR num) AS strong, (rel AND words = 0 AND (ind OR num)) OR (length(regexp_replace(text, '\s', '', 'g')) <= 12 AND words = 0 AND ind) AS cand FROM f), r AS (SELECT *, CASE WHEN cand AND coalesce(lag(cand) OVER (PARTITION BY doc_id, page ORDER BY top, x0, elem), false) THEN 0 ELSE 1 END AS new FROM g),
+z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY top, x0, elem ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT doc_id, page, min(elem) AS first, max(elem) AS last, bool_or(num) AS numbered FROM z WHERE cand GROUP BY doc_id, page, run HAVING bool_or(strong)""".replace("{NUM}", pages.EQUATION_NUMBER).replace("{REL}", pages.RELATION)
+
+
+@query(_EQ)
+def display_equations(spark, d):
+    return pages.equations(rows(spark, d, "spans").withColumn("rx0", F.lit(72.0)).withColumn("rx1", F.lit(540.0)))
+
+
+@query(r"""WITH s AS (SELECT * FROM {spans}), n AS (SELECT doc_id, page, TRY_CAST(unnest(regexp_extract_all(text, '[0-9]+')) AS BIGINT) - page AS shift FROM s), b AS (SELECT doc_id, shift, count(DISTINCT page) AS pages FROM n GROUP BY 1, 2), t AS (SELECT doc_id, count(DISTINCT page) AS total FROM s GROUP BY 1),
+o AS (SELECT doc_id, shift FROM (SELECT b.*, total, row_number() OVER (PARTITION BY b.doc_id ORDER BY pages DESC, shift) AS r FROM b JOIN t ON t.doc_id = b.doc_id) WHERE r = 1 AND pages >= greatest(2, ceil(total / 2))),
+h AS (SELECT s.doc_id, page, top, x0, CASE WHEN shift IS NULL THEN text ELSE regexp_replace(text, '\b' || (page + shift) || '\b', '{PAGE}', 'g') END AS line FROM s LEFT JOIN o ON o.doc_id = s.doc_id WHERE top <= 80),
+e AS (SELECT doc_id, page, CASE WHEN page = 1 THEN 'first' WHEN page % 2 = 1 THEN 'odd' ELSE 'even' END AS kind, string_agg(line, chr(10) ORDER BY top, x0, line) AS header FROM h GROUP BY 1, 2), g AS (SELECT doc_id, kind, header, count(*) AS n, min(page) AS p FROM e GROUP BY 1, 2, 3)
+SELECT doc_id, kind, arg_min(header, {'n': -n, 'p': p}) AS header, max(n) AS pages FROM g GROUP BY 1, 2""")
+def header_set(spark, d):
+    s = rows(spark, d, "spans")
+    return pages.header_set(s, layout.page_offset(s))
+
+
+@query("""WITH k AS (SELECT *, before + after AS total, floor((before + after) / pitch + 0.5) AS k, abs(line_height - pitch) < 0.3 AS grid, floor((before + content + after) / pitch + 0.5) * pitch AS h FROM {grid_paras}), m AS (SELECT *, grid AND abs(total - k * pitch) < 0.05 AS keep, least(after, k * pitch) AS a1, CASE WHEN h < content THEN ceil(content / pitch) * pitch ELSE h END - content - after AS b0 FROM k)
+SELECT id, round(CASE WHEN keep THEN before WHEN grid THEN k * pitch - a1 ELSE greatest(b0, 0.0) END, 4) AS before, round(CASE WHEN keep THEN after WHEN grid THEN a1 ELSE greatest(CASE WHEN b0 < 0 THEN after + b0 ELSE after END, 0.0) END, 4) AS after FROM m""")
+def grid_spacing(spark, d):
+    return pages.grid_spacing(rows(spark, d, "grid_paras"))
+
+
+@query("""WITH w AS (SELECT doc_id, page, CAST(elem AS INTEGER) AS line FROM {spans}), p AS (SELECT doc_id, max(page) AS pages FROM w GROUP BY 1), h AS (SELECT w.doc_id, r.line AS ref, r.page AS p, count(*) FILTER (w.line < r.line) / count(*) AS share FROM w JOIN (SELECT * FROM w WHERE line % 17 = 3) r ON r.doc_id = w.doc_id AND r.page = w.page GROUP BY 1, 2, 3),
+x AS (SELECT h.*, pages, greatest(CASE WHEN p > 1 AND share < 0.35 THEN p ELSE p + 1 END, 2) AS want FROM h JOIN p ON p.doc_id = h.doc_id) SELECT doc_id, ref, CAST(CASE WHEN want > pages THEN greatest(2, p) ELSE want END AS INTEGER) AS page FROM x""")
+def float_pages(spark, d):
+    w = rows(spark, d, "spans").select("doc_id", "page", F.col("elem").alias("line"))
+    return pages.float_pages(w, w.filter("line % 17 = 3").select("doc_id", "page", "line", F.col("line").alias("ref")))
+
+
+@query()
+def running_lines(spark, d):
+    return pages.running_lines(rows(spark, Corpus(d), "spans"))
+
+
+@query("WITH " + _GUTTER + """, l AS (SELECT doc_id, max(page) AS last FROM s GROUP BY 1), k AS (SELECT s.doc_id, s.page, s.bottom, CASE WHEN s.x0 < g.x - 2 AND s.x1 > g.x + 2 THEN 'F' WHEN (s.x0 + s.x1) / 2 < g.x THEN 'L' ELSE 'R' END AS side FROM s JOIN gutter g ON g.doc_id = s.doc_id AND g.page = s.page WHERE s.bottom <= 740),
+e AS (SELECT k.doc_id, k.page, max(bottom) FILTER (side = 'L') AS l, max(bottom) FILTER (side = 'R') AS r FROM k JOIN l ON l.doc_id = k.doc_id AND k.page < l.last GROUP BY 1, 2) SELECT doc_id, page, l AS left_end, r AS right_end, coalesce(abs(l - r) > 7.2 AND greatest(l, r) > 716, false) AS uneven FROM e""")
+def uneven_pages(spark, d):
+    s = rows(spark, d, "spans")
+    return pages.uneven_pages(s, layout.gutters(s))
+
+
+@query()
+def page_texts(spark, d):
+    s = rows(spark, Corpus(d), "spans")
+    return pages.page_texts(s.select("doc_id", "page", F.col("elem").alias("pos"), "text", (792 - F.col("bottom")).alias("y"), (F.col("bottom") - F.col("top")).alias("h"), F.lit(True).alias("eol")))
+
+
+@query()
+def page_booktabs(spark, d):
+    b = rows(spark, Corpus(d), "segments").filter("horizontal")
+    c = rows(spark, Corpus(d), "cells")
+    texts = c.select("doc_id", "page", F.col("cell").alias("elem"), F.concat(F.lit("c"), "cell").alias("text"), (F.col("x0") + 5).alias("x0"), (F.col("x0") + 60).alias("x1"), (F.col("y0") + 4).alias("top"), (F.col("y1") - 4).alias("bottom"))
+    return pages.booktabs(texts, b)
+
+
+@query()
+def page_figures(spark, d):
+    f = rows(spark, Corpus(d), "fills").filter("fill > 0")
+    return pages.figures(f.select("doc_id", "page", "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"), F.lit(0).alias("curvy"), F.lit(1).alias("coloured"), F.lit(0).alias("image"), (F.col("width") * F.col("height")).alias("area")))
+
+
+_PART = "SELECT doc_id, CAST(pos AS INTEGER) AS pos, '[P' || ordinal || '@v0] (' || part || ') ' || CASE WHEN text = '' THEN '（空段落）' WHEN length(text) > 1500 THEN left(text, 1500) || '…' ELSE text END AS line, total, CASE WHEN total > 12 THEN 13 END AS read_on FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS pos, count(*) OVER (PARTITION BY doc_id) AS total FROM {paras} WHERE {}) WHERE pos BETWEEN 2 AND 12"
+
+
+def _located(spark, d):
+    return rows(spark, d, "paras").select("doc_id", "ordinal", F.concat(F.lit("P"), "ordinal", F.lit("@v0")).alias("ref"), F.col("part").alias("location"), "text")
+
+
+@query(_PART.replace("{}", "contains(part, 'od')"))
+def block_read_part(spark, d):
+    return blocks.read_part(_located(spark, d), "od", 2, 11)
+
+
+@query(_PART.replace("{}", "starts_with(part, 'bo')"))
+def block_list_part(spark, d):
+    return blocks.read_part(_located(spark, d), "bo", 2, 11, prefix=True)
+
+
+@query("SELECT doc_id, ordinal, '[P' || ordinal || '] (' || concat_ws(' · ', part, style, CASE WHEN style = 'H1' THEN '标题1' END, run_style) || ') ' || CASE WHEN text = '' THEN '（空段落）' WHEN length(text) > 1500 THEN left(text, 1500) || '…' ELSE text END AS line FROM {paras}")
+def paragraph_lines(spark, d):
+    p = rows(spark, d, "paras").select("doc_id", "ordinal", F.concat(F.lit("P"), "ordinal").alias("ref"), F.col("part").alias("location"), "style", F.when(F.col("style") == "H1", 1).alias("level"), F.when(F.col("run_style").isNotNull(), F.array("run_style")).alias("flags"), "text")
+    return blocks.detailed(p)
+
+
+_EDITED = "(SELECT *, CASE WHEN ordinal % 2 = 0 THEN 'e' WHEN ordinal % 7 = 0 THEN '' END AS target, ordinal % 3 = 0 AS bold, ordinal % 2 = 1 AS italic, ordinal % 5 = 0 AS strike FROM {blocks})"
+
+
+@query("SELECT doc_id, ordinal, status, CASE WHEN status <> 'ok' THEN text WHEN target IS NULL THEN o || text || c ELSE replace(text, target, o || target || c) END AS text FROM (SELECT *, CASE WHEN n = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous' WHEN o = '' THEN 'unsupported' ELSE 'ok' END AS status FROM (SELECT *, CASE WHEN target IS NULL THEN 1 WHEN target = '' THEN 0 ELSE (length(text) - length(replace(text, target, ''))) // length(target) END AS n, CASE WHEN bold THEN '**' ELSE '' END || CASE WHEN italic THEN '*' ELSE '' END || CASE WHEN strike THEN '~~' ELSE '' END AS o, CASE WHEN strike THEN '~~' ELSE '' END || CASE WHEN italic THEN '*' ELSE '' END || CASE WHEN bold THEN '**' ELSE '' END AS c FROM " + _EDITED + "))")
+def format_text(spark, d):
+    b = rows(spark, d, "blocks").select("doc_id", "ordinal", "text")
+    o = F.col("ordinal")
+    return edits.formatted(b, b.select("doc_id", "ordinal", F.when(o % 2 == 0, "e").when(o % 7 == 0, "").alias("target"), (o % 3 == 0).alias("bold"), (o % 2 == 1).alias("italic"), (o % 5 == 0).alias("strike")))
+
+
+@query(r"SELECT doc_id, ordinal, CASE WHEN k < 3 THEN 'ok' ELSE 'unsupported' END AS status, CASE k WHEN 0 THEN '## ' || b WHEN 1 THEN '### ' || b WHEN 2 THEN b ELSE text END AS text FROM (SELECT *, ordinal % 4 AS k, regexp_replace(text, '^#{1,6}\s+', '') AS b FROM {blocks})")
+def set_paragraph(spark, d):
+    b = rows(spark, d, "blocks").select("doc_id", "ordinal", "text")
+    k = F.col("ordinal") % 4
+    return edits.relevelled(b, b.select("doc_id", "ordinal", F.when(k == 0, "Heading 2").when(k == 1, "h3").when(k == 2, "正文").otherwise("Fancy").alias("style")))
+
+
+@query("SELECT doc_id, ordinal, CASE ordinal % 3 WHEN 0 THEN '## ' || text WHEN 1 THEN '- ' || text ELSE text END AS text FROM {blocks}")
+def styled_blocks(spark, d):
+    k = F.col("ordinal") % 3
+    return rows(spark, d, "blocks").select("doc_id", "ordinal", edits.styled(F.col("text"), F.when(k == 0, "Heading 2").when(k == 1, "列表").otherwise("Body")).alias("text"))
+
+
+_NOTED = "n AS (SELECT doc_id, ordinal AS p, 0 AS k, '<!-- 批注（ann）：' || replace(left(text, 12) || '--x', '--', '—') || ' -->' AS text FROM {blocks} WHERE ordinal % 3 = 1), u AS (SELECT doc_id, ordinal AS p, 1 AS k, text FROM {blocks} UNION ALL SELECT * FROM n)"
+
+
+def _noted(spark, d):
+    b = rows(spark, d, "blocks").select("doc_id", "ordinal", "text")
+    return edits.commented(b, b.filter("ordinal % 3 = 1").select("doc_id", "ordinal", F.lit("ann").alias("author"), F.concat(F.left("text", F.lit(12)), F.lit("--x")).alias("comment")))
+
+
+@query("WITH " + _NOTED + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, k, text) AS INTEGER) AS ordinal, text FROM u")
+def add_comments(spark, d):
+    return _noted(spark, d)
+
+
+@query("WITH " + _NOTED + ", r AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, k, text) AS INTEGER) AS ordinal, k, text FROM u) SELECT doc_id, ordinal, 'ann' AS author, substring(text, 14, length(text) - 17) AS comment FROM r WHERE k = 0")
+def list_comments(spark, d):
+    return edits.listed_comments(_noted(spark, d))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS INTEGER) AS ordinal, text FROM {blocks} WHERE text <> ''")
+def remove_comments(spark, d):
+    return edits.without_comments(_noted(spark, d), "ann")
+
+
+_TABLE = "t AS (SELECT doc_id, 1 AS tab, ordinal AS r, list_resize(string_split(text, ' ')[1:3], 3, '') AS cells FROM {blocks})"
+
+
+def _table_rows(spark, d):
+    three = F.slice(F.concat(F.slice(F.split("text", " "), 1, 3), F.array_repeat(F.lit(""), 3)), 1, 3)
+    return rows(spark, d, "blocks").select("doc_id", F.lit(1).alias("tab"), F.col("ordinal").alias("r"), three.alias("cells"))
+
+
+def _new_rows(t):
+    return t.filter("r % 3 = 1").select("doc_id", "tab", "r", (F.col("r") % 2 == 0).alias("after"), F.when(F.col("r") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y"), F.lit("z"))).alias("cells"))
+
+
+@query("WITH " + _TABLE + ", u AS (SELECT doc_id, tab, r, 0 AS p, cells FROM t UNION ALL SELECT doc_id, tab, r, CASE WHEN r % 2 = 0 THEN 1 ELSE -1 END, ['x', 'y', 'z'] FROM t WHERE r % 3 = 1 AND r % 5 <> 0) SELECT doc_id, tab, CAST(row_number() OVER (PARTITION BY doc_id, tab ORDER BY r, p) AS INTEGER) AS r, array_to_string(cells, '|') AS cells FROM u")
+def insert_table_rows(spark, d):
+    t = _table_rows(spark, d)
+    return edits.with_rows(t, _new_rows(t)).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("WITH " + _TABLE + " SELECT doc_id, tab, r, CASE WHEN r % 5 = 0 THEN 'invalid' ELSE 'ok' END AS status FROM t WHERE r % 3 = 1")
+def table_row_status(spark, d):
+    t = _table_rows(spark, d)
+    return edits.row_status(t, _new_rows(t))
+
+
+@query("WITH " + _TABLE + ", n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, tab) AS n FROM t) SELECT doc_id, tab, CAST(row_number() OVER (PARTITION BY doc_id, tab ORDER BY r) AS INTEGER) AS r, array_to_string(cells, '|') AS cells, CASE WHEN r % 4 = 1 THEN 'invalid' ELSE 'ok' END AS status FROM n WHERE r % 4 <> 1 OR n = 1")
+def delete_table_rows(spark, d):
+    t = _table_rows(spark, d)
+    return edits.without_row(t, t.filter("r % 4 = 1").select("doc_id", "tab", "r")).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("WITH " + _TABLE + " SELECT doc_id, tab, r, array_to_string([cells[1], CASE WHEN r % 2 = 0 THEN 'v' || r ELSE '' END, cells[3]], '|') AS cells FROM t")
+def replace_table_column(spark, d):
+    """The second column goes, another comes in its place."""
+    t = _table_rows(spark, d)
+    v = t.filter("r % 2 = 0").select("doc_id", "tab", "r", F.concat(F.lit("v"), "r").alias("value"))
+    return edits.with_column(edits.without_column(t, F.lit(2)), F.lit(1), v).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("WITH " + _TABLE + ", m AS (SELECT doc_id, tab, string_agg(c, chr(10) ORDER BY r, k) AS whole FROM (SELECT doc_id, tab, r, unnest([1, 2]) AS k, unnest(cells[1:2]) AS c FROM t WHERE r BETWEEN 2 AND 3) WHERE c <> '' GROUP BY 1, 2) SELECT t.doc_id, t.tab, r, CASE WHEN r = 2 THEN coalesce(whole, '') || '||' || cells[3] WHEN r = 3 THEN '||' || cells[3] ELSE array_to_string(cells, '|') END AS cells FROM t LEFT JOIN m ON m.doc_id = t.doc_id AND m.tab = t.tab")
+def merge_table_cells(spark, d):
+    t = _table_rows(spark, d)
+    area = t.select("doc_id", "tab").distinct().select("doc_id", "tab", F.lit(2).alias("r1"), F.lit(1).alias("c1"), F.lit(3).alias("r2"), F.lit(2).alias("c2"))
+    return edits.merged_cells(t, area).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 AND event_id % 10 < 6 AND event_id % 10 + 2 > 2 THEN 'protected' ELSE 'ok' END AS status FROM events")
+def atom_guard(spark, d):
+    """Edits of two characters against a placeholder at 2 to 6 in every third text."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, F.lit("ab⟨图片⟩cd⟨x")).otherwise(F.lit("abcdefgh")).alias("text"), (F.col("event_id") % 10).alias("start"), (F.col("event_id") % 10 + 2).alias("end"))
+    return edits.atom_guard(e)
+
+
+@query("SELECT doc_id, ordinal, CASE WHEN ordinal % 13 = 0 OR ordinal % 6 = 1 OR (ordinal % 2 = 0 AND count(*) OVER (PARTITION BY doc_id, CASE WHEN ordinal % 2 = 0 THEN ordinal // 4 ELSE -1 END) = 1) THEN 'protected' ELSE 'ok' END AS status FROM {blocks}")
+def delete_guard(spark, d):
+    o = F.col("ordinal")
+    return edits.delete_guard(rows(spark, d, "blocks").select("doc_id", "ordinal", F.when(o % 2 == 0, F.floor(o / 4)).alias("cell"), (o % 6 == 1).alias("section_break"), (o % 13 == 0).alias("deleted")))
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'ok' ELSE 'reverted' END AS status, md5(CASE WHEN contains(text, 'tion') THEN replace(text, 'tion', 'sion') || '⟨图片⟩' ELSE text || '⟨图片⟩' END) AS digest FROM documents")
+def fidelity_guard(spark, d):
+    """An edit that loses a text's picture is reverted."""
+    t = F.col("text")
+    pairs = table(spark, d, "documents").select("doc_id", F.concat(t, F.lit("⟨图片⟩")).alias("old"), F.when(F.contains(t, F.lit("tion")), F.concat(F.replace(t, F.lit("tion"), F.lit("sion")), F.lit("⟨图片⟩"))).otherwise(t).alias("new"))
+    return edits.guarded(pairs).select("doc_id", "status", F.md5("text").alias("digest"))
+
+
+@query("WITH l AS (SELECT user_id AS session, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS v, event_type AS label, '' || event_id AS text FROM events), m AS (SELECT session, max(v) AS last FROM l GROUP BY 1) SELECT * FROM l UNION ALL SELECT l.session, last + 1, '回滚到 v2', text FROM l JOIN m ON m.session = l.session WHERE l.v = 2 AND l.session % 3 = 0")
+def version_rollback(spark, d):
+    log = control.versions(table(spark, d, "events"), "user_id", "ts", "event_id").select(F.col("user_id").alias("session"), "v", F.col("event_type").alias("label"), F.col("event_id").cast("string").alias("text"))
+    return edits.rolled_back(log, log.filter("session % 3 = 0").select("session").distinct().withColumn("to", F.lit(2)))
+
+
+@query("SELECT user_id AS doc_id, CAST(page AS INTEGER) AS page, n > 5 AS truncated FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE page <= 5")
+def page_cap(spark, d):
+    return edits.capped_pages(control.versions(table(spark, d, "events"), "user_id", "ts", "event_id").select(F.col("user_id").alias("doc_id"), F.col("v").alias("page")), 5)
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 2 THEN 'invalid' WHEN event_id % 3 = 0 THEN 'identity' ELSE 'unsupported' END AS status, event_id % 3 <> 0 AS lossy FROM events")
+def export_status(spark, d):
+    k = F.col("event_id") % 3
+    return edits.exports(table(spark, d, "events").select(F.col("event_id").alias("id"), F.lit("markdown").alias("source"), F.when(k == 0, "markdown").when(k == 1, "docx").otherwise("rtf").alias("target")))
+
+
+@query("SELECT event_id AS id, CAST(value AS DOUBLE) AS updated_at FROM events WHERE event_id % 5 <> 0 AND value IS NOT NULL")
+def session_list(spark, d):
+    raw = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("value").alias("updatedAt")))).alias("record"))
+    return control.listed_sessions(raw)
+
+
+@query("SELECT event_id AS id, n AS name, a AS args, CASE WHEN n IN ('mode', 'help') THEN 'builtin' WHEN n = 'polish' THEN 'skill' ELSE 'unknown' END AS source, CASE WHEN n = 'nope' THEN 'not_found' WHEN n = 'mode' AND a NOT IN ('', 'plan') THEN 'invalid' ELSE 'ok' END AS status FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'mode' WHEN 1 THEN 'help' WHEN 2 THEN 'polish' ELSE 'nope' END AS n, CASE event_id % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'other text' ELSE '' END AS a FROM events) WHERE event_id % 7 <> 0")
+def slash_commands(spark, d):
+    e = F.col("event_id")
+    name, args = F.when(e % 4 == 0, "mode").when(e % 4 == 1, "help").when(e % 4 == 2, "polish").otherwise("nope"), F.when(e % 3 == 0, "plan").when(e % 3 == 1, "other text").otherwise("")
+    lines = table(spark, d, "events").select(e.alias("id"), F.when(e % 7 == 0, "no command").otherwise(F.concat(F.lit("/"), name, F.lit(" "), args)).alias("text"))
+    return control.commands(lines, spark.createDataFrame([("polish", "skill"), ("help", "skill")], "name string, source string"))
+
+
+@query("SELECT conv_id AS id, a AS after, CASE WHEN a > 75 THEN CASE WHEN f THEN 'micro+auto' ELSE 'auto' END WHEN f THEN 'micro' ELSE 'none' END AS kind FROM (SELECT conv_id, b > 50 AND s > 0 AS f, CASE WHEN b > 50 AND s > 0 THEN b - s ELSE b END AS a FROM (SELECT conv_id, CAST(ceil(sum(length(coalesce(text, ''))) / 2.5) AS BIGINT) AS b, CAST(coalesce(sum(length(text) // 5) FILTER (role = 'assistant'), 0) AS BIGINT) AS s FROM conversations GROUP BY 1))")
+def compaction_plan(spark, d):
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(tx.estimated_tokens(F.sum(F.length(F.coalesce("text", F.lit(""))))).alias("before"), F.coalesce(F.sum(F.when(F.col("role") == "assistant", F.floor(F.length("text") / 5))), F.lit(0)).alias("saved"))
+    return control.compactions(c, budget=100)
+
+
+@query("SELECT conv_id AS session, CAST(ceil(sum(length(text) + CASE WHEN role = 'assistant' THEN length(left(text, 7)) + length(role) ELSE 0 END) / 2.5) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+def message_tokens(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "role", F.col("text").alias("content"), F.left("text", F.lit(7)).alias("reasoning"), F.col("role").alias("calls"))
+    return control.message_tokens(c)
+
+
+@query("SELECT session, idx, kind, text, CASE WHEN kind = 'tool' THEN 'doc_read' END AS title, CASE WHEN kind = 'tool' THEN NOT starts_with(text, '错误：') END AS ok FROM (SELECT conv_id AS session, turn AS idx, CASE role WHEN 'system' THEN 'tool' ELSE role END AS kind, CASE WHEN role = 'system' AND turn % 2 = 0 THEN '错误：' || text WHEN role = 'user' THEN trim(text) ELSE text END AS text FROM conversations WHERE trim(text) <> '') UNION ALL SELECT DISTINCT conv_id, -1::BIGINT, 'assistant', 'call', NULL, NULL FROM conversations WHERE role = 'system'")
+def transcript_items(spark, d):
+    c, system = table(spark, d, "conversations"), F.col("role") == "system"
+    none = F.lit(None).cast("string")
+    content = F.when(system & (F.col("turn") % 2 == 0), F.concat(F.lit("错误："), "text")).when(F.col("role") == "user", F.concat("text", F.lit("<system-reminder>hidden</system-reminder>"))).otherwise(F.col("text"))
+    said = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("idx"), F.when(system, "tool").otherwise(F.col("role")).alias("role"), content.alias("content"), F.when(system, "c").alias("tool_call_id"), none.alias("call_id"), none.alias("tool"))
+    call = c.filter(system).select(F.col("conv_id").alias("session")).distinct().select("session", F.lit(-1).cast("long").alias("idx"), F.lit("assistant").alias("role"), F.lit("call").alias("content"), none.alias("tool_call_id"), F.lit("c").alias("call_id"), F.lit("doc_read").alias("tool"))
+    return control.transcript(said.unionByName(call))
+
+
+@query(_COST + "SELECT user_id, round(sum(cached) / sum(n), 6) AS hit_rate, count(*) AS requests FROM k GROUP BY 1 HAVING sum(n) > 0")
+def usage_hit_rate(spark, d):
+    u = _usage(spark, d).groupBy("user_id").agg(F.sum("cached").alias("c"), F.sum("prompt").alias("p"), F.count(F.lit(1)).alias("requests")).filter("p > 0")
+    return u.select("user_id", F.round(F.col("c") / F.col("p"), 6).alias("hit_rate"), "requests")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM (SELECT doc_id, regexp_replace(trim(text, ' ' || chr(10)), '\\s+', ' ', 'g') AS text FROM documents)")
+def serialized_documents(spark, d):
+    """Documents put together again from their blocks hold the same words."""
+    again = sources.serialized(blocks.with_blocks(table(spark, d, "documents")))
+    return table(spark, d, "documents").select("doc_id").join(again, "doc_id", "left").select("doc_id", F.md5(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " ")).alias("digest"))
+
+
+@query("SELECT 's' || (doc_id % 40) AS name, trim(arg_max(left(replace(text, chr(10), ' '), 30), doc_id)) AS description FROM documents GROUP BY 1")
+def skill_manifests(spark, d):
+    """Names and descriptions in front matter; the last loaded of equal names wins."""
+    body = F.concat(F.lit("---\nname: s"), F.col("doc_id") % 40, F.lit("\ndescription: "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(30)), F.lit("\n---\n"), "text")
+    return sources.front_matter(table(spark, d, "documents").select(body.alias("text"), F.col("doc_id").alias("prio"))).select("name", "description").orderBy("name")
+
+
+@query("SELECT c_mktsegment, '<table><caption>Orders</caption><tr><th>y</th><th>v</th></tr>' || string_agg('<tr><td>' || y || '</td><td>' || n || '</td></tr>', '' ORDER BY y) || '</table>' AS html FROM (SELECT c_mktsegment, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1")
+def table_html(spark, d):
+    n = _segments(spark, d).groupBy("c_mktsegment", "y").agg(F.count(F.lit(1)).alias("n"))
+    body = n.select("c_mktsegment", F.col("y").alias("pos"), F.array(F.col("y").cast("string"), F.col("n").cast("string")).alias("cells"))
+    head = n.select("c_mktsegment").distinct().select("c_mktsegment", F.lit(0).alias("pos"), F.array(F.lit("y"), F.lit("v")).alias("cells"))
+    return markup.html_rows(body.unionByName(head), "c_mktsegment", "cells", "Orders")
+
+
+@query("WITH v AS (SELECT o_orderstatus, o_orderpriority, greatest(sum(o_totalprice), 0.0) AS v FROM orders GROUP BY 1, 2), t AS (SELECT *, sum(v) OVER (PARTITION BY o_orderstatus) AS total, sum(v) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ROWS UNBOUNDED PRECEDING) AS upto FROM v) SELECT o_orderstatus, o_orderpriority, round(360 * (upto - v) / total, 6) AS start, round(360 * upto / total, 6) AS \"end\" FROM t WHERE total > 0")
+def pie_angles(spark, d):
+    return markup.pie_angles(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+
+
+@query()
+def replace_tolerant(spark, d):
+    return search.replaced_tolerant(table(spark, d, "documents"), "tion", "sion", True).select("doc_id", "status", "places", F.md5("text").alias("digest"))
+
+
+@query()
+def search_fuzzy_corpus(spark, d):
+    return search.fuzzy_matches(table(spark, d, "documents"), "the of")
+
+
+@query("SELECT lang, count(*) AS documents, count(*) FILTER (t) AS prose, count(*) FILTER (NOT t) AS others FROM (SELECT lang, length(text) > 200 AS t FROM documents) GROUP BY 1")
+def document_counts(spark, d):
+    t = F.length("text") > 200
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if(t).alias("prose"), F.count_if(~t).alias("others"))
+
+
 del query

@@ -37,14 +37,17 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "batch_calls": ("turn int, pos int, safe boolean", [(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, False), (1, 5, True), (2, 1, False), (2, 2, True), (2, 3, True)]),
     "captions": ("id int, text string", [(1, "Fig. 3. A plot"), (2, "Figure 12: flow"), (3, "TABLE IV RESULTS"), (4, "图 2 流程"), (5, "表3 数据"), (6, "figured out"), (7, "Table of contents")]),
     "odd_texts": ("id int, text string", [(1, "ﬁne ﬂow ﬀ ﬃ"), (2, "so­ft"), (3, "S P A C E D"), (4, "not spaced"), (5, "a <system-reminder>x\ny</system-reminder> b"), (6, "中文 and latin"), (7, "“q” ‘s’ — x y"), (8, "multi\r\n\nline  text")]),
-    "hyphens": ("id int, a string, b string", [(1, "the sharp-", "ness of"), (2, "noise-", "dominated"), (3, "image-to-", "image"), (4, "Swin-", "Transformer"), (5, "CT-", "mamba"), (6, "atten-", "tion"), (7, "1-", "two"), (8, "x-", "y"), (9, "red-", "green")]),
-    "hyphen_text": ("id int, text string", [(1, "sharpness matters; attention too. red green red green well-known")]),
+    "hyphens": ("doc_id long, id int, a string, b string", [(1, 1, "the sharp-", "ness of"), (1, 2, "noise-", "dominated"), (1, 3, "image-to-", "image"), (1, 4, "Swin-", "Transformer"), (1, 5, "CT-", "mamba"), (1, 6, "atten-", "tion"), (1, 7, "1-", "two"), (1, 8, "x-", "y"), (1, 9, "red-", "green"), (2, 10, "sharp-", "ness")]),
+    "hyphen_text": ("doc_id long, text string", [(1, "sharpness matters; attention too. red green red green well-known"), (2, "sharp ness sharp ness")]),
     "inserts": ("doc_id long, after int, pos int, text string", [(1, 2, 1, "new one"), (1, 2, 2, "new two"), (1, 0, 1, "first"), (2, 1, 1, "end")]),
     "deletes": ("doc_id long, ordinal int", [(1, 4), (2, 1)]),
     "blocks": ("doc_id long, ordinal int, kind string, text string", [(1, 1, "heading", "# A"), (1, 2, "paragraph", "p"), (1, 3, "list", "- x"), (1, 4, "list", "- y"), (2, 1, "paragraph", "only")]),
     "fonts": ("id int, font string", [(1, "ABCDEF+TimesNewRomanPS-BoldMT"), (2, "Arial,Italic"), (3, "QWERTY+CMR10"), (4, "Helvetica-BoldOblique"), (5, "SimSun"), (6, "abcdef+Lower")]),
     "attempts": ("id int, status int, attempt int, aborted boolean", [(1, 429, 1, False), (2, 500, 3, False), (3, 401, 1, False), (4, 503, 5, False), (5, 200, 1, False), (6, 0, 2, True), (7, 402, 1, False), (8, 0, 1, False), (9, 502, 6, False)]),
     "hooks": ("id int, matcher string, tool string", [(1, "doc_.*", "doc_read"), (2, "doc", "doc_read"), (3, "*", "todo"), (4, None, "todo"), (5, "a|todo", "todo")]),
+    "accents": ("id int, text string, x0 double, x1 double, accent string, cx double", [(1, "yz", 10.0, 20.0, "¯", 12.0), (2, "F", 5.0, 9.0, "ˆ", 7.0), (3, "ab", 0.0, 4.0, "~", 9.0), (4, "abc", 0.0, 30.0, "´", 29.9)]),
+    "grid_paras": ("id int, before double, after double, content double, line_height double, pitch double", [(1, 3.0, 7.0, 24.0, 12.0, 12.0), (2, 6.0, 6.0, 36.0, 12.0, 12.0), (3, 4.0, 2.0, 29.0, 14.5, 12.0), (4, 0.0, 30.0, 40.0, 15.0, 12.0), (5, 0.0, 0.0, 5.0, 20.0, 12.0)]),
+    "scripts": ("doc_id long, page int, elem int, text string, x0 double, x1 double, top double, bottom double, size double", [(1, 1, 1, "The energy E = mc", 72.0, 160.0, 100.0, 110.0, 10.0), (1, 1, 2, "2", 160.5, 164.0, 98.0, 105.0, 7.0), (1, 1, 3, "i", 120.0, 123.0, 106.0, 113.0, 7.0), (1, 1, 4, "far", 400.0, 410.0, 100.0, 107.0, 7.0), (1, 1, 5, "Next line of text", 72.0, 160.0, 112.0, 122.0, 10.0)]),
     "moves": ("doc_id long, ordinal int, text string, moved boolean, anchor boolean", [(1, 1, "a", False, False), (1, 2, "b", True, False), (1, 3, "c", False, False), (1, 4, "d", True, False), (1, 5, "e", False, True), (1, 6, "f", False, False)]),
 }
 
