@@ -140,3 +140,13 @@ def deleted(blocks: DataFrame, gone: DataFrame) -> DataFrame:
     kept = marked.filter(F.col("gone").isNull() | (F.col("n") == 1))
     status = F.when(F.col("gone").isNotNull(), "protected").otherwise("ok")
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")).alias("ordinal"), "text", status.alias("status"))
+
+
+def table_of_contents(headings: DataFrame, deepest: int = 3) -> DataFrame:
+    """Each document's contents as a list of links, indented by level, down to ``deepest``."""
+    from quire.functions.text import slug
+
+    h = headings.filter(F.col("level").between(1, deepest) & (F.trim("text") != ""))
+    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- ["), F.trim("text"), F.lit("](#"), slug(F.col("text")), F.lit(")"))
+    each = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
+    return h.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "\n").alias("toc"))

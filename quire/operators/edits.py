@@ -142,7 +142,7 @@ def guarded(pairs: DataFrame) -> DataFrame:
 def rolled_back(log: DataFrame, wanted: DataFrame) -> DataFrame:
     """An append-only log (session, v, label, text) with one more version for each session that is to return to an earlier one (session, to); nothing is lost."""
     last = log.groupBy("session").agg(F.max("v").alias("last"))
-    old = wanted.join(log, (wanted["session"] == log["session"]) & (wanted["to"] == log["v"])).select(log["session"], wanted["to"].alias("to"), "text")
+    old = wanted.select("session", F.col("to").alias("v")).join(log.select("session", "v", "text"), ["session", "v"]).select("session", F.col("v").alias("to"), "text")
     new = old.join(last, "session").select("session", (F.col("last") + 1).cast("int").alias("v"), F.concat(F.lit("回滚到 v"), "to").alias("label"), "text")
     return log.select("session", "v", "label", "text").unionByName(new)
 

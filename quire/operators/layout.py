@@ -269,10 +269,30 @@ def local_right_edges(spans: DataFrame, around: int = 4, tol: float = 1.5, least
     return near.select("doc_id", "page", "elem", F.when(agree >= least, F.col("m")).alias("edge"))
 
 
-def estimated_pages(blocks: DataFrame, per_page: int = 3000) -> DataFrame:
-    """The page that each block begins on, from the characters before it."""
-    w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select("doc_id", "ordinal", (F.floor(F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)) / per_page) + 1).cast("int").alias("page"))
+def estimated_pages(blocks: DataFrame, per_page: int = 3000, breaks: Column | None = None, most: int = 50) -> DataFrame:
+    """The page that each block begins on, from the characters before it since the last page break (``breaks``: blocks before which a page ends); only the first ``most`` pages."""
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    b = blocks.withColumn("cut", F.coalesce(breaks, F.lit(False)).cast("int") if breaks is not None else F.lit(0)).withColumn("part", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("doc_id", "part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    inner = b.select("doc_id", "ordinal", "part", F.floor(F.coalesce(F.sum(F.length("text")).over(own), F.lit(0)) / per_page).alias("p"))
+    size = inner.groupBy("doc_id", "part").agg((F.max("p") + 1).alias("k"))
+    first = size.select("doc_id", "part", F.coalesce(F.sum("k").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    page = (F.col("first") + F.col("p") + 1).cast("int")
+    return inner.join(first, ["doc_id", "part"]).select("doc_id", "ordinal", page.alias("page")).filter(F.col("page") <= most)
+
+
+def images_by_row(images: DataFrame, spans: DataFrame) -> DataFrame:
+    """The text next to each image of a page: the span whose middle is nearest in height, of equal ones the first."""
+    mid = F.abs((F.col("top") + F.col("bottom")) / 2 - F.col("cy"))
+    i = images.select("doc_id", "page", "image", ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    return i.join(spans, ["doc_id", "page"]).groupBy("doc_id", "page", "image").agg(F.min_by("elem", F.struct(mid, "elem")).alias("elem"))
+
+
+def page_counts(spans: DataFrame, gutter: DataFrame) -> DataFrame:
+    """Pages, pages of two columns (gutter score of four lines or more), lines and heading-sized lines of each document."""
+    cols = gutter.filter("score >= 4").groupBy("doc_id").agg(F.count(F.lit(1)).alias("column_pages"))
+    g = spans.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.count(F.lit(1)).alias("lines"), F.count_if((F.col("size") > 10) | F.col("bold")).alias("headings"))
+    return g.join(cols, "doc_id", "left").select("doc_id", "pages", F.coalesce("column_pages", F.lit(0)).alias("column_pages"), "lines", "headings")
 
 
 def char_spacing(samples: DataFrame, key: str, extra: str, least: float = 0.03) -> DataFrame:

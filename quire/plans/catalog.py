@@ -653,15 +653,17 @@ def local_right_edges(spark, d):
     return layout.local_right_edges(rows(spark, d, "spans"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS ordinal, CAST(floor(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 3000) + 1 AS INTEGER) AS page FROM l")
+@query("""WITH l AS (SELECT doc_id, text, n, CASE WHEN n % 40 = 0 THEN 1 ELSE 0 END AS cut FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)), p AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM l),
+i AS (SELECT doc_id, n, part, floor(coalesce(sum(length(text)) OVER (PARTITION BY doc_id, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 3000) AS p FROM p), f AS (SELECT doc_id, part, coalesce(sum(max(p) + 1) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM i GROUP BY 1, 2)
+SELECT i.doc_id, CAST(n AS INTEGER) AS ordinal, CAST(first + p + 1 AS INTEGER) AS page FROM i JOIN f ON f.doc_id = i.doc_id AND f.part = i.part WHERE first + p + 1 <= 50""")
 def estimated_pages(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    return layout.estimated_pages(lines.select("doc_id", (F.col("n") + 1).alias("ordinal"), "text"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", (F.col("n") + 1).alias("ordinal"), "text")
+    return layout.estimated_pages(lines, breaks=F.col("ordinal") % 40 == 0)
 
 
-@query("WITH m AS (SELECT l_returnflag, count(*) AS n, list_sort(list(l_tax - l_discount))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS m FROM lineitem WHERE l_tax - l_discount IS NOT NULL GROUP BY 1) SELECT l_returnflag, round(floor(m * 20 + 0.5) / 20, 2) AS spacing, n FROM m WHERE n >= 2 AND abs(m) >= 0.03")
+@query("WITH m AS (SELECT l_returnflag, count(*) AS n, list_sort(list(l_discount - 0.1))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS m FROM lineitem WHERE l_discount IS NOT NULL GROUP BY 1) SELECT l_returnflag, round(floor(m * 20 + 0.5) / 20, 2) AS spacing, n FROM m WHERE n >= 2 AND abs(m) >= 0.03")
 def char_spacing(spark, d):
-    return layout.char_spacing(table(spark, d, "lineitem").select("l_returnflag", (F.col("l_tax") - F.col("l_discount")).alias("extra")), "l_returnflag", "extra")
+    return layout.char_spacing(table(spark, d, "lineitem").select("l_returnflag", (F.col("l_discount") - 0.1).alias("extra")), "l_returnflag", "extra")
 
 
 _FAMILY = r"regexp_replace(b, '(?:PS)?[-,]?(?:BoldItalic|BoldOblique|Bold|Italic|Oblique)?(?:MT)?$', '')"
@@ -1100,10 +1102,26 @@ def search_fuzzy_corpus(spark, d):
     return search.fuzzy_matches(table(spark, d, "documents"), "the of")
 
 
-@query("SELECT lang, count(*) AS documents, count(*) FILTER (t) AS prose, count(*) FILTER (NOT t) AS others FROM (SELECT lang, length(text) > 200 AS t FROM documents) GROUP BY 1")
-def document_counts(spark, d):
-    t = F.length("text") > 200
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if(t).alias("prose"), F.count_if(~t).alias("others"))
+@query("WITH " + _GUTTER + ", c AS (SELECT doc_id, count(*) AS column_pages FROM gutter WHERE score >= 4 GROUP BY 1), g AS (SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS lines, count(*) FILTER (size > 10 OR bold) AS headings FROM s GROUP BY 1) SELECT g.doc_id, pages, coalesce(column_pages, 0) AS column_pages, lines, headings FROM g LEFT JOIN c ON c.doc_id = g.doc_id")
+def page_counts(spark, d):
+    s = rows(spark, d, "spans")
+    return layout.page_counts(s, layout.gutters(s))
+
+
+@query("SELECT f.doc_id, f.page, f.fill AS image, arg_min(s.elem, {'d': abs((s.top + s.bottom) / 2 - (f.top + f.bottom) / 2), 'e': s.elem}) AS elem FROM (SELECT * FROM {fills}) f JOIN (SELECT * FROM {spans}) s ON s.doc_id = f.doc_id AND s.page = f.page GROUP BY 1, 2, 3")
+def images_by_row(spark, d):
+    f = rows(spark, d, "fills").select("doc_id", "page", F.col("fill").alias("image"), F.col("top").alias("y0"), F.col("bottom").alias("y1"))
+    return layout.images_by_row(f, rows(spark, d, "spans"))
+
+
+@query(r"SELECT doc_id, string_agg(repeat('  ', level - 1) || '- [' || trim(text) || '](#' || regexp_replace(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}\s-]', '', 'g'), '\s+', '-', 'g') || ')', chr(10) ORDER BY ordinal) AS toc FROM {headings} WHERE level BETWEEN 1 AND 3 AND trim(text) <> '' GROUP BY 1")
+def table_of_contents(spark, d):
+    return blocks.table_of_contents(rows(spark, d, "headings"))
+
+
+@query(r"SELECT id, CASE WHEN regexp_matches(text, '^(?:\S {1,3}){3,}\S$') THEN replace(replace(regexp_replace(text, ' {2,}', chr(1), 'g'), ' ', ''), chr(1), ' ') ELSE text END AS joined, translate(text, '" + "".join(tx.SYMBOLS) + "', '" + "".join(tx.SYMBOLS.values()) + "') AS symbols FROM {odd_texts}")
+def letter_spacing(spark, d):
+    return rows(spark, d, "odd_texts").select("id", tx.letters_joined(F.col("text")).alias("joined"), tx.symbols_shown(F.col("text")).alias("symbols"))
 
 
 del query

@@ -23,26 +23,47 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return named.join(detected_formats(named.select("file_id", "name")).select("file_id", "format"), "file_id")
 
 
+#: Parts of a word-processor file in reading order, and what their places are called.
+PARTS = ((r"word/document\.xml", "正文"), (r"word/header(\d*)\.xml", "页眉"), (r"word/footer(\d*)\.xml", "页脚"), (r"word/footnotes\.xml", "脚注"), (r"word/endnotes\.xml", "尾注"))
+
+
 def docx_blocks(content: bytes) -> list[tuple[int, str, str | None, str]]:
-    """(ordinal, location, style, text) of the paragraphs of a document's body, cells with their table, row and column."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    out, tables = [], 0
+    """(ordinal, location, style, text) of the paragraphs of a document's body, headers, footers and notes, cells with their table, row and column. Separators of notes are left out."""
+    out = []
 
     def para(p, where: str) -> None:
         style = p.find(f"{_W}pPr/{_W}pStyle")
         text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" for t in p.iter() if t.tag in (f"{_W}t", f"{_W}tab", f"{_W}br"))
         out.append((len(out) + 1, where, style.get(f"{_W}val") if style is not None else None, text))
 
-    for e in body if body is not None else ():
-        if e.tag == f"{_W}p":
-            para(e, "正文")
-        elif e.tag == f"{_W}tbl":
-            tables += 1
-            for r, row in enumerate(e.findall(f"{_W}tr"), 1):
-                for c, cell in enumerate(row.findall(f"{_W}tc"), 1):
-                    for p in cell.findall(f"{_W}p"):
-                        para(p, f"表格{tables} 第{r}行第{c}列")
+    def walk(parent, where: str) -> None:
+        tables = 0
+        for e in parent:
+            if e.tag == f"{_W}p":
+                para(e, where)
+            elif e.tag == f"{_W}tbl":
+                tables += 1
+                for r, row in enumerate(e.findall(f"{_W}tr"), 1):
+                    for c, cell in enumerate(row.findall(f"{_W}tc"), 1):
+                        for p in cell.findall(f"{_W}p"):
+                            para(p, ("" if where == "正文" else where) + f"表格{tables} 第{r}行第{c}列")
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        if "word/document.xml" not in names:
+            raise KeyError("no document part")
+        for pattern, place in PARTS:
+            found = sorted((m for n in names if (m := re.fullmatch(pattern, n))), key=lambda m: int(m[1] or 0) if m.groups() else 0)
+            for m in found:
+                root = ET.fromstring(z.read(m[0]))
+                if place == "正文":
+                    walk(root.find(f"{_W}body") if root.find(f"{_W}body") is not None else (), place)
+                elif place in ("脚注", "尾注"):
+                    for note in root:
+                        if note.get(f"{_W}type") is None:
+                            walk(note, place + (note.get(f"{_W}id") or ""))
+                else:
+                    walk(root, place + (m[1] or ""))
     return out
 
 

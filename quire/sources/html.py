@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that make a block, containers whose direct text does, and what is passed over.
-BLOCK_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote pre figcaption dt dd caption title".split())
-CONTAINERS = frozenset("html body div section article main header footer nav aside form ul ol dl table tr tbody thead figure details summary head".split())
+BLOCK_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre figcaption caption title blockquote summary".split())
+CONTAINERS = frozenset("div section article header footer main aside nav body blockquote".split())
 SKIPPED = frozenset("script style template noscript svg math".split())
+#: Elements that only scope others: their ends close what is open in them, their own text goes to the block or container around.
+STRUCTURE = frozenset("html head ul ol dl table thead tbody tfoot tr form figure details fieldset".split())
 KINDS = {"li": "list", "td": "table-cell", "th": "table-cell", "blockquote": "quote", "pre": "code", "title": "title"}
 
 
@@ -19,6 +21,7 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[list] = []
+        self.root: list = ["body", None]
         self.found: list[list] = []
         self.skip = 0
 
@@ -29,7 +32,7 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skip += 1
-        elif tag in BLOCK_TAGS or tag in CONTAINERS:
+        elif tag in BLOCK_TAGS or tag in CONTAINERS or tag in STRUCTURE:
             if self.stack and self.stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "title") or self.stack and tag == self.stack[-1][0] == "li":
                 self.stack.pop()
             self._open(tag)
@@ -46,7 +49,7 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skip or not self.stack and not data.strip():
             return
-        top = self.stack[-1] if self.stack else ["body", None]
+        top = next((x for x in reversed(self.stack) if x[0] not in STRUCTURE), self.root)
         if top[1] is None:
             if not data.strip():
                 return

@@ -69,6 +69,15 @@ def test_html_and_docx_blocks():
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("word/document.xml", xml)
     assert docx_blocks(buf.getvalue()) == [(1, "正文", "H1", "Hi"), (2, "表格1 第1行第1列", None, "c")]
+    para = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    with zipfile.ZipFile(buf, "a") as z:
+        for n in (10, 2):
+            z.writestr(f"word/header{n}.xml", f"<w:hdr {w}>{para(f'head {n}')}</w:hdr>")
+        z.writestr("word/footer1.xml", f"<w:ftr {w}>{para('foot')}</w:ftr>")
+        z.writestr("word/footnotes.xml", f'<w:footnotes {w}><w:footnote w:type="separator" w:id="0">{para("-")}</w:footnote><w:footnote w:id="1">{para("note")}</w:footnote></w:footnotes>')
+    assert [b[1:] for b in docx_blocks(buf.getvalue())[2:]] == [("页眉2", None, "head 2"), ("页眉10", None, "head 10"), ("页脚1", None, "foot"), ("脚注1", None, "note")]
+    nested = html_blocks("<body><ul>loose<li>one<li>two</ul>after<table><tr><td>c</table><details><summary>sum</summary>body text</details></body>")
+    assert [(k, t) for _, k, _, t in nested] == [("paragraph", "looseafterbody text"), ("list", "one"), ("list", "two"), ("table-cell", "c"), ("paragraph", "sum")]
     with pytest.raises(zipfile.BadZipFile):
         docx_blocks(b"no")
 
@@ -84,3 +93,18 @@ def test_components_and_levels_follow_long_paths(spark):
     edges = [(g, i, f"n{i}", f"n{i + 1}") for g, n in ((1, 10), (2, 25)) for i in range(n)] + [(2, 99, "n25", "n3"), (3, 0, "a", "b"), (3, 1, "b", "a"), (3, 2, "b", "c"), (3, 3, "a", "c")]
     levels = {(r.graph, r.node): r.level for r in layout.diagram_levels(spark, spark.createDataFrame(edges, "graph int, pos int, src string, dst string")).collect()}
     assert levels == {**{(g, f"n{i}"): i for g, n in ((1, 10), (2, 25)) for i in range(n + 1)}, (3, "a"): 0, (3, "b"): 1, (3, "c"): 2}
+
+
+def test_sessions_and_files_are_written_and_read(spark, tmp_path):
+    from quire.sources import documents as sources
+
+    v = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "session_id string, v int, text string")
+    sources.write_session(v, str(tmp_path / "s"))
+    sources.write_session(spark.createDataFrame([("a", 2, "z")], v.schema), str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).select("session_id", "v", "text").collect()) == [("a", 1, "x"), ("a", 2, "z"), ("b", 1, "y")]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "one.md").write_text("# T")
+    (tmp_path / "f" / "two.xyz").write_text("?")
+    assert sorted((r.name, r.format, bytes(r.content)) for r in sources.read_files(spark, f"file://{tmp_path}/f").collect()) == [("one.md", "markdown", b"# T"), ("two.xyz", "unsupported", b"?")]
+    bad = sources.with_docx_blocks(spark.createDataFrame([(1, bytearray(b"no zip"))], "file_id long, content binary")).collect()
+    assert [(r.file_id, r.status) for r in bad] == [(1, "invalid")]
