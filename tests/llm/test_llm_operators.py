@@ -635,3 +635,69 @@ def test_pipeline(spark):
         docs = out
     whole = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert len(seen[-1]) > 0.7 * len(whole) and re.fullmatch("[0-9a-f]{64}", docs.first().ids_sha256)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() against plain versions of the five stages on documents with nulls, empty texts, repeated rows and clashing columns."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(31)
+    bench = ["A farmer has 12 cows and sells 5 of them on Monday for 300 dollars each, how many remain", "Which river flows through the old town of Weimar before it reaches the sea in spring"]
+    shared = prose(r, 60)
+    texts, labels = labelled(spark, 200)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(300, None), (301, ""), (302, rows[1][1]), (303, rows[2][1] + " end"), (1, rows[1][1]), (304, prose(r, 30) + " " + bench[0] + " " + prose(r, 30)), (305, prose(r, 20) + " " + bench[1].replace("Weimar", "Gotha"))]
+    rows += [(310 + i, prose(r, 20) + " " + shared + " " + prose(r, 20)) for i in range(3)] + [(None, prose(r, 40))]
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key long, at string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([*enumerate(bench), (9, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256").collect()))
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model, curve = op4.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    p = op4.probabilities(model, curve, pa.array([t for _, t in rows], pa.string()))
+    kept = [x for x, q in zip(rows, p) if q < 0.5]
+    assert {i for i, _ in rows} - {i for i, _ in kept} >= {i for i, _, y in labels if y} - {1}
+    links = collections.defaultdict(set)
+    for x in brute_links(kept, 5):
+        d, _, c, _ = eval(x)  # noqa: S307
+        links[d].add(c)
+    kept = [(i, t) for i, t in kept if i is None or i in links[i]]
+    cut = brute_windows([t for _, t in kept], 35)
+    kept = [(i, w[3] if w[1] else t) for (i, t), w in zip(kept, cut)]
+    assert sum(w[1] > 0 for w in cut) >= 3
+    before = len(kept)
+    kept = [(i, t) for i, t in kept if i not in (304, 305)]
+    assert len(kept) == before - 2
+    lib = Tokenizer.from_str(op7.tokenizer_source())
+    want = []
+    for i, t in kept:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append(str((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())))
+    as_tuple = [re.sub(r"^Row\(doc_id=(.*), n_tokens=(.*), ids_sha256=(.*)\)$", r"(\1, \2, \3)", x) for x in got]
+    assert sorted(as_tuple) == sorted(want)
+
+
+def test_empty_tables(spark, tmp_path):
+    """No operator fails on tables without rows, and none makes rows of nothing."""
+    import corpus_pipeline
+    from conftest import SF
+    from quire.llm.queries import QUERIES
+
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, q in {**QUERIES, "pipeline": corpus_pipeline.run}.items():
+        assert q(spark, str(tmp_path)).count() == 0, name
+
+
+def test_long_texts(spark):
+    """A text of a million characters among short ones, through the operators that meet texts whole."""
+    r = random.Random(33)
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(180_000))
+    docs = make(spark, [long, "short text of five words", long + " end"])
+    assert {x.component_id for x in op3.link_documents(docs).collect()} == {0, 1}
+    assert sum(x.n_removed for x in op9.dedup_substrings(docs).collect()) == 2 * 180_000
+    item = " ".join(long.split()[500:560])
+    assert {x.doc_id for x in op1.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == {0, 2}
+    assert [x.n_words for x in op10.count_tokens(docs, op10.vocabulary()).collect() if x.doc_id == 0] == [180_000]
