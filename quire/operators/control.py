@@ -23,9 +23,12 @@ def latest(log: DataFrame, session: str, value: str, order: Column) -> DataFrame
     return log.groupBy(session).agg(F.count(F.lit(1)).alias("v"), F.max_by(value, order).alias(value))
 
 
-def reviewed(revisions: DataFrame, accept: bool) -> DataFrame:
-    """Each document's text after accepting or rejecting all revisions: one side of insertions and deletions stays."""
-    keep = (F.col("kind") == "keep") | ((F.col("kind") == "ins") == F.lit(accept))
+def reviewed(revisions: DataFrame, accept: bool, author: str | None = None, refs: list[str] | None = None) -> DataFrame:
+    """Each document's text after accepting or rejecting its revisions, or those of an author or with one of some ids: one side of insertions and deletions stays. Revisions that aren't
+    reviewed stay as they stand, both sides shown."""
+    mine = F.lit(True) if author is None else F.coalesce(F.col("author") == author, F.lit(False))
+    mine &= F.lit(True) if refs is None else F.coalesce(F.col("rev_id").isin(refs), F.lit(False))
+    keep = (F.col("kind") == "keep") | ~mine | ((F.col("kind") == "ins") == F.lit(accept))
     kept = F.array_sort(F.collect_list(F.when(keep, F.struct("ordinal", "text"))))
     return revisions.groupBy("doc_id").agg(F.array_join(F.transform(kept, lambda x: x["text"]), "").alias("text"))
 

@@ -304,6 +304,11 @@ def review_reject(spark, d):
     return control.reviewed(rows(spark, d, "revisions"), False)
 
 
+@query("SELECT doc_id, string_agg(text, '' ORDER BY ordinal) FILTER (kind = 'keep' OR NOT coalesce(author = 'ann' AND rev_id IN ('r1', 'r2'), false) OR kind = 'ins') AS text FROM {revisions} GROUP BY doc_id")
+def review_by_author(spark, d):
+    return control.reviewed(rows(spark, d, "revisions"), True, "ann", ["r1", "r2"])
+
+
 @query("SELECT doc_id, rev_id, count(*) AS n FROM {revisions} WHERE rev_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_revisions(spark, d):
     return rows(spark, d, "revisions").filter("rev_id IS NOT NULL").groupBy("doc_id", "rev_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -534,7 +539,8 @@ def page_backgrounds(spark, d):
     return layout.page_backgrounds(rows(spark, d, "fills"))
 
 
-@query()
+@query("""WITH f AS (SELECT doc_id, page, x0 AS a, x1 AS b, top AS t, bottom AS u, color FROM {fills} WHERE bottom - top <= 40 AND x1 - x0 <= 0.9 * width), s AS (SELECT * FROM {spans}), m AS (SELECT s.doc_id, s.page, elem, color, greatest(least(x1, b) - greatest(x0, a), 0.0) AS o, x1 - x0 AS w FROM s JOIN f ON f.doc_id = s.doc_id AND f.page = s.page AND (s.top + s.bottom) / 2 BETWEEN t AND u AND (u - t) / size BETWEEN 0.6 AND 2.6),
+g AS (SELECT doc_id, page, elem, color, sum(o) AS o, max(w) AS w FROM m GROUP BY 1, 2, 3, 4) SELECT doc_id, page, elem, arg_max(color, {'o': o, 'c': color}) AS color FROM g WHERE o >= 0.5 * w GROUP BY 1, 2, 3""")
 def text_highlights(spark, d):
     return layout.highlights(rows(spark, d, "spans"), rows(spark, d, "fills"))
 
@@ -868,7 +874,7 @@ def page_booktabs(spark, d):
 @query()
 def page_figures(spark, d):
     f = rows(spark, Corpus(d), "fills").filter("fill > 0")
-    return pages.figures(f.select("doc_id", "page", "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"), F.lit(0).alias("curvy"), F.lit(1).alias("coloured"), F.lit(0).alias("image"), (F.col("width") * F.col("height")).alias("area")))
+    return pages.figures(f.select("doc_id", "page", "x0", F.col("top").alias("y0"), "x1", (F.col("bottom") + 15).alias("y1"), F.lit(0).alias("curvy"), F.lit(1).alias("coloured"), F.lit(0).alias("image"), (F.col("width") * F.col("height")).alias("area")))
 
 
 _PART = "SELECT doc_id, CAST(pos AS INTEGER) AS pos, '[P' || ordinal || '@v0] (' || part || ') ' || CASE WHEN text = '' THEN '（空段落）' WHEN length(text) > 1500 THEN left(text, 1500) || '…' ELSE text END AS line, total, CASE WHEN total > 12 THEN 13 END AS read_on FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS pos, count(*) OVER (PARTITION BY doc_id) AS total FROM {paras} WHERE {}) WHERE pos BETWEEN 2 AND 12"

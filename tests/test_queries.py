@@ -66,7 +66,7 @@ def test_queries_without_sql_give_rows(spark):
     """Every query runs whole; those over tables give a row at least for a document, page or conversation in ten."""
     for name in sorted(set(QUERIES) - set(ORACLE_SQL)):
         n = QUERIES[name](spark, SF).count()
-        assert n >= {"page_figures": 0, "gutter_consensus": 5, "column_gutters": 5, "search_fuzzy": 1, "soft_hyphen_decisions": 10, "message_pairing": 11}.get(name, 5), name
+        assert n >= {"search_fuzzy": 1}.get(name, 5), name
 
 
 def test_changes_of_words_by_brute_force(spark):
