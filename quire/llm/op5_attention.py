@@ -39,7 +39,7 @@ COMMON = 1 << 18
 ROUNDS, BATCH, RATE, SEED = 3, 96, 8e-3, 11
 #: Words that a worker remembers the ids of.
 MEMORY = 600_000
-_BLOCK = 512
+_BLOCK, _SLICE = 512, 1 << 19
 LOG10 = float(np.log(10.0))
 
 
@@ -311,7 +311,7 @@ def tokenised(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
             for i in range(0, b.num_rows, 2048):
                 c = b.slice(i, 2048)
                 data, ends = joined_texts(c.column(3))
-                for a, z in slices(ends, 1 << 22):
+                for a, z in slices(ends, _SLICE):
                     base = ends[a - 1] if a else 0
                     flat, lengths = sub.texts(data[base : ends[z - 1]], ends[a:z] - base)
                     offsets = np.concatenate([[0], 2 * np.cumsum(lengths)])
@@ -402,7 +402,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             data, ends = joined_texts(b.column(0))
             found = []
-            for a, z in slices(ends, 1 << 22):
+            for a, z in slices(ends, _SLICE):
                 base = ends[a - 1] if a else 0
                 part = data[base : ends[z - 1]]
                 start, stop, _ = byte_words(part, ends[a:z] - base)
@@ -452,7 +452,7 @@ def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
         for b in batches:
             data, stops = joined_texts(b.column(3))
             n, m, s = (np.zeros(b.num_rows) for _ in range(3))
-            for a, z in slices(stops, 1 << 21):
+            for a, z in slices(stops, _SLICE):
                 base = stops[a - 1] if a else 0
                 h, slot, count = lookup(data[base : stops[z - 1]], stops[a:z] - base)
                 hit = slot >= 0
@@ -466,7 +466,7 @@ def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
         for b in batches:
             data, stops = joined_texts(b.column(2))
             name, key = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for a, z in slices(stops, 1 << 21):
+            for a, z in slices(stops, _SLICE):
                 base = stops[a - 1] if a else 0
                 h, slot, count = lookup(data[base : stops[z - 1]], stops[a:z] - base)
                 miss = slot < 0
