@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import clipped, non_space_chars
+from quire.functions.text import clipped
 
 _LINE = re.compile(r"\r?\n")
 _FENCE = re.compile(r"\s*(```|~~~)")
@@ -71,13 +71,26 @@ def with_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(id_col, "ordinal", F.concat(F.lit("B"), F.col("ordinal"), F.lit(f"@v{version}")).alias("ref"), "kind", "level", "text")
 
 
-def summary(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of one document's blocks; ``tables`` says whether there is one."""
-    count = lambda k: F.sum((F.col("kind") == k).cast("long"))
-    return blocks.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("block_count"), F.sum(non_space_chars(F.col("text"))).alias("char_count"), count("heading").alias("headings"), count("list").alias("list_items"),
-        F.max((F.col("kind") == "table-cell").cast("long")).alias("tables"), count("quote").alias("quotes"), count("code").alias("code_blocks"),
-    )
+_SPACES = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+COUNTS = "block_count char_count headings list_items tables quotes code_blocks".split()
+
+
+def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts of each document's blocks; ``tables`` says whether there is one. A text is counted where it is read; rows of one id are added up."""
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def one(text: str) -> list[int]:
+        found = markdown_blocks(text)
+        n = lambda k: sum(b[1] == k for b in found)
+        return [len(found), sum(len(_SPACES.sub("", b[3])) for b in found), n("heading"), n("list"), int(n("table-cell") > 0), n("quote"), n("code")]
+
+    def run(batches):
+        for b in batches:
+            out = [one(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in range(len(COUNTS)))], names=[id_col, *COUNTS])
+
+    each = rows.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{c} long" for c in COUNTS)).filter("block_count > 0")
+    return each.groupBy(id_col).agg(*((F.max if c == "tables" else F.sum)(c).alias(c) for c in COUNTS))
 
 
 def rendered(ref: Column, location: Column, text: Column, most: int = 1500) -> Column:

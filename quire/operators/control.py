@@ -13,9 +13,31 @@ MODES = "default acceptEdits plan bypassPermissions".split()
 PRICES = {"flash": (0.003, 0.15, 0.6), "pro": (0.022, 0.66, 1.98)}
 
 
+def _by_day(log: DataFrame, session: str, at: str, value: Column) -> DataFrame:
+    """The log with its day and the sum of ``value`` over a session's earlier days; so a session of any length is summed by days, and only rows of one day meet in one task."""
+    day = F.coalesce(F.to_date(at), F.lit("0001-01-01").cast("date"))
+    dated = log.withColumn("__day", day)
+    sums = dated.groupBy(session, "__day").agg(F.sum(value).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy(session).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dated.join(sums.select(session, "__day", before.alias("__before")), [session, "__day"])
+
+
 def versions(log: DataFrame, session: str, at: str, tie: str) -> DataFrame:
     """An append-only log with version numbers by session."""
-    return log.withColumn("v", F.row_number().over(Window.partitionBy(session).orderBy(at, tie)))
+    n = F.row_number().over(Window.partitionBy(session, "__day").orderBy(at, tie))
+    return _by_day(log, session, at, F.lit(1)).withColumn("v", (F.col("__before") + n).cast("int")).drop("__day", "__before")
+
+
+def undone(versions_: DataFrame, session: str, value: str) -> DataFrame:
+    """Each version with the value that undoing it returns to, NULL for the first."""
+    earlier = versions_.select(session, (F.col("v") + 1).alias("v"), F.col(value).alias("undo_to"))
+    return versions_.select(session, "v", value).join(earlier, [session, "v"], "left")
+
+
+def running_totals(log: DataFrame, session: str, at: str, tie: str, value: str) -> DataFrame:
+    """The running total of each session's values, as ``total``."""
+    upto = F.sum(value).over(Window.partitionBy(session, "__day").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
+    return _by_day(log, session, at, F.col(value)).withColumn("total", F.col("__before") + upto).drop("__day", "__before")
 
 
 def latest(log: DataFrame, session: str, value: str, order: Column) -> DataFrame:

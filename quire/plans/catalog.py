@@ -62,7 +62,7 @@ b AS (SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN min(c) <> 't
 @query(_BLOCKS + rf"""SELECT doc_id, count(*) AS block_count, CAST(sum(length(regexp_replace(text, '{_SP}+', '', 'g'))) AS BIGINT) AS char_count, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'list') AS list_items,
 CAST(max(CASE WHEN kind = 'table-cell' THEN 1 ELSE 0 END) AS BIGINT) AS tables, count(*) FILTER (kind = 'quote') AS quotes, CAST(0 AS BIGINT) AS code_blocks FROM b GROUP BY doc_id""")
 def doc_summary(spark, d):
-    return blocks.summary(blocks.with_blocks(table(spark, d, "documents")))
+    return blocks.summaries(table(spark, d, "documents"))
 
 
 @query(_BLOCKS + "SELECT doc_id, ordinal, 'B' || ordinal || '@v0' AS ref, kind, level, text FROM b")
@@ -287,8 +287,7 @@ def version_latest(spark, d):
 
 @query("SELECT user_id, CAST(row_number() OVER w AS INTEGER) AS v, event_id, lag(event_id) OVER w AS undo_to FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def version_undo(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return control.versions(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "v", "event_id", F.lag("event_id").over(w).alias("undo_to"))
+    return control.undone(control.versions(table(spark, d, "events"), "user_id", "ts", "event_id"), "user_id", "event_id")
 
 
 _REVIEW = "SELECT doc_id, string_agg(text, '' ORDER BY ordinal) FILTER (kind = 'keep' OR (kind = 'ins') = %s) AS text FROM {revisions} GROUP BY doc_id"
@@ -375,8 +374,7 @@ def usage_cost_peak(spark, d):
 
 @query(_COST + "SELECT user_id, event_id, round(sum(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS total FROM k")
 def running_cost(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return control.usage_costs(_usage(spark, d)).select("user_id", "event_id", F.round(F.sum("cost").over(w), 9).alias("total"))
+    return control.running_totals(control.usage_costs(_usage(spark, d)), "user_id", "ts", "event_id", "cost").select("user_id", "event_id", F.round("total", 9).alias("total"))
 
 
 @query()
