@@ -88,12 +88,12 @@ def usage_costs(usage: DataFrame) -> DataFrame:
 
 
 def decisions(calls: DataFrame, rules: DataFrame, mode: str) -> DataFrame:
-    """What may be done: deny and ask rules, the tool's own word, mode, read-only, plan, allow rules, accepted edits, else ask. Rules are few and broadcast."""
+    """What may be done: deny and ask rules, the tool's own word, mode, read-only, plan, allow rules, accepted edits, else ask."""
     parts = r"^([A-Za-z0-9_]+)(?:\((.*)\))?$"
     name, body = F.regexp_extract("rule", parts, 1), F.regexp_extract("rule", parts, 2)
     glob = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(body, r"[.+?^${}()|\[\]\\]", r"\\$0"), r"\*", ".*"), F.lit("$"))
     known = rules.filter(F.col("rule").rlike(parts)).select("list", "idx", "rule", name.alias("name"), body.alias("body"), glob.alias("glob"), F.contains("rule", F.lit("(")).alias("narrow"))
-    hit = calls.join(F.broadcast(known), (F.col("name") == F.col("tool")) & (~F.col("narrow") | (F.col("body") == "*") | F.expr("content RLIKE glob")))
+    hit = calls.join(known, (F.col("name") == F.col("tool")) & (~F.col("narrow") | (F.col("body") == "*") | F.expr("content RLIKE glob")))
     first = hit.groupBy("call_id").agg(*[F.min_by(F.when(F.col("list") == x, F.col("rule")), F.when(F.col("list") == x, F.col("idx"))).alias(x) for x in ("deny", "ask", "allow")])
     c = calls.join(first, "call_id", "left")
     said = (
