@@ -699,7 +699,7 @@ def delete_blocks(spark, d):
     return blocks.deleted(rows(spark, d, "blocks"), rows(spark, d, "deletes"))
 
 
-@query()
+@query(r"SELECT doc_id, 'modified' AS change, CAST(n AS INTEGER) AS old_block, CAST(n AS INTEGER) AS new_block FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS text, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS n FROM documents) WHERE contains(text, 'tion')")
 def changed_blocks(spark, d):
     return compare.changed_blocks(_both(spark, d))
 
@@ -734,7 +734,7 @@ def folded_accents(spark, d):
     return pages.folded_accents(rows(spark, d, "accents"))
 
 
-@query()
+@query("SELECT doc_id, page, CAST(line AS INTEGER) AS line, string_agg(text, ' ' ORDER BY x0, elem) AS text, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom, count(*) AS spans, max(size) AS size FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY bottom) AS line FROM " + DERIVED["spans"][1] + ") GROUP BY 1, 2, 3")
 def line_assembly(spark, d):
     s = rows(spark, Corpus(d), "spans")
     return pages.line_table(s, pages.assembled_lines(s))
@@ -869,7 +869,7 @@ def page_booktabs(spark, d):
     return pages.booktabs(texts, b)
 
 
-@query()
+@query("SELECT doc_id, page, 1 AS figure, min(x0) AS x0, min(top) AS y0, max(x1) AS x1, max(bottom) + 15 AS y1, CAST(count(*) AS INTEGER) AS paths FROM " + DERIVED["fills"][1] + " WHERE fill > 0 GROUP BY 1, 2 HAVING count(*) >= 2")
 def page_figures(spark, d):
     f = rows(spark, Corpus(d), "fills").filter("fill > 0")
     return pages.figures(f.select("doc_id", "page", "x0", F.col("top").alias("y0"), "x1", (F.col("bottom") + 15).alias("y1"), F.lit(0).alias("curvy"), F.lit(1).alias("coloured"), F.lit(0).alias("image"), (F.col("width") * F.col("height")).alias("area")))
@@ -1096,7 +1096,7 @@ def pie_angles(spark, d):
     return markup.pie_angles(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", "o_totalprice")
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'ok' ELSE 'not_found' END AS status, CAST((length(text) - length(replace(text, 'tion', ''))) / 4 AS BIGINT) AS places, md5(replace(text, 'tion', 'sion')) AS digest FROM documents")
 def replace_tolerant(spark, d):
     return search.replaced_tolerant(table(spark, d, "documents"), "tion", "sion", True).select("doc_id", "status", "places", F.md5("text").alias("digest"))
 
