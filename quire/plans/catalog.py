@@ -352,7 +352,9 @@ def conversation_transcript(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["s"]), "\n").alias("transcript"))
 
 
-@query()
+@query("""WITH m AS (SELECT *, sum(CASE WHEN role <> 'tool' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY idx) AS turn FROM {messages}), c AS (SELECT session, turn, unnest(string_split(call_ids, ',')) AS id, generate_subscripts(string_split(call_ids, ','), 1) - 1 AS pos FROM m WHERE role = 'assistant' AND call_ids IS NOT NULL),
+r AS (SELECT session, turn, tool_call_id AS id, min(idx) AS idx, arg_min(content, idx) AS content FROM m WHERE role = 'tool' GROUP BY 1, 2, 3), t AS (SELECT c.session, c.turn, CASE WHEN r.idx IS NULL THEN 2 ELSE 1 END AS part, coalesce(r.idx, c.pos) AS p, 'tool' AS role, coalesce(r.content, '（该工具调用被中断，未执行）') AS content, c.id AS tool_call_id FROM c LEFT JOIN r ON r.session = c.session AND r.turn = c.turn AND r.id = c.id),
+u AS (SELECT session, turn, 0 AS part, idx AS p, role, coalesce(content, '') AS content, CAST(NULL AS VARCHAR) AS tool_call_id FROM m WHERE role <> 'tool' UNION ALL SELECT * FROM t) SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY turn, part, p) AS INTEGER) AS pos, role, content, tool_call_id FROM u""")
 def message_pairing(spark, d):
     return control.paired_messages(rows(spark, d, "messages"))
 
@@ -377,7 +379,10 @@ def running_cost(spark, d):
     return control.running_totals(control.usage_costs(_usage(spark, d)), "user_id", "ts", "event_id", "cost").select("user_id", "event_id", F.round("total", 9).alias("total"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT * FROM {calls}), k AS (SELECT list, idx, rule, regexp_extract(rule, '^([A-Za-z0-9_]+)(?:\((.*)\))?$', 1) AS name, regexp_extract(rule, '^([A-Za-z0-9_]+)(?:\((.*)\))?$', 2) AS body, contains(rule, '(') AS narrow FROM {rules} WHERE regexp_matches(rule, '^([A-Za-z0-9_]+)(?:\((.*)\))?$')),
+h AS (SELECT call_id, list FROM c JOIN k ON k.name = c.tool AND (NOT narrow OR body = '*' OR regexp_full_match(content, replace(regexp_replace(body, '([.+?^${}()|\[\]\\])', '\\\1', 'g'), '*', '.*')))), f AS (SELECT call_id, bool_or(list = 'deny') AS deny, bool_or(list = 'ask') AS ask, bool_or(list = 'allow') AS allow FROM h GROUP BY 1),
+m AS (SELECT c.*, unnest(['default', 'plan', 'acceptEdits', 'bypassPermissions']) AS mode FROM c)
+SELECT m.call_id, mode, CASE WHEN deny THEN 'deny:rule' WHEN ask THEN 'ask:rule' WHEN own IS NOT NULL THEN own || ':tool' WHEN mode = 'bypassPermissions' THEN 'allow:bypass' WHEN readonly THEN 'allow:readonly' WHEN mode = 'plan' THEN 'deny:plan' WHEN allow THEN 'allow:rule' WHEN mode = 'acceptEdits' AND category = 'edit' AND NOT destructive THEN 'allow:edits' ELSE 'ask:default' END AS decision FROM m LEFT JOIN f ON f.call_id = m.call_id""")
 def permission_decisions(spark, d):
     c, r = rows(spark, d, "calls"), rows(spark, d, "rules")
     out = None

@@ -90,6 +90,10 @@ _EDGES = "(SELECT graph, CAST(r * 2 + i AS INTEGER) AS pos, src, CAST(t AS VARCH
 
 _STYLE = "CASE WHEN length(text) < 60 THEN 'H1' WHEN n % 5 = 0 THEN 'CN' WHEN n % 7 = 0 THEN 'Own' END"
 
+_TOOL = "CASE event_id % 5 WHEN 0 THEN 'doc_read' WHEN 1 THEN 'doc_delete' WHEN 2 THEN 'doc_replace' WHEN 3 THEN 'doc_insert' ELSE 'doc_move' END"
+_CONTENT = "CASE event_id % 4 WHEN 0 THEN 'a secret b' WHEN 1 THEN 'chapter?1 x' WHEN 2 THEN 'chapterX1 x' ELSE '' END"
+_ROLE = "CASE WHEN role = 'user' AND (turn + conv_id) % 4 < 2 THEN 'tool' ELSE role END"
+
 #: name: (Spark, SQL to stand after FROM)
 TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "spans": (_spans, _SPANS),
@@ -134,6 +138,14 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "positions": (lambda s, d: table(s, d, "lineitem").selectExpr("CAST(l_orderkey AS STRING) AS axis", "CAST(l_quantity AS DOUBLE) AS v"), "(SELECT CAST(l_orderkey AS VARCHAR) AS axis, CAST(l_quantity AS DOUBLE) AS v FROM lineitem) AS positions"),
     "todos": (lambda s, d: table(s, d, "orders").selectExpr("o_custkey AS session", "CAST(o_orderkey AS INT) AS pos", "CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status"), "(SELECT o_custkey AS session, CAST(o_orderkey AS INTEGER) AS pos, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status FROM orders) AS todos"),
     "batch_calls": (lambda s, d: table(s, d, "events").selectExpr("CAST(user_id AS INT) AS turn", "CAST(event_id AS INT) AS pos", "event_type <> 'purchase' AS safe"), "(SELECT CAST(user_id AS INTEGER) AS turn, CAST(event_id AS INTEGER) AS pos, event_type <> 'purchase' AS safe FROM events) AS batch_calls"),
+    "calls": (
+        lambda s, d: table(s, d, "events").selectExpr("CAST(event_id AS INT) AS call_id", f"{_TOOL} AS tool", f"{_CONTENT} AS content", f"{_TOOL} = 'doc_read' AS readonly", f"{_TOOL} IN ('doc_delete', 'doc_move') AS destructive", f"CASE WHEN {_TOOL} = 'doc_read' THEN 'read' ELSE 'edit' END AS category", "CASE WHEN event_id % 11 = 0 THEN 'ask' END AS own"),
+        f"(SELECT CAST(event_id AS INTEGER) AS call_id, {_TOOL} AS tool, {_CONTENT} AS content, {_TOOL} = 'doc_read' AS readonly, {_TOOL} IN ('doc_delete', 'doc_move') AS destructive, CASE WHEN {_TOOL} = 'doc_read' THEN 'read' ELSE 'edit' END AS category, CASE WHEN event_id % 11 = 0 THEN 'ask' END AS own FROM events) AS calls",
+    ),
+    "messages": (
+        lambda s, d: table(s, d, "conversations").selectExpr("conv_id AS session", "CAST(turn AS INT) AS idx", f"{_ROLE} AS role", "left(text, 20) AS content", "CASE WHEN role = 'assistant' THEN 'a,b' END AS call_ids", f"CASE WHEN {_ROLE} = 'tool' THEN CASE WHEN conv_id % 3 = 0 THEN 'zzz' ELSE 'b' END END AS tool_call_id"),
+        f"(SELECT conv_id AS session, CAST(turn AS INTEGER) AS idx, {_ROLE} AS role, left(text, 20) AS content, CASE WHEN role = 'assistant' THEN 'a,b' END AS call_ids, CASE WHEN {_ROLE} = 'tool' THEN CASE WHEN conv_id % 3 = 0 THEN 'zzz' ELSE 'b' END END AS tool_call_id FROM conversations) AS messages",
+    ),
     "captions": (lambda s, d: _lines(s, d, "CAST(doc_id * 1000 + n AS INT) AS id", "CASE n % 4 WHEN 1 THEN concat('Fig. ', n, ' ', text) WHEN 2 THEN concat('表', n, text) ELSE text END AS text"), f"(SELECT CAST(doc_id * 1000 + n AS INTEGER) AS id, CASE n % 4 WHEN 1 THEN 'Fig. ' || n || ' ' || text WHEN 2 THEN '表' || n || text ELSE text END AS text FROM {_LINES}) AS captions"),
     "odd_texts": (lambda s, d: table(s, d, "documents").selectExpr("CAST(doc_id AS INT) AS id", "text"), "(SELECT CAST(doc_id AS INTEGER) AS id, text FROM documents) AS odd_texts"),
     "files": (lambda s, d: table(s, d, "pages").selectExpr("CAST(page_id AS INT) AS file_id", "concat('p', page_id % 7, '?', CASE page_id % 4 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.htm' WHEN 2 THEN '.pdf' ELSE '.xyz' END) AS name"), "(SELECT CAST(page_id AS INTEGER) AS file_id, 'p' || (page_id % 7) || '?' || CASE page_id % 4 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.htm' WHEN 2 THEN '.pdf' ELSE '.xyz' END AS name FROM pages) AS files"),
