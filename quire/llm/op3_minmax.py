@@ -119,7 +119,7 @@ def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
             for i in (2, 3):
                 data, ends = joined_texts(b.column(i))
                 sets = []
-                for x, z in slices(ends, 1 << 22):
+                for x, z in slices(ends, _BYTES):
                     base = ends[x - 1] if x else 0
                     h, size = shingle_sets(data[base : ends[z - 1]], ends[x:z] - base, k)
                     sets += np.split(h, np.cumsum(size)[:-1])
@@ -161,7 +161,12 @@ def _compare(t: pa.Table, k: int, similar: tuple[int, int]) -> pa.Table:
     side, node, comp = (t.column(c).to_numpy() for c in ("side", "node", "comp"))
     order = np.lexsort((node, side))
     side, node, comp = side[order], node[order], comp[order]
-    h, size = shingle_sets(*joined_texts(t.column("text").combine_chunks().take(pa.array(order))), k)
+    data, ends = joined_texts(t.column("text").combine_chunks().take(pa.array(order)))
+    sets = []
+    for x, z in slices(ends, _BYTES):
+        base = ends[x - 1] if x else 0
+        sets.append(shingle_sets(data[base : ends[z - 1]], ends[x:z] - base, k))
+    h, size = (np.concatenate(s) for s in zip(*sets, strict=True))
     _, ids = np.unique(h, return_inverse=True)
     first = np.cumsum(size) - size
     flag = np.zeros(len(ids) + 1, np.int64)

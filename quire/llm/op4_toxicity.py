@@ -41,7 +41,7 @@ CHANCE = 1e-6
 STANDS = 2.0
 #: Words, stems and pairs that the models tell apart at most, each.
 KINDS = 400_000
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 #: Words here are runs of ASCII letters and digits and of all other characters beyond ASCII, with A-Z lower-cased.
 _BETWEEN = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 
@@ -52,6 +52,14 @@ def words_and_stems(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return word_hashes(data, start, stop, fold=True), word_hashes(data, start, np.minimum(stop, start + STEM), fold=True), count
 
 
+def parts(column):
+    """First row, bytes and ends of the texts of an Arrow column in slices of bounded size."""
+    data, ends = joined_texts(column)
+    for a, b in slices(ends, _CHUNK):
+        base = ends[a - 1] if a else 0
+        yield a, data[base : ends[b - 1]], ends[a:b] - base
+
+
 def least_count(share: float, total: int, chance: float = CHANCE, kinds: int = KINDS) -> int:
     """Texts that an expression needs: ``share`` to this power is below ``chance``; and so many that no more than ``kinds`` of ``total`` can have them."""
     share = min(max(share, 1e-6), 0.99)
@@ -170,11 +178,13 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            word, stem, n = words_and_stems(*joined_texts(b.column(1)))
-            owner, key = distinct(np.repeat(np.arange(len(n)), n), word)
-            u, c0, c1 = _counted([key], [b.column(0).to_numpy()[owner]])
-            _, at = np.unique(word, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(stem[at].view(np.int64)), pa.array(c0), pa.array(c1)], names=["word", "stem", "c0", "c1"])
+            y = b.column(0).to_numpy()
+            for first, *texts_ in parts(b.column(1)):
+                word, stem, n = words_and_stems(*texts_)
+                owner, key = distinct(np.repeat(np.arange(len(n)), n), word)
+                u, c0, c1 = _counted([key], [y[first + owner]])
+                _, at = np.unique(word, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(stem[at].view(np.int64)), pa.array(c0), pa.array(c1)], names=["word", "stem", "c0", "c1"])
 
     return texts.select("y", "text").mapInArrow(run, "word long, stem long, c0 long, c1 long").groupBy("word").agg(F.min("stem").alias("stem"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
@@ -186,11 +196,12 @@ def count_pairs(texts: DataFrame, symbols: Symbols) -> DataFrame:
     def run(batches):
         sym = shared.value
         for b in batches:
-            owner, pair = sym.pairs(*joined_texts(b.column(1)))
-            alone, single = distinct(owner, pair % sym.size)
             y = b.column(0).to_numpy()
-            u, c0, c1 = _counted([pair, -1 - single], [y[owner], y[alone]])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c0), pa.array(c1)], names=["pair", "c0", "c1"])
+            for first, *texts_ in parts(b.column(1)):
+                owner, pair = sym.pairs(*texts_)
+                alone, single = distinct(owner, pair % sym.size)
+                u, c0, c1 = _counted([pair, -1 - single], [y[first + owner], y[first + alone]])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c0), pa.array(c1)], names=["pair", "c0", "c1"])
 
     return texts.select("y", "text").mapInArrow(run, "pair long, c0 long, c1 long").groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
@@ -236,9 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     def sketched(batches):
         for b in batches:
-            word, _, n = words_and_stems(*joined_texts(b.column(3)))
-            stop = np.cumsum(n)
-            sketch = [hash(tuple(np.unique(word[z - m : z])[:3].tolist())) for z, m in zip(stop, n, strict=True)]
+            sketch = []
+            for _, *texts_ in parts(b.column(3)):
+                word, _, n = words_and_stems(*texts_)
+                sketch += [hash(tuple(np.unique(word[z - m : z])[:3].tolist())) for z, m in zip(np.cumsum(n), n, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketch, pa.int64())], names=["y", "share", "check", "text", "sketch"])
 
     rows = text.select(F.col("y").cast("int").alias("y"), "share", "check", "text")
