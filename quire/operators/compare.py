@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,16 +24,16 @@ def _cleaned(text: Column) -> Column:
 def coverage(docs: DataFrame, source: Column, result: Column, missing: int = 30) -> DataFrame:
     """How many of the source's characters the result has, as a multiset; 1 where the source has none; and the first ``missing`` characters that are lacking, in the source's order.
 
-    Both texts stand in one row, so a character's counts come from how much shorter a text is without it: nothing is shuffled.
+    Both texts stand in one row and are counted there: nothing is shuffled.
     """
-    d = docs.select("doc_id", _cleaned(source).alias("a"), _cleaned(result).alias("b"))
-    chars = F.array_distinct(F.split("a", ""))
-    n = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
-    lost = F.filter(F.transform(F.filter(chars, lambda x: x != ""), lambda x: F.struct(x.alias("ch"), F.greatest(n("a", x) - n("b", x), F.lit(0)).alias("n"))), lambda x: x["n"] > 0)
-    e = d.select("doc_id", F.length("a").cast("long").alias("total"), lost.alias("lost"))
-    gone = F.aggregate("lost", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    share = F.round(F.when(F.col("total") == 0, F.lit(1.0)).otherwise(1 - gone / F.col("total")), 6)
-    return e.select("doc_id", "total", gone.alias("lost"), share.alias("coverage"), F.array_join(F.transform(F.slice("lost", 1, missing), lambda x: x["ch"]), "").alias("missing"))
+
+    def one(a: str, b: str) -> list[tuple]:
+        have = Counter(b)
+        lost = {c: n - have[c] for c, n in Counter(a).items() if n > have[c]}
+        gone = sum(lost.values())
+        return [(len(a), gone, 1 - gone / len(a) if a else 1.0, "".join(list(lost)[:missing]))]
+
+    return _mapped(docs.select("doc_id", _cleaned(source).alias("a"), _cleaned(result).alias("b")), one, "total long, lost long, coverage double, missing string").withColumn("coverage", F.round("coverage", 6))
 
 
 def fidelity(old: DataFrame, new: DataFrame, keys: list[str], body: str) -> DataFrame:
