@@ -35,6 +35,8 @@ NOISE = 97
 SHARD, HELD = 100_000, 300_000
 #: Code points of a half that the automaton holds; the rest of it is verified.
 DEPTH = 64
+#: Code points of a half by which it is dealt to a shard.
+KEY = 4
 #: Words with one half that are compared one by one; code points of a remainder that is indexed.
 FEW, SHORT = 8, 64
 
@@ -149,7 +151,7 @@ class Halves:
     def near(self, word: str) -> Iterator[int]:
         """The shard's words one edit away that share this half with ``word`` (for second halves: and not the first)."""
         n, words = len(word), self.words
-        for end, group in self.automaton.iter(word):
+        for end, group in self.automaton.iter(word) if words else ():
             size = self.sizes[group]
             if (end + 1 != size) if self.first else (end + 1 != n):
                 continue
@@ -183,16 +185,23 @@ def near_words(vocabulary: DataFrame, shard: int = SHARD) -> DataFrame:
     """``word, n_near, m, form`` of every word of ``vocabulary`` (word, n; distinct words) that has near words: their number, the largest count, and the first such word."""
     spark = vocabulary.sparkSession
     n = max(1, math.ceil(2 * vocabulary.count() / shard), partitions(spark))
-    sides = vocabulary.select("word", "n", F.explode(F.array(F.lit(True), F.lit(False))).alias("first")).withColumn(
-        "shard", F.pmod(F.xxhash64("first", F.when(F.col("first"), F.substring("word", 1, 2)).otherwise(F.expr("right(word, 2)"))), F.lit(n))
-    )
-    heavy = written(sides.groupBy("first", "shard").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > shard).select("first", "shard", F.ceil(F.col("c") / shard).cast("int").alias("parts")), "heavy")
+    size = F.length("word")
+
+    def shards(first: bool, longer: int):
+        """Where the halves of a word of ``longer`` more code points lie that begins (ends) like this one."""
+        half = F.floor((size + longer) / 2) if first else size + longer - F.floor((size + longer) / 2)
+        start = F.least(half, F.lit(KEY)).cast("int")
+        return F.pmod(F.xxhash64(F.lit(first), F.substring("word", F.lit(1), start) if first else F.substring("word", size - start + 1, start)), F.lit(n))
+
+    sides = vocabulary.select("word", "n", F.explode(F.array(*(F.struct(F.lit(first).alias("first"), shards(first, 0).alias("home"), F.array_distinct(F.array(*(shards(first, d) for d in (0, -1, 1)))).alias("shards")) for first in (True, False)))).alias("s"))
+    sides = sides.select("word", "n", "s.first", "s.home", F.explode("s.shards").alias("shard"))
+    heavy = written(sides.filter("shard = home").groupBy("first", "shard").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > shard).select("first", "shard", F.ceil(F.col("c") / shard).cast("int").alias("parts")), "heavy")
     dealt = (
         sides.join(heavy, ["first", "shard"], "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("first", "shard", "part", "word", "n", (F.col("part") == F.col("own")).alias("held"))
+        .select("first", "shard", "part", "word", "n", ((F.col("shard") == F.col("home")) & (F.col("part") == F.col("own"))).alias("held"))
     )
 
     def answers(rows: list[str], halves: Halves):
