@@ -2,6 +2,10 @@
 
 Every stage works on all rows that its predecessor kept, and its decisions take effect: toxic documents go, one document of each group of near copies stays,
 repeated windows of words leave the texts, documents that leak a benchmark item go, and what is left is encoded.
+
+Defined results: stages decide by row (doc_id and text), so rows that share a doc_id, or have none, are judged each by its own text; null texts count as empty, and
+empty texts stay; of near copies, and of rows repeated in full, one stays; extra columns, whatever their names, pass through all stages but the last; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm import op1_decontamination, op3_minmax, op4_toxicity, op7_bpe, op9_substring
 from quire.llm.common import table, written
@@ -20,9 +25,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    links = op3_minmax.link_documents(docs, k=5).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(links, "doc_id", "left_anti")
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of the least doc_id, null ids last; of rows that agree in doc_id and
+    text one. Texts without words are no copies of anything and all stay."""
+    rows = op9_substring.identified(docs)
+    links = written(op3_minmax.link_documents(rows.select(F.col("key").alias("doc_id"), "text"), k=5).filter("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct(), "row-links")
+    members = rows.select("doc_id", "id", "key").join(links, "key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "id", "key")
+    groups = written(members.groupBy("component_id").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("component_id", "one.id", "one.key"), "row-groups")
+    stays = groups.select("id", "key")
+    grouped = written(links.join(groups.select("component_id"), "component_id", "left_semi").select(F.col("key").alias("__key")), "row-members")
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__key", op9_substring.row_key())
+    first = named.join(stays.select(F.col("id").alias("__id"), F.col("key").alias("__key")), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return named.join(grouped, "__key", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +45,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    leaks = op1_decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Rows that leak no benchmark item; another row of the same doc_id, or of none, is judged by its own text."""
+    keyed = docs.select(op9_substring.row_key().alias("doc_id"), "text")
+    leaks = op1_decontamination.find_leaks(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", op9_substring.row_key()).join(leaks, "__key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
