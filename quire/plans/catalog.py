@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import blocks, compare, control, edits, layout, markup, pages, search
+from quire.operators import blocks, compare, control, edits, html_edits, layout, markup, pages, search
 from quire.plans.tables import table
 from quire.sources.derived import TABLES as DERIVED, Corpus, derived
 from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
 from quire.sources import documents as sources
 from quire.sources.html import with_html_blocks
+from quire.sources.shared import shared_path
+from quire.streaming import costs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -323,6 +325,28 @@ def html_outline(spark, d):
     return with_html_blocks(table(spark, d, "pages")).filter("level IS NOT NULL").select("page_id", "ordinal", "level", "text")
 
 
+# A <b> that stays open goes on inside the footer, whose text then lies in no block.
+_FOOTER = "CASE WHEN len(string_split(html, '<b>')) > len(string_split(html, '</b>')) AND contains(html, '<footer') THEN position('<footer' IN html) - 1 ELSE length(html) END"
+_PIECES = rf"regexp_extract_all(left(html, {_FOOTER}), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|[^<]+')"
+
+
+@query(f"""WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages), p AS (SELECT page_id, {_PIECES} AS p, substr(html, 1 + {_FOOTER}) AS rest FROM h),
+n AS (SELECT *, coalesce(list_sum(list_transform(p, lambda x: CASE WHEN x[1] = '<' THEN 0 ELSE len(string_split(x, 'que')) - 1 END)), 0) AS n FROM p)
+SELECT page_id, CASE WHEN n = 0 THEN 'not_found' ELSE 'ok' END AS status, CAST(n AS BIGINT) AS places, md5(array_to_string(list_transform(p, lambda x: CASE WHEN x[1] = '<' THEN x ELSE replace(x, 'que', 'q&lt;&amp;&gt;') END), '') || rest) AS digest FROM n""")
+def html_replace(spark, d):
+    """A text replaced in all blocks of all pages, on their source: tags, scripts, comments, references and spacing stay byte for byte."""
+    return html_edits.replaced_in_pages(table(spark, d, "pages"), "que", "q<&>").select("page_id", "status", "places", F.md5("html").alias("digest"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(replace(html, '<title', '<!-- 批注（QA）：see — below --><title'), '<h1\b', '<h2', 'g'), '</h1>', '</h2>', 'g')) AS digest FROM pages WHERE html IS NOT NULL AND contains(html, '<h1')")
+def html_block_edits(spark, d):
+    """Every first-level heading made a second-level one and a note set before every title, by block."""
+    pages = table(spark, d, "pages")
+    b = with_html_blocks(pages)
+    edits = b.filter("level IN (0, 1)").select("page_id", "ordinal", F.when(F.col("level") == 1, "retag").otherwise("comment").alias("kind"), F.when(F.col("level") == 1, "h2").otherwise("see -- below").alias("value"), F.lit("QA").alias("author"))
+    return html_edits.edited_pages(pages, edits).select("page_id", F.md5("html").alias("digest"))
+
+
 @query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)<p\b')) AS paragraphs, len(regexp_extract_all(html, '(?i)<h[1-6]\b')) AS headings, len(regexp_extract_all(html, '(?i)<table\b')) AS tables, len(regexp_extract_all(html, '(?i)<img\b')) AS images FROM pages")
 def html_tag_counts(spark, d):
     n = lambda t: F.regexp_count("html", F.lit(rf"(?i)<{t}\b")).cast("long")
@@ -379,6 +403,27 @@ def running_cost(spark, d):
     return control.running_totals(control.usage_costs(_usage(spark, d)), "user_id", "ts", "event_id", "cost").select("user_id", "event_id", F.round("total", 9).alias("total"))
 
 
+@query(_COST + """SELECT user_id, event_id, count(*) OVER w AS requests, CAST(sum(n) OVER w AS BIGINT) AS prompt, CAST(sum(cached) OVER w AS BIGINT) AS cached, CAST(sum(completion) OVER w AS BIGINT) AS completion, round(sum(cost) OVER w, 9) AS total
+FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_cost_stream(spark, d):
+    """The events as they may come: up to an hour late, in three arrivals, each taken up by a stream that starts anew from its checkpoint; a mark far ahead closes them."""
+    usage = _usage(spark, d)
+    came = usage.withColumn("came", F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(3600)))
+    low, high, last = came.agg(F.min("came"), F.max("came"), F.max("ts")).first()
+    source, out, checkpoint = (shared_path(spark, n) for n in ("usage", "totals", "usage-state"))
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    for k in range(3):
+        came.filter((F.col("came") - (low or 0)).between(k * step, (k + 1) * step - 1)).drop("came").write.mode("append").parquet(source)
+        costs.advance(spark, source, usage.schema, out, checkpoint, late="2 hours")
+    if last is not None:
+        usage.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.expr("CAST(ts AS TIMESTAMP)").alias("ts"), "model", "prompt", "cached", "completion").withColumn(
+            "ts", (F.lit(last) + F.expr("INTERVAL 1 DAY")).cast(usage.schema["ts"].dataType)
+        ).write.mode("append").parquet(source)
+        costs.advance(spark, source, usage.schema, out, checkpoint, late="2 hours")
+    names = "user_id long, event_id long, requests long, prompt long, cached long, completion long, total double"
+    return spark.read.schema(names).parquet(out).withColumn("total", F.round("total", 9))
+
+
 @query(r"""WITH c AS (SELECT * FROM {calls}), k AS (SELECT list, idx, rule, regexp_extract(rule, '^([A-Za-z0-9_]+)(?:\((.*)\))?$', 1) AS name, regexp_extract(rule, '^([A-Za-z0-9_]+)(?:\((.*)\))?$', 2) AS body, contains(rule, '(') AS narrow FROM {rules} WHERE regexp_matches(rule, '^([A-Za-z0-9_]+)(?:\((.*)\))?$')),
 h AS (SELECT call_id, list FROM c JOIN k ON k.name = c.tool AND (NOT narrow OR body = '*' OR regexp_full_match(content, replace(regexp_replace(body, '([.+?^${}()|\[\]\\])', '\\\1', 'g'), '*', '.*')))), f AS (SELECT call_id, bool_or(list = 'deny') AS deny, bool_or(list = 'ask') AS ask, bool_or(list = 'allow') AS allow FROM h GROUP BY 1),
 m AS (SELECT c.*, unnest(['default', 'plan', 'acceptEdits', 'bypassPermissions']) AS mode FROM c)

@@ -1,74 +1,45 @@
-"""HTML pages as ordered blocks, with the standard library's parser; ends that the mark-up leaves out are implied by block starts."""
+"""HTML pages as ordered blocks of the tree that browsers build, with the place of every character in the source."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.tree import Builder, Element, Text, decoded
+
 #: Elements that make a block, containers whose direct text does, and what is passed over.
 BLOCK_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre figcaption caption title blockquote summary".split())
 CONTAINERS = frozenset("div section article header footer main aside nav body blockquote".split())
 SKIPPED = frozenset("script style template noscript svg math".split())
-#: Elements that only scope others: their ends close what is open in them, their own text goes to the block or container around.
-STRUCTURE = frozenset("html head ul ol dl table thead tbody tfoot tr form figure details fieldset".split())
 KINDS = {"li": "list", "td": "table-cell", "th": "table-cell", "blockquote": "quote", "pre": "code", "title": "title"}
 
 
-class _Blocks(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []
-        self.root: list = ["body", None]
-        self.found: list[list] = []
-        self.skip = 0
-
-    def _open(self, tag: str) -> None:
-        entry = [tag, None]
-        self.stack.append(entry)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIPPED:
-            self.skip += 1
-        elif tag in BLOCK_TAGS or tag in CONTAINERS or tag in STRUCTURE:
-            if self.stack and self.stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "title") or self.stack and tag == self.stack[-1][0] == "li":
-                self.stack.pop()
-            self._open(tag)
-        elif tag == "br":
-            self.handle_data(" ")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif any(s[0] == tag for s in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
-
-    def handle_data(self, data: str) -> None:
-        if self.skip or not self.stack and not data.strip():
-            return
-        top = next((x for x in reversed(self.stack) if x[0] not in STRUCTURE), self.root)
-        if top[1] is None:
-            if not data.strip():
-                return
-            top[1] = [top[0], []]
-            self.found.append(top[1])
-        top[1][1].append(data)
+def page_blocks(src: str) -> list[tuple[Element, list[tuple[int, int, bool]]]]:
+    """The blocks of a page in document order: element and source pieces of its text. A text belongs to the nearest block around it; one without such a block to none."""
+    found, waiting = [], [(Builder(src).root, None)]
+    while waiting:
+        node, block = waiting.pop()
+        if isinstance(node, Text):
+            if block is not None:
+                block[1].extend(node.pieces)
+            continue
+        if node.tag in SKIPPED:
+            continue
+        if node.tag in BLOCK_TAGS or node.tag in CONTAINERS and any(isinstance(k, Text) and "".join(decoded(src, *p)[0] for p in k.pieces).strip() for k in node.kids):
+            block = (node, [])
+            found.append(block)
+        waiting += [(k, block) for k in reversed(node.kids)]
+    return [(e, pieces) for e, pieces in found if any(decoded(src, *p)[0].strip() for p in pieces)]
 
 
 def html_blocks(page: str) -> list[tuple[int, str, int | None, str]]:
     """(ordinal, kind, heading level, text) of one page; white space collapsed."""
-    parser = _Blocks()
-    parser.feed(page)
-    parser.close()
     out = []
-    for tag, parts in parser.found:
-        text = " ".join("".join(parts).split())
-        if text:
-            level = int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0 if tag == "title" else None
-            out.append((len(out) + 1, "heading" if level else KINDS.get(tag, "paragraph"), level, text))
+    for n, (e, pieces) in enumerate(page_blocks(page), 1):
+        text = " ".join("".join(decoded(page, *p)[0] for p in pieces).split())
+        level = int(e.tag[1]) if e.tag[0] == "h" and e.tag[1:].isdigit() else 0 if e.tag == "title" else None
+        out.append((n, "heading" if level else KINDS.get(e.tag, "paragraph"), level, text))
     return out
 
 
