@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import blocks, compare, control, edits, html_edits, layout, markup, pages, search
+from quire.operators import beside, blocks, compare, control, edits, html_edits, layout, markup, pages, search
 from quire.plans.tables import table
 from quire.sources.derived import TABLES as DERIVED, Corpus, derived
 from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
@@ -511,7 +511,7 @@ def page_ranges(spark, d):
 
 @query(r"""WITH f AS (SELECT doc_id, total, list_filter(string_split(regexp_replace(regexp_replace(translate(spec, '０１２３４５６７８９–—－~～至到，、;；', '0123456789-------,,,,'), '[第页頁\s]', '', 'g'), '前(\d+)', '1-\1', 'g'), ','), lambda x: x <> '') AS ps FROM {page_specs}),
 v AS (SELECT doc_id, total, unnest(ps) AS p FROM f WHERE len(list_filter(ps, lambda x: NOT regexp_matches(x, '^(\d+|\d+-\d*|-\d+)$'))) = 0),
-r AS (SELECT doc_id, total, coalesce(TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS INTEGER), 1) AS a, CASE WHEN p LIKE '%-' THEN total ELSE TRY_CAST(regexp_extract(p, '(\d+)$', 1) AS INTEGER) END AS b FROM v)
+r AS (SELECT doc_id, CAST(total AS BIGINT) AS total, CAST(least(coalesce(TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS DOUBLE), 1), 2147483647) AS BIGINT) AS a, CASE WHEN p LIKE '%-' THEN total ELSE CAST(least(TRY_CAST(regexp_extract(p, '(\d+)$', 1) AS DOUBLE), 2147483647) AS BIGINT) END AS b FROM v)
 SELECT DISTINCT doc_id, CAST(unnest(range(greatest(least(a, b), 1), least(greatest(a, b), total) + 1)) AS INTEGER) AS page FROM r""")
 def parse_page_ranges(spark, d):
     return layout.parsed_ranges(rows(spark, d, "page_specs"))
@@ -796,6 +796,26 @@ def column_gutters(spark, d):
     return pages.column_gutters(s, pages.assembled_lines(s))
 
 
+# Front pages set from documents' words: ten a line, two of them left of the corridor; thirty lines a page and a line across below.
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\r\t]+'), lambda x: x <> '') AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(0, (len(w) + 9) // 10)) AS k FROM w),
+t AS (SELECT doc_id, CAST(k // 30 + 1 AS INTEGER) AS page, k % 30 AS i, array_to_string(w[k * 10 + 1 : k * 10 + 2], ' ') AS a, array_to_string(w[k * 10 + 3 : k * 10 + 10], ' ') AS b FROM k),
+l AS (SELECT doc_id, page, count(*) AS n, count(*) AS nl, count(*) FILTER (b <> '') AS nr, sum(length(a)) AS cl, sum(length(b)) AS cr, max(72.0 + least(length(a) * 4, 100)) AS e, string_agg(a, chr(10) ORDER BY i) AS lt, string_agg(b, chr(10) ORDER BY i) FILTER (b <> '') AS rt FROM t GROUP BY 1, 2)
+SELECT doc_id, page, CAST(1 AS INTEGER) AS block, CAST(69 AS DOUBLE) AS x0, CAST((e + 200) / 2 AS DOUBLE) AS border, CAST(543 AS DOUBLE) AS x1, CAST(99 AS DOUBLE) AS y0, CAST(111 + 12 * (n - 1) AS DOUBLE) AS y1, CASE WHEN doc_id % 3 < 2 THEN CAST(110.5 AS DOUBLE) END AS rule, CAST(n AS INTEGER) AS lines, lt AS left, rt AS right
+FROM l WHERE n >= 6 AND nr >= 3 AND cl >= 40 AND cr >= 40 AND (doc_id % 3 = 0 OR page = 1 AND n >= 8 AND nr >= 4)""")
+def side_by_side(spark, d):
+    """Rules under both heads (every third document), under the left one or none, by which a block needs to be on the first page."""
+    w = table(spark, d, "documents").select("doc_id", F.expr(r"filter(split(text, '[ \\n\\r\\t]+'), x -> x <> '')").alias("w")).filter("size(w) > 0")
+    k = w.select("doc_id", "w", F.explode(F.expr("sequence(0, (size(w) + 9) div 10 - 1)")).alias("k")).selectExpr("doc_id", "CAST(k div 30 + 1 AS INT) AS page", "CAST(k % 30 AS INT) AS i", "array_join(slice(w, k * 10 + 1, 2), ' ') AS a", "array_join(slice(w, k * 10 + 3, 8), ' ') AS b")
+    at = "100.0D + 12.0D * i AS top", "110.0D + 12.0D * i AS bottom", "10.0D AS size", "792.0D AS height"
+    left = k.selectExpr("doc_id", "page", "2 * i AS elem", "a AS text", "72.0D AS x0", "72.0D + least(length(a) * 4.0D, 100.0D) AS x1", *at)
+    right = k.filter("b <> ''").selectExpr("doc_id", "page", "2 * i + 1 AS elem", "b AS text", "200.0D AS x0", "540.0D AS x1", *at)
+    below = k.groupBy("doc_id", "page").agg(F.max("i").alias("i")).selectExpr("doc_id", "page", "1000 AS elem", "'across' AS text", "72.0D AS x0", "540.0D AS x1", "112.0D + 12.0D * i AS top", "122.0D + 12.0D * i AS bottom", "10.0D AS size", "792.0D AS height")
+    spans = left.unionByName(right).unionByName(below)
+    pages_ = k.select("doc_id", "page").distinct()
+    rules = pages_.filter("doc_id % 3 < 2").selectExpr("doc_id", "page", "110.5D AS y", "72.0D AS x0", "120.0D AS x1").unionByName(pages_.filter("doc_id % 3 = 0").selectExpr("doc_id", "page", "111.0D AS y", "200.0D AS x0", "260.0D AS x1"))
+    return beside.side_by_side(spans, pages.assembled_lines(spans), rules)
+
+
 @query()
 def gutter_consensus(spark, d):
     s = rows(spark, Corpus(d), "spans")

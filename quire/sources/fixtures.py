@@ -24,7 +24,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "anchors": ("doc_id long, comment_id int, ordinal int, ref string", [(1, 1, 4, "P4@v0"), (1, 1, 2, "P2@v0"), (1, 2, 5, "P5@v0")]),
     "parts": ("doc_id long, version int, part string, body string", [(1, 0, "document.xml", "a"), (1, 0, "styles.xml", "s"), (1, 0, "media/image2.png", "i2"), (1, 0, "media/image10.png", "i10"), (1, 1, "document.xml", "b"), (1, 1, "styles.xml", "s"), (1, 1, "comments.xml", "c"), (1, 1, "media/image10.png", "i10"), (2, 0, "document.xml", "z"), (2, 1, "document.xml", "z")]),
     "files": ("file_id int, name string", [(1, "A.DOCX"), (2, "b.dotx"), (3, "c.pdf"), (4, "d.HTM"), (5, "e.xhtml"), (6, "f.md"), (7, "g.txt"), (8, "h.doc"), (9, "noext"), (10, "we?ird:na*me.docm"), (11, "f.md")]),
-    "page_specs": ("doc_id long, spec string, total int", [(1, "1-20", 12), (2, "1-5,8", 30), (3, "30-", 33), (4, "-3", 10), (5, "7", 10), (6, "5-2", 10), (7, "2,2,1", 5), (8, "", 4), (9, "９-１１", 20), (10, "99", 10)]),
+    "page_specs": ("doc_id long, spec string, total int", [(1, "1-20", 12), (2, "1-5,8", 30), (3, "30-", 33), (4, "-3", 10), (5, "7", 10), (6, "5-2", 10), (7, "2,2,1", 5), (8, "", 4), (9, "９-１１", 20), (10, "99", 10), (11, "3-99999999999", 10), (12, "99999999999999999999-8", 10), (13, "0-2", 5), (14, "4000000000", 9), (15, "-5000000000,0007", 3)]),
     "spans": ("doc_id long, page int, elem int, text string, x0 double, x1 double, top double, bottom double, size double, font string, bold boolean", [(1, p, 10 * p + i, t, x, x + w, y, y + s, s, f, b) for p in (1, 2, 3) for i, (t, x, w, y, s, f, b) in enumerate([("Title %d" % p, 72.0, 300.0, 60.0, 18.0, "Sans", True), ("left a", 72.1, 190.0, 100.0, 10.0, "Serif", False), ("right a", 320.0, 200.0, 100.0, 10.0, "Serif", False), ("left b", 72.4, 185.0, 112.0, 10.0, "Serif", False), ("right b", 320.2, 190.0, 112.0, 10.0, "Serif", False), ("left c", 72.0, 192.0, 124.0, 10.0, "Serif", False), ("right c", 320.0, 201.0, 124.0, 10.0, "Serif", False), ("Page %d of 9" % (p + 4), 280.0, 50.0, 760.0, 8.0, "Sans", False)])]),
     "cells": ("doc_id long, page int, cell int, x0 double, x1 double, y0 double, y1 double", [(1, 1, 1, 70.0, 300.0, 95.0, 111.0), (1, 1, 2, 300.0, 560.0, 95.0, 111.0), (1, 1, 3, 70.0, 300.0, 111.0, 140.0), (1, 2, 4, 0.0, 600.0, 50.0, 90.0)]),
     "segments": ("doc_id long, page int, seg int, x0 double, y0 double, x1 double, y1 double, horizontal boolean", [(1, 1, 1, 70.0, 95.0, 560.0, 95.0, True), (1, 1, 2, 70.0, 140.0, 560.0, 140.0, True), (1, 1, 3, 70.0, 95.0, 70.0, 140.0, False), (1, 1, 4, 560.0, 95.0, 560.0, 140.0, False), (1, 1, 5, 100.0, 300.0, 200.0, 300.0, True), (1, 1, 6, 400.0, 500.0, 460.0, 500.0, True), (1, 1, 7, 430.0, 499.0, 430.0, 560.0, False)]),
