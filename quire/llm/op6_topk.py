@@ -4,21 +4,20 @@ Vectors are dealt to shards of bounded size. A shard's index has, for every dime
 each segment into an impact, the most that a member can gain over the dimension's least; segments of all dimensions are processed from the greatest impact
 down, adding impacts to accumulators. With R the sum of the dimensions' next impacts and E that of the segments' widths, a vector whose accumulator is below
 the k-th greatest minus E minus R cannot be among the k best. Processing stops when that leaves few possible members, or at the end; all of them are then
-rescored exactly, so the early stop never changes a result.
+rescored exactly, so the early stop never changes a result. Accumulators are doubles of vectors and queries scaled to 1, and the bound has room for their rounding, so that
+one index serves components of every size; only the rescoring of a vector whose score may not fit 64 bits is done in integers of any length.
 
 A shard's vectors lie before all queries in its task's rows: its index is built once, and the queries stream through it batch by batch. So every vector is shuffled
 once and every query once a shard; a task holds SHARD vectors. Each shard returns k rows a query, which a window merges. Nothing is collected.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part; missing components of a shorter vector are
 0; rows that share a query's id are its own and no candidates; query rows of one id with different vectors are queries of their own, each with its ranks, equal ones are one;
-other repeated rows are candidates each; ties go to the smaller id; other columns are ignored. Scores are ranked exactly whatever their size; a component beyond 2**52 counts as that,
-and a score beyond 64 bits is shown as the nearest 64-bit number.
+other repeated rows are candidates each; ties go to the smaller id; other columns are ignored. Scores are ranked exactly whatever their size; one beyond 64 bits is shown as
+the nearest 64-bit number. A component whose product with the scale is no double counts as the greatest double.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,98 +25,126 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import partitions, table
 
-LEVELS = 16
+LEVELS = 64
 #: Vectors of a shard.
 SHARD = 1 << 15
-#: The greatest component.
-LIMIT = 1 << 52
 #: Possible members at which processing may stop, as a multiple of k, and the segments between looks.
-FEW, LOOK = 8, 96
+FEW, LOOK = 8, 256
+_LONG = 2**63 - 1
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Values times a power of two, so that none exceeds 1."""
+    most = np.abs(x).max(initial=0.0)
+    return np.ldexp(x, -int(np.frexp(most)[1])) if most else x
 
 
 class ShardIndex:
-    """Impact-ordered postings of integer vectors (one row each)."""
+    """Impact-ordered postings of vectors of whole doubles (one row each)."""
 
     def __init__(self, x: np.ndarray, levels: int = LEVELS):
         self.x, (n, d) = x, x.shape
-        self.low, self.high = x.min(0), x.max(0)
-        width = np.maximum((self.high - self.low) // levels + 1, 1)
-        level = (x - self.low) // width
-        order = np.argsort(level, axis=0, kind="stable")
-        self.post, self.dim, self.bottom, self.top = [], [], [], []
-        for j in range(d):
-            lv = level[order[:, j], j]
-            cut = np.flatnonzero(np.diff(lv)) + 1
-            for docs in np.split(order[:, j], cut):
-                v = x[docs, j]
-                self.post.append(docs)
-                self.dim.append(j)
-                self.bottom.append(v.min())
-                self.top.append(v.max())
-        self.dim, self.bottom, self.top = np.array(self.dim), np.array(self.bottom), np.array(self.top)
+        self.most = np.abs(x).max(1, initial=0.0)
+        y = _scaled(x)
+        self.low, self.high = y.min(0), y.max(0)
+        width = np.where(self.high > self.low, (self.high - self.low) / levels, 1.0)
+        level = np.clip(np.floor((y - self.low) / width), 0, levels - 1).astype(np.int64)
+        key = (level + np.arange(d) * levels).T.ravel()  # dimension by dimension
+        order = np.argsort(key, kind="stable")
+        self.post = (order % n).astype(np.int32)
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        self.start = np.append(first, len(order))
+        self.size = np.diff(self.start)
+        self.dim = key[order][first] // levels
+        values = y.T.ravel()[order]
+        self.bottom, self.top = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
 
     def possible(self, q: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best for q; ``skip``: rows that take no part."""
         n = len(self.x)
         if n <= FEW * k:
             return np.flatnonzero(~skip)
+        q = _scaled(q)
         weight = q[self.dim]
-        up = weight >= 0
         least = np.minimum(q * self.low, q * self.high)
-        impact = np.where(up, weight * self.top, weight * self.bottom) - least[self.dim]
-        spread = np.abs(weight) * (self.top - self.bottom)
-        error = np.zeros(len(q), impact.dtype)
-        np.maximum.at(error, self.dim, spread)
-        error = error.sum()
+        impact = np.where(weight >= 0, weight * self.top, weight * self.bottom) - least[self.dim]
+        spread = np.zeros(len(q))
+        np.maximum.at(spread, self.dim, np.abs(weight) * (self.top - self.bottom))
+        greatest = np.zeros(len(q))
+        np.maximum.at(greatest, self.dim, impact)
+        rounding = 8 * (len(q) + 8) * np.finfo(float).eps * (np.abs(least) + greatest).sum()
+        error = spread.sum() + rounding
+        by_dim = np.lexsort((-impact, self.dim))
+        after = np.append(impact[by_dim][1:], 0.0)
+        after[np.append(np.diff(self.dim[by_dim]) != 0, True)] = 0.0
+        step = np.empty(len(impact))
+        step[by_dim] = after - impact[by_dim]
         order = np.argsort(-impact, kind="stable")
-        ahead = np.zeros(len(q), impact.dtype)  # the next impact of each dimension
-        acc = np.zeros(n, impact.dtype)
-        acc[skip] = -1
-        by_dim = [list(o) for o in np.split(order[np.argsort(self.dim[order], kind="stable")], np.cumsum(np.bincount(self.dim, minlength=len(q)))[:-1])]
-        nexts = {}
-        for segs in by_dim:
-            for a, b in zip(segs, [*segs[1:], None], strict=True):
-                nexts[a] = 0 if b is None else impact[b]
-            if segs:
-                ahead[self.dim[segs[0]]] = impact[segs[0]]
-        rest = ahead.sum()
-        for done, s in enumerate(order, 1):
-            if impact[s]:
-                acc[self.post[s]] += impact[s]
-            rest += nexts[s] - impact[s]
-            if done % LOOK == 0 or done == len(order):
-                live = acc if not skip.any() else acc[~skip]
-                if len(live) <= k:
-                    break
-                kth = np.partition(live, len(live) - k)[len(live) - k]
-                if (acc >= kth - error - rest).sum() <= FEW * k:
-                    break
-        live = acc[~skip]
-        if len(live) <= k:
-            return np.flatnonzero(~skip)
-        kth = np.partition(live, len(live) - k)[len(live) - k]
-        return np.flatnonzero((acc >= kth - error - rest) & ~skip)
+        rest = np.maximum(greatest.sum() + np.cumsum(step[order]), 0.0)  # what the dimensions' next segments can add
+        acc = np.zeros(n)
+        acc[skip] = -np.inf
+        for a in range(0, len(order), LOOK):
+            part = order[a : a + LOOK]
+            part = part[impact[part] > 0]
+            if len(part):
+                rows = np.concatenate([self.post[self.start[s] : self.start[s + 1]] for s in part.tolist()])
+                acc += np.bincount(rows, np.repeat(impact[part], self.size[part]), minlength=n)
+            done = min(a + LOOK, len(order)) - 1
+            bound = np.partition(acc, n - k)[n - k] - error - rest[done]
+            if bound > -np.inf and (done + 1 == len(order) or np.count_nonzero(acc >= bound) <= FEW * k):
+                return np.flatnonzero(acc >= bound)
+        return np.flatnonzero(~skip)
+
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores; Python's integers where 64 bits may not hold one."""
+        if not len(rows):
+            return np.zeros(0, np.int64)
+        most = np.abs(q).max(initial=0.0)
+        wide = np.maximum(self.most[rows], 1.0) * max(most, 1.0) * len(q) >= 2.0**61
+        if not wide.any():
+            return self.x[rows].astype(np.int64) @ q.astype(np.int64)
+        out = np.empty(len(rows), object)
+        if not wide.all():
+            out[~wide] = self.x[rows[~wide]].astype(np.int64) @ q.astype(np.int64)
+        whole = [int(v) for v in q.tolist()]
+        for i in np.flatnonzero(wide).tolist():
+            out[i] = sum(int(a) * b for a, b in zip(self.x[rows[i]].tolist(), whole, strict=True))
+        return out
 
     def best(self, q: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best."""
         p = self.possible(q, k, ids == own)
-        score = self.x[p] @ q
-        order = np.lexsort((ids[p], -score))[:k]
+        score = self.scores(p, q)
+        if score.dtype == object:
+            order = sorted(range(len(p)), key=lambda r: (-int(score[r]), int(ids[p[r]])))[:k]
+        else:
+            order = np.lexsort((ids[p], -score))[:k]
         return ids[p][order], score[order]
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     lengths = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), width), np.int64)
+    out = np.zeros((len(column), width))
     flat = column.flatten().to_numpy()
     row = np.repeat(np.arange(len(column)), lengths)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
 
 
-def _scan(k: int, width: int, wide: bool):
-    """Streams rows (shard, side, q, vec_id, v), a shard's vectors (side 0) before its queries: the k best of the shard for each query. ``wide``: scores may not fit 64 bits."""
-    score_type = pa.decimal128(38, 0) if wide else pa.int64()
+def _beyond(score: int) -> str | None:
+    """A key that orders scores at and beyond the ends of 64 bits; none for others."""
+    if -_LONG < score < _LONG:
+        return None
+    d = str(abs(score))
+    return f"1{len(d):04d}{d}" if score > 0 else f"0{9999 - len(d):04d}{d.translate(_NINES)}"
+
+
+_NINES = str.maketrans("0123456789", "9876543210")
+_FOUND = pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.string())])
+
+
+def _scan(k: int, width: int):
+    """Streams rows (shard, side, q, vec_id, v), a shard's vectors (side 0) before its queries: the k best of the shard for each query."""
 
     def run(batches):
         shard, held, index, ids = None, [], None, None
@@ -134,24 +161,18 @@ def _scan(k: int, width: int, wide: bool):
                     held.append(part)
                     continue
                 if index is None:
-                    whole = pa.Table.from_batches(held).combine_chunks() if held else None
-                    ids = whole.column("vec_id").to_numpy() if held else np.zeros(0, np.int64)
-                    x = _matrix(whole.column("v").chunk(0), width) if held else np.zeros((0, width), np.int64)
-                    held = []
-                    index = (x.astype(object) if wide else ShardIndex(x)) if len(x) else None
-                    if index is None:
+                    if not held:
                         continue
-                out = ([], [], [], [])
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    ids, held = whole.column("vec_id").to_numpy(), []
+                    index = ShardIndex(_matrix(whole.column("v").chunk(0), width))
+                out = ([], [], [], [], [])
                 for q, key, i in zip(_matrix(part.column(4), width), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if wide:
-                        score = index @ q.astype(object)
-                        order = sorted(np.flatnonzero(ids != i).tolist(), key=lambda r: (-score[r], ids[r]))[:k]
-                        v, score = ids[order], [score[r] for r in order]
-                    else:
-                        v, score = index.best(q, k, ids, i)
-                    for c, x in zip(out, ([i] * len(v), [key] * len(v), v, score), strict=True):
+                    v, score = index.best(q, k, ids, i)
+                    score = score.tolist()
+                    for c, x in zip(out, ([i] * len(v), [key] * len(v), v.tolist(), [max(min(x, _LONG), -_LONG - 1) for x in score], map(_beyond, score)), strict=True):
                         c.extend(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array([Decimal(int(x)) for x in out[3]] if wide else out[3], score_type)], names=["query_id", "q", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
 
     return run
 
@@ -163,21 +184,18 @@ def top_k(vectors: DataFrame, modulus: int = 100, k: int = 10, scale: int = 1024
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     )
-    bounded = lambda x: F.greatest(F.least(F.floor(x * F.lit(float(scale))), F.lit(LIMIT)), F.lit(-LIMIT))
-    ints = whole.select("vec_id", F.transform("v", bounded).alias("v"))
-    most = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0))
-    n, width, greatest = ints.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(most), F.lit(0))).first()
-    wide = int(greatest) ** 2 * max(width, 1) >= 2**60
+    # Floors stay doubles, which hold them exactly: rint is not beyond the value or one above it; + 0.0 makes one zero of both.
+    most = float(np.finfo(float).max)
+    floor = lambda y: F.rint(y) - F.when(F.rint(y) > y, 1.0).otherwise(0.0) + F.lit(0.0)
+    ints = whole.select("vec_id", F.transform("v", lambda x: floor(F.greatest(F.least(x * F.lit(float(scale)), F.lit(most)), F.lit(-most)))).alias("v"))
+    n, width = ints.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     shards = max(-(-n // (shard or SHARD)), min(partitions(spark), -(-n // 512)), 1)
     data = ints.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("q"), "vec_id", "v")
     queries = ints.filter(F.col("vec_id") % modulus == 0).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), F.xxhash64("v").alias("q"), "vec_id", "v")
     met = queries.unionByName(data).repartition("shard").sortWithinPartitions("shard", "side", "vec_id")
-    found = met.mapInArrow(_scan(k, max(width, 1), wide), f"query_id long, q long, vec_id long, score {'decimal(38, 0)' if wide else 'long'}")
-    w = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    ends = [F.lit(x).cast("decimal(38, 0)") for x in (str(2**63 - 1), str(-(2**63)))]
-    shown = F.greatest(F.least("score", ends[0]), ends[1]).cast("long").alias("score") if wide else F.col("score")
-    return best.select("query_id", "rank", "vec_id", shown)
+    found = met.mapInArrow(_scan(k, max(width, 1)), "query_id long, q long, vec_id long, score long, beyond string")
+    w = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

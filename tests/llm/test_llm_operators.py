@@ -467,16 +467,24 @@ def test_op6_exact(spark, monkeypatch, few):
     assert op6.top_k(df.limit(0)).count() == 0
 
 
-def test_op6_large_components_and_two_vectors_of_one_id(spark):
-    rows = [(0, [1e9, 2e9]), (0, [1.0, -1.0]), (0, [1.0, -1.0]), (1, [3e9, 1e9]), (2, [2e9, 2e9]), (3, [1e300, -1.0]), (4, [0.5, 0.25]), (5, [2e9, 2e9]), (6, [])]
+@pytest.mark.parametrize("few", [0, 8])
+def test_op6_large_components_and_two_vectors_of_one_id(spark, monkeypatch, few):
+    """Against Python's integers, without any bound on components; the index serves them all."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(op6, "FEW", few)
+    r = np.random.default_rng(8)
+    rows = [(0, [1e9, 2e9]), (0, [1.0, -1.0]), (0, [1.0, -1.0]), (0, [1 / 1024, 0.0]), (0, [-3e200, 7.0]), (1, [3e9, 1e9]), (2, [2e9, 2e9]), (3, [1e300, -1.0]), (4, [0.5, 0.25]), (5, [2e9, 2e9]), (6, []), (7, [2.0**50, 0.0]), (8, [2.0**49, 0.0]), (9, [-0.0, -1e-9]), (10, [2.0**53 - 1, 0.0]), (11, [-(2.0**53), 1.0]), (12, [-1e300, 2.0])]
+    rows += [(20 + i, (r.normal(0, 1, 2) * 10.0 ** r.integers(-3, 18, 2)).tolist()) for i in range(75)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    clip = lambda x: max(min(int(np.floor(1024 * x)), 1 << 52), -(1 << 52))
-    ints = [(i, [clip(x) for x in v] + [0] * (2 - len(v))) for i, v in rows]
+    ints = [(i, [int(Fraction(x) * 1024 // 1) for x in v] + [0] * (2 - len(v))) for i, v in rows]
     want = []
     for q in {tuple(v) for i, v in ints if i == 0}:
-        best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in ints if i != 0)
+        best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in ints if i != 0)[:10]
         want += [(0, k, i, max(min(-s, 2**63 - 1), -(2**63))) for k, (s, i) in enumerate(best, 1)]
     assert sorted(map(tuple, op6.top_k(df).collect())) == sorted(want)
+    two = spark.createDataFrame([(0, [1 / 1024, 0.0]), (1, [2.0**50, 0.0]), (2, [2.0**49, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((x.vec_id, x.score) for x in op6.top_k(two).collect()) == [(1, 2**60), (2, 2**59)]
 
 
 # --- 7 -------------------------------------------------------------------------------------------------------------------------------
