@@ -54,6 +54,9 @@ BAD_WORDS = frozenset(
     "comments commentlist disqus respond discussion reactions cookie cookies consent gdpr notification overlay lightbox newsletter subscribe subscription signup login register "
     "sharing social recommended recommendations trending searchbox feedback copyright".split()
 )
+#: Boilerplate words with everyday meanings: they decide only in names of words that are all listed here, and not inside the article (results-and-discussion, a section's
+#: id discussion).
+WEAK_WORDS = frozenset("discussion reactions notification consent overlay register login subscription recommended recommendations trending feedback copyright social sharing promotion foot navigation signup subscribe respond toolbar sponsor sponsored".split())
 #: Words that mean boilerplate only in a name of such words, boilerplate words and PLAIN_WORDS: share-buttons, but not share-price.
 OPEN_WORDS = frozenset("share follow related search form skip legal rail alert notice promo banner popup modal reply replies comment response".split())
 PLAIN_WORDS = frozenset("a an and the us me to of in on by bar box button buttons link links top icon icons list item items row rows group section area block widget panel pane wrap wrapper container inner outer left right bottom main site page global post posts article articles story stories text title heading field fields input content module component desktop mobile sticky fixed primary secondary mini small large more this".split())
@@ -64,7 +67,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 def _named(attrs: str) -> int:
-    """What the attributes say of an element: 2 boilerplate, 1 hidden, -1 the article, 0 nothing."""
+    """What the attributes say of an element: 2 boilerplate, 3 boilerplate unless the article holds it, 4 a header unless it holds the title, 1 hidden, -1 the article, 0 nothing."""
     found = 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -75,10 +78,14 @@ def _named(attrs: str) -> int:
                 words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
                 if not words or words[0] in ("with", "has", "no", "without"):
                     continue
-                if BAD_WORDS.intersection(words) or OPEN_WORDS.intersection(words) and all(w in OPEN_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words) or key == "role" and words[0] in ("complementary", "contentinfo", "dialog", "alertdialog"):
-                    return 2
-                if HEAD_WORDS.intersection(words) and not GOOD_WORDS.intersection(words):
+                said = BAD_WORDS.intersection(words)
+                known = all(w in OPEN_WORDS or w in PLAIN_WORDS or w in BAD_WORDS or w.isdigit() for w in words)
+                if said - WEAK_WORDS or OPEN_WORDS.intersection(words) and not said and known or key == "role" and words[0] in ("complementary", "contentinfo", "dialog", "alertdialog", "navigation"):
                     return 2
+                if said and known:
+                    found = 3
+                elif HEAD_WORDS.intersection(words) and not GOOD_WORDS.intersection(words):
+                    found = found or 4
                 if key == "role" and words[0] == "main":
                     found = -1
         elif key == "itemprop" and value.lower() == "articlebody":
@@ -90,15 +97,16 @@ class _Tree:
     """Block-level nodes as parallel lists; pieces of text in page order, each with the node that holds it."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.good, self.bad = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.good, self.bad, self.own = ["#root"], [-1], [False], [False], [0]
         self.text: list[tuple[int, str, bool]] = []  # node, text, in a link
         self.links = [0]
 
-    def add(self, tag: str, parent: int, good: bool, bad: bool) -> int:
+    def add(self, tag: str, parent: int, good: bool, own: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.good.append(good)
-        self.bad.append(bad)
+        self.own.append(own)  # 1 boilerplate, others only if nothing lifts it: 2 a form, 3 by a weak name, 4 by a header's name
+        self.bad.append(self.bad[parent] or own > 0)
         self.links.append(0)
         return len(self.tag) - 1
 
@@ -185,11 +193,44 @@ def parse(page: str, names: bool = True) -> _Tree:
         up = stack[-1]
         said = _named(attrs) if names and attrs != ">" else 0
         fixed = tag in ("html", "body", "main")
-        bad = t.bad[up] or tag in DROP or not fixed and said > 0 and (tag != "article" or said == 1) or tag == "header" and not any(t.tag[s] in ("article", "main") for s in stack)
-        stack.append(t.add(tag, up, tag in ("article", "main") or said < 0, bad))
+        article = any(t.tag[s] in ("article", "main") for s in stack)
+        own = 2 if tag == "form" else 1 if tag in DROP or tag == "header" and not article else 0
+        if said > 0 and not fixed and (tag != "article" or said == 1) and own in (0, 2):
+            own = said if said > 2 else 1
+        stack.append(t.add(tag, up, tag in ("article", "main") or said < 0, own))
+    _lift(t)
     return t
 
 
+def _lift(t: _Tree) -> None:
+    """What may be boilerplate and isn't: a form around an article or around half of the page's words; what has a weak name inside an article; what has a header's name and
+    holds the page's only top heading."""
+    n = len(t.tag)
+    if not any(own > 1 for own in t.own):
+        return
+    words = [0] * n
+    for node, text, linked in t.text:
+        if not linked:
+            words[node] += len(text) - text.count(" ")
+    article, top = [g or tag in ("article", "main") for g, tag in zip(t.good, t.tag, strict=True)], [tag == "h1" for tag in t.tag]
+    hard, within = [own == 1 for own in t.own], [False] * n
+    for i in range(1, n):
+        p = t.parent[i]
+        hard[i] |= hard[p]
+        within[i] = within[p] or article[p]
+    own_words, heads = [0 if h else w for w, h in zip(words, hard, strict=True)], [int(x and not h) for x, h in zip(top, hard, strict=True)]
+    total, all_heads, holds = sum(own_words), sum(heads), list(article)
+    for i in range(n - 1, 0, -1):
+        p = t.parent[i]
+        own_words[p] += own_words[i]
+        heads[p] += heads[i]
+        holds[p] |= holds[i]
+    for i in range(1, n):
+        if t.own[i] == 2 and (holds[i] or total and 2 * own_words[i] >= total) or t.own[i] == 3 and within[i] or t.own[i] == 4 and heads[i] == all_heads == 1:
+            t.own[i] = 0
+        t.bad[i] = t.bad[t.parent[i]] or t.own[i] > 0
+
+
 def _blocks(t: _Tree, inside: list[bool]) -> str:
     """The text of the nodes inside, a block for each run of one block's text; cells of a row make one block."""
     out: list[str] = []

@@ -121,6 +121,25 @@ def test_op2_keeps_the_whole_article_without_landmarks():
     assert op2.extract(page(f"<article>{tags('p', three)}</article><article><p>Short.</p></article>")).split("\n\n") == [*three, "Short."]
 
 
+def test_op2_forms_weak_names_and_title_headers():
+    para = ["Some words of the article that go on for a while, as paragraphs do, and on.", "More of them in a second paragraph, which is about as long as the first one was."]
+    body = "".join(f"<p>{p}</p>" for p in para)
+    menu = "<div class=nav><a href=/>Home</a> <a href=/a>About</a></div>"
+    # A form around the whole page, as some servers write it, with a form of fields inside.
+    page = f"<html><body><form id=aspnet>{menu}<div id=x><h1>Title</h1>{body}<div class=search-form>Find <input></div></div><div class=footer>end</div></form></body></html>"
+    assert op2.extract(page).split("\n\n") == ["Title", *para]
+    assert op2.extract(f"<body><article><h1>T</h1>{body}</article><form>Your name <input> Your mail <input></form></body>").split("\n\n") == ["T", *para]
+    # Sections whose names hold words of boilerplate.
+    for name in ('class="results-and-discussion"', 'id="discussion"', 'class="notification-settings"'):
+        got = op2.extract(f"<body>{menu}<article><h1>T</h1><p>{para[0]}</p><section {name}><h2>Part</h2><p>{para[1]}</p></section></article></body>")
+        assert got.split("\n\n") == ["T", para[0], "Part", para[1]], name
+    for name in ('class="comments"', 'class="social-sharing"', 'id="sidebar-left"', 'class="cookie-consent"', 'class="login-form"'):
+        assert op2.extract(f"<body>{menu}<article><h1>T</h1>{body}</article><div {name}><p>{para[0]} {para[1]}</p></div></body>").split("\n\n") == ["T", *para], name
+    # A header by name that holds the title of the article, and one of the site.
+    assert op2.extract(f'<body>{menu}<article><div class="page-header"><h1>Title</h1></div>{body}</article></body>').split("\n\n") == ["Title", *para]
+    assert op2.extract(f'<body><div class="page-header"><h1>Site</h1></div><article><h1>Title</h1>{body}</article></body>').split("\n\n") == ["Title", *para]
+
+
 def test_op2_names_and_links_inside_an_article():
     para = "Some words of the article that go on for a while, as paragraphs do, and on."
     names = "share-price form-factor legal-news follow-up related-work search-history skip-lists rail-transport top-story notice-period".split()
