@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text as tx
+
 from quire.functions.text import PLAIN, SPACE, TOKEN, TYPOGRAPHIC
 
 _TOKEN = re.compile(TOKEN)
@@ -370,3 +372,26 @@ def changed_blocks(rows: DataFrame) -> DataFrame:
         return out
 
     return _mapped(rows.select("doc_id", "old", "new"), changes, "change string, old_block int, new_block int")
+
+
+def soft_hyphens(texts: DataFrame, hyphens: DataFrame, keep: tuple[str, ...] | list[str]) -> DataFrame:
+    """id, soft: whether the hyphen at the end of ``a`` only breaks the word that ``b`` goes on with (``hyphens``: doc_id, id, a, b).
+
+    A document's own words decide (``texts``: doc_id, text): how often both parts occur, and whether the word occurs with or without a hyphen. They are counted by document and
+    looked up by a join, so no row carries a document's words. Hyphens of documents that ``texts`` lacks make no row.
+    """
+    words = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0))).alias("key")).groupBy("doc_id", F.lower("key").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("word"))
+    joined = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0))).alias("w")).select("doc_id", F.explode(F.array(F.lower("w"), F.replace(F.lower("w"), F.lit("-"), F.lit("")))).alias("key"))
+    known = words.select("doc_id", "kind", "key", "n").unionByName(joined.distinct().select("doc_id", F.lit("seen").alias("kind"), "key", F.lit(1).cast("long").alias("n")))
+    base = F.rtrim(F.regexp_replace("a", "-$", ""))
+    p = hyphens.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "id", base.alias("base"), F.regexp_extract(base, "([A-Za-z]+)$", 1).alias("ra"), F.regexp_extract("b", "^([A-Za-z]+)", 1).alias("rb"))
+    a, b = F.lower("ra"), F.lower("rb")
+    roles = {"a": ("word", a), "b": ("word", b), "hyphened": ("seen", F.concat(a, F.lit("-"), b)), "whole": ("seen", F.concat(a, b))}
+    asked = p.select("*", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(k).alias("kind"), key.alias("key")) for r, (k, key) in roles.items()))).alias("q")).select("doc_id", "id", "base", "ra", "rb", "q.*")
+    found = asked.join(known, ["doc_id", "kind", "key"], "left").groupBy("doc_id", "id", "base", "ra", "rb").agg(*(F.coalesce(F.max(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(f"n_{r}") for r in roles))
+    soft = (
+        F.when((a == "") | (b == ""), False).when(F.col("base").rlike("-[A-Za-z]+$"), False).when(F.col("rb").rlike("^[A-Z]") & ~F.col("rb").rlike("^[A-Z]+$"), False)
+        .when(F.col("n_hyphened") > 0, False).when(F.col("n_whole") > 0, True).when(a.isin(list(keep)), False)
+        .when((F.length("ra") >= 2) & (F.col("ra") == F.upper("ra")), False).when((F.length(a) >= 3) & (F.col("n_a") >= 2) & (F.col("n_b") >= 2), False).otherwise((F.length(a) >= 2) & (F.length(b) >= 2))
+    )
+    return found.select("id", soft.alias("soft"))

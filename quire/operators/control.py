@@ -109,6 +109,19 @@ def layered(settings: DataFrame) -> DataFrame:
     return settings.groupBy("key").agg(F.max_by("value", "prio").alias("value"), F.max_by("layer", "prio").alias("layer"))
 
 
+def numbered_rules(rules: DataFrame, chunk: int = 1024) -> DataFrame:
+    """Rules of all layers as one list, lower layers first: ordinal, layer, rule. Positions are numbered within chunks; chunks and the few layers are counted before, so no
+    task sorts them all. Positions of a layer are whole numbers, its own each."""
+    r = rules.withColumn("chunk", F.floor(F.col("pos") / chunk))
+    counts = r.groupBy("prio", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("inner", upto(Window.partitionBy("prio").orderBy("chunk")))
+    layers = counts.groupBy("prio").agg(F.sum("n").alias("n")).withColumn("outer", upto(Window.orderBy("prio"))).select("prio", "outer")
+    starts = before.join(layers, "prio").select("prio", "chunk", (F.col("inner") + F.col("outer")).alias("start"))
+    number = F.row_number().over(Window.partitionBy("prio", "chunk").orderBy("pos"))
+    return r.withColumn("k", number).join(starts, ["prio", "chunk"]).select((F.col("start") + F.col("k")).cast("int").alias("ordinal"), "layer", "rule")
+
+
 def first_wins(names: DataFrame) -> DataFrame:
     """Of equal names the one of the first source."""
     return names.groupBy("name").agg(F.min_by("source", F.struct("prio", "pos")).alias("source"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import beside, blocks, compare, control, edits, html_edits, layout, markup, pages, search
 from quire.plans.tables import table
-from quire.sources.derived import TABLES as DERIVED, Corpus, derived
+from quire.sources.derived import STYLES, TABLES as DERIVED, Corpus, derived
 from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
 from quire.sources import documents as sources
 from quire.sources.html import with_html_blocks
@@ -144,21 +144,18 @@ def hyphenated_terms(spark, d):
 KEEP_PREFIX = "multi cross self non pre post co sub semi anti inter intra over under well low high two three four single double full half state deep end real long short large small fine coarse patch pixel slice noise edge data task domain channel spatial frequency image feature level scale window time user open closed top bottom left right first second third zero one dual quasi pseudo".split()
 
 
-@query()
+_KEPT = ", ".join(f"'{x}'" for x in KEEP_PREFIX)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{tx.WORD}'), lambda x: lower(x)) AS w, list_transform(regexp_extract_all(text, '[A-Za-z]+(?:-[A-Za-z]+)*'), lambda x: lower(x)) AS h FROM {{hyphen_text}}),
+s AS (SELECT doc_id, w, list_distinct(list_concat(h, list_transform(h, lambda x: replace(x, '-', '')))) AS s FROM t), k AS (SELECT doc_id, unnest(w) AS w FROM t), n AS (SELECT doc_id, w, count(*) AS n FROM k GROUP BY 1, 2),
+p AS (SELECT doc_id, id, rtrim(regexp_replace(a, '-$', '')) AS base, regexp_extract(b, '^([A-Za-z]+)', 1) AS rb FROM {{hyphens}}), q AS (SELECT *, regexp_extract(base, '([A-Za-z]+)$', 1) AS ra FROM p), r AS (SELECT *, lower(ra) AS a, lower(rb) AS b FROM q)
+SELECT r.id, CASE WHEN ra = '' OR rb = '' THEN false WHEN regexp_matches(base, '-[A-Za-z]+$') THEN false WHEN regexp_matches(rb, '^[A-Z]') AND NOT regexp_matches(rb, '^[A-Z]+$') THEN false WHEN list_contains(s, a || '-' || b) THEN false WHEN list_contains(s, a || b) THEN true
+WHEN a IN ({_KEPT}) THEN false WHEN length(ra) >= 2 AND ra = upper(ra) THEN false WHEN length(a) >= 3 AND coalesce(x.n, 0) >= 2 AND coalesce(y.n, 0) >= 2 THEN false ELSE length(a) >= 2 AND length(b) >= 2 END AS soft
+FROM r JOIN s ON s.doc_id = r.doc_id LEFT JOIN n x ON x.doc_id = r.doc_id AND x.w = r.a LEFT JOIN n y ON y.doc_id = r.doc_id AND y.w = r.b""")
 def soft_hyphen_decisions(spark, d):
     """Each document's hyphens are judged by its own words."""
-    text = rows(spark, d, "hyphen_text").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("all"))
-    seen = text.select("doc_id", F.array_distinct(F.flatten(F.transform("w", lambda x: F.array(F.lower(x), F.replace(F.lower(x), F.lit("-"), F.lit("")))))).alias("seen"), F.transform("all", F.lower).alias("all"))
-    base = F.rtrim(F.regexp_replace("a", "-$", ""))
-    p = rows(spark, d, "hyphens").select("doc_id", "id", "a", "b", F.regexp_extract(base, "([A-Za-z]+)$", 1).alias("ra"), F.regexp_extract("b", "^([A-Za-z]+)", 1).alias("rb"), base.alias("base")).join(seen, "doc_id")
-    a, b = F.lower("ra"), F.lower("rb")
-    times = lambda w: F.size(F.filter("all", lambda x: x == w))
-    drop = (
-        F.when((a == "") | (b == ""), False).when(F.col("base").rlike("-[A-Za-z]+$"), False).when(F.col("rb").rlike("^[A-Z]") & ~F.col("rb").rlike("^[A-Z]+$"), False)
-        .when(F.array_contains("seen", F.concat(a, F.lit("-"), b)), False).when(F.array_contains("seen", F.concat(a, b)), True).when(a.isin(KEEP_PREFIX), False)
-        .when((F.length("ra") >= 2) & (F.col("ra") == F.upper("ra")), False).when((F.length(a) >= 3) & (times(a) >= 2) & (times(b) >= 2), False).otherwise((F.length(a) >= 2) & (F.length(b) >= 2))
-    )
-    return p.select("id", drop.alias("soft"))
+    return compare.soft_hyphens(rows(spark, d, "hyphen_text"), rows(spark, d, "hyphens"), KEEP_PREFIX)
 
 
 _CLEAN = rf"regexp_replace(%s, '[\x{{00}}-\x{{1f}}\x{{7f}}-\x{{9f}}]|{_SP}', '', 'g')"
@@ -444,7 +441,7 @@ def settings_layers(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY prio, pos) AS INTEGER) AS ordinal, layer, rule FROM {setting_rules}")
 def settings_rules(spark, d):
-    return rows(spark, d, "setting_rules").select(F.row_number().over(Window.orderBy("prio", "pos")).alias("ordinal"), "layer", "rule")
+    return control.numbered_rules(rows(spark, d, "setting_rules"))
 
 
 @query("WITH c AS (SELECT * FROM {capabilities}), t AS (SELECT * FROM {tools}) SELECT format, tool, agent_ok AND tool <> 'agent' AS sub_agent FROM t JOIN c ON t.needs = c.capability UNION ALL SELECT f.format, tool, agent_ok AND tool <> 'agent' FROM t, (SELECT DISTINCT format FROM c) f WHERE needs IS NULL")
@@ -470,6 +467,14 @@ def style_heading_level(spark, d):
     return control.heading_levels(spark, rows(spark, d, "styles"))
 
 
+def style_heading_level_corpus(spark, d):
+    """Chains of styles set from the customers."""
+    return control.heading_levels(spark, STYLES[0](spark, d))
+
+
+QUERIES["style_heading_level_corpus"], ORACLE_SQL["style_heading_level_corpus"] = style_heading_level_corpus, ORACLE_SQL["style_heading_level"].replace(values_sql("styles"), STYLES[1])
+
+
 @query("SELECT c.doc_id, c.comment_id, c.author, c.text, a.ref FROM (SELECT * FROM {comments}) c LEFT JOIN (SELECT doc_id, comment_id, arg_min(ref, ordinal) AS ref FROM {anchors} GROUP BY 1, 2) a ON a.doc_id = c.doc_id AND a.comment_id = c.comment_id")
 def comment_anchors(spark, d):
     return control.first_anchor(rows(spark, d, "comments"), rows(spark, d, "anchors"))

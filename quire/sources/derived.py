@@ -153,6 +153,44 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "hooks": (lambda s, d: table(s, d, "events").selectExpr("CAST(event_id AS INT) AS id", "CASE event_id % 4 WHEN 0 THEN '*' WHEN 1 THEN 'p.*' WHEN 2 THEN 'click|view' END AS matcher", "event_type AS tool"), "(SELECT CAST(event_id AS INTEGER) AS id, CASE event_id % 4 WHEN 0 THEN '*' WHEN 1 THEN 'p.*' WHEN 2 THEN 'click|view' END AS matcher, event_type AS tool FROM events) AS hooks"),
 }
 
+def _same(name: str, source: str, columns: str, where: str = "TRUE", distinct: bool = False) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """A table whose columns both engines compute by the same expressions."""
+    pick = "SELECT DISTINCT" if distinct else "SELECT"
+    return (lambda s, d: s.sql(f"{pick} {columns} FROM {{t}} WHERE {where}", t=table(s, d, source))), f"({pick} {columns} FROM {source} WHERE {where}) AS {name}"
+
+
+_PRIORITY = "CASE p_size % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' END"
+_FONT = "concat(CASE l_linenumber % 3 WHEN 0 THEN 'ABCDEF+' WHEN 1 THEN 'abcdef+' ELSE '' END, CASE l_partkey % 6 WHEN 0 THEN 'TimesNewRomanPS' WHEN 1 THEN 'Arial' WHEN 2 THEN 'CMR10' WHEN 3 THEN 'SimSun' WHEN 4 THEN 'Courier' ELSE 'Other' END, CASE l_suppkey % 4 WHEN 0 THEN '-BoldMT' WHEN 1 THEN ',Italic' WHEN 2 THEN '-BoldOblique' ELSE '' END)"
+_ID = "l_orderkey * 10 + l_linenumber"
+TABLES |= {
+    "settings": _same("settings", "orders", "o_orderpriority AS layer, CAST(o_orderkey AS INTEGER) AS prio, concat('k', o_custkey) AS key, o_orderstatus AS value"),
+    "setting_rules": _same("setting_rules", "lineitem", f"concat('layer', l_linenumber) AS layer, CAST(l_linenumber AS INTEGER) AS prio, CAST(l_orderkey AS INTEGER) AS pos, concat('rule', min(l_partkey), '(*)') AS rule", "TRUE GROUP BY l_linenumber, l_orderkey"),
+    "names": _same("names", "lineitem", "concat(l_returnflag, l_suppkey) AS source, CAST(l_orderkey AS INTEGER) AS prio, CAST(l_linenumber AS INTEGER) AS pos, concat('n', l_partkey) AS name"),
+    "tools": _same("tools", "part", f"concat('t', p_partkey) AS tool, {_PRIORITY} AS needs, p_size % 2 = 0 AS agent_ok"),
+    "capabilities": _same("capabilities", "orders", "CASE o_orderkey % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'markdown' WHEN 2 THEN 'html' ELSE 'pdf' END AS format, o_orderpriority AS capability", "o_orderpriority <> '5-LOW' OR o_orderkey % 4 > 1", distinct=True),
+    "fonts": _same("fonts", "lineitem", f"{_ID} AS id, {_FONT} AS font"),
+    "accents": _same("accents", "lineitem", f"{_ID} AS id, concat(l_returnflag, l_linestatus, l_partkey) AS text, l_quantity AS x0, l_quantity + 20e0 AS x1, CASE l_linenumber % 4 WHEN 0 THEN '¯' WHEN 1 THEN 'ˆ' WHEN 2 THEN '~' ELSE '´' END AS accent, l_quantity + l_discount * 230e0 AS cx"),
+    "grid_paras": _same("grid_paras", "lineitem", f"{_ID} AS id, l_quantity / 4e0 AS before, CAST(l_partkey % 24 AS DOUBLE) / 2e0 AS after, CAST(12 + l_suppkey % 40 AS DOUBLE) AS content, 11.5e0 + l_linenumber / 4e0 AS line_height, 12e0 AS pitch"),
+}
+_HOSTS = "l_orderkey AS doc_id, 1 AS page, CAST(2 * l_linenumber AS INTEGER) AS elem, concat('x', l_partkey) AS text, 72e0 AS x0, 172e0 + l_linenumber AS x1, CAST(90 + 20 * l_linenumber AS DOUBLE) AS top, CAST(100 + 20 * l_linenumber AS DOUBLE) AS bottom, 10e0 AS size"
+_MARKS = "l_orderkey AS doc_id, 1 AS page, CAST(2 * l_linenumber + 1 AS INTEGER) AS elem, concat(l_returnflag, l_linenumber % 3) AS text, 170e0 + l_quantity AS x0, 175e0 + l_quantity AS x1, CAST(93 + 20 * l_linenumber + 2 * (l_partkey % 9 - 4) AS DOUBLE) AS top, CAST(100 + 20 * l_linenumber + 2 * (l_partkey % 9 - 4) AS DOUBLE) AS bottom, 5e0 + l_linenumber AS size"
+_NUMBERED = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity FROM %s GROUP BY l_orderkey, l_linenumber)"
+TABLES["scripts"] = (lambda s, d: s.sql(f"SELECT {_HOSTS} FROM {_NUMBERED % '{t}'} UNION ALL SELECT {_MARKS} FROM {_NUMBERED % '{t}'}", t=table(s, d, "lineitem"))), f"(SELECT {_HOSTS} FROM {_NUMBERED % 'lineitem'} UNION ALL SELECT {_MARKS} FROM {_NUMBERED % 'lineitem'}) AS scripts"
+_PAIR = "regexp_extract(text, '([A-Za-z]{6,})', 1)"
+_HYPHENS = "doc_id | CAST(doc_id * 1000 + n AS INTEGER) AS id | CASE WHEN n % 3 = 0 THEN concat(w, '-') ELSE concat(left(w, 3), '-') END AS a | CASE WHEN n % 3 = 0 THEN v ELSE concat(substr(w, 4), ' on') END AS b"
+TABLES |= {
+    "hyphen_text": _same("hyphen_text", "documents", "doc_id, text"),
+    "hyphens": (
+        lambda s, d: _lines(s, d, "doc_id", "n", f"{_PAIR} AS w", "regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS v").selectExpr(*_HYPHENS.split(" | ")),
+        f"(SELECT {_HYPHENS.replace(' | ', ', ')} FROM (SELECT doc_id, n, {_PAIR} AS w, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS v FROM {_LINES})) AS hyphens",
+    ),
+}
+#: Styles by customer, each based on that of half its number; they stand in no other query's tables.
+STYLES = _same(
+    "styles", "customer", "concat('S', c_custkey) AS style_id, concat(CASE c_custkey % 13 WHEN 1 THEN 'heading ' WHEN 2 THEN '标题 ' WHEN 3 THEN 'H' ELSE 'Own ' END, c_custkey % 9 + 1, CASE c_custkey % 5 WHEN 0 THEN 'x' ELSE '' END) AS name, "
+    "'paragraph' AS type, CASE WHEN c_custkey % 17 > 0 THEN concat('S', CAST(floor(c_custkey / 2) AS INTEGER)) END AS based_on, CAST(CASE WHEN c_custkey % 11 = 0 THEN c_custkey % 10 END AS INTEGER) AS outline_lvl, c_custkey = 1 AS is_default",
+)
+
 
 def derived(spark: SparkSession, d: str, name: str) -> DataFrame:
     return TABLES[name][0](spark, d)
