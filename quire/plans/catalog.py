@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import beside, blocks, compare, control, edits, html_edits, layout, markup, pages, search
+from quire.operators import beside, blocks, compare, control, edits, html_edits, layout, markup, pages, search, spacing
 from quire.plans.tables import table
 from quire.sources.derived import STYLES, TABLES as DERIVED, Corpus, derived
 from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
@@ -1203,4 +1203,28 @@ def letter_spacing(spark, d):
     return rows(spark, d, "odd_texts").select("id", tx.letters_joined(F.col("text")).alias("joined"), tx.symbols_shown(F.col("text")).alias("symbols"))
 
 
+# Letters of the lines' first words, one by one: every third line unevenly, every seventh with something between two of them.
+_LETTERED = "doc_id, CAST(1 + floor(n / 50) AS INTEGER) AS page, CAST(n * 100 + k AS INTEGER) AS elem, substr(text, k, 1) AS text, CAST(72 + 8 * k + CASE WHEN n % 3 = 0 THEN k % 3 * 2 ELSE 0 END AS DOUBLE) AS x0, CAST(77 + 8 * k + CASE WHEN n % 3 = 0 THEN k % 3 * 2 ELSE 0 END AS DOUBLE) AS x1, CAST(100 + 12 * (n % 50) AS DOUBLE) AS top, CAST(110 + 12 * (n % 50) AS DOUBLE) AS bottom, 1e1 AS size, 'Serif' AS font, n % 2 = 0 AS bold"
+_BETWEEN = "doc_id, CAST(1 + floor(n / 50) AS INTEGER) AS page, CAST(n * 100 + 99 AS INTEGER) AS elem, 'ab' AS text, 101e0 AS x0, 104e0 AS x1, CAST(103 + 12 * (n % 50) AS DOUBLE) AS top, CAST(113 + 12 * (n % 50) AS DOUBLE) AS bottom, 5e0 AS size, 'Serif' AS font, false AS bold"
+_L = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"
+
+
+@query(f"""WITH sp AS (SELECT * FROM (SELECT {_LETTERED} FROM (SELECT doc_id, n, text, unnest(range(1, 21)) AS k FROM {_L}) WHERE k <= length(text)) WHERE trim(text) <> '' UNION ALL SELECT {_BETWEEN} FROM {_L} WHERE n % 7 = 0),
+l AS (SELECT *, x0 - lag(x1) OVER w AS gap, lag(x1) OVER w AS after, lag(elem) OVER w AS other, coalesce(abs(bottom - lag(bottom) OVER w) <= 0.3 AND font = lag(font) OVER w AND size = lag(size) OVER w AND bold = lag(bold) OVER w AND x0 - lag(x1) OVER w BETWEEN 0.08 * size AND 1.2 * size, false) AS alike FROM sp WHERE length(trim(text)) = 1 WINDOW w AS (PARTITION BY doc_id, page ORDER BY bottom, x0, elem)),
+b AS (SELECT DISTINCT l.doc_id, l.page, l.elem FROM l JOIN sp o ON o.doc_id = l.doc_id AND o.page = l.page AND alike AND o.x0 >= l.after - 0.3 AND o.x1 <= l.x0 + 0.3 AND abs(o.bottom - l.bottom) <= 0.8 * l.size AND o.elem NOT IN (l.elem, l.other)),
+n AS (SELECT l.*, CASE WHEN alike AND b.elem IS NULL THEN 0 ELSE 1 END AS new FROM l LEFT JOIN b ON b.doc_id = l.doc_id AND b.page = l.page AND b.elem = l.elem), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY bottom, x0, elem) AS run FROM n),
+g AS (SELECT doc_id, page, run, count(*) AS n, list_sort(list(gap) FILTER (new = 0)) AS gs FROM r GROUP BY ALL HAVING count(*) >= 4), m AS (SELECT *, gs[len(gs) // 2 + 1] AS mid FROM g),
+k AS (SELECT doc_id, page, run, mid FROM m WHERE len(list_filter(gs, lambda x: x <= 1.7 * mid + 0.3 AND abs(x - mid) <= 0.35 * greatest(mid, 0.5))) >= 0.6 * len(gs)),
+h AS (SELECT r.*, sum(CASE WHEN new = 0 AND gap > 1.7 * mid + 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY r.doc_id, r.page, r.run ORDER BY x0, elem) AS word FROM r JOIN k ON k.doc_id = r.doc_id AND k.page = r.page AND k.run = r.run)
+SELECT doc_id, page, elem, text, x0, x1 FROM sp WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = sp.doc_id AND h.page = sp.page AND h.elem = sp.elem) UNION ALL SELECT doc_id, page, arg_min(elem, x0), string_agg(text, '' ORDER BY x0), min(x0), max(x1) FROM h GROUP BY doc_id, page, run, word""")
+def letter_spaced_spans(spark, d):
+    """Letters set one by one become words again, by page over whole documents."""
+    docs = table(spark, d, "documents")
+    s = spark.sql(
+        f"WITH l AS (SELECT doc_id, n + 1 AS n, text FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (n, text) FROM {{t}})) SELECT * FROM (SELECT {_LETTERED} FROM (SELECT *, explode(sequence(1, 20)) AS k FROM l) WHERE k <= length(text)) WHERE trim(text) <> '' UNION ALL SELECT {_BETWEEN} FROM l WHERE n % 7 = 0",
+        t=docs,
+    )
+    return spacing.merged_letters(s).select("doc_id", "page", "elem", "text", "x0", "x1")
+
+
 del query

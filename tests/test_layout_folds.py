@@ -72,3 +72,22 @@ def test_page_ranges_of_any_length(spark):
         want |= {(i, p) for p in found}
     got = layout.parsed_ranges(spark.createDataFrame([(i, s, 10) for i, s in enumerate(specs)], "doc_id long, spec string, total int"))
     assert {(x.doc_id, x.page) for x in got.collect()} == want
+
+
+def test_letter_spaced_spans(spark):
+    from quire.operators import spacing
+
+    def letters(elem, text, x=72.0, step=8.0, bottom=110.0, font="Serif", page=1):
+        return [(1, page, elem + k, c, x + step * k, x + step * k + 5, bottom - 10, bottom, 10.0, font, False) for k, c in enumerate(text) if c != " "]
+
+    rows = letters(100, "ART ICLE") + letters(200, "abc", bottom=130.0) + letters(300, "ab", bottom=150.0) + letters(310, "cd", x=88.0, bottom=150.0, font="Sans")
+    rows += letters(400, "wxyz", bottom=170.0) + [(1, 1, 450, "sub", 85.0, 88.0, 165.0, 172.0, 5.0, "Serif", False)]  # something between two letters
+    rows += [(1, 1, 500 + k, c, float(x), x + 5.0, 180.0, 190.0, 10.0, "Serif", False) for k, (c, x) in enumerate(zip("uneven", (72, 78, 87, 94, 106, 115)))]
+    rows += [(1, 1, 600, "whole word", 72.0, 150.0, 200.0, 210.0, 10.0, "Serif", False), (1, 1, 601, "", 160.0, 161.0, 200.0, 210.0, 10.0, "Serif", False), (1, 1, 602, None, 170.0, 171.0, 200.0, 210.0, 10.0, "Serif", False)]
+    rows += letters(700, "PAGE", page=2)
+    df = spark.createDataFrame(rows, "doc_id long, page int, elem int, text string, x0 double, x1 double, top double, bottom double, size double, font string, bold boolean")
+    got = sorted(spacing.merged_letters(df).select("page", "elem", "text", "x0", "x1").collect())
+    words = {(r.page, r.elem, r.text): (r.x0, r.x1) for r in got if r.text and len(r.text) > 1}
+    assert words == {(1, 100, "ART"): (72.0, 93.0), (1, 104, "ICLE"): (104.0, 133.0), (1, 450, "sub"): (85.0, 88.0), (1, 600, "whole word"): (72.0, 150.0), (2, 700, "PAGE"): (72.0, 101.0)}
+    assert len(got) == len(rows) - len("ARTICLE") - len("PAGE") + 3
+    assert spacing.merged_letters(df.limit(0)).count() == 0
