@@ -23,15 +23,25 @@ def _cleaned(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[\\x00-\\x1f\\x7f-\\x9f]|{SPACE}", "")
 
 
+#: Combining accents and the spacing accents that they stand for where a letter took them up.
+ACCENTS = {"\u0302": "ˆ^", "\u0303": "˜~", "\u0304": "¯", "\u0307": "˙", "\u0308": "¨", "\u0301": "´", "\u0300": "`", "\u030c": "ˇ", "\u20d7": "→\u20d7"}
+
+
 def coverage(docs: DataFrame, source: Column, result: Column, missing: int = 30) -> DataFrame:
     """How many of the source's characters the result has, as a multiset; 1 where the source has none; and the first ``missing`` characters that are lacking, in the source's order.
 
-    Both texts stand in one row and are counted there: nothing is shuffled.
+    A spacing accent that the result lacks counts as kept for each combining one that it has instead. Both texts stand in one row and are counted there: nothing is shuffled.
     """
 
     def one(a: str, b: str) -> list[tuple]:
-        have = Counter(b)
-        lost = {c: n - have[c] for c, n in Counter(a).items() if n > have[c]}
+        want, have = Counter(a), Counter(b)
+        for mark, alike in ACCENTS.items():
+            left = have[mark]
+            for c in alike:
+                taken = min(left, max(0, want[c] - have[c]))
+                have[c] += taken
+                left -= taken
+        lost = {c: n - have[c] for c, n in want.items() if n > have[c]}
         gone = sum(lost.values())
         return [(len(a), gone, 1 - gone / len(a) if a else 1.0, "".join(list(lost)[:missing]))]
 

@@ -177,6 +177,15 @@ def char_coverage(spark, d):
     return compare.coverage(docs, F.col("text"), F.left("text", F.floor(F.length("text") / 2).cast("int")))
 
 
+@query(f"""WITH d AS (SELECT doc_id, length({_CLEAN % "coalesce(text, '')"}) + doc_id % 5 + doc_id % 3 AS total, greatest(doc_id % 5 - doc_id % 4, 0) AS acute, greatest(doc_id % 3 - doc_id % 2, 0) AS hat FROM documents)
+SELECT doc_id, CAST(total AS BIGINT) AS total, CAST(acute + hat AS BIGINT) AS lost, round(CASE WHEN total = 0 THEN 1.0 ELSE 1 - (acute + hat) / total END, 6) AS coverage, CASE WHEN acute > 0 THEN '´' ELSE '' END || CASE WHEN hat > 0 THEN 'ˆ' ELSE '' END AS missing FROM d""")
+def accent_coverage(spark, d):
+    """Texts with spacing accents before them against ones with fewer combining accents instead."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    put = lambda c, n: F.repeat(F.lit(c), (F.col("doc_id") % n).cast("int"))
+    return compare.coverage(docs, F.concat(put("´", 5), put("ˆ", 3), "text"), F.concat(put("\u0301", 4), put("\u0302", 2), "text"))
+
+
 @query("""WITH a AS (SELECT doc_id, version, part, body FROM {parts})
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.part, n.part) AS part, CASE WHEN o.part IS NULL THEN 'added' WHEN n.part IS NULL THEN 'lost' WHEN o.body = n.body THEN 'identical' ELSE 'modified' END AS status
 FROM (SELECT * FROM a WHERE version = 0) o FULL JOIN (SELECT * FROM a WHERE version = 1) n ON o.doc_id = n.doc_id AND o.part = n.part""")
