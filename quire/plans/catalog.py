@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import beside, blocks, compare, control, edits, html_edits, layout, markup, pages, search, spacing
+from quire.operators import beside, blocks, charts, compare, control, edits, html_edits, layout, markup, pages, search, spacing
 from quire.plans.tables import table
 from quire.sources.derived import STYLES, TABLES as DERIVED, Corpus, derived
 from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
@@ -863,16 +863,41 @@ def merged_paragraphs(spark, d):
     return pages.merged_paragraphs(shaped).select("doc_id", "first", "last", (F.col("last") - F.col("first") + 1).cast("long").alias("pieces"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT * FROM {segments}), e AS (SELECT h.doc_id, h.page, h.seg AS a, v.seg AS b FROM s h JOIN s v ON h.horizontal AND NOT v.horizontal AND h.doc_id = v.doc_id AND h.page = v.page AND v.x0 >= h.x0 - 2.5 AND v.x0 <= h.x1 + 2.5 AND h.y0 >= v.y0 - 2.5 AND h.y0 <= v.y1 + 2.5),
+_RULED = """WITH RECURSIVE s AS (SELECT * FROM {segments}), e AS (SELECT h.doc_id, h.page, h.seg AS a, v.seg AS b FROM s h JOIN s v ON h.horizontal AND NOT v.horizontal AND h.doc_id = v.doc_id AND h.page = v.page AND v.x0 >= h.x0 - 2.5 AND v.x0 <= h.x1 + 2.5 AND h.y0 >= v.y0 - 2.5 AND h.y0 <= v.y1 + 2.5),
 l AS (SELECT * FROM e UNION ALL SELECT doc_id, page, b, a FROM e), r AS (SELECT doc_id, page, seg, seg AS root FROM s UNION SELECT r.doc_id, r.page, l.b, r.root FROM r JOIN l ON l.doc_id = r.doc_id AND l.page = r.page AND l.a = r.seg), c AS (SELECT doc_id, page, seg, min(root) AS tab FROM r GROUP BY 1, 2, 3),
 v AS (SELECT c.*, horizontal, CASE WHEN horizontal THEN y0 ELSE x0 END AS v FROM c JOIN s USING (doc_id, page, seg)), g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY doc_id, page, tab, horizontal ORDER BY v) > 2 THEN 1 ELSE 0 END AS gap FROM v), u AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, tab, horizontal ORDER BY v ROWS UNBOUNDED PRECEDING) AS run FROM g),
 k AS (SELECT doc_id, page, tab, horizontal, run, avg(v) AS v, count(*) AS k FROM u GROUP BY 1, 2, 3, 4, 5), t AS (SELECT doc_id, page, tab, min(v) FILTER (NOT horizontal) AS x0, max(v) FILTER (NOT horizontal) AS x1, min(v) FILTER (horizontal) AS y0, max(v) FILTER (horizontal) AS y1, count(*) FILTER (horizontal) AS ys, count(*) FILTER (NOT horizontal) AS xs, sum(k) FILTER (horizontal) AS hs, sum(k) FILTER (NOT horizontal) AS vs FROM k GROUP BY 1, 2, 3)
-SELECT doc_id, page, tab, x0, x1, y0, y1, CAST(ys - 1 AS INTEGER) AS n_rows, CAST(xs - 1 AS INTEGER) AS n_cols FROM t WHERE hs >= 2 AND vs >= 2 AND xs >= 2 AND ys >= 2 AND x1 - x0 >= 20 AND y1 - y0 >= 8""")
+SELECT doc_id, page, tab, x0, x1, y0, y1, CAST(ys - 1 AS INTEGER) AS n_rows, CAST(xs - 1 AS INTEGER) AS n_cols FROM t WHERE hs >= 2 AND vs >= 2 AND xs >= 2 AND ys >= 2 AND x1 - x0 >= 20 AND y1 - y0 >= 8"""
+
+
+@query(_RULED)
 def ruled_tables(spark, d):
     s = rows(spark, d, "segments")
     return pages.ruled_tables(layout.segment_components(spark, s), s)
 
 
+# What lies in the orders' grids: slanting lines, coloured and grey fills, texts about as long as a grid without words allows.
+_IN_GRIDS = {
+    "paths": "doc_id, 1 AS page, 72e0 AS x0, CASE WHEN doc_id % 8 = 4 THEN -300e0 ELSE 91e0 END AS y0, 500e0 AS x1, CASE WHEN doc_id % 8 = 4 THEN -100e0 ELSE 89e0 + 20e0 * k END AS y1, false AS curved, doc_id % 4 = 0 AS diagonal",
+    "fills": "doc_id, 1 AS page, 80e0 + 30e0 * i AS x0, 100e0 + 30e0 * i AS x1, 90e0 AS top, 95e0 AS bottom, CASE WHEN i = 2 AND doc_id % 8 = 5 THEN '808284' WHEN i = 1 THEN '00Ff00' ELSE 'c01020' END AS color",
+    "spans": "doc_id, 1 AS page, concat(repeat('a ', CAST(4 * k AS INTEGER)), CASE WHEN doc_id % 2 = 1 THEN 'b' ELSE ' ' END) AS text, 100e0 AS x0, 300e0 AS x1, 92e0 AS top, 102e0 AS bottom",
+}
+
+
+@query("WITH t AS (SELECT * FROM (" + _RULED.replace("{segments}", DERIVED["segments"][1]) + f""")), o AS (SELECT l_orderkey AS doc_id, CAST(count(*) AS INTEGER) AS k FROM lineitem GROUP BY 1), p AS (SELECT {_IN_GRIDS['paths']} FROM o WHERE doc_id % 4 = 0), f AS (SELECT {_IN_GRIDS['fills']} FROM (SELECT *, unnest([0, 1, 2]) AS i FROM o WHERE doc_id % 4 = 1)), s AS (SELECT {_IN_GRIDS['spans']} FROM o WHERE doc_id % 3 = 0),
+a AS (SELECT DISTINCT t.doc_id, t.tab FROM t JOIN p ON p.doc_id = t.doc_id AND p.y0 >= t.y0 - 4 AND p.y1 <= t.y1 + 4 AND p.x0 >= t.x0 - 4 AND p.x1 <= t.x1 + 4 AND greatest(p.x1 - p.x0, p.y1 - p.y0) > 0.15 * least(t.x1 - t.x0, t.y1 - t.y0)
+  UNION SELECT t.doc_id, t.tab FROM t JOIN f ON f.doc_id = t.doc_id AND f.color <> '808284' AND f.x0 >= t.x0 - 4 AND f.x1 <= t.x1 + 4 AND f.top >= t.y0 - 4 AND f.bottom <= t.y1 + 4 GROUP BY 1, 2 HAVING count(*) >= 3),
+c AS (SELECT t.doc_id, t.tab, sum(length(replace(s.text, ' ', ''))) AS n FROM t JOIN s ON s.doc_id = t.doc_id AND 200 > t.x0 AND 200 < t.x1 AND 97 > t.y0 AND 97 < t.y1 GROUP BY 1, 2)
+SELECT t.* FROM t LEFT JOIN a ON a.doc_id = t.doc_id AND a.tab = t.tab LEFT JOIN c ON c.doc_id = t.doc_id AND c.tab = t.tab WHERE a.doc_id IS NULL OR coalesce(c.n, 0) > greatest(6, 2 * t.n_rows * t.n_cols)""", corpus=False)
+def tables_without_charts(spark, d):
+    """Ruled tables of the orders' grids, without those that hold a drawing and hardly any text."""
+    s = rows(spark, Corpus(d), "segments")
+    tables = pages.ruled_tables(layout.segment_components(spark, s), s)
+    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("k"))
+    put = lambda name, df: spark.sql(f"SELECT {_IN_GRIDS[name]} FROM {{o}}", o=df)
+    return charts.without_chart_grids(tables, put("paths", o.filter("doc_id % 4 = 0")), put("fills", o.filter("doc_id % 4 = 1").withColumn("i", F.explode(F.array(*map(F.lit, (0, 1, 2)))))), put("spans", o.filter("doc_id % 3 = 0")))
+
+
 def _grid(spark, d):
     w = Window.partitionBy("doc_id", "page")
     return rows(spark, d, "cells").withColumn("r", F.dense_rank().over(w.orderBy("y0"))).withColumn("c", F.dense_rank().over(w.orderBy("x0")))

@@ -91,3 +91,18 @@ def test_letter_spaced_spans(spark):
     assert words == {(1, 100, "ART"): (72.0, 93.0), (1, 104, "ICLE"): (104.0, 133.0), (1, 450, "sub"): (85.0, 88.0), (1, 600, "whole word"): (72.0, 150.0), (2, 700, "PAGE"): (72.0, 101.0)}
     assert len(got) == len(rows) - len("ARTICLE") - len("PAGE") + 3
     assert spacing.merged_letters(df.limit(0)).count() == 0
+
+
+def test_grids_of_charts(spark):
+    from quire.operators import charts
+
+    tables = spark.createDataFrame([(1, 1, k, 0.0, 100.0, 200.0 * k, 200.0 * k + 100, 2, 2) for k in range(8)] + [(2, 1, 0, 0.0, 100.0, 0.0, 100.0, 2, 2)], "doc_id long, page int, tab int, x0 double, x1 double, y0 double, y1 double, n_rows int, n_cols int")
+    path = lambda k, x0=10.0, x1=90.0, a=10.0, b=90.0, curved=True: (1, 1, x0, 200.0 * k + a, x1, 200.0 * k + b, curved, False)
+    paths = [path(0), path(1, x1=110.0), path(2, x1=180.0), path(3, 10.0, 20.0, 10.0, 20.0), path(4, curved=False), path(5)]
+    fills = [(1, 1, 10.0, 20.0, 1210.0, 1220.0, c) for c in ("ff0000", "00ff00", "0000ff")] + [(1, 1, 10.0, 20.0, 1410.0, 1420.0, c) for c in ("ff0000", "00ff00", "808080", "red", None)]
+    spans = [(1, 1, "a b c d e f g h i", 10.0, 90.0, 1040.0, 1060.0), (1, 1, "few words", 10.0, 90.0, 40.0, 60.0), (1, 1, None, 10.0, 90.0, 40.0, 60.0), (1, 1, "a label outside of the grid", 0.0, 100.0, 110.0, 120.0)]
+    made = [spark.createDataFrame(r, s) for r, s in ((paths, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, curved boolean, diagonal boolean"), (fills, "doc_id long, page int, x0 double, x1 double, top double, bottom double, color string"), (spans, "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double"))]
+    got = {(r.doc_id, r.tab) for r in charts.without_chart_grids(tables, *made).collect()}
+    # 0 a curve and eight letters; 1 mostly inside; 2 mostly outside; 3 small; 4 straight; 5 nine letters; 6 three colours; 7 two colours
+    assert got == {(1, 2), (1, 3), (1, 4), (1, 5), (1, 7), (2, 0)}
+    assert charts.without_chart_grids(tables, *(m.limit(0) for m in made)).count() == 9 and charts.without_chart_grids(tables.limit(0), *made).count() == 0
