@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: The formats; below, dollars per million tokens by model (cache hit, cache miss, output), doubled in peak hours.
 FORMATS = ("docx", "markdown", "html", "pdf")
+#: What stands for the result of a call that was broken off, and for a folded result (around its length and its first line).
+INTERRUPTED = "（该工具调用被中断，未执行）"
+FOLDED = ("[旧的工具输出已折叠以节省上下文（原 ", " 字，开头：", "）。如需其中内容，请重新调用相应工具读取。]")
 #: The built-in commands.
 COMMANDS = "help mode track author undo history rewind verify export convert think cost context compact clear todos skills agents memory remember doctor review".split()
 MODES = "default acceptEdits plan bypassPermissions".split()
@@ -63,7 +66,7 @@ def paired_messages(messages: DataFrame) -> DataFrame:
     calls = m.filter("role = 'assistant' AND call_ids IS NOT NULL").select("session", "turn", F.posexplode(F.split("call_ids", ",")).alias("pos", "id"))
     results = m.filter("role = 'tool'").groupBy("session", "turn", F.col("tool_call_id").alias("id")).agg(F.min(F.struct("idx", "content")).alias("r"))
     got = calls.join(results, ["session", "turn", "id"], "left")
-    tools = got.select("session", "turn", F.when(F.col("r").isNull(), 2).otherwise(1).alias("part"), F.coalesce(F.col("r.idx"), F.col("pos")).alias("at"), F.lit("tool").alias("role"), F.coalesce("r.content", F.lit("（该工具调用被中断，未执行）")).alias("content"), F.col("id").alias("tool_call_id"))
+    tools = got.select("session", "turn", F.when(F.col("r").isNull(), 2).otherwise(1).alias("part"), F.coalesce(F.col("r.idx"), F.col("pos")).alias("at"), F.lit("tool").alias("role"), F.coalesce("r.content", F.lit(INTERRUPTED)).alias("content"), F.col("id").alias("tool_call_id"))
     others = m.filter("role <> 'tool'").select("session", "turn", F.lit(0).alias("part"), F.col("idx").alias("at"), "role", F.coalesce("content", F.lit("")).alias("content"), F.lit(None).cast("string").alias("tool_call_id"))
     order = Window.partitionBy("session").orderBy("turn", "part", "at")
     return others.unionByName(tools).select("session", F.row_number().over(order).alias("pos"), "role", "content", "tool_call_id")
@@ -72,9 +75,9 @@ def paired_messages(messages: DataFrame) -> DataFrame:
 def folded_results(history: DataFrame, keep: int = 6, least: int = 1500) -> DataFrame:
     """All but the newest ``keep`` tool results of a session, where long and not folded yet, become one line."""
     w = Window.partitionBy("session", F.col("role") == "tool").orderBy(F.col("idx").desc())
-    old = (F.col("role") == "tool") & (F.row_number().over(w) > keep) & (F.length("content") >= least) & ~F.startswith("content", F.lit("[旧的工具输出已折叠"))
+    old = (F.col("role") == "tool") & (F.row_number().over(w) > keep) & (F.length("content") >= least) & ~F.startswith("content", F.lit(FOLDED[0][:10]))
     first = F.left(F.split_part(F.col("content"), F.lit("\n"), F.lit(1)), F.lit(120))
-    line = F.concat(F.lit("[旧的工具输出已折叠以节省上下文（原 "), F.length("content"), F.lit(" 字，开头："), first, F.lit("）。如需其中内容，请重新调用相应工具读取。]"))
+    line = F.concat(F.lit(FOLDED[0]), F.length("content"), F.lit(FOLDED[1]), first, F.lit(FOLDED[2]))
     return history.select("session", "idx", "role", old.alias("folded"), F.when(old, line).otherwise(F.col("content")).alias("content"))
 
 

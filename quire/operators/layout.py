@@ -313,7 +313,7 @@ def char_spacing(samples: DataFrame, key: str, extra: str, least: float = 0.03)
     return upper_median(samples, key, extra).join(n, key).filter(F.abs("median") >= least).select(key, F.round(F.floor(F.col("median") * 20 + 0.5) / 20, 2).alias("spacing"), "n")
 
 
-#: How families begin, and what they are replaced by.
+#: Fixed values, a part of a longer list that must match, in its order: how families begin, and what they are replaced by.
 FAMILIES = {"times|tmsrm|nimbusrom|ptmr|tirom": "Times New Roman", "helvetica|helv|arial|phvr|formata|frutiger|univers|myriad|futura": "Arial", "minion|giovanni|utopia|charter|caslon|sabon": "Times New Roman", "courier|mono|lucidatypewriter|inconsolata|menlo": "Courier New"}
 
 
