@@ -212,3 +212,33 @@ def test_op13_against_lists_of_units(spark):
 @given(st.text("ab é\n<PSM>", max_size=30), st.integers(0, 10**6))
 def test_op13_ranks(text, i):
     assert op13.transformed(i, text) == plain_middle(i, text)
+
+
+# --- repeated rows and long texts of the scoring and counting operators ----------------------------------------------------------------
+
+
+def test_scores_and_counts_of_repeated_rows_and_long_texts(spark):
+    """A row that comes again gets the same answer, and a text of a million characters one of its own; neither changes the others' answers once a model is fitted."""
+    from test_llm_operators import labelled, prose
+
+    from quire.llm import op4_toxicity as op4
+    from quire.llm import op8_quality as op8
+    from quire.llm import op10_wordpiece as op10
+
+    texts, labels = labelled(spark, 120)
+    docs = make(spark, list(enumerate(texts)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    r = random.Random(41)
+    long = prose(r, 170_000)
+    more = make(spark, [*enumerate(texts), (3, texts[3]), (3, texts[3]), (3, texts[4]), (None, texts[3]), (900, long), (900, long), (901, None)])
+    model, net, pieces = op4.fit(docs, lab), op8.fit(docs, lab), op10.vocabulary()
+    for answer in (lambda d: op4.score(d, *model), lambda d: op8.score(d, net), lambda d: op10.count_tokens(d, pieces)):
+        once, again = answer(docs).collect(), answer(more).collect()
+        plain = lambda x: tuple(round(v, 9) if isinstance(v, float) else v for v in x[1:])
+        known = {x.doc_id: plain(x) for x in once}
+        by = collections.defaultdict(list)
+        for x in again:
+            by[x.doc_id].append(plain(x))
+        assert len(again) == len(texts) + 7 and all(by[i] == [known[i]] for i in range(len(texts)) if i != 3)
+        assert len(by[3]) == 4 and by[3].count(known[3]) == 3
+        assert len(by[900]) == 2 and by[900][0] == by[900][1] and len(by[None]) == len(by[901]) == 1
