@@ -7,7 +7,7 @@ split of the transition counts, so tokens of one language and role share a branc
 
 Attention is trained in numpy where the data lies: in each of ROUNDS rounds every task takes windows of each of its training documents, a new share of them
 each round so that the rounds together meet every window once (a text's last one, with its end, is padded), runs Adam from the common parameters, and the tasks' parameters are averaged, weighted by tokens. So counts and training follow the input.
-Each task meets its rows in the order they lie in, so the parameters, and in their last digits the scores, depend on how the input is partitioned.
+Each task meets its rows in the order they lie in, so the parameters, and by some parts in a thousand the scores, depend on how the input is partitioned.
 
 Scoring covers each text by windows of WINDOW ids that overlap by WINDOW - STRIDE; a window scores the ids that the one before did not, so each is scored once,
 with masked attention over batches of windows.
