@@ -16,6 +16,7 @@ HEADING_NUMBER = r"^(第[一二三四五六七八九十百\d]+[章节部分篇]|
 RELATION = r"[=≈≃≅≡≠≤≥≪≫∈∉⊂⊆←→↦∝]|:="
 EQUATION_NUMBER = r"\(\s*\d{1,3}[a-z]?\s*\)\s*$"
 CAPTION = r"^(?i:((fig\.?|figure|table)\s*[\dIVXLC]+[a-z]?\s*[:.．：]|TABLE\s+[IVXLC\d]+\b|[图表]\s*\d+))"
+TABLE_HEAD = r"^(?i:(table|tab\.)\s*[\dIVXLC]+\b|表\s*\d)"
 #: Spacing accents and the combining ones that they become.
 ACCENTS, COMBINING = "ˆ^˜~¯˙¨´`ˇ→⃗", "̂̂̃̃̄̇̈́̀̌⃗⃗"
 PAGE = ["doc_id", "page"]
@@ -280,6 +281,31 @@ def cell_grid(cells: DataFrame, borders: DataFrame) -> DataFrame:
     return runs.groupBy(*PAGE, "c0", "c1", "run").agg(F.min("r").alias("r"), F.count(F.lit(1)).cast("int").alias("row_span")).select(*PAGE, "r", F.col("c0").alias("c"), "row_span", (F.col("c1") - F.col("c0") + 1).alias("col_span"))
 
 
+def _parted(rules: list[dict], spans: list[dict]) -> list[list[dict]]:
+    """Rules of one extent, parted where a caption of a table or a line of prose (over 60 % of the width, six words at least, no gap as between columns) stands between two."""
+    import re
+
+    out = [rules[:1]]
+    for a, b in zip(rules, rules[1:], strict=False):
+        x0, x1 = min(a["x0"], b["x0"]), max(a["x1"], b["x1"])
+        between = [s for s in spans if s["text"].strip() and a["top"] < (s["top"] + s["bottom"]) / 2 < b["top"] and s["x1"] > x0 - 2 and s["x0"] < x1 + 2]
+        lines: dict[int, list[dict]] = {}
+        for s, (_, line) in zip(sorted(between, key=lambda s: s["elem"]), sorted(_assemble(between)), strict=True):
+            lines.setdefault(line, []).append(s)
+        ends = False
+        for line in lines.values():
+            line.sort(key=lambda s: s["x0"])
+            text = " ".join(s["text"] for s in line).strip()
+            gap = max((q["x0"] - p["x1"] for p, q in zip(line, line[1:], strict=False)), default=0)
+            prose = line[-1]["x1"] - line[0]["x0"] > 0.6 * (x1 - x0) and gap < max(4, 0.6 * max(s["size"] for s in line)) and len(text.split()) >= 6
+            ends |= prose or bool(re.match(TABLE_HEAD, text))
+        if ends:
+            out.append([b])
+        else:
+            out[-1].append(b)
+    return out
+
+
 def _booktabs(rows: list[dict]) -> list[tuple]:
     """(table, row, column, text) of one page's tables with horizontal rules only."""
     rules = sorted((r for r in rows if r["rule"] and r["x1"] - r["x0"] >= 60), key=lambda r: r["top"])
@@ -289,7 +315,7 @@ def _booktabs(rows: list[dict]) -> list[tuple]:
         g = next((g for g in groups if abs(g[0]["x0"] - r["x0"]) <= 3 and abs(g[0]["x1"] - r["x1"]) <= 3), None)
         groups.append([r]) if g is None else g.append(r)
     out, n = [], 0
-    for g in groups:
+    for g in (part for group in groups for part in _parted(group, spans)):
         x0, x1, y0, y1 = g[0]["x0"], g[0]["x1"], g[0]["top"], g[-1]["top"]
         inside = [s for s in spans if x0 - 2 < (s["x0"] + s["x1"]) / 2 < x1 + 2 and y0 < (s["top"] + s["bottom"]) / 2 < y1]
         if len(g) < 2 or y1 - y0 < 10 or len(inside) < 4:
@@ -317,9 +343,10 @@ def _booktabs(rows: list[dict]) -> list[tuple]:
 
 
 def booktabs(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    """Cells of tables that have horizontal rules of one extent and no vertical ones: columns by the gaps between texts, rows by texts in the first column."""
-    text = spans.select(*PAGE, F.lit(False).alias("rule"), "text", "x0", "x1", "top", "bottom")
-    rules = merged_rules(segments).filter("horizontal").select(*PAGE, F.lit(True).alias("rule"), F.lit("").alias("text"), F.col("a").alias("x0"), F.col("b").alias("x1"), F.col("at").alias("top"), F.col("at").alias("bottom"))
+    """Cells of tables that have horizontal rules of one extent and no vertical ones: columns by the gaps between texts, rows by texts in the first column. Rules
+    of one extent with a caption or prose between them belong to different tables."""
+    text = spans.select(*PAGE, F.lit(False).alias("rule"), F.col("elem").cast("long").alias("elem"), (F.col("size") if "size" in spans.columns else F.col("bottom") - F.col("top")).alias("size"), F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", "top", "bottom")
+    rules = merged_rules(segments).filter("horizontal").select(*PAGE, F.lit(True).alias("rule"), F.lit(-1).cast("long").alias("elem"), F.lit(0.0).alias("size"), F.lit("").alias("text"), F.col("a").alias("x0"), F.col("b").alias("x1"), F.col("at").alias("top"), F.col("at").alias("bottom"))
     with_rules = text.join(rules.select(*PAGE).distinct(), PAGE, "left_semi")
     return _by_page(with_rules.unionByName(rules), _booktabs, "tab int, r int, c int, text string")
 
@@ -337,8 +364,8 @@ def decorations(spans: DataFrame, segments: DataFrame) -> DataFrame:
     return met.withColumn("out", out).withColumn("most", F.max("size").over(w)).filter("out <= greatest(2.0D, 0.6D * most)").select(*PAGE, "elem", "kind").distinct()
 
 
-def _figures(boxes: list[dict], gap: float = 6.0) -> list[tuple]:
-    """(figure, x0, y0, x1, y1, paths) of one page: boxes within ``gap`` grow together until nothing changes; curves, colours or annotated images make a figure."""
+def clusters(boxes: list[dict], gap: float = 6.0) -> list[tuple[list[float], list[dict]]]:
+    """Boxes of one page that grow together while any two are within ``gap``: the box around, and those in it."""
     groups = [([b["x0"], b["y0"], b["x1"], b["y1"]], [b]) for b in sorted(boxes, key=lambda b: (b["y0"], b["x0"]))]
     changed = True
     while changed:
@@ -352,14 +379,21 @@ def _figures(boxes: list[dict], gap: float = 6.0) -> list[tuple]:
                 hit[1].extend(held)
                 changed = True
         groups = out
-    found = []
-    for box, held in groups:
-        w, h = box[2] - box[0], box[3] - box[1]
-        curvy, coloured, images = (sum(b[k] for b in held) for k in ("curvy", "coloured", "image"))
-        paths = len(held) - images
-        if w >= 24 and h >= 14 and w * h <= 0.85 * held[0]["area"] and (curvy >= 2 or curvy and paths >= 3 or coloured >= 2 or images and paths >= 3):
-            found.append((len(found) + 1, *box, paths))
-    return found
+    return groups
+
+
+def is_figure(box, held: list[dict]) -> bool:
+    """Curves, colours or annotated images make a figure of boxes that stand together."""
+    w, h = box[2] - box[0], box[3] - box[1]
+    curvy, coloured, images = (sum(b[k] for b in held) for k in ("curvy", "coloured", "image"))
+    paths = len(held) - images
+    return w >= 24 and h >= 14 and w * h <= 0.85 * held[0]["area"] and bool(curvy >= 2 or curvy and paths >= 3 or coloured >= 2 or images and paths >= 3)
+
+
+def _figures(boxes: list[dict]) -> list[tuple]:
+    """(figure, x0, y0, x1, y1, paths) of one page."""
+    found = [(box, held) for box, held in clusters(boxes) if is_figure(box, held)]
+    return [(k, *box, sum(not b["image"] for b in held)) for k, (box, held) in enumerate(found, 1)]
 
 
 def figures(boxes: DataFrame) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import beside, blocks, charts, compare, control, edits, html_edits, layout, markup, pages, search, spacing
+from quire.operators import beside, blocks, charts, compare, control, edits, figures, fractions, html_edits, layout, markup, pages, search, spacing, tabs
 from quire.plans.tables import table
 from quire.sources.derived import STYLES, TABLES as DERIVED, Corpus, derived
 from quire.sources.fixtures import TABLES as INLINE, fixture, values_sql
 from quire.sources import documents as sources
 from quire.sources.html import with_html_blocks
 from quire.sources.shared import shared_path
-from quire.streaming import costs
+from quire.streaming import costs, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1261,4 +1261,141 @@ def letter_spaced_spans(spark, d):
     return spacing.merged_letters(s).select("doc_id", "page", "elem", "text", "x0", "x1")
 
 
+# Pictures of the orders' lines, three in a row: close together, in columns far apart, with captions between rows, with texts in them.
+_PICTURES = """SELECT l_orderkey AS doc_id, 1 AS page, CAST(i AS INTEGER) AS image, 60e0 + CASE WHEN l_orderkey % 4 = 1 THEN 200e0 ELSE 130e0 END * (i % 3) AS x0, 100e0 + 100e0 * floor(i / 3) AS y0,
+60e0 + CASE WHEN l_orderkey % 4 = 1 THEN 200e0 * (i % 3) + 60e0 ELSE 130e0 * (i % 3) + 110e0 END AS x1, 180e0 + 100e0 * floor(i / 3) AS y1, CAST(q AS INTEGER) AS q
+FROM (SELECT l_orderkey, min(l_quantity) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM {t} GROUP BY l_orderkey, l_linenumber)"""
+_PICTURE_TEXTS = """SELECT doc_id, page, 3 * image AS elem, concat('(', image, ')') AS text, x0 + 40 AS x0, x0 + 52 AS x1, y1 + 2 AS top, y1 + 10 AS bottom, 8e0 AS size FROM {i}
+UNION ALL SELECT doc_id, page, 3 * image + 1, concat(repeat('x', q), '!!!!'), x0 + 2, x1 - 2, y0 + 30, y0 + 40, 1e1 FROM {i} WHERE doc_id % 4 = 3
+UNION ALL SELECT doc_id, page, 3 * image + 2, 'Fig. 2 of the order', 60e0, 400e0, y1 + 11, y1 + 19, 8e0 FROM {i} WHERE doc_id % 4 = 2 AND image % 3 = 0"""
+_PAGE_SIZE = "612e0 AS width, 792e0 AS height, 1e1 AS body"
+
+
+@query("WITH i AS (" + _PICTURES.replace("{t}", "lineitem") + "), s AS (" + _PICTURE_TEXTS.replace("{i}", "i") + """), g AS (SELECT *, CAST(CASE doc_id % 4 WHEN 1 THEN image % 3 WHEN 2 THEN floor(image / 3) ELSE 0 END AS INTEGER) AS g FROM i),
+b AS (SELECT doc_id, page, g, min(x0) - 1 AS x0, min(y0) - 1 AS y0, max(x1) + 1 AS x1, max(y1) + 11 AS y1, CAST(count(*) AS INTEGER) AS images, CASE WHEN doc_id % 4 = 3 THEN sum(q + 4) ELSE 0 END AS others FROM g GROUP BY 1, 2, 3),
+m AS (SELECT g.doc_id, g.g, string_agg(s.text, ' ' ORDER BY s.elem) AS text FROM g JOIN s ON s.doc_id = g.doc_id AND s.elem // 3 = g.image AND s.elem % 3 < 2 GROUP BY 1, 2)
+SELECT b.doc_id, page, CAST(b.g + 1 AS INTEGER) AS grid, x0, y0, x1, y1, images, images AS marks, text FROM b JOIN m ON m.doc_id = b.doc_id AND m.g = b.g WHERE images >= 2 AND others <= 80""")
+def image_grids(spark, d):
+    """Pictures in rows and columns become one figure, with their marks."""
+    i = spark.sql(_PICTURES, t=table(spark, d, "lineitem"))
+    return figures.image_grids(i, spark.sql(_PICTURE_TEXTS, i=i), spark.sql(f"SELECT DISTINCT doc_id, page, {_PAGE_SIZE} FROM {{i}}", i=i))
+
+
+# Drawings of the orders: turned titles, panels side by side, lone shapes, tables under them, texts in them and over their edge, by the remainder of the order's number.
+_DRAWN = "SELECT l_orderkey AS doc_id, 1 AS page, CAST(sum(l_quantity) AS INTEGER) AS q, min(l_partkey) AS p FROM {t} GROUP BY l_orderkey"
+_AT = "CAST({} AS DOUBLE) AS x0, CAST({} AS DOUBLE) AS y0, CAST({} AS DOUBLE) AS x1, CAST({} AS DOUBLE) AS y1"
+_LINE = "CAST({} AS DOUBLE) AS x0, CAST({} AS DOUBLE) AS x1, CAST({} AS DOUBLE) AS top, CAST({} AS DOUBLE) AS bottom, CAST({} AS DOUBLE) AS size"
+_SHAPES = " UNION ALL ".join(
+    f"SELECT doc_id, page, {k} AS path, {_AT.format(*at)}, 1 AS curvy, 0 AS coloured FROM {{o}} WHERE {where}"
+    for k, (at, where) in enumerate((((100, 100, 160, 140), "true"), ((163, 100, 220, 140), "true"), ((260, 101, 320, 141), "doc_id % 6 = 1"), ((323, 101, 380, 141), "doc_id % 6 = 1"), ((240, 110, 260, 130), "doc_id % 6 = 2")))
+)
+_SHAPE_TEXTS = " UNION ALL ".join(
+    f"SELECT doc_id, page, {k} AS elem, {text} AS text, {_LINE.format(*at)} FROM {{o}} WHERE {where}"
+    for k, (text, at, where) in enumerate((
+        ("concat('p', p)", (100, 130, 143, 151, 8), "true"), ("concat('q', q)", (100, 130, 156, 164, 8), "true"), ("'too far'", (100, 130, 172, 180, 8), "true"), ("'between the panels'", (230, 250, 115, 125, 10), "doc_id % 12 = 7"),
+        ("'and'", (224, 236, 115, 125, 10), "doc_id % 12 = 8"), ("repeat('y', q)", (105, 215, 110, 120, 10), "doc_id % 6 = 4"), ("'across the edge'", (200, "280 + 40 * (doc_id % 12 - 5) / 6", 115, 125, 10), "doc_id % 6 = 5"),
+    ))
+)
+
+
+@query("WITH o AS (" + _DRAWN.replace("{t}", "lineitem") + """), f AS (SELECT *, doc_id % 6 AS k, doc_id % 12 AS m, 1 AS figure FROM o UNION ALL SELECT *, doc_id % 6, doc_id % 12, 2 FROM o WHERE doc_id % 12 = 7)
+SELECT doc_id, page, CAST(figure AS INTEGER) AS figure, CAST(CASE WHEN figure = 2 THEN 259 WHEN k = 0 THEN 87 ELSE 99 END AS DOUBLE) AS x0, CAST(CASE figure WHEN 1 THEN 99 ELSE 100 END AS DOUBLE) AS y0, CAST(CASE WHEN m = 1 OR figure = 2 THEN 381 WHEN m = 2 THEN 261 ELSE 221 END AS DOUBLE) AS x1,
+CAST(CASE figure WHEN 1 THEN 165 ELSE 142 END AS DOUBLE) AS y1, CAST(CASE WHEN figure = 2 THEN 0 WHEN k = 4 THEN 3 ELSE 2 END AS INTEGER) AS labels, CASE WHEN figure = 2 THEN '' ELSE concat('p', p, ' q', q, CASE WHEN k = 4 THEN concat(' ', repeat('y', q)) ELSE '' END) END AS text FROM f WHERE k <> 3 AND NOT (k = 4 AND q > 160) AND m <> 5""")
+def labelled_figures(spark, d):
+    """Drawings with their panels, lone shapes, labels and turned titles."""
+    o = spark.sql(_DRAWN, t=table(spark, d, "lineitem"))
+    put = lambda sql: spark.sql(sql, o=o)
+    none = put("SELECT doc_id, page, 1 AS image, 0e0 AS x0, 0e0 AS y0, 1e0 AS x1, 1e0 AS y1 FROM {o} WHERE false")
+    tables = put(f"SELECT doc_id, page, 1 AS tab, {_AT.format(90, 90, 230, 150)} FROM {{o}} WHERE doc_id % 6 = 3")
+    turned = put(f"SELECT doc_id, page, 90 AS elem, {_AT.format(88, 100, 95, 140)}, 1e1 AS size FROM {{o}} WHERE doc_id % 6 = 0")
+    return figures.labelled_figures(put(_SHAPES), none, put(_SHAPE_TEXTS), put(f"SELECT doc_id, page, {_PAGE_SIZE} FROM {{o}}"), tables, turned)
+
+
+_STORED = "user_id AS session, event_id AS edit_id, ts AS at, event_type AS label, CASE WHEN event_id % 2 = 0 THEN 'md' ELSE 'html' END AS format"
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, event_id % 3 AS a, concat(event_type, ' ', event_id) AS body FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, ts, event_id) - 1 AS n, count(*) FILTER (a < 2) OVER (PARTITION BY user_id) AS before FROM e),
+v AS (SELECT user_id AS session, n + CASE WHEN a = 2 AND user_id % 3 = 0 AND before >= 2 THEN 1 ELSE 0 END AS v, event_type AS label, CASE WHEN event_id % 2 = 0 THEN 'md' ELSE 'html' END AS format, body FROM n
+UNION ALL SELECT user_id, before, '回滚到 v0', CASE WHEN event_id % 2 = 0 THEN 'md' ELSE 'html' END, body FROM n WHERE n = 0 AND user_id % 3 = 0 AND before >= 2)
+SELECT session, CAST(v AS INTEGER) AS v, label, format, sha256(body) AS digest, v = max(v) OVER (PARTITION BY session) AS is_current FROM v""")
+def session_store(spark, d):
+    """Edits come in three arrivals, some of the first again with the second; before the third, every third session returns to its original. The request for that comes twice."""
+    e = spark.sql(f"SELECT {_STORED}, CAST(concat(event_type, ' ', event_id) AS BINARY) AS content, event_id % 3 AS a FROM {{t}}", t=table(spark, d, "events"))
+    source, store, checkpoint = (shared_path(spark, n) for n in ("edits", "store", "store-state"))
+    for k in range(3):
+        e.filter((F.col("a") == k) | (F.lit(k == 1) & (F.col("a") == 0) & (F.col("edit_id") % 5 == 0))).drop("a").write.mode("append").parquet(source)
+        sessions.ingest(spark, source, e.drop("a").schema, store, checkpoint)
+        for _ in range(2 if k == 1 else 0):
+            sessions.roll_back(spark, store, sessions.heads(spark, store).filter("session % 3 = 0").select("session", F.lit(0).alias("to")), "originals")
+    last = sessions.heads(spark, store).select("session", F.col("v").alias("last"))
+    return sessions.history(spark, store).join(last, "session").select("session", "v", "label", "format", F.sha2("content", 256).alias("digest"), (F.col("v") == F.col("last")).alias("is_current"))
+
+
+# Rows of the orders' lines as two tables of one extent: a caption between them, a line of prose, or nothing, which makes them one.
+_ROWS = "SELECT l_orderkey AS doc_id, 1 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS i, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS k, p, CAST(q AS INTEGER) AS q FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_quantity) AS q FROM {t} GROUP BY l_orderkey, l_linenumber)"
+_TWICE = " UNION ALL ".join(
+    f"SELECT doc_id, page, {e} + 2 * i AS elem, concat('{c}', {v}) AS text, {_LINE.format(x0, x1, f'{y} + 12 * i', f'{y + 10} + 12 * i', 10)} FROM {{r}}" for e, c, v, x0, x1, y in ((0, "a", "p", 74, 120, 101), (1, "b", "q", 300, 350, 101), (1000, "c", "p", 74, 120, 401), (1001, "d", "q", 300, 350, 401))
+) + f" UNION ALL SELECT doc_id, page, 900, CASE doc_id % 3 WHEN 0 THEN 'Table 2' ELSE 'the second of the tables of this order' END, {_LINE.format(74, '120 + 300 * (doc_id % 3)', 380, 390, 10)} FROM {{r}} WHERE i = 0 AND doc_id % 3 < 2"
+_RULES = " UNION ALL ".join(f"SELECT doc_id, page, {n} AS seg, {_AT.format(72, y, 540, y)}, true AS horizontal FROM {{r}} WHERE i = 0" for n, y in enumerate(("99", "112 + 12 * (k - 1)", "399", "412 + 12 * (k - 1)")))
+
+
+@query("WITH r AS (" + _ROWS.replace("{t}", "lineitem") + """), c AS (SELECT *, unnest([1, 2]) AS c FROM r), b AS (SELECT *, unnest([0, 1]) AS t FROM c)
+SELECT doc_id, page, CAST(CASE WHEN doc_id % 3 = 2 THEN 1 ELSE t + 1 END AS INTEGER) AS tab, CAST(i + 1 + CASE WHEN doc_id % 3 = 2 THEN k * t ELSE 0 END AS INTEGER) AS r, CAST(c AS INTEGER) AS c, concat(CASE c + 2 * t WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' ELSE 'd' END, CASE c WHEN 1 THEN p ELSE q END) AS text FROM b WHERE k >= 2 OR doc_id % 3 = 2""")
+def parted_booktabs(spark, d):
+    """Tables under rules of one extent, parted at captions and prose."""
+    r = spark.sql(_ROWS, t=table(spark, d, "lineitem"))
+    return pages.booktabs(spark.sql(_TWICE, r=r), spark.sql(_RULES, r=r))
+
+
+# Equations of the orders between two lines of prose: a stacked fraction, its numerator alone, a numbered line, underlined prose.
+def _put(where: str, line: int, elem: int, text: str, x0, x1, base, math: str = "false", italic: str = "false") -> str:
+    return f"SELECT doc_id, page, {line} AS line, {elem} AS elem, {text} AS text, {_LINE.format(x0, x1, f'{base} - 9', f'{base} + 2', 10)}, CAST({base} AS DOUBLE) AS baseline, {math} AS math, {italic} AS italic, 72e0 AS rx0, 540e0 AS rx1 FROM {{o}} WHERE {where}"
+
+
+_FORMULAS = " UNION ALL ".join((
+    _put("true", 1, 1, "'some words of the text before'", 72, 540, "185 + 3 * (doc_id % 5)"), _put("true", 9, 9, "'some words of the text after'", 72, 540, 240),
+    _put("doc_id % 4 < 2", 2, 2, "concat('a + ', p)", 100, "130 + q % 40", 201), _put("doc_id % 4 < 2", 3, 3, "'y'", 72, 78, 208, italic="true"), _put("doc_id % 4 < 2", 3, 4, "'='", 82, 90, 208), _put("doc_id % 4 = 0", 4, 5, "concat('b + ', q)", 100, 150, 215),
+    _put("doc_id % 4 = 2", 2, 2, "concat('f = g + ', p)", 100, "160 + q % 40", 208, math="true"), _put("doc_id % 4 = 2", 2, 3, "'(3)'", 525, 539, 208),
+    _put("doc_id % 4 = 3", 2, 2, "'words with a line'", 100, 150, 201), _put("doc_id % 4 = 3", 4, 5, "'words under the line'", 100, 150, 215),
+))
+_BARS = f"SELECT doc_id, page, {_AT.format(98, 204, 172, 204.5)} FROM {{o}} WHERE doc_id % 4 <> 2"
+
+
+@query("WITH o AS (" + _DRAWN.replace("{t}", "lineitem") + """), e AS (SELECT *, doc_id % 4 = 0 AS fraction, 185 + 3 * (doc_id % 5) AS b FROM o WHERE doc_id % 2 = 0)
+SELECT doc_id, page, CAST(2 AS INTEGER) AS first, CAST(CASE WHEN fraction THEN 4 ELSE 2 END AS INTEGER) AS last, NOT fraction AS numbered, fraction, CAST(CASE WHEN fraction THEN 70.5 ELSE 98.5 END AS DOUBLE) AS x0, CAST(CASE WHEN NOT fraction THEN 540.5 WHEN q % 40 = 39 THEN 173.5 ELSE greatest(150, 130 + q % 40) + 1.5 END AS DOUBLE) AS x1,
+CAST(greatest(CASE WHEN fraction THEN 190.5 ELSE 197.5 END, b + 2.8) AS DOUBLE) AS y0, CAST(CASE WHEN fraction THEN 218.5 ELSE 211.5 END AS DOUBLE) AS y1 FROM e""")
+def stacked_equations(spark, d):
+    """Equations with fraction bars, by columns of pages."""
+    o = spark.sql(_DRAWN, t=table(spark, d, "lineitem"))
+    return fractions.stacked_equations(spark.sql(_FORMULAS, o=o), spark.sql(_BARS, o=o))
+
+
+# Paragraphs of the orders' lines: a label or nothing, a name, a quantity near one place, and a price at the right edge or before it.
+_TABBED = " UNION ALL ".join(
+    f"SELECT doc_id, page, 1 AS para, i AS line, {e} AS elem, {text} AS text, CAST({x0} AS DOUBLE) AS x0, CAST({x1} AS DOUBLE) AS x1, 1e1 AS size, 72e0 AS rx0, 540e0 AS rx1 FROM {{r}} WHERE {where}"
+    for e, text, x0, x1, where in (
+        (0, "concat('(', i + 1, ')')", 72, "86 + 20 * (doc_id % 3)", "doc_id % 2 = 1 AND i = 0"), (1, "concat('part ', p)", "72 + 18 * (doc_id % 2) + 30 * (CASE WHEN i = 0 THEN doc_id % 2 * (doc_id % 3) ELSE 0 END)", 180, "true"),
+        (2, "concat('x', q)", "200 + 0.25 * (i % 3)", 220, "true"), (3, "concat('p', p)", "500 - 10 * (q % 3)", "540 - 20 * (doc_id % 3)", "true"),
+    )
+)
+_TABBED_ROWS = _ROWS.replace("{t}", "lineitem")
+
+
+@query("WITH r AS (" + _TABBED_ROWS + """), p AS (SELECT doc_id, page, count(*) AS lines, CASE WHEN doc_id % 2 = 0 OR count(*) = 1 AND doc_id % 3 = 0 THEN 0 WHEN count(*) = 1 THEN 18 + 30 * (doc_id % 3) ELSE 18 END AS l FROM r GROUP BY doc_id, page)
+SELECT doc_id, page, CAST(1 AS INTEGER) AS para, lines, CAST(l AS DOUBLE) AS "left", CAST(-l AS DOUBLE) AS first_line, l > 0 AS hanging FROM p""")
+def paragraph_indents(spark, d):
+    """Left, first-line and hanging indents."""
+    return tabs.paragraph_indents(spark.sql(_TABBED, r=spark.sql(_ROWS, t=table(spark, d, "lineitem"))))
+
+
+@query("WITH r AS (" + _TABBED_ROWS + """), e AS (SELECT doc_id, page, 128.0 + 0.25 * (i % 3) AS pos, 'left' AS align, 128.0 AS stop FROM r
+UNION ALL SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN 468.0 ELSE 428.0 - 10 * (q % 3) END, CASE WHEN doc_id % 3 = 0 THEN 'right' ELSE 'left' END, CASE WHEN doc_id % 3 = 0 THEN 468.0 ELSE 428.0 - 10 * (q % 3) END FROM r
+UNION ALL SELECT doc_id, page, 18.0 + 30 * (doc_id % 3), 'left', 18.0 + 30 * (doc_id % 3) FROM r WHERE i = 0 AND k > 1 AND doc_id % 2 = 1 AND doc_id % 3 > 0)
+SELECT doc_id, page, CAST(1 AS INTEGER) AS para, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY stop) AS INTEGER) AS stop, CAST(stop AS DOUBLE) AS pos, min(align) AS align, CAST(count(*) AS INTEGER) AS gaps FROM e GROUP BY doc_id, page, e.stop""")
+def tab_stops(spark, d):
+    """Tab stops of paragraphs, those of hanging labels among them."""
+    s = spark.sql(_TABBED, r=spark.sql(_ROWS, t=table(spark, d, "lineitem")))
+    return tabs.tab_stops(s, tabs.paragraph_indents(s))
+
+
 del query
