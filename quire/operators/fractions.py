@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.pages import EQUATION_NUMBER, PAGE, RELATION
+from quire.sources.shared import shared_path
 
 #: Names of operators, which are no prose, and operators drawn large.
 NAMES = ("softmax", "concat", "argmax", "argmin", "sigmoid", "tanh", "relu", "mean", "clamp", "clip", "exp", "log", "max", "min", "sum", "where", "and", "for", "with", "head")
@@ -68,7 +69,8 @@ def stacked_equations(spans: DataFrame, rules: DataFrame) -> DataFrame:
     one if a line is numbered, indented or has a large operator, or a bar has text of the run over and under it; with such a bar weak lines make one too.
 
     ``spans``: doc_id, page, line, elem, text, x0, x1, top, bottom, baseline, size, math, italic (booleans), rx0, rx1 (the column's edges); ``rules``: doc_id, page, x0, y0, x1, y1.
-    Returns doc_id, page, first and last line, numbered, fraction, and the box x0, y0, x1, y1, which ends before the neighbouring lines. Missing texts count as empty.
+    Returns doc_id, page, first and last line, numbered, fraction, and the box x0, y0, x1, y1, which ends before the neighbouring lines. Missing texts count as empty. The signs of
+    all lines are written to the shared folder when the query is set up.
     """
     g = line_signs(spans)
     parts = fraction_parts(g, rules).withColumn("part", F.lit(True))
@@ -76,6 +78,10 @@ def stacked_equations(spans: DataFrame, rules: DataFrame) -> DataFrame:
     w = Window.partitionBy(*REGION).orderBy("top", "x0", "line")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     n = g.join(parts, [*REGION, "line"], "left").withColumns({"cand": cand, "at": F.row_number().over(w)}).withColumn("island", F.sum(F.when(F.col("cand"), 0).otherwise(1)).over(upto))
+    # Signs are written once and read for runs, bars and neighbours, not computed for each.
+    path = shared_path(spans.sparkSession, "equation-lines")
+    n.select(*REGION, "line", "x0", "x1", "top", "bottom", "baseline", "size", "cand", "at", "island", "strong", "weak", "only", "numbered", "indented", "large", "rel", "math").write.parquet(path)
+    n = spans.sparkSession.read.parquet(path)
     v = Window.partitionBy(*REGION, "island").orderBy("top", "x0", "line")
     # Where the gap counts, all earlier runs of the island end above: the greatest bottom before is that of the run.
     c = n.filter("cand").withColumn("deep", F.max("bottom").over(v.rowsBetween(Window.unboundedPreceding, -1)))
