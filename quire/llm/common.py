@@ -235,9 +235,13 @@ def partitions(spark: SparkSession) -> int:
 class HashTable:
     """uint64 keys to float32 values in open addressing, looked up as whole arrays."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        self.bits = max(4, int(2 * max(len(keys), room) + 1).bit_length())
         self.keys, self.values, self.used = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, bool)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """More keys, distinct ones that are not there yet; ``room`` keys at most in all."""
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = left[~self.used[at[left]]]

@@ -13,7 +13,8 @@ Scoring covers each text by windows of WINDOW ids that overlap by WINDOW - STRID
 with masked attention over batches of windows.
 
 The base score needs the training count of every word of every document. Counts are pre-aggregated in each batch. The counts of the most frequent words, COMMON of them at
-most, are broadcast (a histogram of counts gives the least count); only rarer words, of which no single one is hot, are joined with their counts by a shuffle.
+most, are broadcast (a histogram of counts gives the least count); only rarer words, of which no single one is hot, are joined with their counts by a shuffle. One pass over
+the texts looks the frequent words up, writes the hashes of the others and the subword ids.
 
 Defined results: a null text counts as empty; an empty text is one end token; without training documents all counts are 0 and the model is near uniform; repeated
 rows give repeated results; a null doc_id counts as the empty text for the split; other columns are ignored.
@@ -39,7 +40,7 @@ COMMON = 1 << 18
 ROUNDS, BATCH, RATE, SEED = 3, 96, 8e-3, 11
 #: Words that a worker remembers the ids of.
 MEMORY = 600_000
-_BLOCK, _SLICE = 512, 1 << 19
+_BLOCK, _SLICE = 192, 1 << 19
 LOG10 = float(np.log(10.0))
 
 
@@ -69,55 +70,74 @@ class Subwords:
 
     def __init__(self, vocabulary: list[str], memory: int = MEMORY):
         self.ids = {p: END + 1 + i for i, p in enumerate(vocabulary)} | {chr(i): i for i in range(128)}
-        self.reach: dict[str, int] = {}  # of the pieces that begin with the same two characters, the longest
+        sizes: dict[str, set[int]] = {}
         for p in vocabulary:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
+            sizes.setdefault(p[:3], set()).add(len(p))
+        self.sizes = {k: sorted(x, reverse=True) for k, x in sizes.items()}  # of the pieces that begin with the same three characters
         self.limit = memory
         self.forget()
 
-    def forget(self) -> None:
-        self.known, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    def forget(self, room: int = 0) -> None:
+        """Empty the memory, and make room for so many words at least."""
+        room = max(room, self.limit)
+        self.known, self.count = HashTable(np.zeros(0, np.uint64), np.zeros(0, np.float32), room), 0
+        self.number = np.zeros(len(self.known.keys), np.int64)  # of the word in each slot
+        self.first, self.flat = np.zeros(room + 1, np.int64), np.zeros(1 << 16, np.uint16)  # where the ids of each word begin, and the next one's
+
+    def learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        """Remember words by their hashes."""
+        found = [self.word(w.decode("utf-8", "surrogatepass")) for w in words]
+        ends = self.first[self.count] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        if ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(int(ends[-1]) - len(self.flat), len(self.flat)), np.uint16)])
+        self.flat[self.first[self.count] : ends[-1]] = np.fromiter(itertools.chain.from_iterable(found), np.uint16)
+        self.first[self.count + 1 : self.count + 1 + len(h)] = ends
+        self.known.add(h, np.zeros(len(h), np.float32))
+        self.number[self.known.slots(h)] = np.arange(self.count, self.count + len(h))
+        self.count += len(h)
 
     def word(self, w: str) -> list[int]:
-        s, i, out, get, reach = " " + w, 0, [], self.ids.get, self.reach.get
+        s, i, out, get, sizes = " " + w, 0, [], self.ids.get, self.sizes.get
         n = len(s)
         while i < n:
-            for j in range(min(n, i + reach(s[i : i + 2], 1)), i, -1):
-                k = get(s[i:j])
+            for j in sizes(s[i : i + 3], ()):
+                k = get(s[i : i + j]) if i + j <= n else None
                 if k is not None:
-                    out.append(k)
-                    i = j
                     break
             else:
+                j = 2
+                k = get(s[i : i + 2]) if i + 2 <= n else None
+                if k is None:
+                    j, k = 1, get(s[i])
+            if k is None:
                 out += s[i].encode("utf-8", "surrogatepass")
-                i += 1
+            else:
+                out.append(k)
+            i += j
         return out
 
     def texts(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts, one after another, and how many each has (its end included)."""
         low = _FOLD[data]
         start, stop, count = byte_words(low, ends)
-        h = word_hashes(low, start, stop)
-        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
-            self.forget()
-        slot = np.searchsorted(self.known, u)
-        there = slot < len(self.known)
-        there[there] = self.known[slot[there]] == u[there]
-        new = np.flatnonzero(~there)
-        if len(new):
-            raw = low.tobytes()
-            found = [self.word(raw[x:y].decode("utf-8", "surrogatepass")) for x, y in zip(start[at[new]].tolist(), stop[at[new]].tolist(), strict=True)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(size.sum()))
-            known, first, sizes = np.concatenate([self.known, u[new]]), np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size]), np.concatenate([self.size, size])
-            order = np.argsort(known, kind="stable")
-            self.known, self.first, self.size, self.flat = known[order], first[order], sizes[order], np.concatenate([self.flat, flat])
-            slot = np.searchsorted(self.known, u)
-        slot = slot[inv]
-        first, size = self.first[slot], self.size[slot]
-        owner = np.repeat(np.arange(len(ends)), count)
-        lengths = np.bincount(owner, size, len(ends)).astype(np.int64) + 1
+        return self.words(low, start, stop, count, word_hashes(low, start, stop))
+
+    def words(self, low: np.ndarray, start: np.ndarray, stop: np.ndarray, count: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from lower-case bytes, the places of their words, how many of these each text has, and their hashes."""
+        slot = self.known.slots(h)
+        if (slot < 0).any():
+            new, at = np.unique(h[slot < 0], return_index=True)
+            if self.count + len(new) >= len(self.first):
+                new, at = np.unique(h, return_index=True)
+                self.forget(len(new))
+                slot[:] = -1
+            at, raw = np.flatnonzero(slot < 0)[at], low.tobytes()
+            self.learn(new, [raw[x:y] for x, y in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+            slot = self.known.slots(h)
+        number = self.number[slot]
+        first, size = self.first[number], self.first[number + 1] - self.first[number]
+        owner = np.repeat(np.arange(len(count)), count)
+        lengths = np.bincount(owner, size, len(count)).astype(np.int64) + 1
         out = np.full(int(lengths.sum()), END, np.uint16)
         place = np.cumsum(size) - size
         inside = np.arange(int(size.sum())) - np.repeat(place, size)
@@ -148,19 +168,38 @@ def arrange(counts: np.ndarray) -> np.ndarray:
     return place
 
 
-def priors(counts: np.ndarray, weight: float = 4.0) -> list[np.ndarray]:
-    """For each level, by the token before and the branches taken so far: log probabilities of the next branch. ``counts`` by position."""
+def priors(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
+    """Log probabilities of the next branch by the token before, the node reached (level by level, from the root) and the branch. ``counts`` by position."""
     v, out = len(counts), []
     for level in range(LEVELS):
         up, rest = BRANCH**level, v // BRANCH ** (level + 1)
         c = counts.reshape(v, up, BRANCH, rest).sum(3).astype(np.float32)
         uni = c.sum(0) + 0.05 * rest
-        p = (c + weight * (uni / uni.sum(1, keepdims=True))) / (c.sum(2, keepdims=True) + weight)
-        out.append(np.log(p).reshape(v * up, BRANCH).astype(np.float32))
-    return out
+        out.append(np.log((c + weight * (uni / uni.sum(1, keepdims=True))) / (c.sum(2, keepdims=True) + weight)).astype(np.float32))
+    return np.concatenate(out, axis=1)
 
 
 _LEVEL = np.repeat(np.eye(LEVELS, dtype=np.float32), BRANCH, axis=0)  # sums the branches of each level
+_UP = BRANCH ** np.arange(LEVELS)  # nodes of each level
+# By position: the node that it passes on each level, among all nodes, and the branch that it takes there, among the logits of all levels.
+_NODE = np.arange(VOCAB)[:, None] // (VOCAB // _UP) + np.cumsum(_UP) - _UP
+_CHOICE = np.arange(VOCAB)[:, None] // (VOCAB // _UP // BRANCH) % BRANCH + BRANCH * np.arange(LEVELS)
+
+
+class Room:
+    """Arrays by name that are filled again and again, as fresh memory costs more than the work in it. A copy starts empty."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, dtype=np.float32) -> np.ndarray:
+        n = int(np.prod(shape))
+        if name not in self.kept or self.kept[name].size < n:
+            self.kept[name] = np.empty(n, dtype)
+        return self.kept[name][:n].reshape(shape)
+
+    def __reduce__(self):
+        return Room, ()
 
 
 class Attention:
@@ -172,68 +211,83 @@ class Attention:
         self.width = width
         self.p = {"e": n(vocab, width, k=0.5), "o": n(window, width, k=0.1), "qkv": n(width, 3 * width, k=width**-0.5), "w": np.zeros((3 * width, LEVELS * BRANCH), np.float32)}
         self.p["qkv"][:, :width] *= width**-0.5
-        self.past = np.tril(np.ones((window, window), np.float32))
+        self.past, self.room = np.tril(np.ones((window, window), np.float32)), Room()
 
     def hidden(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of windows of ids (rows): the state at each place, and what the gradient needs."""
-        p, (m, n), d = self.p, ids.shape, self.width
-        x = p["e"][ids] + p["o"][:n]
-        z = (x.reshape(-1, d) @ p["qkv"]).reshape(m, n, 3 * d)
+        """Of windows of ids (rows): the state at each place, and what the gradient needs. All of it lies in arrays that the next call fills again."""
+        p, (m, n), d, room = self.p, ids.shape, self.width, self.room
+        x = np.take(p["e"], ids, axis=0, out=room("x", m, n, d), mode="clip")
+        x += p["o"][:n]
+        z = room("z", m * n, 3 * d + 1)
+        np.matmul(x.reshape(-1, d), p["qkv"], out=z[:, : 3 * d])
+        z[:, 3 * d] = 1  # beside the values, so that their weighted sums come with the sum of the weights
+        z = z.reshape(m, n, 3 * d + 1)
         q, k, v = z[..., :d], z[..., d : 2 * d], z[..., 2 * d :]
-        s = q @ k.transpose(0, 2, 1)
+        s = np.matmul(q, k.transpose(0, 2, 1), out=room("s", m, n, n))
         np.clip(s, -60, 60, out=s)
         np.exp(s, out=s)
         s *= self.past[:n, :n]
-        h = np.zeros((m, n, 3 * d), np.float32)
-        h[..., :d], h[:, 1:, d : 2 * d] = x, x[:, :-1]
-        total = s @ np.ones((n, 1), np.float32)
-        h[..., 2 * d :] = (s @ v) / total
+        h = room("h", m, n, 3 * d)
+        h[..., :d], h[:, 1:, d : 2 * d], h[:, 0, d : 2 * d] = x, x[:, :-1], 0
+        sums = np.matmul(s, v, out=room("sums", m, n, d + 1))
+        total = 1 / sums[..., d:]
+        np.multiply(sums[..., :d], total, out=h[..., 2 * d :])
         return h, x, q, k, v, s, total
 
-    def log_probs(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, prior: list[np.ndarray], grad: bool = False):
+    def log_probs(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, prior: np.ndarray, grad: bool = False):
         """Natural log probability of each target (rows of h); with ``grad`` also its gradient by the logits, negated."""
-        z = h @ self.p["w"]
-        out, at = np.zeros(len(target), np.float32), np.arange(len(target)) * (LEVELS * BRANCH)
-        chosen = []
-        for level in range(LEVELS):
-            node = target // BRANCH ** (LEVELS - level)
-            z[:, level * BRANCH : (level + 1) * BRANCH] += prior[level][before * BRANCH**level + node]
-            chosen.append(at + level * BRANCH + target // BRANCH ** (LEVELS - level - 1) % BRANCH)
-            out += z.ravel()[chosen[-1]]
+        room, t, b = self.room, len(target), LEVELS * BRANCH
+        node = np.take(_NODE, target, axis=0, out=room("node", t, LEVELS, dtype=np.int64), mode="clip")
+        node += (before * prior.shape[1])[:, None]
+        z = np.take(prior.reshape(-1, BRANCH), node, axis=0, out=room("logits", t, LEVELS, BRANCH), mode="clip").reshape(t, b)
+        z += np.matmul(h, self.p["w"], out=room("drive", t, b))
         np.clip(z, -80, 80, out=z)
+        chosen = np.take(_CHOICE, target, axis=0, out=node, mode="clip")
+        chosen += np.arange(0, t * b, b)[:, None]
+        out = z.ravel().take(chosen)
         np.exp(z, out=z)
         total = z @ _LEVEL
-        out -= np.log(total).sum(1)
+        out -= np.log(total)
+        out = out @ np.ones(LEVELS, np.float32)
         if not grad:
             return out
-        z /= np.repeat(total, BRANCH, axis=1)
-        for c in chosen:
-            z.ravel()[c] -= 1
+        z *= np.matmul(1 / total, _LEVEL.T, out=room("drive", t, b))
+        z.reshape(-1)[chosen.ravel()] -= 1
         return out, z
 
-    def gradient(self, ids: np.ndarray, target: np.ndarray, prior, inside: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradient(self, ids: np.ndarray, target: np.ndarray, prior: np.ndarray, inside: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean log probability and its loss's gradient over the places ``inside``; the others only pad windows."""
-        p, (m, n), d = self.p, ids.shape, self.width
+        p, (m, n), d, room, flat = self.p, ids.shape, self.width, self.room, ids.ravel()
         h, x, q, k, v, s, total = self.hidden(ids)
-        s = s / total
-        flat = h[inside]
-        lp, gz = self.log_probs(flat, ids[inside], target[inside], prior, True)
-        g = {"w": flat.T @ gz}
-        gh = np.zeros_like(h)
-        gh[inside] = gz @ p["w"].T
-        gx, go = gh[..., :d].copy(), gh[..., 2 * d :]
+        lp, gz = self.log_probs(h.reshape(-1, 3 * d), flat, target.ravel(), prior, True)
+        outside = np.flatnonzero(~inside)
+        lp[outside], gz[outside] = 0, 0
+        size = len(lp) - len(outside)
+        g = {"w": h.reshape(-1, 3 * d).T @ gz}
+        gh = np.matmul(gz, p["w"].T, out=room("gh", m * n, 3 * d)).reshape(m, n, 3 * d)
+        gx = gh[..., :d]
         gx[:, :-1] += gh[:, 1:, d : 2 * d]
-        gs = go @ v.transpose(0, 2, 1)
-        gs = s * (gs - (gs * s).sum(-1, keepdims=True))
-        gz = np.concatenate([gs @ k, gs.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ go], axis=-1)
-        g["qkv"] = x.reshape(-1, d).T @ gz.reshape(-1, 3 * d)
-        gx += (gz.reshape(-1, 3 * d) @ p["qkv"].T).reshape(m, n, d)
-        g["o"] = np.zeros_like(p["o"])
-        g["o"][:n] = gx.sum(0)
-        ge = np.zeros_like(p["e"])
-        np.add.at(ge, ids.ravel(), gx.reshape(-1, d))
-        g["e"] = ge
-        return float(lp.mean()), {name: x / lp.size for name, x in g.items()}
+        go = room("go", m, n, d + 1)  # the last column meets the ones beside the values
+        np.multiply(gh[..., 2 * d :], total, out=go[..., :d])
+        np.negative(np.einsum("ijk,ijk->ij", go[..., :d], h[..., 2 * d :]), out=go[..., d])
+        gs = np.matmul(go, v.transpose(0, 2, 1), out=room("gs", m, n, n))
+        gs *= s
+        gz = room("gz", m, n, 3 * d)
+        np.matmul(gs, k, out=gz[..., :d])
+        np.matmul(gs.transpose(0, 2, 1), q, out=gz[..., d : 2 * d])
+        np.matmul(s.transpose(0, 2, 1), go[..., :d], out=gz[..., 2 * d :])
+        gz = gz.reshape(-1, 3 * d)
+        g["qkv"] = x.reshape(-1, d).T @ gz
+        back = np.matmul(gz, p["qkv"].T, out=room("back", m * n, d)).reshape(m, n, d)
+        back += gx
+        g["o"] = np.zeros(p["o"].shape, np.float32)
+        g["o"][:n] = back.sum(0)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        met = flat.take(order)
+        first = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+        g["e"] = np.zeros(p["e"].shape, np.float32)
+        g["e"][met[first]] = np.add.reduceat(back.reshape(-1, d).take(order, 0), first, axis=0)
+        return float(lp.sum()) / size, {name: y / size for name, y in g.items()}
 
     def pack(self) -> bytes:
         return b"".join(self.p[k].astype(np.float32).tobytes() for k in sorted(self.p))
@@ -247,16 +301,33 @@ class Attention:
 
 
 class Adam:
+    """Adam over all parameters as one array, of which the net's become views."""
+
     def __init__(self, net: Attention, rate: float = RATE):
-        self.net, self.rate, self.t = net, rate, 0
-        self.m, self.s = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.net, self.rate, self.t, self.names = net, rate, 0, sorted(net.p)
+        self.flat = np.concatenate([net.p[k].ravel() for k in self.names])
+        self.m, self.s, self.g, self.d = (np.zeros_like(self.flat) for _ in range(4))
+        at = 0
+        for k in self.names:
+            net.p[k] = self.flat[at : at + net.p[k].size].reshape(net.p[k].shape)
+            at += net.p[k].size
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.s[k] += 0.02 * (x * x - self.s[k])
-            self.net.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.98**self.t)) + 1e-8)).astype(np.float32)
+        x, d = np.concatenate([g[k].ravel() for k in self.names], out=self.g), self.d
+        np.subtract(x, self.m, out=d)
+        d *= 0.1
+        self.m += d
+        x *= x
+        x -= self.s
+        x *= 0.02
+        self.s += x
+        np.multiply(self.s, 1 / (1 - 0.98**self.t), out=d)
+        np.sqrt(d, out=d)
+        d += 1e-8
+        np.divide(self.m, d, out=d)
+        d *= self.rate / (1 - 0.9**self.t)
+        self.flat -= d
 
 
 def window_plan(n: int) -> np.ndarray:
@@ -271,56 +342,30 @@ def score_texts(net: Attention, prior, place: np.ndarray, texts: list[np.ndarray
     if not len(texts):
         return total
     end = place[END]
-    flat = np.append(place[np.concatenate(texts)], end)  # the last one stands for places outside a text
+    flat = np.append(place[np.concatenate(texts)], end)
     begin = np.cumsum(lengths) - lengths
     last = np.concatenate([[end], flat[:-1]])
-    last[begin] = last[-1] = end
+    last[begin] = end
     plans = [window_plan(int(n)) for n in lengths]
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in plans])
-    start = np.concatenate(plans)
-    offset = np.arange(WINDOW)
+    owner, start = np.repeat(np.arange(len(texts)), [len(p) for p in plans]), np.concatenate(plans)
+    first, left, offset = start + begin[owner], lengths[owner] - start, np.arange(WINDOW)
+    # Windows in order own each id once and in order, so what they own are runs of ``flat``. Places beyond a text only come after those that it owns.
+    lp, done = np.empty(len(flat) - 1, np.float32), 0
     for i in range(0, len(start), _BLOCK):
-        o, s = owner[i : i + _BLOCK], start[i : i + _BLOCK]
-        at = s[:, None] + offset
-        inside = at < lengths[o][:, None]
-        where = np.where(inside, at + begin[o][:, None], len(flat) - 1)
-        target, before = flat[where], last[where]
-        own = inside & ((s[:, None] == 0) | (offset >= WINDOW - STRIDE))
-        h = net.hidden(before)[0]
-        lp = net.log_probs(h[own], before[own], target[own], prior)
-        total += np.bincount(np.broadcast_to(o[:, None], own.shape)[own], lp, len(texts))
-    return total
+        b = slice(i, i + _BLOCK)
+        own = np.flatnonzero((offset < left[b, None]) & ((start[b, None] == 0) | (offset >= WINDOW - STRIDE)))
+        h = net.hidden(last.take(first[b, None] + offset, mode="clip"))[0].reshape(-1, 3 * net.width)
+        h = np.take(h, own, axis=0, out=net.room("own", len(own), 3 * net.width), mode="clip")
+        run = slice(done, done + len(own))
+        lp[run] = net.log_probs(h, last[run], flat[run], prior)
+        done = run.stop
+    return np.bincount(np.repeat(np.arange(len(texts)), lengths), lp, len(texts))
 
 
 def _ids(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
-_SUBWORDS: dict[int, Subwords] = {}
-
-
-def tokenised(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """id, key, train and the ids of every row (id, key, train, text), as 16-bit numbers."""
-    shared, name = rows.sparkSession.sparkContext.broadcast(vocabulary), hash(tuple(vocabulary))
-
-    def run(batches):
-        if name not in _SUBWORDS:
-            _SUBWORDS[name] = Subwords(shared.value)
-        sub = _SUBWORDS[name]
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                c = b.slice(i, 2048)
-                data, ends = joined_texts(c.column(3))
-                for a, z in slices(ends, _SLICE):
-                    base = ends[a - 1] if a else 0
-                    flat, lengths = sub.texts(data[base : ends[z - 1]], ends[a:z] - base)
-                    offsets = np.concatenate([[0], 2 * np.cumsum(lengths)])
-                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(c.column(k).slice(a, z - a) for k in range(3)), ids], names=[*ROW, "train", "ids"])
-
-    return rows.select(*ROW, "train", "text").mapInArrow(run, "id long, key long, train boolean, ids binary")
-
-
 def transitions(tokens: DataFrame, vocab: int = VOCAB) -> np.ndarray:
     """Counts of each id after each id in the training texts (an end before the first); vocab**2 numbers, however large the input."""
 
@@ -340,13 +385,21 @@ def transitions(tokens: DataFrame, vocab: int = VOCAB) -> np.ndarray:
     return out.reshape(vocab, vocab)
 
 
+def batch_windows(ids: np.ndarray, lengths: np.ndarray, end: int, first: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's consecutive windows (texts one after another in ``ids``), each ``every``-th from the one numbered ``first``: ids before, target ids, and
+    which places lie inside the text."""
+    some = np.maximum(-(-(-(-lengths // WINDOW) - first) // every), 0)
+    owner = np.repeat(np.arange(len(lengths)), some)
+    at = ((first - every * (np.cumsum(some) - some))[owner] + every * np.arange(len(owner)))[:, None] * WINDOW + np.arange(WINDOW)
+    size, where = lengths[owner, None], at + (np.cumsum(lengths) - lengths)[owner, None]
+    inside = at < size
+    target = np.where(inside, ids.take(where, mode="clip"), end)
+    return np.where((at > 0) & (at <= size), ids.take(where - 1, mode="clip"), end), target, inside
+
+
 def training_windows(ids: np.ndarray, end: int, first: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's consecutive windows, each ``every``-th from the one numbered ``first``: ids before, target ids, and which places lie inside the text."""
-    n = -(-len(ids) // WINDOW)
-    t = np.full(n * WINDOW + 1, end, np.int64)
-    t[1 : len(ids) + 1] = ids
-    inside = np.arange(n * WINDOW) < len(ids)
-    return tuple(x.reshape(n, WINDOW)[first::every] for x in (t[:-1], t[1:], inside))
+    """The same of one text."""
+    return batch_windows(ids, np.array([len(ids)]), end, np.array([first]), every)
 
 
 def train(tokens: DataFrame, place: np.ndarray, prior, rounds: int = ROUNDS, seed: int = SEED) -> Attention:
@@ -360,26 +413,24 @@ def train(tokens: DataFrame, place: np.ndarray, prior, rounds: int = ROUNDS, see
             packed, place, prior, r = shared.value
             net = Attention(seed=seed)
             net.unpack(np.frombuffer(packed, np.float32))
-            adam, seen, held, waiting = Adam(net, RATE / (r + 1)), 0, [], 0
+            adam, seen, held = Adam(net, RATE / (r + 1)), 0, None
 
             def learn(before, target, inside):
                 adam.step(net.gradient(before, target, prior, inside)[1])
                 return int(inside.sum())
 
-            end = place[END]
             for b in batches:
-                for key, ids in zip(b.column(0).to_pylist(), _ids(b.column(1)), strict=True):
-                    part = training_windows(place[ids], end, (r - key) % rounds, rounds)
-                    held.append(part)
-                    waiting += len(part[0])
-                    if waiting >= BATCH:
-                        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                        for i in range(0, waiting - BATCH + 1, BATCH):
-                            seen += learn(*(x[i : i + BATCH] for x in whole))
-                        held = [tuple(x[waiting - waiting % BATCH :] for x in whole)]
-                        waiting %= BATCH
-            if waiting:
-                seen += learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                ids, begin = _ids(b.column(1)), (r - b.column(0).to_numpy() % rounds) % rounds
+                for i in range(0, len(ids), 128):
+                    part = ids[i : i + 128]
+                    got = batch_windows(place[np.concatenate(part)], np.array([len(x) for x in part]), place[END], begin[i : i + 128], rounds)
+                    held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
+                    whole = len(held[0]) - len(held[0]) % BATCH
+                    for k in range(0, whole, BATCH):
+                        seen += learn(*(x[k : k + BATCH] for x in held))
+                    held = tuple(x[whole:] for x in held)
+            if held is not None and len(held[0]):
+                seen += learn(*held)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([net.pack()], pa.binary())], names=["weight", "params"])
 
@@ -415,8 +466,13 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.filter("train").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
-    """For each row (doc_id, id, key, train, text): n_tokens, n_known, base_score, times (rows that share id and text); and the number of training tokens."""
+_SUBWORDS: dict[int, Subwords] = {}
+
+
+def met_words(rows: DataFrame, common: int = COMMON, vocabulary: list[str] | None = None) -> tuple[DataFrame, DataFrame, int, float, bool]:
+    """What one pass finds in the texts of (doc_id, id, key, train, text), written once: doc_id, id, key, train, n_tokens, of frequent words and the end their number m and
+    score s, the hashes of all other words, and the ids by ``vocabulary`` as 16-bit numbers (none without one). Also: the counts of the words that are not frequent, the number of
+    training tokens, the divisor of counts, and whether anything is trained on."""
     spark = rows.sparkSession
     counts = written(_word_counts(rows), "counts")
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -438,47 +494,45 @@ def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
     for h, c in big.items():
         hit = known.used & (known.keys == np.uint64(h & (1 << 64) - 1))
         values[hit] = np.log10((c + 0.1) / floor)
-    shared = spark.sparkContext.broadcast((known, values, float(np.log10((ends + 0.1) / floor))))
+    shared = spark.sparkContext.broadcast((known, values, float(np.log10((ends + 0.1) / floor)), vocabulary))
+    name = hash(tuple(vocabulary or ()))
 
-    def lookup(part: np.ndarray, ends: np.ndarray):
-        known, values, _ = shared.value
-        start, stop, count = byte_words(part, ends)
-        h = word_hashes(part, start, stop, fold=True)
-        slot = known.slots(h)
-        return h, slot, count
-
-    def frequent(batches):
-        values, end = shared.value[1:]
-        for b in batches:
-            data, stops = joined_texts(b.column(3))
-            n, m, s = (np.zeros(b.num_rows) for _ in range(3))
-            for a, z in slices(stops, _SLICE):
-                base = stops[a - 1] if a else 0
-                h, slot, count = lookup(data[base : stops[z - 1]], stops[a:z] - base)
-                hit = slot >= 0
-                owner = np.repeat(np.arange(a, z), count)
-                n[a:z] = count
-                m += np.bincount(owner[hit], minlength=b.num_rows)
-                s += np.bincount(owner[hit], values[slot[hit]], b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((n + 1).astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(s + end)], names=["doc_id", *ROW, "n_tokens", "m", "s"])
-
-    def rare(batches):
+    def run(batches):
+        known, values, end, vocabulary = shared.value
+        if vocabulary is not None and name not in _SUBWORDS:
+            _SUBWORDS[name] = Subwords(vocabulary)
         for b in batches:
-            data, stops = joined_texts(b.column(2))
-            name, key = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for a, z in slices(stops, _SLICE):
-                base = stops[a - 1] if a else 0
-                h, slot, count = lookup(data[base : stops[z - 1]], stops[a:z] - base)
-                miss = slot < 0
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x[a:z], count)[miss]) for x in (name, key)), pa.array(h[miss].view(np.int64))], names=[*ROW, "h"])
-
-    main = rows.select("doc_id", *ROW, "text").mapInArrow(frequent, "doc_id long, id long, key long, n_tokens long, m long, s double")
-    main = main.groupBy(*ROW).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("n_tokens").alias("n_tokens"), F.first("m").alias("m"), F.first("s").alias("s"))
-    less = counts.filter(step < least)  # all that the table lacks
-    low = rows.select(*ROW, "text").mapInArrow(rare, "id long, key long, h long").join(less, "h", "left").groupBy(*ROW).agg(F.count("c").alias("rm"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(floor)))).alias("rs"))
-    seen = 1 if ends else 0
-    out = main.join(low, ROW, "left").select("doc_id", *ROW, "times", "n_tokens", (F.col("m") + seen + F.coalesce(F.col("rm") / F.col("times"), F.lit(0))).cast("long").alias("n_known"), (F.col("s") + F.coalesce(F.col("rs") / F.col("times"), F.lit(0.0))).alias("base_score"))
-    return out, n
+            for i in range(0, b.num_rows, 2048):
+                c = b.slice(i, 2048)
+                data, stops = joined_texts(c.column(4))
+                for a, z in slices(stops, _SLICE):
+                    base = stops[a - 1] if a else 0
+                    low = _FOLD[data[base : stops[z - 1]]]
+                    start, stop, count = byte_words(low, stops[a:z] - base)
+                    h = word_hashes(low, start, stop)
+                    slot, owner = known.slots(h), np.repeat(np.arange(z - a), count)
+                    hit = slot >= 0
+                    m, s = np.bincount(owner[hit], minlength=z - a), np.bincount(owner[hit], values[slot[hit]], z - a) + end
+                    flat, size = (np.zeros(0, np.uint16), np.zeros(z - a, np.int64)) if vocabulary is None else _SUBWORDS[name].words(low, start, stop, count, h)
+                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(np.append(0, 2 * np.cumsum(size))), pa.py_buffer(flat)]).cast(pa.binary())
+                    rest = pa.ListArray.from_arrays(np.append(0, np.cumsum(count - m)).astype(np.int32), pa.array(h[~hit].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(c.column(k).slice(a, z - a) for k in range(4)), pa.array(count + 1), pa.array(m), pa.array(s), rest, ids], names=["doc_id", *ROW, "train", "n_tokens", "m", "s", "rest", "ids"])
+
+    met = rows.select("doc_id", *ROW, "train", "text").mapInArrow(run, "doc_id long, id long, key long, train boolean, n_tokens long, m long, s double, rest array<long>, ids binary")
+    return written(met, "met"), counts.filter(step < least), n, float(floor), ends > 0
+
+
+def word_scores(met: DataFrame, less: DataFrame, floor: float, seen: bool) -> DataFrame:
+    """For each row of ``met``: n_tokens, n_known, base_score, times (rows that share id and text)."""
+    main = met.groupBy(*ROW).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("n_tokens").alias("n_tokens"), F.first("m").alias("m"), F.first("s").alias("s"))
+    low = met.select(*ROW, F.explode("rest").alias("h")).join(less, "h", "left").groupBy(*ROW).agg(F.count("c").alias("rm"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(floor))).alias("rs"))
+    return main.join(low, ROW, "left").select("doc_id", *ROW, "times", "n_tokens", (F.col("m") + int(seen) + F.coalesce(F.col("rm") / F.col("times"), F.lit(0))).cast("long").alias("n_known"), (F.col("s") + F.coalesce(F.col("rs") / F.col("times"), F.lit(0.0))).alias("base_score"))
+
+
+def base_scores(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
+    """For each row (doc_id, id, key, train, text): n_tokens, n_known, base_score, times (rows that share id and text); and the number of training tokens."""
+    met, less, n, floor, seen = met_words(rows, common)
+    return word_scores(met, less, floor, seen), n
 
 
 def score_documents(docs: DataFrame, vocabulary: list[str], modulus: int = 10) -> DataFrame:
@@ -486,10 +540,9 @@ def score_documents(docs: DataFrame, vocabulary: list[str], modulus: int = 10) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("key", row_key()).withColumn("train", crc_mod("doc_id", modulus) != 0)
     spark = docs.sparkSession
-    base, n = base_scores(rows)
-    base = written(base, "base")
+    tokens, less, n, floor, seen = met_words(rows, vocabulary=vocabulary)
+    base = written(word_scores(tokens, less, floor, seen), "base")
     release(spark)
-    tokens = written(tokenised(rows, vocabulary), "tokens")
     counts = transitions(tokens)
     place = arrange(counts)
     moved = np.zeros_like(counts)
