@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import shared_path
+
 #: The formats; below, dollars per million tokens by model (cache hit, cache miss, output), doubled in peak hours.
 FORMATS = ("docx", "markdown", "html", "pdf")
 #: What stands for the result of a call that was broken off, and for a folded result (around its length and its first line).
@@ -154,18 +156,26 @@ def style_lists(usage: DataFrame, most: int = 40) -> DataFrame:
 
 
 def heading_levels(spark: SparkSession, styles: DataFrame) -> DataFrame:
-    """The heading level of each style: the first outline level below 9 or heading-like name up the chain of parents, which ends where a style comes again."""
-    return spark.sql(
-        r"""WITH RECURSIVE up(style_id, at, lvl, name, hop, seen) AS (
-          SELECT style_id, based_on, outline_lvl, name, 0, array(style_id) FROM {s}
-          UNION ALL
-          SELECT u.style_id, p.based_on, p.outline_lvl, p.name, u.hop + 1, array_append(u.seen, p.style_id) FROM up u JOIN {s} p ON p.style_id = u.at AND NOT array_contains(u.seen, p.style_id)),
-        lv AS (SELECT style_id, min_by(lvl + 1, hop) AS l FROM up WHERE lvl < 9 GROUP BY style_id),
-        nm AS (SELECT style_id, min_by(CAST(coalesce(nullif(regexp_extract(lower(name), '^(?:heading |标题 ?)([1-9])', 1), ''), nullif(regexp_extract(lower(name), '^h([1-9])', 1), '')) AS INT), hop) AS l FROM up
-               WHERE lower(name) RLIKE '^(heading |标题 ?)[1-9]|^h[1-9]' GROUP BY style_id)
-        SELECT s.style_id, coalesce(lv.l, nm.l) AS level FROM {s} s LEFT JOIN lv ON lv.style_id = s.style_id LEFT JOIN nm ON nm.style_id = s.style_id""",
-        s=styles,
-    )
+    """The heading level of each style: the first outline level below 9 or, where the chain has none, the first heading-like name up the chain of parents, which ends where a style comes again.
+
+    Each round doubles how far a style looks: what it found in its first 2**k ancestors is completed by what the one after them found. A chain of any depth takes as many rounds as
+    its length has binary digits, and a row is held once a style, not once an ancestor. A cycle only repeats what was nearer, so it ends with the number of styles. Rounds are
+    written to the shared folder. Of rows with one style_id, which documents don't have, the least parent and level serve.
+    """
+    name = F.lower("name")
+    named = F.coalesce(F.nullif(F.regexp_extract(name, "^(?:heading |标题 ?)([1-9])", 1), F.lit("")), F.nullif(F.regexp_extract(name, "^h([1-9])", 1), F.lit(""))).cast("int")
+    own = styles.filter("style_id IS NOT NULL").select("style_id", F.col("based_on").alias("at"), F.when(F.col("outline_lvl") < 9, F.col("outline_lvl") + 1).alias("lv"), named.alias("nm"))
+    path = shared_path(spark, "heading-levels")
+    own.groupBy("style_id").agg(*(F.min(c).alias(c) for c in ("at", "lv", "nm"))).write.parquet(f"{path}/0")
+    seen, reach, k = spark.read.parquet(f"{path}/0"), 1, 0
+    total = seen.count()
+    while reach < total and seen.filter("lv IS NULL AND at IS NOT NULL").limit(1).count():
+        up = seen.select(F.col("style_id").alias("at"), F.col("at").alias("up"), F.col("lv").alias("up_lv"), F.col("nm").alias("up_nm"))
+        on = seen.filter("lv IS NULL AND at IS NOT NULL").join(up, "at", "left").select("style_id", F.col("up").alias("at"), F.col("up_lv").alias("lv"), F.coalesce("nm", "up_nm").alias("nm"))
+        reach, k = 2 * reach, k + 1
+        on.unionByName(seen.filter("lv IS NOT NULL OR at IS NULL")).write.parquet(f"{path}/{k}")
+        seen = spark.read.parquet(f"{path}/{k}")
+    return styles.select("style_id").join(seen, "style_id", "left").select("style_id", F.coalesce("lv", "nm").alias("level"))
 
 
 def first_anchor(comments: DataFrame, anchors: DataFrame) -> DataFrame:
