@@ -1,6 +1,8 @@
 """What failed on larger tables: chains past the recursion's limits, pages met one by one, inputs whose numbers leave 32 bits."""
 
-from quire.operators import control
+import re
+
+from quire.operators import control, pages
 
 
 def test_levels_up_long_chains(spark):
@@ -10,3 +12,31 @@ def test_levels_up_long_chains(spark):
     styles = spark.createDataFrame(chain + circle, "style_id string, name string, based_on string, outline_lvl int")
     got = {r.style_id: r.level for r in control.heading_levels(spark, styles).collect()}
     assert got == {**{f"S{i}": 5 for i in range(300)}, "A": 2, "B": 2, "C": 7, "D": 5, "E": 5, "X": None, "Y": None}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffles(df) -> int:
+    return len(re.findall(r"\bExchange ", plan(df)))
+
+
+def test_pages_go_to_python_in_batches(spark):
+    """Pages of one to forty rows, with batches of seven, which cut most of them: each page is met whole and alone."""
+    rows = [(d, p, i, None if i % 5 == 0 else f"t{i}", i / 2) for d in range(6) for p in range(4) for i in range((d * 4 + p) * 7 % 40 + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, elem int, text string, x double").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = pages._by_page(df, lambda page: [(len(page), "".join(sorted(r["text"] or "-" for r in page)), sum(r["x"] for r in page), len({(r["doc_id"], r["page"]) for r in page}) == 1)] * (len(page) > 2), "n int, texts string, x double, alone boolean")
+        assert "FlatMapGroupsInArrow" not in plan(out) and shuffles(out) == 2  # one is the test's own
+        got = {(r.doc_id, r.page): (r.n, r.texts, r.x, r.alone) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for d, p in {r[:2] for r in rows}:
+        page = [r for r in rows if r[:2] == (d, p)]
+        if len(page) > 2:
+            want[d, p] = (len(page), "".join(sorted(r[3] or "-" for r in page)), sum(r[4] for r in page), True)
+    assert got == want
