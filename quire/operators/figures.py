@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.pages import CAPTION, PAGE, _by_page, clusters, is_figure
@@ -175,14 +175,16 @@ def _labelled(rows: list[dict]) -> list[tuple]:
 
 
 def _drawing(drawn: DataFrame, spans: DataFrame, pages: DataFrame, *others: DataFrame) -> DataFrame:
-    """All that stands on pages with drawings, one kind of row after another; pages without any make no row."""
+    """All that stands on pages with drawings, one kind of row after another; pages without any make no row. The pages' sizes are rows of their own, so that all is dealt by page once."""
     cols = [*PAGE, "kind", "pos", "text", "x0", "y0", "x1", "y1", "size", "curvy", "coloured"]
     s = spans.select(*PAGE, F.lit("span").alias("kind"), F.col("elem").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"), "size", F.lit(0).alias("curvy"), F.lit(0).alias("coloured"))
-    rows = drawn.select(*cols).unionByName(s)
+    rows = drawn.select(*cols, F.lit(True).alias("drawn")).unionByName(s.withColumn("drawn", F.lit(False)))
     for o in others:
-        rows = rows.unionByName(o.select(*cols))
-    known = drawn.select(*PAGE).distinct().join(pages.select(*PAGE, "width", "height", "body"), PAGE)
-    return rows.filter("x0 <= x1 AND y0 <= y1").join(known, PAGE)
+        rows = rows.unionByName(o.select(*cols, F.lit(False).alias("drawn")))
+    rows = rows.filter("x0 <= x1 AND y0 <= y1").unionByName(pages.select(*PAGE, "width", "height", "body", F.lit("page").alias("kind")), allowMissingColumns=True).dropna(subset=PAGE)
+    w = Window.partitionBy(*PAGE)
+    known = F.bool_or("drawn").over(w) & F.bool_or(F.col("kind") == "page").over(w)
+    return rows.select(*cols, *(F.max(c).over(w).alias(c) for c in ("width", "height", "body")), known.alias("known")).filter("known AND kind <> 'page'").drop("known")
 
 
 def _plain(rows: DataFrame, kind: str, pos: str, size: str = "0.0D", curvy: str = "0", coloured: str = "0") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import re
 
-from quire.operators import control, pages
+from quire.operators import control, figures, pages
 
 
 def test_levels_up_long_chains(spark):
@@ -40,3 +40,11 @@ def test_pages_go_to_python_in_batches(spark):
         if len(page) > 2:
             want[d, p] = (len(page), "".join(sorted(r[3] or "-" for r in page)), sum(r[4] for r in page), True)
     assert got == want
+
+
+def test_drawings_are_dealt_by_page_once(spark):
+    """Pictures, texts and page sizes, drawings and tables meet by one shuffle."""
+    kinds = {"images": "image int, x0 double, y0 double, x1 double, y1 double", "spans": "elem int, text string, x0 double, x1 double, top double, bottom double, size double", "pages": "width double, height double, body double", "paths": "path int, x0 double, y0 double, x1 double, y1 double, curvy int, coloured int", "tables": "tab int, x0 double, y0 double, x1 double, y1 double", "rotated": "elem int, x0 double, y0 double, x1 double, y1 double, size double"}
+    t = {k: spark.range(9).selectExpr("id AS doc_id", "CAST(id % 3 AS INT) AS page", *(f"CAST(id AS {c.split()[1]}) AS {c.split()[0]}" for c in v.split(", "))) for k, v in kinds.items()}
+    assert shuffles(figures.image_grids(t["images"], t["spans"], t["pages"])) == 1
+    assert shuffles(figures.labelled_figures(**t)) == 1
