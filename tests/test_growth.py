@@ -2,7 +2,10 @@
 
 import re
 
+from conftest import SF
+
 from quire.operators import control, figures, pages
+from quire.plans.catalog import QUERIES
 
 
 def test_levels_up_long_chains(spark):
@@ -48,3 +51,10 @@ def test_drawings_are_dealt_by_page_once(spark):
     t = {k: spark.range(9).selectExpr("id AS doc_id", "CAST(id % 3 AS INT) AS page", *(f"CAST(id AS {c.split()[1]}) AS {c.split()[0]}" for c in v.split(", "))) for k, v in kinds.items()}
     assert shuffles(figures.image_grids(t["images"], t["spans"], t["pages"])) == 1
     assert shuffles(figures.labelled_figures(**t)) == 1
+
+
+def test_inputs_of_drawings_and_tables_are_read_once_a_use(spark):
+    """Selections of one table are one pass over it: a scan for each input of the operator, none for each kind of row; tables under rules need no join."""
+    scans = lambda name: plan(QUERIES[name](spark, SF)).count("FileScan parquet")
+    assert scans("labelled_figures") <= 5 and scans("parted_booktabs") <= 2
+    assert "Join" not in plan(QUERIES["parted_booktabs"](spark, SF))
