@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.pages import PAGE, _by_page, _gutter
+from quire.operators.pages import PAGE, _by_page, _gutter, with_lines
 
 Interval = tuple[float, float]
 #: Room between a cell's text and its border.
@@ -71,7 +71,7 @@ def _beside(rows: list[dict]) -> list[tuple]:
     width = x1 - x0
     if width < 200:
         return []
-    columns = _gutter(spans)
+    columns = None
     out: list[tuple] = []
     for run, free in _runs(lines, x0 + 0.12 * width, x0 + 0.88 * width, lambda v: not x0 + 0.4 * width <= (v[0] + v[1]) / 2 <= x0 + 0.6 * width):
         if len(run) < 6:
@@ -86,7 +86,10 @@ def _beside(rows: list[dict]) -> list[tuple]:
         sides = [[[s for s in n["spans"] if (s["x1"] <= border if k == 0 else s["x0"] >= border)] for n in run] for k in (0, 1)]
         filled = [sum(map(bool, side)) for side in sides]
         chars = [sum(len(s["text"].strip()) for n in side for s in n) for side in sides]
-        if min(filled) < 3 or min(chars) < 40 or columns and (abs(right - columns[0][2]) <= 4 or abs(left - columns[0][1]) <= 4):
+        if min(filled) < 3 or min(chars) < 40:
+            continue
+        columns = _gutter(spans) if columns is None else columns
+        if columns and (abs(right - columns[0][2]) <= 4 or abs(left - columns[0][1]) <= 4):
             continue
         top, bottom = min(s["top"] for s in held) - 1, max(s["bottom"] for s in held) + 1
         on_left = lambda r: (r["x0"] + r["x1"]) / 2 < border and r["x1"] < right - 1
@@ -103,14 +106,20 @@ def _beside(rows: list[dict]) -> list[tuple]:
     return out
 
 
-def side_by_side(spans: DataFrame, lines: DataFrame, rules: DataFrame) -> DataFrame:
+def side_by_side(spans: DataFrame, lines: DataFrame | None, rules: DataFrame) -> DataFrame:
     """Blocks side by side of each page: a corridor off the centre that six lines or more leave free, text of some length on both sides, and a rule under each side's head
     or, on the upper half of a first page, eight lines. A corridor that is the gutter of the page's columns makes none.
 
-    ``spans``: doc_id, page, elem, text, x0, x1, top, bottom, size, height (of the page); ``lines``: doc_id, page, elem, line; ``rules``: doc_id, page, y, x0, x1.
+    ``spans``: doc_id, page, elem, text, x0, x1, top, bottom, size, height (of the page); ``lines``: doc_id, page, elem, line, or None: assembled in the same pass; ``rules``: doc_id, page, y, x0, x1.
     Returns doc_id, page, block, x0, border, x1, y0, y1, rule, lines, left, right. Pages without spans make no row; empty texts take no part.
     """
-    s = spans.join(lines, [*PAGE, "elem"]).select(*PAGE, F.lit("span").alias("kind"), F.col("line").cast("int").alias("line"), F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", "top", "bottom", "size", "height")
-    r = rules.select(*PAGE, F.lit("rule").alias("kind"), F.lit(0).alias("line"), F.lit("").alias("text"), "x0", "x1", F.col("y").alias("top"), F.col("y").alias("bottom"), F.lit(0.0).alias("size"), F.lit(0.0).alias("height"))
-    both = s.unionByName(r).withColumn("first", F.col("page"))
-    return _by_page(both, lambda rows: _beside([{**x, "page": x["first"]} for x in rows]), "block int, x0 double, border double, x1 double, y0 double, y1 double, rule double, lines int, left string, right string")
+    known = spans.withColumn("line", F.lit(0)) if lines is None else spans.join(lines, [*PAGE, "elem"])
+    s = known.select(*PAGE, F.lit("span").alias("kind"), "elem", F.col("line").cast("int").alias("line"), F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", "top", "bottom", "size", "height")
+    r = rules.select(*PAGE, F.lit("rule").alias("kind"), F.lit(-1).alias("elem"), F.lit(0).alias("line"), F.lit("").alias("text"), "x0", "x1", F.col("y").alias("top"), F.col("y").alias("bottom"), F.lit(0.0).alias("size"), F.lit(0.0).alias("height"))
+
+    def blocks(rows: list[dict]) -> list[tuple]:
+        if lines is None:
+            rows = with_lines([x for x in rows if x["kind"] == "span"]) + [x for x in rows if x["kind"] == "rule"]
+        return _beside(rows)
+
+    return _by_page(s.unionByName(r), blocks, "block int, x0 double, border double, x1 double, y0 double, y1 double, rule double, lines int, left string, right string")

@@ -58,3 +58,10 @@ def test_inputs_of_drawings_and_tables_are_read_once_a_use(spark):
     scans = lambda name: plan(QUERIES[name](spark, SF)).count("FileScan parquet")
     assert scans("labelled_figures") <= 5 and scans("parted_booktabs") <= 2
     assert "Join" not in plan(QUERIES["parted_booktabs"](spark, SF))
+
+
+def test_columns_and_blocks_meet_a_page_once(spark):
+    """Lines and gutters come from one pass over each page and one reading of the documents; a document's consensus doesn't compute them again."""
+    for name, scans in (("gutter_consensus", 1), ("side_by_side", 2)):
+        p = plan(QUERIES[name](spark, SF))
+        assert p.count("FileScan parquet") == scans and len(re.findall(r"(?:MapInArrow|InPandas|GroupsInArrow) ", p)) == 1
