@@ -88,9 +88,6 @@ def _beside(rows: list[dict]) -> list[tuple]:
         chars = [sum(len(s["text"].strip()) for n in side for s in n) for side in sides]
         if min(filled) < 3 or min(chars) < 40:
             continue
-        columns = _gutter(spans) if columns is None else columns
-        if columns and (abs(right - columns[0][2]) <= 4 or abs(left - columns[0][1]) <= 4):
-            continue
         top, bottom = min(s["top"] for s in held) - 1, max(s["bottom"] for s in held) + 1
         on_left = lambda r: (r["x0"] + r["x1"]) / 2 < border and r["x1"] < right - 1
         on_right = lambda r: (r["x0"] + r["x1"]) / 2 > border and r["x0"] > left + 1
@@ -101,6 +98,9 @@ def _beside(rows: list[dict]) -> list[tuple]:
         rule = inside[0]["top"] if inside else None
         if not (both or front) or rule is not None and any(s["top"] < rule < s["bottom"] for s in held):
             continue
+        columns = _gutter(spans) if columns is None else columns  # only where all else holds: it costs as much as the rest
+        if columns and (abs(right - columns[0][2]) <= 4 or abs(left - columns[0][1]) <= 4):
+            continue
         texts = ["\n".join(" ".join(s["text"].strip() for s in n) for n in side if n) for side in sides]
         out.append((len(out) + 1, min(s["x0"] for s in held) - MARGIN, border, max(s["x1"] for s in held) + MARGIN, top, bottom, rule if rule is not None and level else None, len(run), *texts))
     return out
@@ -117,8 +117,10 @@ def side_by_side(spans: DataFrame, lines: DataFrame | None, rules: DataFrame) ->
     s = known.select(*PAGE, F.lit("span").alias("kind"), "elem", F.col("line").cast("int").alias("line"), F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", "top", "bottom", "size", "height")
     r = rules.select(*PAGE, F.lit("rule").alias("kind"), F.lit(-1).alias("elem"), F.lit(0).alias("line"), F.lit("").alias("text"), "x0", "x1", F.col("y").alias("top"), F.col("y").alias("bottom"), F.lit(0.0).alias("size"), F.lit(0.0).alias("height"))
 
+    alone = lines is None
+
     def blocks(rows: list[dict]) -> list[tuple]:
-        if lines is None:
+        if alone:
             rows = with_lines([x for x in rows if x["kind"] == "span"]) + [x for x in rows if x["kind"] == "rule"]
         return _beside(rows)
 
