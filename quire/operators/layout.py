@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,35 +132,47 @@ def gutters(spans: DataFrame) -> DataFrame:
     return scored.groupBy("doc_id", "page").agg(F.max_by("x", F.struct(F.col("score"), -F.col("x"))).cast("int").alias("x"), F.max("score").alias("score"))
 
 
-def touching(segments: DataFrame, tol: float = 2.5) -> DataFrame:
-    """Pairs of a horizontal and a vertical segment of one page that meet within ``tol``."""
-    h, v = segments.filter("horizontal").alias("h"), segments.filter("NOT horizontal").alias("v")
-    meet = (F.col("h.doc_id") == F.col("v.doc_id")) & (F.col("h.page") == F.col("v.page")) & (F.col("v.x0") >= F.col("h.x0") - tol) & (F.col("v.x0") <= F.col("h.x1") + tol) & (F.col("h.y0") >= F.col("v.y0") - tol) & (F.col("h.y0") <= F.col("v.y1") + tol)
-    return h.join(v, meet).select(F.col("h.doc_id"), F.col("h.page"), F.col("h.seg").alias("a"), F.col("v.seg").alias("b"))
+def _connected(segments: list[dict], tol: float = 2.5) -> list[int]:
+    """The least segment that each of one page's segments is connected with: horizontal and vertical ones that meet within ``tol`` are linked."""
+    root = {s["seg"]: s["seg"] for s in segments}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    upright = sorted((s for s in segments if s["horizontal"] is False and s["x0"] is not None), key=lambda s: s["x0"])
+    places = [v["x0"] for v in upright]
+    for h in segments:
+        if h["horizontal"] and None not in (h["x0"], h["x1"], h["y0"]):
+            for v in upright[bisect_left(places, h["x0"] - tol) : bisect_right(places, h["x1"] + tol)]:
+                if v["y0"] is not None and v["y1"] is not None and h["y0"] >= v["y0"] - tol and h["y0"] <= v["y1"] + tol:
+                    x, y = find(h["seg"]), find(v["seg"])
+                    root[max(x, y)] = min(x, y)
+    return [find(s["seg"]) for s in segments]
+
+
+def with_components(segments: DataFrame) -> DataFrame:
+    """``segment_components`` with the segments' own columns: page by page in one pass, after one shuffle."""
+    from quire.operators.pages import _by_page
+
+    cols = [c for c in segments.columns if c not in ("doc_id", "page")]
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+
+    def run(page: list[dict]) -> list[tuple]:
+        return [(*(s[c] for c in cols), r) for s, r in zip(page, _connected(page), strict=True)]
+
+    return _by_page(segments.dropna(subset=["doc_id", "page", "seg"]), run, ", ".join(f"{c} {kinds[c]}" for c in cols) + f", root {kinds['seg']}")
 
 
 def segment_components(spark: SparkSession, segments: DataFrame) -> DataFrame:
     """The least segment that each segment's page connects it with, however long the way; the segments of one page are one group."""
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    links = touching(segments).unionByName(segments.select("doc_id", "page", F.col("seg").alias("a"), F.col("seg").alias("b")))
+    from quire.operators.pages import _by_page
 
-    def run(t: pa.Table) -> pa.Table:
-        root: dict = {}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
-            x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
-            root[max(x, y)] = min(x, y)
-        segs = sorted(root)
-        first = t.slice(0, 1)
-        return pa.table({"doc_id": first.column("doc_id").combine_chunks().take([0] * len(segs)), "page": first.column("page").combine_chunks().take([0] * len(segs)), "seg": pa.array(segs, t.schema.field("a").type), "root": pa.array([find(s) for s in segs], t.schema.field("a").type)})
-
-    return links.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("doc_id", "page").applyInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, seg {kinds['seg']}, root {kinds['seg']}")
+    kind = segments.schema["seg"].dataType.simpleString()
+    s = segments.select("doc_id", "page", "seg", "x0", "y0", "x1", "y1", "horizontal").dropna(subset=["doc_id", "page", "seg"])
+    return _by_page(s, lambda page: sorted(set(zip((s["seg"] for s in page), _connected(page), strict=True))), f"seg {kind}, root {kind}")
 
 
 def longest_paths(edges: list[tuple[str, str]]) -> dict[str, int]:

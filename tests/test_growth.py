@@ -65,3 +65,10 @@ def test_columns_and_blocks_meet_a_page_once(spark):
     for name, scans in (("gutter_consensus", 1), ("side_by_side", 2)):
         p = plan(QUERIES[name](spark, SF))
         assert p.count("FileScan parquet") == scans and len(re.findall(r"(?:MapInArrow|InPandas|GroupsInArrow) ", p)) == 1
+
+
+def test_ruled_tables_are_computed_once(spark):
+    """Components run by page once and need no join; what lies in the tables is met by one join on the page."""
+    ruled, charts = (plan(QUERIES[name](spark, SF)) for name in ("ruled_tables_corpus", "tables_without_charts"))
+    assert "Join" not in ruled and len(re.findall("MapInArrow|GroupsInArrow", ruled)) == 1
+    assert len(re.findall(r"\w+Join ", charts)) == 1 and len(re.findall("MapInArrow|GroupsInArrow", charts)) == 1
