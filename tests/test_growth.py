@@ -72,3 +72,11 @@ def test_ruled_tables_are_computed_once(spark):
     ruled, charts = (plan(QUERIES[name](spark, SF)) for name in ("ruled_tables_corpus", "tables_without_charts"))
     assert "Join" not in ruled and len(re.findall("MapInArrow|GroupsInArrow", ruled)) == 1
     assert len(re.findall(r"\w+Join ", charts)) == 1 and len(re.findall("MapInArrow|GroupsInArrow", charts)) == 1
+
+
+def test_hyphens_of_late_documents(spark, tmp_path):
+    """The number of a line leaves 32 bits from document 2,147,483 on."""
+    text = "a keyboard and\nthe key-\nboard lies there"
+    spark.createDataFrame([(i, text) for i in (7, 3_000_000, 50_000_000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.soft for r in QUERIES["soft_hyphen_decisions_corpus"](spark, str(tmp_path)).collect()}
+    assert set(got) == {i * 1000 + n for i in (7, 3_000_000, 50_000_000) for n in (1, 2, 3)} and all(got[7000 + n] == got[3_000_000_000 + n] == got[50_000_000_000 + n] for n in (1, 2, 3))
