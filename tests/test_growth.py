@@ -80,3 +80,9 @@ def test_hyphens_of_late_documents(spark, tmp_path):
     spark.createDataFrame([(i, text) for i in (7, 3_000_000, 50_000_000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.id: r.soft for r in QUERIES["soft_hyphen_decisions_corpus"](spark, str(tmp_path)).collect()}
     assert set(got) == {i * 1000 + n for i in (7, 3_000_000, 50_000_000) for n in (1, 2, 3)} and all(got[7000 + n] == got[3_000_000_000 + n] == got[50_000_000_000 + n] for n in (1, 2, 3))
+
+
+def test_letters_are_shuffled_once(spark):
+    """Letters become words where their page lies."""
+    p = plan(QUERIES["letter_spaced_spans"](spark, SF))
+    assert len(re.findall(r"\bExchange ", p)) == 1 and "Join" not in p
