@@ -86,3 +86,8 @@ def test_letters_are_shuffled_once(spark):
     """Letters become words where their page lies."""
     p = plan(QUERIES["letter_spaced_spans"](spark, SF))
     assert len(re.findall(r"\bExchange ", p)) == 1 and "Join" not in p
+
+
+def test_booktabs_of_the_orders_need_no_join(spark):
+    p = plan(QUERIES["page_booktabs"](spark, SF))
+    assert "Join" not in p and "FlatMapGroupsInArrow" not in p
